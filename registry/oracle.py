@@ -417,6 +417,15 @@ ORACLE = {
                pass_activations,
                {_double('recognized_ticket_revenue', 'recognized_pass_revenue')} FROM revenue"""),
     "hourly_summary": _with("hourly", _HOURLY),
+    "hourly_summary_joined": _with("hourly", _HOURLY),
+    "visitor_hours": _with(
+        "ride",
+        """SELECT CAST(ride_time AS DATE) AS ride_date, CAST(hour(ride_time) AS INTEGER) AS ride_hour,
+               resort, rfid, ride_time, txid, lift, activation_day_count,
+               count(*) OVER (PARTITION BY resort, rfid, date_trunc('hour', ride_time)) AS rides
+           FROM ride QUALIFY row_number() OVER (
+               PARTITION BY resort, rfid, date_trunc('hour', ride_time)
+               ORDER BY ride_time, txid) = 1"""),
     "daily_summary": _with(
         "daily",
         f"""SELECT ride_date, resort, operation_hours,

@@ -315,6 +315,18 @@ def hourly_summary(spark, sf_dir):
     return flagship(spark, sf_dir)
 
 
+@query
+def hourly_summary_joined(spark, sf_dir):
+    """The same table from separate activity and revenue tables."""
+    t = chain(spark, sf_dir)
+    return hourly.hourly_summary(t.activity, t.revenue, t.capacity)
+
+
+@query
+def visitor_hours(spark, sf_dir):
+    return hourly.visitor_hours(samples.rides(spark, sf_dir))
+
+
 @query
 def daily_summary(spark, sf_dir):
     return chain(spark, sf_dir).daily

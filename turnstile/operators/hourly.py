@@ -4,7 +4,7 @@ Visits must hold one row per ``(visit_date, resort, rfid)``, as
 ``daily_visits`` produces them.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnstile import schemas
@@ -13,6 +13,8 @@ from turnstile.functions.money import pass_share, rounded_ratio, ticket_share, t
 from turnstile.functions.timeparts import day_of
 
 HOUR_KEY = ["ride_date", "ride_hour", "resort"]
+VISITOR_KEY = [*HOUR_KEY, "rfid"]
+_FIRST = ["ride_time", "txid", "lift", "activation_day_count"]
 
 # Fixed value: uses over which a pass price is recognised.
 PASS_USES = 20
@@ -25,10 +27,26 @@ def rides_per_visitor(rides: DataFrame) -> DataFrame:
     24 rows per resort and day, however many rides it made, so nothing
     downstream can be skewed by one medium.
     """
+    return _by_visitor(rides).agg(F.count(F.lit(1)).alias("rides"))
+
+
+def visitor_hours(rides: DataFrame) -> DataFrame:
+    """One row per medium and hour: its earliest ride there and the ride count.
+
+    These rows replace the rides for everything downstream: the earliest of
+    the hourly firsts is the first ride of the day, and the counts add up.
+    Raw rides are read once for visits and activity together.
+    """
+    first = F.min(F.struct(*_FIRST)).alias("first")
+    out = _by_visitor(rides).agg(F.count(F.lit(1)).alias("rides"), first)
+    return out.select(*VISITOR_KEY, "rides", *[F.col(f"first.{name}") for name in _FIRST])
+
+
+def _by_visitor(rides: DataFrame):
     time = F.col("ride_time")
     return rides.groupBy(
         day_of(time).alias("ride_date"), F.hour(time).alias("ride_hour"), "resort", "rfid"
-    ).agg(F.count(F.lit(1)).alias("rides"))
+    )
 
 
 def with_pass_flag(visitor_hours: DataFrame, visits: DataFrame) -> DataFrame:
@@ -46,14 +64,18 @@ def hourly_activity(rides: DataFrame, visits: DataFrame) -> DataFrame:
     that combine before the shuffle, without expanding the rows.
     """
     rows = with_pass_flag(rides_per_visitor(rides), visits)
+    out = rows.groupBy(*HOUR_KEY).agg(*_activity())
+    return schemas.conform(_with_hour_start(out), schemas.HOURLY_LIFT_ACTIVITY)
+
+
+def _activity() -> list[Column]:
     on_pass = F.col("has_season_pass")
-    out = rows.groupBy(*HOUR_KEY).agg(
+    return [
         F.sum("rides").alias("total_rides"),
         F.count("rfid").alias("visitor_count"),
         F.count(F.when(on_pass, F.col("rfid"))).alias("active_passes"),
         F.sum(F.when(on_pass, F.col("rides")).otherwise(0)).alias("pass_rides"),
-    )
-    return schemas.conform(_with_hour_start(out), schemas.HOURLY_LIFT_ACTIVITY)
+    ]
 
 
 def hourly_revenue(visits: DataFrame, pass_uses: int = PASS_USES) -> DataFrame:
@@ -62,24 +84,29 @@ def hourly_revenue(visits: DataFrame, pass_uses: int = PASS_USES) -> DataFrame:
     A ticket earns its price per day of validity on every visit; a pass earns
     an equal share on each of its first ``pass_uses`` uses.
     """
-    on_pass, price = F.col("has_season_pass"), F.col("purchase_price_usd")
-    ticket = F.when(~on_pass, ticket_share(price, F.col("ticket_original_duration"))).otherwise(0)
-    share = F.when(
-        on_pass & (F.col("activation_usage_count") <= pass_uses), pass_share(price, pass_uses)
-    ).otherwise(0)
     out = visits.groupBy(
         F.col("visit_date").alias("ride_date"),
         F.hour("first_ride_time").alias("ride_hour"),
         "resort",
-    ).agg(
-        total(ticket).alias("recognized_ticket_revenue"),
-        F.count(F.when(~on_pass, F.col("rfid"))).alias("ticket_activations"),
-        total(share).alias("recognized_pass_revenue"),
-        F.count(F.when(on_pass, F.col("rfid"))).alias("pass_activations"),
-    )
+    ).agg(*_recognised(pass_uses, F.lit(True)))
     return schemas.conform(_with_hour_start(out), schemas.HOURLY_AMORTIZED_REVENUE)
 
 
+def _recognised(pass_uses: int, arriving: Column) -> list[Column]:
+    """Revenue and activations over the rows of arriving visitors."""
+    on_pass, price = F.col("has_season_pass"), F.col("purchase_price_usd")
+    ticket = F.when(~on_pass, ticket_share(price, F.col("ticket_original_duration"))).otherwise(0)
+    share = F.when(
+        on_pass & (F.col("activation_usage_count") <= pass_uses), pass_share(price, pass_uses)
+    ).otherwise(0)
+    return [
+        total(F.when(arriving, ticket)).alias("recognized_ticket_revenue"),
+        F.count(F.when(arriving & ~on_pass, F.col("rfid"))).alias("ticket_activations"),
+        total(F.when(arriving, share)).alias("recognized_pass_revenue"),
+        F.count(F.when(arriving & on_pass, F.col("rfid"))).alias("pass_activations"),
+    ]
+
+
 def with_revenue(activity: DataFrame, revenue: DataFrame) -> DataFrame:
     """Activity hours with their revenue; hours without a first ride have none."""
     return activity.join(revenue.drop("ride_hour_timestamp"), HOUR_KEY, "left")
@@ -91,9 +118,43 @@ def with_capacity(df: DataFrame, capacity: DataFrame) -> DataFrame:
 
 
 def hourly_summary(activity: DataFrame, revenue: DataFrame, capacity: DataFrame) -> DataFrame:
-    rows = with_capacity(
-        with_revenue(activity, revenue), capacity.select("resort", "max_capacity")
+    return _summary(with_revenue(activity, revenue), capacity)
+
+
+def hourly_summary_of(
+    visitor_hours: DataFrame, visits: DataFrame, capacity: DataFrame, pass_uses: int = PASS_USES
+) -> DataFrame:
+    """The hourly summary in one join and one aggregation.
+
+    Equal to ``hourly_summary(hourly_activity, hourly_revenue)`` as every
+    first ride is a ride: each visitor hour meets its visit once, counts for
+    the activity, and carries the revenue in the hour the visitor arrived.
+    Hours nobody arrived in have no activation counts, as with the join.
+    """
+    entered = visits.select(
+        F.col("visit_date").alias("ride_date"), "resort", F.col("rfid").alias("visit_rfid"),
+        "has_season_pass", "purchase_price_usd", "activation_usage_count",
+        "ticket_original_duration", F.hour("first_ride_time").alias("arrival_hour"),
     )
+    same = [
+        visitor_hours["ride_date"] == entered["ride_date"],
+        visitor_hours["resort"] == entered["resort"],
+        visitor_hours["rfid"].eqNullSafe(entered["visit_rfid"]),
+    ]
+    rows = visitor_hours.join(entered, same, "left").drop(entered["ride_date"], entered["resort"])
+    arriving = F.col("ride_hour") == F.col("arrival_hour")
+    out = rows.groupBy(*HOUR_KEY).agg(
+        *_activity(), *_recognised(pass_uses, arriving), F.count_if(arriving).alias("arrived")
+    )
+    activations = {
+        name: F.when(F.col("arrived") > 0, F.col(name))
+        for name in ("ticket_activations", "pass_activations")
+    }
+    return _summary(_with_hour_start(out).withColumns(activations), capacity)
+
+
+def _summary(rows: DataFrame, capacity: DataFrame) -> DataFrame:
+    rows = with_capacity(rows, capacity.select("resort", "max_capacity"))
     ticket = F.coalesce("recognized_ticket_revenue", F.lit(0))
     share = F.coalesce("recognized_pass_revenue", F.lit(0))
     visitors, most = F.col("visitor_count"), F.col("max_capacity")

@@ -35,7 +35,8 @@ class Chain:
 
     @cached_property
     def hourly(self) -> DataFrame:
-        return hours.hourly_summary(self.activity, self.revenue, self.capacity)
+        visitors = hours.rides_per_visitor(self.rides)
+        return hours.hourly_summary_of(visitors, self.visits, self.capacity)
 
     @cached_property
     def daily(self) -> DataFrame:
@@ -65,6 +66,10 @@ class StoredChain(Chain):
     def _table(self, name: str, schema) -> DataFrame:
         return scan(self._spark, f"{self._root}/{name}", schema)
 
+    @cached_property
+    def visitor_hours(self) -> DataFrame:
+        return self._table("visitor_hours", schemas.VISITOR_HOURS)
+
     @cached_property
     def visits(self) -> DataFrame:
         return self._table("daily_visits", schemas.DAILY_VISITS)
@@ -85,28 +90,22 @@ class StoredChain(Chain):
 def materialize(spark: SparkSession, base: Chain, root: str) -> StoredChain:
     """Write every level once and read it back for the next one.
 
-    Visits feed two hourly tables and each level feeds several others, so the
-    written tables keep the rides from being shuffled again per consumer, and
-    a lost executor costs one level, not the whole chain.
+    Raw rides are read once, for the visitor hours; visits and activity start
+    from those.  A lost executor costs the level being written, not the chain.
     """
     stored = StoredChain(spark, root, base)
-    replace_partitions(
-        base.visits, f"{root}/daily_visits", schemas.DAILY_VISITS, "visit_date"
-    )
-    hourly = hours.hourly_summary(
-        hours.hourly_activity(base.rides, stored.visits),
-        hours.hourly_revenue(stored.visits),
-        base.capacity,
-    )
-    replace_partitions(
-        hourly, f"{root}/hourly_resort_summary", schemas.HOURLY_RESORT_SUMMARY, "ride_date"
-    )
-    replace_partitions(
-        rollups.daily_summary(stored.hourly),
-        f"{root}/daily_resort_summary", schemas.DAILY_RESORT_SUMMARY, "ride_date",
-    )
-    replace_partitions(
-        rollups.weekly_summary(stored.daily),
-        f"{root}/weekly_resort_summary", schemas.WEEKLY_RESORT_SUMMARY, "week_start_date",
-    )
+    levels = [
+        ("visitor_hours", schemas.VISITOR_HOURS, ["ride_date", "ride_hour"],
+         lambda: hours.visitor_hours(base.rides)),
+        ("daily_visits", schemas.DAILY_VISITS, ["visit_date"],
+         lambda: daily_visits(stored.visitor_hours, base.passes, base.tickets)),
+        ("hourly_resort_summary", schemas.HOURLY_RESORT_SUMMARY, ["ride_date"],
+         lambda: hours.hourly_summary_of(stored.visitor_hours, stored.visits, base.capacity)),
+        ("daily_resort_summary", schemas.DAILY_RESORT_SUMMARY, ["ride_date"],
+         lambda: rollups.daily_summary(stored.hourly)),
+        ("weekly_resort_summary", schemas.WEEKLY_RESORT_SUMMARY, ["week_start_date"],
+         lambda: rollups.weekly_summary(stored.daily)),
+    ]
+    for name, schema, partition_by, rows in levels:
+        replace_partitions(rows(), f"{root}/{name}", schema, *partition_by)
     return stored

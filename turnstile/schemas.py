@@ -45,6 +45,10 @@ DAILY_VISITS = _table(
     first_lift=_STR, has_season_pass=_BOOL, purchase_price_usd=PRICE,
     activation_usage_count=_INT, ticket_original_duration=_INT,
 )
+VISITOR_HOURS = _table(
+    ride_date=_DATE, ride_hour=_INT, resort=_STR, rfid=_STR, rides=_LONG,
+    ride_time=_TIME, txid=_STR, lift=_STR, activation_day_count=_INT,
+)
 HOURLY_LIFT_ACTIVITY = _table(
     ride_date=_DATE, ride_hour=_INT, ride_hour_timestamp=_TIME, resort=_STR,
     total_rides=_LONG, visitor_count=_LONG, active_passes=_LONG, pass_rides=_LONG,
