@@ -422,6 +422,7 @@ ORACLE = {
         "ride",
         """SELECT CAST(ride_time AS DATE) AS ride_date, CAST(hour(ride_time) AS INTEGER) AS ride_hour,
                resort, rfid, ride_time, txid, lift, activation_day_count,
+               CAST(hour(ride_time) // 6 AS INTEGER) AS ride_block,
                count(*) OVER (PARTITION BY resort, rfid, date_trunc('hour', ride_time)) AS rides
            FROM ride QUALIFY row_number() OVER (
                PARTITION BY resort, rfid, date_trunc('hour', ride_time)
@@ -645,4 +646,11 @@ ORACLE = {
                  UNION ALL SELECT 'resort_ticket', postalcode, phone, email, contact_name
                  FROM ticket)
            GROUP BY 1"""),
+    "stream_visits": _with("visit", _VISIT),
+    "stream_visits_first_writer": _with(
+        "visit", f"SELECT * EXCLUDE (first_ride_time, first_lift) FROM ({_VISIT})"),
+    "stream_hours": _with("hourly", _HOURLY),
+    "stream_refresh": _with("weekly", _WEEKLY),
+    "stream_dedup": _with(
+        "ride", "SELECT * REPLACE (CAST(NULL AS INTEGER) AS activation_day_count) FROM ride"),
 }

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from registry import live
 from turnstile import schemas
 from turnstile.functions import bands, money, timeparts
 from turnstile.operators import audits, batches, hourly, lifts, rollups, visits
@@ -584,3 +585,42 @@ def null_profile(spark, sf_dir):
     return audits.null_profile(passes).withColumn("source", F.lit("season_pass")).unionByName(
         audits.null_profile(tickets).withColumn("source", F.lit("resort_ticket"))
     )
+
+
+# Streaming
+
+@query
+def stream_visits(spark, sf_dir):
+    """Visits kept by the refresh job over several micro-batches."""
+    return live.visits(spark, sf_dir)
+
+
+@query
+def stream_visits_first_writer(spark, sf_dir):
+    """The same under the policy that never corrects a recorded visit."""
+    return live.first_written_visits(spark, sf_dir)
+
+
+@query
+def stream_hours(spark, sf_dir):
+    return live.hourly(spark, sf_dir)
+
+
+@query
+def stream_refresh(spark, sf_dir):
+    return live.weekly(spark, sf_dir)
+
+
+@query
+def refresh_log(spark, sf_dir):
+    return live.history(spark, sf_dir)
+
+
+@query
+def stream_dedup(spark, sf_dir):
+    return live.deduplicated(spark, sf_dir)
+
+
+@query
+def stream_hours_approx(spark, sf_dir):
+    return live.approximate_hours(spark, sf_dir)

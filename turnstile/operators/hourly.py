@@ -14,6 +14,9 @@ from turnstile.functions.timeparts import day_of
 
 HOUR_KEY = ["ride_date", "ride_hour", "resort"]
 VISITOR_KEY = [*HOUR_KEY, "rfid"]
+# Hours of one stored partition: few enough to recompute often, many enough to
+# keep the number of folders low.
+BLOCK_HOURS = 6
 _FIRST = ["ride_time", "txid", "lift", "activation_day_count"]
 
 # Fixed value: uses over which a pass price is recognised.
@@ -39,7 +42,15 @@ def visitor_hours(rides: DataFrame) -> DataFrame:
     """
     first = F.min(F.struct(*_FIRST)).alias("first")
     out = _by_visitor(rides).agg(F.count(F.lit(1)).alias("rides"), first)
-    return out.select(*VISITOR_KEY, "rides", *[F.col(f"first.{name}") for name in _FIRST])
+    return out.select(
+        *VISITOR_KEY, "rides", *[F.col(f"first.{name}") for name in _FIRST],
+        block_of(F.col("ride_hour")).alias("ride_block"),
+    )
+
+
+def block_of(hour: Column) -> Column:
+    """Part of the day an hour lies in; stored rows are partitioned by it."""
+    return F.floor(hour / BLOCK_HOURS).cast("int")
 
 
 def _by_visitor(rides: DataFrame):

@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turnstile import schemas
 from turnstile.functions.timeparts import day_of
@@ -57,7 +58,10 @@ def enrich_from_ticket(firsts: DataFrame, tickets: DataFrame) -> DataFrame:
     return firsts.join(sold, "rfid", "left")
 
 
-def enrich(firsts: DataFrame, passes: DataFrame, tickets: DataFrame) -> DataFrame:
+def enrich(
+    firsts: DataFrame, passes: DataFrame, tickets: DataFrame,
+    schema: T.StructType = schemas.DAILY_VISITS,
+) -> DataFrame:
     """Name and price from the pass, else from the ticket; nulls without a sale.
 
     Both joins use the medium as key, so the visits are shuffled once for the
@@ -66,7 +70,7 @@ def enrich(firsts: DataFrame, passes: DataFrame, tickets: DataFrame) -> DataFram
     sold = enrich_from_ticket(enrich_from_pass(firsts, passes), tickets)
     return schemas.conform(
         sold,
-        schemas.DAILY_VISITS,
+        schema,
         name=F.coalesce("pass_name", "ticket_name"),
         has_season_pass=F.coalesce("is_pass", F.lit(False)),
         purchase_price_usd=F.coalesce("pass_price", "ticket_price"),
@@ -91,8 +95,8 @@ def daily_visits(
 def reenrich(visits: DataFrame, passes: DataFrame, tickets: DataFrame) -> DataFrame:
     """Repair visits recorded before their sale arrived: rows without a price
     are looked up again, all others stay as they are."""
-    columns = visits.columns
-    open_ = visits.filter(F.col("purchase_price_usd").isNull())
-    done = visits.filter(F.col("purchase_price_usd").isNotNull())
-    bare = open_.drop("name", "has_season_pass", "purchase_price_usd", "ticket_original_duration")
-    return done.unionByName(enrich(bare, passes, tickets).select(*columns))
+    unsold = visits.filter(F.col("purchase_price_usd").isNull()).drop(
+        "name", "has_season_pass", "purchase_price_usd", "ticket_original_duration"
+    )
+    sold = visits.filter(F.col("purchase_price_usd").isNotNull())
+    return sold.unionByName(enrich(unsold, passes, tickets, visits.schema))

@@ -95,7 +95,7 @@ def materialize(spark: SparkSession, base: Chain, root: str) -> StoredChain:
     """
     stored = StoredChain(spark, root, base)
     levels = [
-        ("visitor_hours", schemas.VISITOR_HOURS, ["ride_date", "ride_hour"],
+        ("visitor_hours", schemas.VISITOR_HOURS, ["ride_date", "ride_block"],
          lambda: hours.visitor_hours(base.rides)),
         ("daily_visits", schemas.DAILY_VISITS, ["visit_date"],
          lambda: daily_visits(stored.visitor_hours, base.passes, base.tickets)),

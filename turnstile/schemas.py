@@ -46,7 +46,7 @@ DAILY_VISITS = _table(
     activation_usage_count=_INT, ticket_original_duration=_INT,
 )
 VISITOR_HOURS = _table(
-    ride_date=_DATE, ride_hour=_INT, resort=_STR, rfid=_STR, rides=_LONG,
+    ride_date=_DATE, ride_block=_INT, ride_hour=_INT, resort=_STR, rfid=_STR, rides=_LONG,
     ride_time=_TIME, txid=_STR, lift=_STR, activation_day_count=_INT,
 )
 HOURLY_LIFT_ACTIVITY = _table(

@@ -1,6 +1,6 @@
 """Stored tables: scans with a declared schema, appends and partition overwrites."""
 
-from collections.abc import Sequence
+from collections.abc import Collection
 from datetime import date
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -8,28 +8,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnstile import schemas
+from turnstile.operators.batches import retain_after
+from turnstile.session import shared_dir
 
 
 def scan(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(path).select(schema.names)
 
 
 def scan_dates(
-    spark: SparkSession, path: str, schema: T.StructType, column: str, dates: Sequence[date]
+    spark: SparkSession, path: str, schema: T.StructType, column: str, dates: Collection[date]
 ) -> DataFrame:
-    """The given date partitions only; other partitions are not even listed.
+    """The given date partitions only; the files of other dates are not even listed.
 
     Dates without a partition contribute no rows.
     """
-    present = [p for p in (f"{path}/{column}={d.isoformat()}" for d in dates) if exists(spark, p)]
+    wanted = {f"{column}={day.isoformat()}" for day in dates}
+    present = sorted(wanted & set(_children(spark, path)))
     if not present:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("basePath", path).parquet(*present)
+    reader = spark.read.schema(schema).option("basePath", path)
+    return reader.parquet(*[f"{path}/{name}" for name in present]).select(schema.names)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+def _children(spark: SparkSession, path: str) -> list[str]:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    return [status.getPath().getName() for status in files.listStatus(folder)]
 
 
 def replace_partitions(df: DataFrame, path: str, schema: T.StructType, *partition_by: str) -> int:
@@ -53,33 +60,40 @@ def replace_partitions(df: DataFrame, path: str, schema: T.StructType, *partitio
     return counted.get["row_count"]
 
 
-def purge_acknowledged(spark: SparkSession, path: str, schema: T.StructType,
-                       id_col: str, before_id: int, partition: str) -> int:
+def purge_acknowledged(
+    spark: SparkSession, path: str, schema: T.StructType, id_col: str, before_id: int,
+    partition: str,
+) -> None:
     """Drop rows up to ``before_id`` from a buffer partitioned by ``partition``.
 
-    Partitions that lie above the mark are not touched, those below vanish,
-    and only the ones the mark cuts through are rewritten.
+    Partitions above the mark stay untouched, those below it are deleted, and
+    only those the mark cuts through are rewritten, from a staged copy so that
+    no partition is ever read and replaced by the same job.
     """
-    from turnstile.operators.batches import retain_after
-
-    rows = scan(spark, path, schema)
     reach = (
-        rows.groupBy(partition)
+        scan(spark, path, schema)
+        .groupBy(partition)
         .agg(F.min(id_col).alias("low"), F.max(id_col).alias("high"))
         .filter(F.col("low") <= before_id)
         .collect()
     )
     cut = [row[partition] for row in reach if row["high"] > before_id]
-    gone = [row[partition] for row in reach if row["high"] <= before_id]
-    kept = 0
     if cut:
-        left = retain_after(rows.filter(F.col(partition).isin(cut)), id_col, before_id)
-        kept = replace_partitions(left, path, schema, partition)
-    for value in gone:
-        _drop(spark, f"{path}/{partition}={value}")
-    return kept
+        rows = scan(spark, path, schema).filter(F.col(partition).isin(cut))
+        left = staged(spark, retain_after(rows, id_col, before_id), schema, "purge")
+        replace_partitions(left, path, schema, partition)
+    for row in reach:
+        if row["high"] <= before_id:
+            _delete(spark, f"{path}/{partition}={row[partition]}")
+
+
+def staged(spark: SparkSession, df: DataFrame, schema: T.StructType, purpose: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: its lineage ends there."""
+    path = shared_dir(spark, purpose)
+    schemas.conform(df, schema).write.parquet(path)
+    return scan(spark, path, schema)
 
 
-def _drop(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
