@@ -26,6 +26,7 @@ def spark(tmp_path_factory):
             "spark.ui.enabled": "false",
             "spark.sql.shuffle.partitions": "4",
             "spark.driver.memory": "8g",
+            "spark.sql.maxMetadataStringLength": "4000",
             "spark.checkpoint.dir": str(shared),
             "spark.sql.warehouse.dir": str(shared / "warehouse"),
             # Results must not depend on the session time zone.

@@ -79,6 +79,12 @@ def test_iso_to_utc(spark, text, utc):
     assert one(spark, timeparts.iso_to_utc(F.lit(text))) == at(utc)
 
 
+@pytest.mark.parametrize("text", ["2024-03-10 02:30:00.123456", "2024-11-03 01:30:00", "1969-12-31 23:59:59.5"])
+def test_utc_instant_and_back(spark, text):
+    instant = timeparts.utc_instant(ntz(text))
+    assert one(spark, timeparts.utc_clock(instant)) == at(text)
+
+
 def test_seconds_between(spark):
     got = one(spark, timeparts.seconds_between(ntz("2024-01-01 23:59:59.5"), ntz("2024-01-02 00:00:00")))
     assert got == Decimal("0.500000")

@@ -62,6 +62,14 @@ def utc_clock(instant: Column) -> Column:
     return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + step
 
 
+def utc_instant(time: Column) -> Column:
+    """UTC wall clock to the zoned timestamp it means; a plain cast would read
+    it in the session time zone, where some hours do not exist."""
+    minutes = _clock_minutes(time) * 60_000_000
+    rest = (F.extract(F.lit("SECOND"), time) * 1_000_000).cast("bigint")
+    return F.timestamp_micros(minutes + rest)
+
+
 def iso_to_utc(text: Column) -> Column:
     """ISO 8601 text to the UTC wall clock; text without an offset already is UTC."""
     zoned = F.when(text.rlike(r"(Z|[+-]\d{2}:\d{2})$"), text).otherwise(F.concat(text, F.lit("Z")))

@@ -44,15 +44,16 @@ def reporting_clock(
 
     One row; the latest event is null as long as one of the sources is empty.
     """
-    sources = {"ride": (rides, "ride_time"), "pass": (passes, "purchase_time"),
-               "ticket": (tickets, "purchase_time")}
+    latest = {
+        "ride": rides.agg(F.max("ride_time")).scalar(),
+        "pass": passes.agg(F.max("purchase_time")).scalar(),
+        "ticket": tickets.agg(F.max("purchase_time")).scalar(),
+    }
     clock = hourly.agg(F.max("ride_hour_timestamp").alias("latest_reporting_timestamp"))
-    for name, (df, time) in sources.items():
-        clock = clock.crossJoin(df.agg(F.max(time).alias(name)))
     known = F.col("ride").isNotNull() & F.col("pass").isNotNull() & F.col("ticket").isNotNull()
     reported = F.col("latest_reporting_timestamp")
-    return clock.select(
-        F.when(known, F.greatest(*sources)).alias("latest_world_timestamp"),
+    return clock.select("*", *[value.alias(name) for name, value in latest.items()]).select(
+        F.when(known, F.greatest(*latest)).alias("latest_world_timestamp"),
         reported,
         *[value.alias(name) for name, value in clock_dates(reported).items()],
     )
@@ -85,27 +86,27 @@ def clock_line(
     reporting time is the network's.
     """
     world = reporting_clock(rides, passes, tickets, hourly)
-    if reference_resort:
-        reported = world.select(F.col("latest_reporting_timestamp").alias("reporting_time"))
-    else:
-        reported = resort_clock(hourly, resort).select("reporting_time")
-    zone = F.col("iana_timezone")
-    return (
-        world.select("latest_world_timestamp")
-        .crossJoin(reported)
-        .join(timezone_of(capacity, resort), F.lit(True), "left")
-        .select(
-            F.lit(resort).alias("resort"),
-            display.clock_text(to_local(F.col("reporting_time"), zone)).alias("reporting_time"),
-            display.clock_text(to_local(F.col("latest_world_timestamp"), zone)).alias("latest_event"),
-            zone.alias("time_zone"),
-        )
+    shown = world.select(
+        F.col("latest_world_timestamp").alias("latest_event"),
+        F.col("latest_reporting_timestamp").alias("reporting_time"),
+        timezone_of(capacity, resort).alias("time_zone"),
+    )
+    if not reference_resort:
+        own = resort_clock(hourly, resort).select("reporting_time").scalar()
+        shown = shown.withColumn("reporting_time", own)
+    zone = F.col("time_zone")
+    return shown.select(
+        F.lit(resort).alias("resort"),
+        display.clock_text(to_local(F.col("reporting_time"), zone)).alias("reporting_time"),
+        display.clock_text(to_local(F.col("latest_event"), zone)).alias("latest_event"),
+        zone,
     )
 
 
-def timezone_of(capacity: DataFrame, resort: str) -> DataFrame:
-    """Time zone of one resort: one row, none for an unknown resort."""
-    return capacity.filter(F.col("resort") == resort).select("iana_timezone").limit(1)
+def timezone_of(capacity: DataFrame, resort: str) -> Column:
+    """Time zone of one resort as a value, null for an unknown resort."""
+    own = capacity.filter(F.col("resort") == resort)
+    return own.agg(F.max("iana_timezone")).scalar()
 
 
 # Network reports

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from turnstile.functions.timeparts import utc_instant
 from turnstile.sources.payloads import bad_lines, good_rows, parse_lines
 
 EVERY_10_SECONDS = {"processingTime": "10 seconds"}
@@ -42,7 +43,7 @@ def drop_repeats(rows: DataFrame, key: str, time: str, within: str) -> DataFrame
     Watermarks need a zoned time, hence the copy; the state holds one key per
     row for that long and no longer.
     """
-    clock = F.col(time).cast("timestamp")
+    clock = utc_instant(F.col(time))
     return (
         rows.withColumn("_clock", clock)
         .withWatermark("_clock", within)

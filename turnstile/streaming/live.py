@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnstile.functions.timeparts import utc_clock, utc_instant
+
 
 def hourly_activity_stream(rides: DataFrame, lateness: str = "1 hour") -> DataFrame:
     """Rides and (approximate) visitors per hour and resort, final once late rides are out.
@@ -11,7 +13,7 @@ def hourly_activity_stream(rides: DataFrame, lateness: str = "1 hour") -> DataFr
     refresh job has those.  The sketch keeps the state at a few kilobytes per
     hour and resort, however many visitors there are.
     """
-    clock = F.col("ride_time").cast("timestamp")
+    clock = utc_instant(F.col("ride_time"))
     return (
         rides.withColumn("_clock", clock)
         .withWatermark("_clock", lateness)
@@ -21,7 +23,7 @@ def hourly_activity_stream(rides: DataFrame, lateness: str = "1 hour") -> DataFr
             F.approx_count_distinct("rfid").alias("visitor_count"),
         )
         .select(
-            F.col("window.start").cast("timestamp_ntz").alias("ride_hour_timestamp"),
+            utc_clock(F.col("window.start")).alias("ride_hour_timestamp"),
             "resort", "total_rides", "visitor_count",
         )
     )
