@@ -17,7 +17,8 @@ from turnstile import schemas
 from turnstile.functions import bands, money, timeparts
 from turnstile.operators import audits, batches, hourly, lifts, rollups, visits
 from turnstile.plans import catalog, procedures, reports
-from turnstile.plans.chain import Chain
+from turnstile.plans.chain import Chain, StoredChain, materialize
+from turnstile.session import shared_dir
 from turnstile.sources import payloads, samples
 
 SITE = "view"
@@ -57,6 +58,17 @@ def chain(spark: SparkSession, sf_dir: str) -> Chain:
     )
 
 
+_STORED: dict[tuple, StoredChain] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> StoredChain:
+    """The chain written once per session; reports read its tables."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        _STORED[key] = materialize(spark, chain(spark, sf_dir), shared_dir(spark, "chain"))
+    return _STORED[key]
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How full was each resort in each hour, and what revenue did it earn?"""
     return chain(spark, sf_dir).hourly
@@ -123,7 +135,7 @@ def json_tickets(spark, sf_dir):
 # Bands, periods and column functions
 
 def _periods(spark, sf_dir, predicate) -> DataFrame:
-    tables = chain(spark, sf_dir)
+    tables = stored(spark, sf_dir)
     clock = reports.period_clock(tables.hourly)
     rows = tables.daily.select("ride_date", "resort", "total_rides")
     parts = [
@@ -408,38 +420,38 @@ def share_of_max(spark, sf_dir):
 
 @query
 def latest_hours(spark, sf_dir):
-    return batches.latest(chain(spark, sf_dir).hourly, "ride_hour_timestamp", tie="resort")
+    return batches.latest(stored(spark, sf_dir).hourly, "ride_hour_timestamp", tie="resort")
 
 
 @query
 def latest_weeks(spark, sf_dir):
-    return reports.latest_weeks(chain(spark, sf_dir).weekly, SITE)
+    return reports.latest_weeks(stored(spark, sf_dir).weekly, SITE)
 
 
 @query
 def weeks_table(spark, sf_dir):
-    return reports.weeks_table(reports.latest_weeks(chain(spark, sf_dir).weekly, SITE))
+    return reports.weeks_table(reports.latest_weeks(stored(spark, sf_dir).weekly, SITE))
 
 
 @query
 def reporting_clock(spark, sf_dir):
-    t = chain(spark, sf_dir)
+    t = stored(spark, sf_dir)
     return reports.reporting_clock(t.rides, t.passes, t.tickets, t.hourly)
 
 
 @query
 def site_clock(spark, sf_dir):
-    return reports.resort_clock(chain(spark, sf_dir).hourly, SITE)
+    return reports.resort_clock(stored(spark, sf_dir).hourly, SITE)
 
 
 @query
 def clock_line(spark, sf_dir):
-    t = chain(spark, sf_dir)
+    t = stored(spark, sf_dir)
     return reports.clock_line(t.rides, t.passes, t.tickets, t.hourly, t.capacity, "click")
 
 
 def _kpis(spark, sf_dir, shape: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    tables = chain(spark, sf_dir)
+    tables = stored(spark, sf_dir)
     clock = reports.period_clock(tables.hourly)
     parts = [
         shape(reports.network_kpis(tables.network, clock, period)).withColumn(
@@ -461,7 +473,7 @@ def kpi_cards(spark, sf_dir):
 
 
 def _by_period(spark, sf_dir, report, period) -> DataFrame:
-    tables = chain(spark, sf_dir)
+    tables = stored(spark, sf_dir)
     return report(tables.daily, reports.period_clock(tables.hourly), period)
 
 
@@ -488,32 +500,32 @@ def display_status(spark, sf_dir):
 
 @query
 def site_operations(spark, sf_dir):
-    return reports.resort_operations(chain(spark, sf_dir).hourly, SITE)
+    return reports.resort_operations(stored(spark, sf_dir).hourly, SITE)
 
 
 @query
 def hourly_pattern_local(spark, sf_dir):
-    tables = chain(spark, sf_dir)
+    tables = stored(spark, sf_dir)
     return reports.hourly_pattern(tables.hourly, tables.capacity, "click")
 
 
 @query
 def site_revenue_today(spark, sf_dir):
-    t = chain(spark, sf_dir)
+    t = stored(spark, sf_dir)
     performance = rollups.revenue_performance(t.daily, t.capacity, spend=SPEND)
     return reports.revenue_today(performance, t.hourly, SITE)
 
 
 @query
 def revenue_card(spark, sf_dir):
-    t = chain(spark, sf_dir)
+    t = stored(spark, sf_dir)
     return reports.revenue_card(reports.revenue_today(t.performance, t.hourly, SITE))
 
 
 @query
 def published_views(spark, sf_dir):
     """The views the chain registers, after one of them was queried by name."""
-    catalog.publish(chain(spark, sf_dir))
+    catalog.publish(stored(spark, sf_dir))
     names = catalog.list_objects(spark, "view").filter(F.col("name").isin(*catalog.VIEWS))
     days = spark.sql("SELECT count(*) FROM v_daily_network_metrics")
     return names.withColumn("network_days", days.scalar())

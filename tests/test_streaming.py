@@ -1,10 +1,12 @@
 import json
+import re
 
 import pytest
 from conftest import at, day
 from pyspark.sql import functions as F
 
 from turnstile import schemas
+from turnstile.operators.lifts import lift_performance, trailing_rides
 from turnstile.plans.chain import Chain
 from turnstile.session import shared_dir
 from turnstile.sources import samples
@@ -113,6 +115,24 @@ def test_late_sale_is_repaired(spark, make, policy):
     assert after.total_recognized_revenue == 40 and after.active_passes == 1
 
 
+def test_reports_on_refreshed_tables(spark, base):
+    job = job_for(spark, base)
+    job.refresh(base.rides, 0)
+    tables = job.chain()
+    for resort in ("view", "nowhere"):
+        for window in ({"minutes": 1440}, {"as_of": at("2024-01-05 12:00:00"), "minutes": 600}):
+            direct = lift_performance(base.rides, resort, **window)
+            pruned = lift_performance(tables.rides, resort, hourly=tables.hourly, **window)
+            assert sorted(map(str, pruned.collect())) == sorted(map(str, direct.collect()))
+    assert sorted(map(str, tables.network.collect())) == sorted(map(str, base.network.collect()))
+    window = trailing_rides(tables.rides, "view", 60, hourly=tables.hourly)
+    window.collect()
+    plan = window._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*ride_date#\d+ >= [^\]]*[Ss]ubquery", plan)
+    unreported = tables.hourly.limit(0)
+    assert lift_performance(tables.rides, "view", hourly=unreported).count() > 0
+
+
 def test_unknown_policy(spark, base):
     with pytest.raises(ValueError):
         job_for(spark, base, policy="latest")

@@ -16,31 +16,56 @@ TOP_LIFTS = 10
 
 
 def trailing_rides(
-    rides: DataFrame, resort: str, minutes: int = WINDOW_MINUTES, as_of: datetime | None = None
+    rides: DataFrame,
+    resort: str,
+    minutes: int = WINDOW_MINUTES,
+    as_of: datetime | None = None,
+    hourly: DataFrame | None = None,
 ) -> DataFrame:
     """Rides of one resort later than ``minutes`` before its last ride (or ``as_of``).
 
-    The end of the window is a scalar subquery, so the main scan filters on a
-    plain value that reaches the file reader; no join is needed.
+    The start of the window is a scalar subquery: no join is needed and the
+    main scan compares with a plain value.  Rides stored by ``ride_date`` are
+    pruned to the days of the window; with the ``hourly`` table at hand the
+    search for the last ride starts at the last reported day, instead of
+    reading the resort's whole history.
     """
     own = rides.filter(F.col("resort") == resort)
-    time = F.col("ride_time")
-    if as_of is None:
-        last = own.agg(F.max("ride_time").alias("last_ride_time")).scalar()
-        return own.filter(time > minutes_before(last, minutes))
-    end = F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz")
-    return own.filter((time > minutes_before(end, minutes)) & (time <= end))
+    time, dated = F.col("ride_time"), "ride_date" in rides.columns
+    if as_of is not None:
+        end = F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz")
+        start = minutes_before(end, minutes)
+        window = own.filter((time > start) & (time <= end))
+        return window.filter(F.col("ride_date") >= F.to_date(start)) if dated else window
+    recent = own
+    if dated and hourly is not None:
+        recent = own.filter(F.col("ride_date") >= _last_reported_day(hourly, resort))
+    start = minutes_before(F.max(time), minutes)
+    window = own.filter(time > recent.agg(start).scalar())
+    if dated:
+        window = window.filter(F.col("ride_date") >= recent.agg(F.to_date(start)).scalar())
+    return window
+
+
+def _last_reported_day(hourly: DataFrame, resort: str) -> Column:
+    """No later than the last ride's day; the first of all days without any report."""
+    day = F.coalesce(F.max("ride_date"), F.lit("0001-01-01").cast("date"))
+    return hourly.filter(F.col("resort") == resort).agg(day).scalar()
 
 
 def lift_performance(
-    rides: DataFrame, resort: str, minutes: int = WINDOW_MINUTES, as_of: datetime | None = None
+    rides: DataFrame,
+    resort: str,
+    minutes: int = WINDOW_MINUTES,
+    as_of: datetime | None = None,
+    hourly: DataFrame | None = None,
 ) -> DataFrame:
     """Rides, visitors, activity span, ranks and hourly rate per lift.
 
     One resort is in the frame, so its ranking is the overall ranking too.
     Ranks sort one row per lift, not rides.
     """
-    lifts = trailing_rides(rides, resort, minutes, as_of).groupBy("resort", "lift").agg(
+    lifts = trailing_rides(rides, resort, minutes, as_of, hourly).groupBy("resort", "lift").agg(
         F.count(F.lit(1)).alias("rides"),
         F.count_distinct("rfid").alias("unique_visitors"),
         F.min("ride_time").alias("first_activity_time"),

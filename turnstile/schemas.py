@@ -5,7 +5,6 @@ depends on the session time zone.  Money is decimal throughout.
 """
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PRICE = T.DecimalType(7, 2)
@@ -102,9 +101,8 @@ REFRESH_HISTORY = _table(
 
 def conform(df: DataFrame, schema: T.StructType, **overrides: Column) -> DataFrame:
     """Match columns to ``schema`` by name: its order, its types, extra columns dropped."""
-    return df.select(
-        *[
-            overrides.get(field.name, F.col(field.name)).cast(field.dataType).alias(field.name)
-            for field in schema
-        ]
+    if overrides:
+        df = df.withColumns(overrides)
+    return df.selectExpr(
+        *[f"CAST(`{f.name}` AS {f.dataType.simpleString()}) AS `{f.name}`" for f in schema]
     )

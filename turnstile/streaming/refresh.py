@@ -24,6 +24,7 @@ from turnstile.functions.timeparts import day_of
 from turnstile.operators import hourly as hours
 from turnstile.operators import rollups
 from turnstile.operators.visits import daily_visits, reenrich
+from turnstile.plans.chain import Chain, StoredChain
 from turnstile.sources.tables import replace_partitions, scan_dates, staged
 from turnstile.streaming.history import RefreshLog
 
@@ -185,6 +186,13 @@ class RefreshJob:
 
     # Stored tables
 
+    def chain(self) -> StoredChain:
+        """The refreshed tables for reports; rides carry ``ride_date`` for pruning."""
+        dated = _STORED_RIDE.names[:-2]
+        rides = self.spark.read.schema(_STORED_RIDE).parquet(self._path("lift_ride"))
+        base = Chain(rides.select(dated), self.passes(), self.tickets(), self.capacity)
+        return StoredChain(self.spark, self.root, base)
+
     def _path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
