@@ -4,6 +4,16 @@ Written directly from the definitions (plain distinct counts, window
 functions, row-wise joins), so that it shares no shortcut with the Spark side.
 """
 
+_DAY_SUMS = {
+    "total_visitor_hours": "visitor_count", "total_rides": "total_rides",
+    "total_ticket_revenue": "recognized_ticket_revenue",
+    "total_pass_revenue": "recognized_pass_revenue",
+    "total_revenue": "total_recognized_revenue",
+    "total_ticket_activations": "ticket_activations", "total_pass_activations": "pass_activations",
+    "total_pass_rides": "pass_rides", "total_ticket_rides": "ticket_rides",
+}
+_WEEK_SUMS = [name for name in _DAY_SUMS if name != "total_visitor_hours"] + ["total_visitors"]
+
 # Base tables as seen through the test tables, then one definition per level.
 VIEWS = {
     "ride": """
@@ -69,78 +79,58 @@ VIEWS = {
         FROM first_ride f LEFT JOIN season_pass p ON f.rfid = p.rfid
         LEFT JOIN ticket t ON f.rfid = t.rfid""",
     "activity": """
-        SELECT CAST(r.ride_time AS DATE) AS ride_date,
-               CAST(hour(r.ride_time) AS INTEGER) AS ride_hour,
-               date_trunc('hour', r.ride_time) AS ride_hour_timestamp, r.resort,
-               count(*) AS total_rides, count(DISTINCT r.rfid) AS visitor_count,
-               count(DISTINCT CASE WHEN v.has_season_pass THEN r.rfid END) AS active_passes,
-               count(CASE WHEN v.has_season_pass THEN 1 END) AS pass_rides
-        FROM ride r LEFT JOIN visit v ON r.rfid = v.rfid AND r.resort = v.resort
-             AND CAST(r.ride_time AS DATE) = v.visit_date
-        GROUP BY 1, 2, 3, 4""",
+        SELECT visit_date AS ride_date, CAST(hour(ride_time) AS INTEGER) AS ride_hour,
+               date_trunc('hour', ride_time) AS ride_hour_timestamp, resort,
+               count(*) AS total_rides, count(DISTINCT rfid) AS visitor_count,
+               count(DISTINCT rfid) FILTER (has_season_pass) AS active_passes,
+               count(*) FILTER (has_season_pass) AS pass_rides
+        FROM (SELECT *, CAST(ride_time AS DATE) AS visit_date FROM ride)
+        LEFT JOIN visit USING (visit_date, resort, rfid) GROUP BY ALL""",
     "revenue": """
         SELECT visit_date AS ride_date, CAST(hour(first_ride_time) AS INTEGER) AS ride_hour,
                date_trunc('hour', first_ride_time) AS ride_hour_timestamp, resort,
-               sum(CASE WHEN NOT has_season_pass
-                   THEN CAST(CAST(purchase_price_usd AS DOUBLE)
-                             / greatest(ticket_original_duration, 1) AS DECIMAL(18, 8))
-                   ELSE 0 END) AS recognized_ticket_revenue,
-               count(DISTINCT CASE WHEN NOT has_season_pass THEN rfid END) AS ticket_activations,
-               sum(CASE WHEN has_season_pass AND activation_usage_count <= 20
-                   THEN CAST(CAST(purchase_price_usd AS DOUBLE) / 20 AS DECIMAL(18, 8))
-                   ELSE 0 END) AS recognized_pass_revenue,
-               count(DISTINCT CASE WHEN has_season_pass THEN rfid END) AS pass_activations
-        FROM visit GROUP BY 1, 2, 3, 4""",
+               coalesce(sum(per_day) FILTER (NOT has_season_pass), 0) AS recognized_ticket_revenue,
+               count(DISTINCT rfid) FILTER (NOT has_season_pass) AS ticket_activations,
+               coalesce(sum(per_use) FILTER (has_season_pass AND activation_usage_count < 21), 0)
+                   AS recognized_pass_revenue,
+               count(DISTINCT rfid) FILTER (has_season_pass) AS pass_activations
+        FROM (SELECT *,
+                CAST(CAST(purchase_price_usd AS DOUBLE) / ticket_original_duration
+                     AS DECIMAL(18, 8)) AS per_day,
+                CAST(CAST(purchase_price_usd AS DOUBLE) / 20 AS DECIMAL(18, 8)) AS per_use
+              FROM visit) GROUP BY ALL""",
     "hourly": """
-        SELECT a.ride_date, a.ride_hour, a.ride_hour_timestamp, a.resort,
-               a.visitor_count, a.total_rides, r.ticket_activations, r.pass_activations,
-               a.active_passes, a.pass_rides,
-               a.visitor_count - a.active_passes AS active_tickets,
-               a.total_rides - a.pass_rides AS ticket_rides,
-               coalesce(r.recognized_ticket_revenue, 0) AS recognized_ticket_revenue,
-               coalesce(r.recognized_pass_revenue, 0) AS recognized_pass_revenue,
-               coalesce(r.recognized_ticket_revenue, 0) + coalesce(r.recognized_pass_revenue, 0)
-                   AS total_recognized_revenue,
-               (2000 * a.visitor_count + c.max_capacity) // (2 * c.max_capacity) AS capacity_tenths,
-               CASE WHEN 100 * a.visitor_count > 90 * c.max_capacity THEN 'HIGH'
-                    WHEN 100 * a.visitor_count > 70 * c.max_capacity THEN 'MODERATE'
+        SELECT *, visitor_count - active_passes AS active_tickets,
+               total_rides - pass_rides AS ticket_rides,
+               recognized_ticket_revenue + recognized_pass_revenue AS total_recognized_revenue,
+               (2000 * visitor_count + max_capacity) // (2 * max_capacity) AS capacity_tenths,
+               CASE WHEN 10 * visitor_count > 9 * max_capacity THEN 'HIGH'
+                    WHEN 10 * visitor_count > 7 * max_capacity THEN 'MODERATE'
                     ELSE 'NORMAL' END AS capacity_status
-        FROM activity a
-        LEFT JOIN revenue r ON a.ride_date = r.ride_date AND a.ride_hour = r.ride_hour
-             AND a.resort = r.resort
-        JOIN capacity c ON a.resort = c.resort""",
-    "daily": """
-        SELECT ride_date, resort, max(visitor_count) AS peak_hourly_visitors,
-               sum(visitor_count) AS total_visitor_hours, sum(total_rides) AS total_rides,
-               sum(recognized_ticket_revenue) AS total_ticket_revenue,
-               sum(recognized_pass_revenue) AS total_pass_revenue,
-               sum(total_recognized_revenue) AS total_revenue,
-               sum(ticket_activations) AS total_ticket_activations,
-               sum(pass_activations) AS total_pass_activations,
-               sum(pass_rides) AS total_pass_rides, sum(ticket_rides) AS total_ticket_rides,
+        FROM (SELECT * REPLACE (coalesce(recognized_ticket_revenue, 0) AS recognized_ticket_revenue,
+                                coalesce(recognized_pass_revenue, 0) AS recognized_pass_revenue)
+              FROM activity
+              LEFT JOIN revenue USING (ride_date, ride_hour, ride_hour_timestamp, resort)
+              JOIN capacity USING (resort))""",
+    "daily": f"""
+        SELECT ride_date, resort, {', '.join(
+            f'sum({source}) AS {name}' for name, source in _DAY_SUMS.items())},
+               count(*) AS operation_hours, max(visitor_count) AS peak_hourly_visitors,
+               max(capacity_tenths) AS peak_tenths,
                CAST((2 * sum(capacity_tenths) + count(*)) // (2 * count(*)) AS BIGINT) AS avg_tenths,
-               max(capacity_tenths) AS peak_tenths, count(*) AS operation_hours,
                sum(ticket_activations) + sum(pass_activations) AS total_visitors
-        FROM hourly GROUP BY 1, 2""",
-    "weekly": """
+        FROM hourly GROUP BY ALL""",
+    "weekly": f"""
         SELECT CAST(date_trunc('week', ride_date) AS DATE) AS week_start_date, resort,
+               {', '.join(f'sum({name}) AS week_{name}' for name in _WEEK_SUMS)},
                max(total_visitors) AS max_daily_unique_visitors,
                (2 * sum(total_visitors) + count(total_visitors)) // (2 * count(total_visitors))
                    AS avg_daily_unique_visitors,
-               sum(total_visitors) AS week_total_visitors, sum(total_rides) AS week_total_rides,
-               sum(total_pass_rides) AS week_total_pass_rides,
-               sum(total_ticket_rides) AS week_total_ticket_rides,
-               sum(total_ticket_revenue) AS week_total_ticket_revenue,
-               sum(total_pass_revenue) AS week_total_pass_revenue,
-               sum(total_revenue) AS week_total_revenue,
                round(CAST(sum(total_revenue) AS DOUBLE) / count(total_revenue), 0)
                    AS avg_daily_revenue,
-               sum(total_ticket_activations) AS week_total_ticket_activations,
-               sum(total_pass_activations) AS week_total_pass_activations,
                (2 * sum(avg_tenths) + count(*)) // (2 * count(*)) AS avg_week_tenths,
-               max(peak_tenths) AS week_peak_tenths,
-               count(DISTINCT ride_date) AS operation_days
-        FROM daily GROUP BY 1, 2""",
+               max(peak_tenths) AS week_peak_tenths, count(DISTINCT ride_date) AS operation_days
+        FROM daily GROUP BY ALL""",
     "network": """
         SELECT ride_date, sum(total_visitors) AS total_network_visitors,
                sum(total_revenue) AS total_network_revenue,
@@ -296,6 +286,23 @@ _STATUS = """
 _STATUS_LABEL = """CASE WHEN capacity_pct < 70 THEN '🟢 Normal'
     WHEN capacity_pct < 90 THEN '🟡 Busy' ELSE '🔴 At Capacity' END"""
 
+_CHANGE = """CASE WHEN {1} > 0 THEN printf('%+.1f%%', CAST({0} - {1} AS DOUBLE) / {1} * 100)
+    ELSE '+0.0%' END"""
+
+# Parts of a sale as JSON text; the contact fields follow from the customer key.
+_SALE = """'","PURCHASE_TIME":"' || strftime(purchase_time, '%Y-%m-%dT%H:%M:%S.%f+00:00')
+    || '","PRICE_USD":' || price_usd
+    || ',"EXPIRATION_TIME":"' || strftime(expiration_time, '%Y-%m-%dT00:00:00+00:00') || '"'"""
+_NAME = '"NAME":"'
+_CONTACT = """name || '","ADDRESS":'
+    || coalesce('{"STREET_ADDRESS":"' || rfid || ' Main Street","CITY":"Springfield","STATE":"CO",'
+                || '"POSTALCODE":"' || postalcode || '"}', 'null')
+    || ',"PHONE":' || coalesce('"' || phone || '"', 'null')
+    || ',"EMAIL":' || coalesce('"' || email || '"', 'null')
+    || ',"EMERGENCY_CONTACT":'
+    || coalesce('{"NAME":"' || contact_name || '","PHONE":"555-1' || rfid || '"}', 'null')
+    || '}'"""
+
 _EVENTS = "SELECT event_id, ts, user_id, event_type FROM events"
 
 ORACLE = {
@@ -556,15 +563,14 @@ ORACLE = {
             FROM hourly WHERE resort = 'view' AND ride_hour_timestamp = (
                 SELECT max(ride_hour_timestamp) FROM hourly WHERE resort = 'view')"""),
     "hourly_pattern_local": _with(
-        "hourly capacity",
+        "hourly",
         f"""SELECT CAST(hour(local_time) AS INTEGER) AS ride_hour,
                CAST(local_time AS DATE) AS ride_date, ride_hour_timestamp, visitor_count,
                {_tenths('capacity_tenths', 'capacity_pct')},
                {_double('total_recognized_revenue')}
-            FROM (SELECT h.*, (ride_hour_timestamp AT TIME ZONE 'UTC') AT TIME ZONE iana_timezone
+            FROM (SELECT *, (ride_hour_timestamp AT TIME ZONE 'UTC') AT TIME ZONE iana_timezone
                       AS local_time
-                  FROM hourly h JOIN capacity c ON h.resort = c.resort
-                  WHERE h.resort = 'click' AND ride_date = (
+                  FROM hourly WHERE resort = 'click' AND ride_date = (
                       SELECT max(ride_date) FROM hourly WHERE resort = 'click'))"""),
     "site_revenue_today": _with(
         "performance_900",
@@ -653,4 +659,42 @@ ORACLE = {
     "stream_refresh": _with("weekly", _WEEKLY),
     "stream_dedup": _with(
         "ride", "SELECT * REPLACE (CAST(NULL AS INTEGER) AS activation_day_count) FROM ride"),
+    "revenue_card": _with(
+        "daily capacity",
+        f"""SELECT {_MONEY.format('total_revenue')} AS revenue, {_MONEY.format('target')} AS target,
+               printf('%.1f%%', round(CAST(total_revenue AS DOUBLE) * 100 / target, 1)) || ' '
+               || CASE WHEN total_revenue >= target THEN '🟢'
+                       WHEN 100 * total_revenue >= 90 * target THEN '🟡' ELSE '🔴' END
+                   AS achievement
+            FROM (SELECT total_revenue, max_capacity * 70 AS target FROM daily
+                  JOIN capacity USING (resort) WHERE resort = 'view'
+                  ORDER BY ride_date DESC LIMIT 1)"""),
+    "kpi_cards": _with(
+        "kpi",
+        f"""SELECT period, {_NUMBER.format('total_visitors')} AS visitors,
+               {_CHANGE.format('total_visitors', 'prev_visitors')} AS visitors_change,
+               {_MONEY.format('total_revenue')} AS revenue,
+               {_CHANGE.format('total_revenue', 'prev_revenue')} AS revenue_change,
+               printf('%.1f%% ', avg_capacity)
+               || {_BAND.format('10 * avg_capacity', '🟢', '🟡', '🔴')} AS capacity,
+               {_NUMBER.format('total_rides')} AS rides,
+               {_CHANGE.format('total_rides', 'prev_rides')} AS rides_change FROM kpi"""),
+    "json_payload": _with(
+        "ride season_pass ticket",
+        f"""SELECT '{{"TXID":"' || txid || '","RFID":"' || rfid || '","RESORT":"' || resort
+               || '","LIFT":"' || lift || '","RIDE_TIME":"'
+               || strftime(ride_time, '%Y-%m-%dT%H:%M:%S.%f+00:00')
+               || '","ACTIVATION_DAY_COUNT":' || activation_day_count || '}}' AS value FROM ride
+            UNION ALL SELECT '{{"TXID":"' || txid || '","RFID":"' || rfid || {_SALE}
+               || ',{_NAME}' || {_CONTACT} FROM season_pass
+            UNION ALL SELECT '{{"TXID":"' || txid || '","RFID":"' || rfid || '","RESORT":"'
+               || resort || {_SALE} || ',"DAYS":' || days || ',{_NAME}' || {_CONTACT}
+            FROM ticket"""),
+    "published_views": _with(
+        "network",
+        """SELECT name, 'view' AS kind, (SELECT count(*) FROM network) AS network_days
+           FROM (VALUES ('lift_ride'), ('season_pass'), ('resort_ticket'), ('resort_capacity'),
+                 ('daily_visits'), ('hourly_lift_activity'), ('hourly_amortized_revenue'),
+                 ('hourly_resort_summary'), ('daily_resort_summary'), ('weekly_resort_summary'),
+                 ('v_daily_network_metrics'), ('v_daily_revenue_performance')) t(name)"""),
 }

@@ -15,24 +15,32 @@ TARGET_SHARE = "0.7"
 TARGET_SPEND = 100
 
 
+# Daily columns and the hourly columns they add up.
+DAILY_SUMS = {
+    "total_visitor_hours": "visitor_count",
+    "total_rides": "total_rides",
+    "total_pass_rides": "pass_rides",
+    "total_ticket_rides": "ticket_rides",
+    "total_ticket_revenue": "recognized_ticket_revenue",
+    "total_pass_revenue": "recognized_pass_revenue",
+    "total_revenue": "total_recognized_revenue",
+    "total_ticket_activations": "ticket_activations",
+    "total_pass_activations": "pass_activations",
+}
+# Daily columns a week adds up, under the same name with a prefix.
+WEEKLY_SUMS = [name for name in (*DAILY_SUMS, "total_visitors") if name != "total_visitor_hours"]
+
+
 def daily_summary(hourly: DataFrame) -> DataFrame:
     """``total_visitor_hours`` adds hourly visitors up, so a person counts once
     per hour; ``total_visitors`` counts first rides and is null when no hour
     of the day has any."""
     out = hourly.groupBy("ride_date", "resort").agg(
+        *[F.sum(source).alias(name) for name, source in DAILY_SUMS.items()],
+        F.count(F.lit(1)).alias("operation_hours"),
         F.max("visitor_count").alias("peak_hourly_visitors"),
-        F.sum("visitor_count").alias("total_visitor_hours"),
-        F.sum("total_rides").alias("total_rides"),
-        total(F.col("recognized_ticket_revenue")).alias("total_ticket_revenue"),
-        total(F.col("recognized_pass_revenue")).alias("total_pass_revenue"),
-        total(F.col("total_recognized_revenue")).alias("total_revenue"),
-        F.sum("ticket_activations").alias("total_ticket_activations"),
-        F.sum("pass_activations").alias("total_pass_activations"),
-        F.sum("pass_rides").alias("total_pass_rides"),
-        F.sum("ticket_rides").alias("total_ticket_rides"),
-        rounded_mean(F.col("capacity_pct"), 1, scale=1).alias("avg_capacity_pct"),
         F.max("capacity_pct").alias("peak_capacity_pct"),
-        F.count(F.lit(1)).alias("operation_hours"),
+        rounded_mean(F.col("capacity_pct"), 1, scale=1).alias("avg_capacity_pct"),
     )
     visitors = F.col("total_ticket_activations") + F.col("total_pass_activations")
     return schemas.conform(out, schemas.DAILY_RESORT_SUMMARY, total_visitors=visitors)
@@ -40,52 +48,36 @@ def daily_summary(hourly: DataFrame) -> DataFrame:
 
 def weekly_summary(daily: DataFrame) -> DataFrame:
     """Weeks start on Monday.  Capacity averages the daily averages, unweighted."""
-    revenue = F.col("total_revenue")
+    visitors, revenue = F.col("total_visitors"), F.col("total_revenue")
+    days = F.count(revenue).cast("decimal(10,0)")
     out = daily.groupBy(week_start(F.col("ride_date")).alias("week_start_date"), "resort").agg(
-        F.max("total_visitors").alias("max_daily_unique_visitors"),
-        rounded_mean(F.col("total_visitors"), 0).alias("avg_daily_unique_visitors"),
-        F.sum("total_visitors").alias("week_total_visitors"),
-        F.sum("total_rides").alias("week_total_rides"),
-        F.sum("total_pass_rides").alias("week_total_pass_rides"),
-        F.sum("total_ticket_rides").alias("week_total_ticket_rides"),
-        total(F.col("total_ticket_revenue")).alias("week_total_ticket_revenue"),
-        total(F.col("total_pass_revenue")).alias("week_total_pass_revenue"),
-        total(revenue).alias("week_total_revenue"),
-        F.round(total(revenue) / F.count(revenue).cast("decimal(10,0)"), 0).alias(
-            "avg_daily_revenue"
-        ),
-        F.sum("total_ticket_activations").alias("week_total_ticket_activations"),
-        F.sum("total_pass_activations").alias("week_total_pass_activations"),
-        rounded_mean(F.col("avg_capacity_pct"), 1, scale=1).alias("avg_week_capacity_pct"),
-        F.max("peak_capacity_pct").alias("week_peak_capacity_pct"),
+        *[F.sum(name).alias(f"week_{name}") for name in WEEKLY_SUMS],
         F.count_distinct("ride_date").alias("operation_days"),
+        F.max(visitors).alias("max_daily_unique_visitors"),
+        rounded_mean(visitors, 0).alias("avg_daily_unique_visitors"),
+        F.round(total(revenue) / days, 0).alias("avg_daily_revenue"),
+        F.max("peak_capacity_pct").alias("week_peak_capacity_pct"),
+        rounded_mean(F.col("avg_capacity_pct"), 1, scale=1).alias("avg_week_capacity_pct"),
     )
     return schemas.conform(out, schemas.WEEKLY_RESORT_SUMMARY)
 
 
-def weekly_summary_sql() -> str:
-    """The weekly table as SQL text over a view named ``daily_resort_summary``."""
-    return """
-        SELECT CAST(trunc(ride_date, 'week') AS DATE) AS week_start_date,
-               resort,
-               max(total_visitors) AS max_daily_unique_visitors,
-               CAST(round(avg(total_visitors), 0) AS BIGINT) AS avg_daily_unique_visitors,
-               sum(total_visitors) AS week_total_visitors,
-               sum(total_rides) AS week_total_rides,
-               sum(total_pass_rides) AS week_total_pass_rides,
-               sum(total_ticket_rides) AS week_total_ticket_rides,
-               CAST(sum(total_ticket_revenue) AS DECIMAL(28, 8)) AS week_total_ticket_revenue,
-               CAST(sum(total_pass_revenue) AS DECIMAL(28, 8)) AS week_total_pass_revenue,
-               CAST(sum(total_revenue) AS DECIMAL(28, 8)) AS week_total_revenue,
-               CAST(round(avg(total_revenue), 0) AS DECIMAL(28, 0)) AS avg_daily_revenue,
-               sum(total_ticket_activations) AS week_total_ticket_activations,
-               sum(total_pass_activations) AS week_total_pass_activations,
-               CAST(round(avg(avg_capacity_pct), 1) AS DECIMAL(9, 1)) AS avg_week_capacity_pct,
-               max(peak_capacity_pct) AS week_peak_capacity_pct,
-               count(DISTINCT ride_date) AS operation_days
-        FROM daily_resort_summary
-        GROUP BY trunc(ride_date, 'week'), resort
-    """
+def weekly_summary_sql(view: str = "daily_resort_summary") -> str:
+    """The weekly table as SQL text over a published view, for SQL-only users."""
+    columns = {f"week_{name}": f"sum({name})" for name in WEEKLY_SUMS} | {
+        "operation_days": "count(DISTINCT ride_date)",
+        "max_daily_unique_visitors": "max(total_visitors)",
+        "avg_daily_unique_visitors": "round(avg(total_visitors))",
+        "avg_daily_revenue": "round(avg(total_revenue))",
+        "week_peak_capacity_pct": "max(peak_capacity_pct)",
+        "avg_week_capacity_pct": "round(avg(avg_capacity_pct), 1)",
+    }
+    typed = ", ".join(
+        f"CAST({columns[f.name]} AS {f.dataType.simpleString()}) AS {f.name}"
+        for f in schemas.WEEKLY_RESORT_SUMMARY if f.name in columns
+    )
+    week = "trunc(ride_date, 'week')"
+    return f"SELECT {week} AS week_start_date, resort, {typed} FROM {view} GROUP BY {week}, resort"
 
 
 def revenue_performance(

@@ -20,8 +20,8 @@ def register_lift_function(
 ) -> None:
     """``SELECT * FROM resort_lift_performance('…', 30)``, composable in SQL.
 
-    Arguments cannot be used inside a nested subquery, so each lift minute
-    carries the resort's last ride from a grouped join instead.
+    Arguments cannot be used inside a nested subquery, so the resort's last
+    ride comes from a grouped join instead.
     """
     returns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.LIFT_PERFORMANCE)
     spark.sql(f"""

@@ -6,14 +6,16 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Adaptive execution sizes partitions, splits skewed join partitions and turns
-# joins into broadcasts from measured sizes; the advisory size keeps a reduce
-# task well inside executor memory whatever the table size.
+# Adaptive execution works from measured sizes: it merges small partitions up
+# to the advisory size, splits skewed join partitions, broadcasts a join side
+# that proved small, and hashes instead of sorting where every partition of
+# the smaller side fits the limit below.
 CLUSTER_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64m",
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     "spark.sql.files.maxPartitionBytes": "128m",
     "spark.sql.session.timeZone": "UTC",
 }
