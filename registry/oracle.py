@@ -44,7 +44,8 @@ VIEWS = {
                     WHEN 3 THEN 'error' ELSE 'click' END AS resort,
                CAST(DATE '2024-01-01' + CAST(o_orderkey % 20 AS INTEGER) AS TIMESTAMP)
                    AS purchase_time,
-               CAST(o_totalprice / 1000 AS DECIMAL(7, 2)) AS price_usd,
+               CAST((CAST(round(o_totalprice * 100) AS BIGINT) + 500) // 1000 / 100.0
+                    AS DECIMAL(7, 2)) AS price_usd,
                CAST(DATE '2024-01-01' + CAST(o_orderkey % 20 + 2 * (1 + o_orderkey % 7) AS INTEGER)
                    AS DATE) AS expiration_time,
                CAST(1 + o_orderkey % 7 AS INTEGER) AS days,

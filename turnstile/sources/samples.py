@@ -1,6 +1,6 @@
 """The test tables seen as rides, passes and tickets (see FIXTURES.md)."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,7 +138,7 @@ def resort_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
         rfid=F.col("c_custkey"),
         resort=F.element_at(sites, (order % 5 + 1).cast("int")),
         purchase_time=sold,
-        price_usd=F.round(F.col("o_totalprice") / 1000, 2),
+        price_usd=_thousandth(F.col("o_totalprice")),
         expiration_time=F.date_add(sold, days * 2),
         days=days,
         name=F.col("c_name"),
@@ -146,6 +146,13 @@ def resort_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _thousandth(price: Column) -> Column:
+    """A thousandth of a price in whole cents, half up; whole numbers leave no
+    doubt on which side of a cent a binary fraction lies."""
+    cents = F.round(price * 100).cast("bigint")
+    return F.floor((cents + 500) / 1000).cast("decimal(9,0)") / 100
+
+
 def _last_orders(orders: DataFrame) -> DataFrame:
     """Each customer's newest order, the larger key on equal dates."""
     keyed = orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
