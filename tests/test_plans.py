@@ -8,6 +8,7 @@ from conftest import SF_SMALL
 from registry import queries as q
 from turnstile.operators import audits, hourly, lifts, visits
 from turnstile.sources import samples
+from turnstile.sources.tables import store_sales
 
 
 def plan_of(df):
@@ -48,6 +49,19 @@ def test_enrichment_shuffles_visits_once(spark, no_broadcast):
     assert len(by_medium) == 3  # visits, passes and tickets, one each
 
 
+def test_bucketed_sales_are_not_shuffled(spark, no_broadcast):
+    firsts = visits.first_rides(samples.bare_rides(spark, SF_SMALL))
+    passes, tickets = samples.season_passes(spark, SF_SMALL), samples.resort_tickets(spark, SF_SMALL)
+    store_sales(passes, "season_pass_sold", 8)
+    store_sales(tickets, "resort_ticket_sold", 8)
+    sold = spark.table("season_pass_sold"), spark.table("resort_ticket_sold")
+    looked_up = visits.enrich(firsts, *sold)
+    plan = plan_of(looked_up)
+    assert len(re.findall(r"Exchange hashpartitioning\(rfid#\d+, \d+\)", plan)) == 1
+    assert sorted(map(str, looked_up.collect())) == sorted(
+        map(str, visits.enrich(firsts, passes, tickets).collect()))
+
+
 @pytest.mark.parametrize("name", sorted(q.QUERIES))
 def test_no_cartesian_products(spark, no_broadcast, name):
     if name.startswith(("stream_", "refresh_")):

@@ -1,15 +1,19 @@
 import json
 import os
 from decimal import Decimal
+from types import SimpleNamespace
 
 import pytest
 from conftest import at, day
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from turnstile import schemas
 from turnstile.session import shared_dir
 from turnstile.sources import payloads
-from turnstile.sources.tables import purge_acknowledged, replace_partitions, scan, scan_dates
+from turnstile.sources.tables import (
+    append_rows, purge_acknowledged, replace_partitions, scan, scan_dates,
+)
 
 
 def parsed(spark, schema, *lines):
@@ -95,3 +99,27 @@ def test_purge(spark):
     assert sorted(r.id for r in left.select("id").collect()) == list(range(16, 31))
     assert not os.path.exists(f"{path}/part=0")
     assert set(os.listdir(f"{path}/part=2")) == untouched
+
+
+def test_append_matches_columns_by_name(spark, make):
+    path = shared_dir(spark, "appended")
+    rows = make.visits(("north", "a", "2024-01-01 09:00:00", True, "1", 1, None))
+    append_rows(rows, path, schemas.DAILY_VISITS, "visit_date")
+    turned = rows.select(*reversed(rows.columns)).withColumn("unknown", F.lit(1))
+    append_rows(turned, path, schemas.DAILY_VISITS, "visit_date")
+    stored = scan(spark, path, schemas.DAILY_VISITS)
+    assert stored.count() == 2 and stored.distinct().count() == 1
+    with pytest.raises(AnalysisException):
+        append_rows(rows.drop("resort"), path, schemas.DAILY_VISITS, "visit_date")
+
+
+def test_cluster_needs_a_shared_folder():
+    def session(master, folder):
+        return SimpleNamespace(
+            conf=SimpleNamespace(get=lambda name, default: folder),
+            sparkContext=SimpleNamespace(master=master))
+
+    with pytest.raises(ValueError):
+        shared_dir(session("yarn", None), "x")
+    assert shared_dir(session("yarn", "hdfs:///shared"), "x").startswith("hdfs:///shared/x-")
+    assert shared_dir(session("local[2]", None), "x") != shared_dir(session("local[2]", None), "x")

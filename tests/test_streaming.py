@@ -115,6 +115,18 @@ def test_late_sale_is_repaired(spark, make, policy):
     assert after.total_recognized_revenue == 40 and after.active_passes == 1
 
 
+def test_rides_without_time_are_kept(spark, make):
+    base = Chain(None, make.passes(), make.tickets(),
+                 make.capacity(("north", 5, "America/Denver")))
+    job = job_for(spark, base)
+    job.refresh(make.rides(("0", "m", "north", "a", None, 1)), 0)
+    job.refresh(make.rides(("1", "m", "north", "a", None, 1),
+                           ("2", "m", "north", "a", "2024-01-01 09:00:00", 1)), 1)
+    tables = job.chain()
+    assert sorted(r.txid for r in tables.rides.collect()) == ["0", "1", "2"]
+    assert tables.daily.first().total_rides == 1
+
+
 def test_reports_on_refreshed_tables(spark, base):
     job = job_for(spark, base)
     job.refresh(base.rides, 0)
@@ -162,13 +174,13 @@ def test_ingest(spark, tmp_path):
     inbox.mkdir()
     ride = {"TXID": "1", "RFID": "r", "RESORT": "north", "LIFT": "a",
             "RIDE_TIME": "2024-01-01T10:00:00+00:00"}
-    (inbox / "1.json").write_text(json.dumps(ride) + "\n{broken\n")
+    (inbox / "1.json").write_text(json.dumps(ride) + "\n" + json.dumps(ride) + "\n{broken\n")
 
     def run():
         queries = start_ingest(
             lines_stream(spark, str(inbox), max_files=1), schemas.LIFT_RIDE,
             str(tmp_path / "rides"), str(tmp_path / "rejects"), str(tmp_path / "state"),
-            AVAILABLE_NOW)
+            AVAILABLE_NOW, repeats_within="1 hour")
         for query in queries:
             query.awaitTermination()
 

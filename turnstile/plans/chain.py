@@ -12,7 +12,7 @@ from turnstile.operators.visits import daily_visits
 from turnstile.sources.tables import replace_partitions, scan
 
 
-@dataclass(frozen=True)
+@dataclass
 class Chain:
     """Base tables and, lazily, everything derived from them."""
 
@@ -60,8 +60,7 @@ class StoredChain(Chain):
 
     def __init__(self, spark: SparkSession, root: str, base: Chain):
         super().__init__(base.rides, base.passes, base.tickets, base.capacity)
-        object.__setattr__(self, "_spark", spark)
-        object.__setattr__(self, "_root", root)
+        self._spark, self._root = spark, root
 
     def _table(self, name: str, schema) -> DataFrame:
         return scan(self._spark, f"{self._root}/{name}", schema)

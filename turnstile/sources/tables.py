@@ -60,6 +60,21 @@ def replace_partitions(df: DataFrame, path: str, schema: T.StructType, *partitio
     return counted.get["row_count"]
 
 
+def append_rows(df: DataFrame, path: str, schema: T.StructType, *partition_by: str) -> None:
+    """Append by column name.  Not for retried work: see ``replace_partitions`` for that."""
+    schemas.conform(df, schema).write.mode("append").partitionBy(*partition_by).parquet(path)
+
+
+def store_sales(sales: DataFrame, table: str, buckets: int) -> None:
+    """Sales as a catalog table bucketed by medium.
+
+    Looking visits up in it shuffles the visits only: picking each medium's
+    newest sale and joining by medium both follow the buckets.  Give it at
+    least as many buckets as there are shuffle partitions.
+    """
+    sales.write.mode("overwrite").bucketBy(buckets, "rfid").sortBy("rfid").saveAsTable(table)
+
+
 def purge_acknowledged(
     spark: SparkSession, path: str, schema: T.StructType, id_col: str, before_id: int,
     partition: str,

@@ -54,15 +54,20 @@ def drop_repeats(rows: DataFrame, key: str, time: str, within: str) -> DataFrame
 
 def start_ingest(
     lines: DataFrame, schema: T.StructType, table: str, rejects: str, checkpoint: str,
-    trigger: dict = EVERY_10_SECONDS,
+    trigger: dict = EVERY_10_SECONDS, repeats_within: str | None = None,
 ) -> list[StreamingQuery]:
     """Land good rows in ``table`` and unreadable lines in ``rejects``.
 
-    File sinks keep a log of committed files, so readers of the table never
+    A feed that may deliver a record again needs ``repeats_within``, the
+    longest time between the two deliveries.  File sinks keep a log of committed files, so readers of the table never
     see the output of a batch that failed half-way or ran twice.
     """
     parsed = parse_lines(lines, schema)
-    outputs = {table: good_rows(parsed), rejects: bad_lines(parsed)}
+    good = good_rows(parsed)
+    if repeats_within is not None:
+        time = "ride_time" if "ride_time" in schema.names else "purchase_time"
+        good = drop_repeats(good, "txid", time, repeats_within)
+    outputs = {table: good, rejects: bad_lines(parsed)}
     return [
         rows.writeStream.format("parquet")
         .option("checkpointLocation", f"{checkpoint}/{name}")

@@ -106,24 +106,28 @@ class RefreshJob:
         ).persist()
         try:
             # Bounded by the calendar: one row per part of a day that has new rides.
-            touched = [
-                (row.ride_date, row.ride_block)
-                for row in rows.select("ride_date", "ride_block").distinct().collect()
-                if row.ride_date is not None
-            ]
-            if not touched:
+            parts = rows.select("ride_date", "ride_block").distinct().collect()
+            if not parts:
                 return
             log = RefreshLog(self.spark, self._path("refresh_history"), batch_id)
-            log.step("lift_ride", len(touched), lambda: replace_partitions(
-                rows.filter(time.isNotNull()), self._path("lift_ride"), _STORED_RIDE,
+            log.step("lift_ride", len(parts), lambda: replace_partitions(
+                rows, self._path("lift_ride"), _STORED_RIDE,
                 "ride_date", "ride_block", "batch_id"))
         finally:
             rows.unpersist()
+        # Rides without a time are kept, but belong to no hour.
+        touched = [(part.ride_date, part.ride_block) for part in parts if part.ride_date is not None]
+        if touched:
+            self._refresh_days(touched, batch_id, log)
+        log.save()
+
+    def _refresh_days(
+        self, touched: list[tuple[date, int]], batch_id: int, log: RefreshLog
+    ) -> None:
         self._refresh_blocks(touched, log)
         dates = sorted({day for day, _ in touched})
         self._refresh_visits(touched, dates, batch_id, log)
         self._refresh_summaries(dates, log)
-        log.save()
 
     def _refresh_blocks(self, touched: list[tuple[date, int]], log: RefreshLog) -> None:
         log.step("visitor_hours", len(touched), lambda: replace_partitions(
