@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from turnstile import schemas
 from turnstile.operators.lifts import lift_performance, trailing_rides
 from turnstile.plans.chain import Chain
+from turnstile.plans.reports import reporting_clock
 from turnstile.session import shared_dir
 from turnstile.sources import samples
 from turnstile.sources.tables import scan
@@ -137,6 +138,9 @@ def test_reports_on_refreshed_tables(spark, base):
             pruned = lift_performance(tables.rides, resort, hourly=tables.hourly, **window)
             assert sorted(map(str, pruned.collect())) == sorted(map(str, direct.collect()))
     assert sorted(map(str, tables.network.collect())) == sorted(map(str, base.network.collect()))
+    for hours in (tables.hourly, tables.hourly.limit(0)):
+        clocks = [reporting_clock(t.rides, t.passes, t.tickets, hours) for t in (tables, base)]
+        assert clocks[0].collect() == clocks[1].collect()
     window = trailing_rides(tables.rides, "view", 60, hourly=tables.hourly)
     window.collect()
     plan = window._jdf.queryExecution().executedPlan().toString()

@@ -36,10 +36,12 @@ def trailing_rides(
         end = F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz")
         start = minutes_before(end, minutes)
         window = own.filter((time > start) & (time <= end))
-        return window.filter(F.col("ride_date") >= F.to_date(start)) if dated else window
+        if dated:
+            window = window.filter(F.col("ride_date").between(F.to_date(start), F.to_date(end)))
+        return window
     recent = own
     if dated and hourly is not None:
-        recent = own.filter(F.col("ride_date") >= _last_reported_day(hourly, resort))
+        recent = own.filter(F.col("ride_date") >= last_reported_day(hourly, resort))
     start = minutes_before(F.max(time), minutes)
     window = own.filter(time > recent.agg(start).scalar())
     if dated:
@@ -47,10 +49,11 @@ def trailing_rides(
     return window
 
 
-def _last_reported_day(hourly: DataFrame, resort: str) -> Column:
-    """No later than the last ride's day; the first of all days without any report."""
-    day = F.coalesce(F.max("ride_date"), F.lit("0001-01-01").cast("date"))
-    return hourly.filter(F.col("resort") == resort).agg(day).scalar()
+def last_reported_day(hourly: DataFrame, resort: str | None = None) -> Column:
+    """A day no later than the last ride's, as a value: the last one with an
+    hourly row, or the first of all days before any report."""
+    own = hourly if resort is None else hourly.filter(F.col("resort") == resort)
+    return own.agg(F.coalesce(F.max("ride_date"), F.lit("0001-01-01").cast("date"))).scalar()
 
 
 def lift_performance(

@@ -13,7 +13,7 @@ from turnstile.functions.money import mean, pct_change, total
 from turnstile.functions.timeparts import (
     clock_dates, current_period, day_of, previous_period, to_local,
 )
-from turnstile.operators.lifts import lift_performance, top_lifts_board
+from turnstile.operators.lifts import last_reported_day, lift_performance, top_lifts_board
 
 # Fixed value: weeks shown per resort.
 WEEKS_SHOWN = 4
@@ -43,7 +43,11 @@ def reporting_clock(
     """Latest event of all sources, latest reporting hour and its period bounds.
 
     One row; the latest event is null as long as one of the sources is empty.
+    Of rides stored by ``ride_date``, only those from the last reported day on
+    are searched for the latest one.
     """
+    if "ride_date" in rides.columns:
+        rides = rides.filter(F.col("ride_date") >= last_reported_day(hourly))
     latest = {
         "ride": rides.agg(F.max("ride_time")).scalar(),
         "pass": passes.agg(F.max("purchase_time")).scalar(),

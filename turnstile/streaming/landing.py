@@ -59,8 +59,9 @@ def start_ingest(
     """Land good rows in ``table`` and unreadable lines in ``rejects``.
 
     A feed that may deliver a record again needs ``repeats_within``, the
-    longest time between the two deliveries.  File sinks keep a log of committed files, so readers of the table never
-    see the output of a batch that failed half-way or ran twice.
+    longest time between the two deliveries.  File sinks keep a log of
+    committed files, so readers of the table never see the output of a batch
+    that failed half-way or ran twice.
     """
     parsed = parse_lines(lines, schema)
     good = good_rows(parsed)
