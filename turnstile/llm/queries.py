@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from turnstile.llm.common import table
+from turnstile.llm.decontam import Decontamination
 from turnstile.llm.mixing import mix
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +20,49 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op6_decontamination(spark, sf_dir):
+    """Words of each document inside occurrences of benchmark windows, and their items."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return Decontamination(docs, items).report()
+
+
+ORACLE["op6_decontamination"] = r"""
+WITH folded AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), items AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), item_at AS (
+    SELECT item_id, w, least(len(w), 10) AS size,
+           unnest(generate_series(1, greatest(len(w) - 9, 1))) AS i
+    FROM items WHERE len(w) > 0
+), windows AS (
+    SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS words FROM item_at
+), sizes AS (
+    SELECT DISTINCT size FROM windows
+), doc_at AS (
+    SELECT doc_id, w, size, unnest(generate_series(1, len(w) - size + 1)) AS i
+    FROM folded, sizes WHERE len(w) >= size
+), hits AS (
+    SELECT doc_id, item_id, i, d.size
+    FROM doc_at d JOIN windows k
+      ON d.size = k.size AND array_to_string(d.w[d.i:d.i + d.size - 1], ' ') = k.words
+), hit_words AS (
+    SELECT doc_id, count(DISTINCT p) AS n_hit
+    FROM (SELECT doc_id, unnest(generate_series(i, i + size - 1)) AS p FROM hits) GROUP BY doc_id
+), hit_items AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
+    FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS name FROM hits) GROUP BY doc_id
+)
+SELECT f.doc_id, len(f.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM folded f LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+"""
+
+
 @query
 def op7_mixing(spark, sf_dir):
     """Words that a mix of 150% of all words takes from each document."""
