@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from turnstile.llm.common import table
 from turnstile.llm.decontam import Decontamination
 from turnstile.llm.mixing import mix
+from turnstile.llm.neardup import NearDuplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -67,3 +68,39 @@ FROM folded f LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_
 def op7_mixing(spark, sf_dir):
     """Words that a mix of 150% of all words takes from each document."""
     return mix(table(spark, sf_dir, "documents")).taken()
+
+
+@query
+def op10_neardup(spark, sf_dir):
+    """Components of documents that share four fifths of their two-word shingles."""
+    return NearDuplicates(table(spark, sf_dir, "documents"), size=2, percent=80).report()
+
+
+ORACLE["op10_neardup"] = r"""
+WITH RECURSIVE folded AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, s FROM (
+        SELECT doc_id, w[i] || ' ' || w[i + 1] AS s
+        FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 1)) AS i FROM folded WHERE len(w) > 1)
+        UNION ALL SELECT doc_id, w[1] FROM folded WHERE len(w) = 1)
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k
+    FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+    SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+    WHERE 100 * k >= 80 * (x.n + y.n - k)
+), reach(doc_id, other) AS (
+    SELECT doc_id, doc_id FROM documents
+    UNION
+    SELECT r.doc_id, e.b FROM reach r JOIN (SELECT a, b FROM links UNION SELECT b, a FROM links) e
+      ON e.a = r.other
+)
+SELECT d.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(other) AS component_id,
+       d.doc_id = min(other) AS kept
+FROM documents d JOIN reach r ON r.doc_id = d.doc_id LEFT JOIN sizes z ON z.doc_id = d.doc_id
+GROUP BY d.doc_id
+"""
