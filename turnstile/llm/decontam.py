@@ -26,14 +26,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnstile.llm.common import staged
+from turnstile.llm.filters import bit_filter, tester
 from turnstile.llm.words import fold_table, joined, lists, signed, slices, words_of
 
 SHINGLE = 3
-BITS = 22
 BROADCAST_WINDOWS = 100_000
 FLUSH = 1 << 18
 
@@ -65,21 +65,6 @@ def item_windows(items: DataFrame, window: int, shingle: int) -> DataFrame:
         cut, f"item_id {kind}, words array<bigint>, shingles array<bigint>").distinct()
 
 
-def bitmap(shingles: DataFrame, column: str) -> np.ndarray:
-    """A filter of fixed size over 64-bit numbers; one bit set for each."""
-    slot = F.col(column).bitwiseAND(F.lit((1 << BITS) - 1))
-    slots = shingles.select(slot.alias("slot")).distinct().toPandas()["slot"].to_numpy(dtype=np.int64)
-    bits = np.zeros(1 << BITS, dtype=bool)
-    bits[slots] = True
-    return np.packbits(bits)
-
-
-def passes(packed: np.ndarray):
-    bits = np.unpackbits(packed).astype(bool)
-    mask = np.uint64((1 << BITS) - 1)
-    return lambda hashes: bits[(hashes & mask).astype(np.int64)]
-
-
 def places(firsts: np.ndarray, size: int, total: int) -> np.ndarray:
     """Whether ``size`` words from each place on belong to one text."""
     fits = np.ones(max(0, total - size + 1), dtype=bool)
@@ -93,7 +78,7 @@ def shingle_counts(docs: DataFrame, wanted: np.ndarray, sizes: list[int]) -> Dat
     """Occurrences in all documents of (at least) the wanted shingles."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, test = fold_table("alnum"), passes(wanted)
+        table, test = fold_table("alnum"), tester(wanted)
         held: list[np.ndarray] = []
 
         def flush():
@@ -128,7 +113,7 @@ def reported_places(
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, test = fold_table("alnum"), passes(wanted)
+        table, test = fold_table("alnum"), tester(wanted)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for first, raw, offsets in slices(batch.column(1)):
@@ -179,7 +164,7 @@ class Decontamination:
             F.least(F.size("words"), F.lit(shingle)).alias("s")).distinct().orderBy("s").collect()]
         owned = windows.withColumn("window", F.xxhash64("words")).select(
             "window", "item_id", "words", F.posexplode("shingles").alias("offset", "shingle"))
-        counts = shingle_counts(docs, bitmap(owned, "shingle"), sizes)
+        counts = shingle_counts(docs, bit_filter(owned, "shingle"), sizes)
         rarest = F.min(F.struct(F.coalesce("n", F.lit(0)), "offset", "shingle"))
         prefixes = staged(
             owned.join(counts, "shingle", "left").groupBy("item_id", "window", "words")
@@ -189,7 +174,7 @@ class Decontamination:
         )
         self.prefixes = prefixes
         self.docs = staged(
-            reported_places(docs, bitmap(prefixes, "shingle"), sizes, window, shingle), "places")
+            reported_places(docs, bit_filter(prefixes, "shingle"), sizes, window, shingle), "places")
 
     def hits(self) -> DataFrame:
         """Verified occurrences: ``row``, ``doc_id``, ``item_id``, first word and end."""
@@ -230,6 +215,6 @@ class Decontamination:
         )
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> Column | DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """Ids of documents that hold a window of an item."""
     return Decontamination(docs, benchmark, **settings).hits().select("doc_id").distinct()

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from turnstile.llm.common import table
 from turnstile.llm.decontam import Decontamination
+from turnstile.llm.linededup import LineDedup
 from turnstile.llm.mixing import mix
 from turnstile.llm.neardup import NearDuplicates
 
@@ -21,6 +22,47 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op5_line_dedup(spark, sf_dir):
+    """Lines of each document that go because an earlier line is (nearly) the same."""
+    return LineDedup(table(spark, sf_dir, "documents")).report()
+
+
+ORACLE["op5_line_dedup"] = r"""
+WITH split AS (
+    SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+), numbered AS (
+    SELECT doc_id, i - 1 AS line, regexp_extract_all(translate(l[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM (SELECT doc_id, l, unnest(generate_series(1, len(l))) AS i FROM split)
+), tokens AS (
+    SELECT DISTINCT doc_id, line, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS t
+    FROM (SELECT doc_id, line, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i
+          FROM numbered WHERE len(w) > 0)
+), sets AS (
+    SELECT doc_id, line, count(*) AS k, string_agg(t, chr(10) ORDER BY t) AS s
+    FROM tokens GROUP BY doc_id, line
+), classes AS (
+    SELECT s, min(k) AS k, min((doc_id, line)) AS first FROM sets GROUP BY s
+), members AS (
+    SELECT c.s, c.k, c.first, t.t FROM classes c
+    JOIN tokens t ON t.doc_id = c.first[1] AND t.line = c.first[2]
+), matches AS (
+    SELECT y.s FROM members x JOIN members y ON x.t = y.t AND x.first < y.first
+    GROUP BY x.s, y.s, x.k, y.k HAVING 100 * count(*) >= 80 * (x.k + y.k - count(*))
+), removed AS (
+    SELECT doc_id, line FROM sets JOIN classes USING (s)
+    WHERE (doc_id, line) != first OR s IN (SELECT s FROM matches)
+), lists AS (
+    SELECT doc_id, count(*) AS n, string_agg(line::VARCHAR, ',' ORDER BY line) AS lines
+    FROM removed GROUP BY doc_id
+)
+SELECT doc_id, len(l)::BIGINT AS n_lines, coalesce(n, 0)::BIGINT AS n_removed,
+       coalesce(lines, '') AS removed_lines
+FROM split LEFT JOIN lists USING (doc_id)
+"""
+
+
 @query
 def op6_decontamination(spark, sf_dir):
     """Words of each document inside occurrences of benchmark windows, and their items."""
