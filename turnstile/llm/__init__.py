@@ -1 +1,9 @@
 """Operators that prepare text for training language models."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in tasks travel with the plan, so executors need no copy of
+# the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from turnstile.llm.common import table
 from turnstile.llm.decontam import Decontamination
 from turnstile.llm.linededup import LineDedup
 from turnstile.llm.mixing import mix
 from turnstile.llm.neardup import NearDuplicates
+from turnstile.llm.toxicity import corpus_chain, score
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -112,6 +114,14 @@ def op7_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents")).taken()
 
 
+@query
+def op8_toxicity(spark, sf_dir):
+    """Probabilities of the chain for each document, and whether it is rejected."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    chain = corpus_chain(docs, labels)
+    return score(docs, chain).withColumn("toxic", F.col("p_toxic") > chain.cuts[-1])
+
+
 @query
 def op10_neardup(spark, sf_dir):
     """Components of documents that share four fifths of their two-word shingles."""

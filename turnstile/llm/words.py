@@ -58,6 +58,7 @@ class Words:
     starts: np.ndarray
     ends: np.ndarray
     firsts: np.ndarray  # rows + 1 entries
+    folded: np.ndarray  # bytes of the slice after folding, and eight spare ones
     raw: np.ndarray  # bytes of the slice
     text_starts: np.ndarray  # rows + 1 entries
 
@@ -104,12 +105,12 @@ def words_of(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Words:
     finish[tails] = inside[tails]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(finish) + 1
     return Words(hash_runs(folded, starts, ends), starts, ends, np.searchsorted(starts, offsets),
-                 raw, offsets)
+                 folded, raw, offsets)
 
 
 def hash_runs(folded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte runs; ``folded`` ends with eight spare bytes."""
-    lanes = np.ndarray(len(folded) - 7, dtype="<u8", buffer=folded.data, strides=(1,))
+    lanes = eights(folded)
     lengths = ends - starts
     with np.errstate(over="ignore"):
         first = lanes[starts] & PREFIX[np.minimum(lengths, 8)]
@@ -124,6 +125,17 @@ def hash_runs(folded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return hashes
 
 
+def eights(folded: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on as one number, without copying."""
+    return np.ndarray(len(folded) - 7, dtype="<u8", buffer=folded.data, strides=(1,))
+
+
+def beginnings(found: Words, words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the first ``size`` (at most eight) bytes of some words."""
+    with np.errstate(over="ignore"):
+        return mix64((eights(found.folded)[found.starts[words]] & PREFIX[size]) + np.uint64(size) * TWO)
+
+
 def joined(hashes: np.ndarray, size: int) -> np.ndarray:
     """Hashes of every ``size`` numbers in a row (over all borders); len - size + 1 of them."""
     count = max(0, len(hashes) - size + 1)
