@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from turnstile.llm.common import table
 from turnstile.llm.decontam import Decontamination
+from turnstile.llm.fingerprints import fingerprints
 from turnstile.llm.linededup import LineDedup
 from turnstile.llm.mixing import mix
 from turnstile.llm.neardup import NearDuplicates
@@ -122,6 +123,12 @@ def op8_toxicity(spark, sf_dir):
     return score(docs, chain).withColumn("toxic", F.col("p_toxic") > chain.cuts[-1])
 
 
+@query
+def op9_fingerprints(spark, sf_dir):
+    """Sketches of every document and of its edited text, and how alike they are."""
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_neardup(spark, sf_dir):
     """Components of documents that share four fifths of their two-word shingles."""
