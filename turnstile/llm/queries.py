@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from turnstile.llm.common import table
 from turnstile.llm.decontam import Decontamination
 from turnstile.llm.fingerprints import fingerprints
+from turnstile.llm.licenses import LicenseScan
 from turnstile.llm.linededup import LineDedup
 from turnstile.llm.mixing import mix
 from turnstile.llm.neardup import NearDuplicates
@@ -25,6 +26,12 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_licenses(spark, sf_dir):
+    """License notices that each document holds."""
+    return LicenseScan(table(spark, sf_dir, "documents")).report()
+
+
 @query
 def op5_line_dedup(spark, sf_dir):
     """Lines of each document that go because an earlier line is (nearly) the same."""
