@@ -9,7 +9,8 @@ a window inside a longer text more surely.  Templates are cut at every pair, so
 that a window inside one equals one of theirs.  What a window retrieves is
 verified by exact containment: of a template's distinct word pairs, at least
 ``percent`` must be found in the words around the window, no farther away than
-the template is long.
+the template is long.  Of several verified templates in a window the one best
+contained is reported.
 
 Templates are a parameter: they are part of the plan, as literals for the first
 test and as a small broadcast table for retrieval.
@@ -21,7 +22,7 @@ find nothing.  Other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnstile.llm.common import staged
@@ -153,6 +154,9 @@ class LicenseScan:
             retrieved.join(self.scanned.filter("windows IS NOT NULL").select("row", "doc_id", "pairs"), "row")
             .withColumn("containment", found)
             .filter(F.col("containment") * 100 >= self.percent)
+            # Notices differ in a word or a number: the best in a place is the one that stands there.
+            .withColumn("best", F.max("containment").over(Window.partitionBy("row", "window")))
+            .filter("containment = best")
             .select("row", "doc_id", "template", "license", "window", "containment")
         )
 

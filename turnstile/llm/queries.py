@@ -14,6 +14,7 @@ from turnstile.llm.licenses import LicenseScan
 from turnstile.llm.linededup import LineDedup
 from turnstile.llm.mixing import mix
 from turnstile.llm.neardup import NearDuplicates
+from turnstile.llm.pages import main_texts
 from turnstile.llm.toxicity import corpus_chain, score
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +33,12 @@ def op1_licenses(spark, sf_dir):
     return LicenseScan(table(spark, sf_dir, "documents")).report()
 
 
+@query
+def op3_main_text(spark, sf_dir):
+    """Main text of every page."""
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 @query
 def op5_line_dedup(spark, sf_dir):
     """Lines of each document that go because an earlier line is (nearly) the same."""
