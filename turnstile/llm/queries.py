@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnstile.llm import pii
 from turnstile.llm.common import table
 from turnstile.llm.decontam import Decontamination
 from turnstile.llm.fingerprints import fingerprints
@@ -39,6 +40,13 @@ def op3_main_text(spark, sf_dir):
     return main_texts(table(spark, sf_dir, "pages"))
 
 
+@query
+def op4_pii(spark, sf_dir):
+    """Personal data in every document: the rules' spans and those that the tagger adds."""
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.train(docs))
+
+
 @query
 def op5_line_dedup(spark, sf_dir):
     """Lines of each document that go because an earlier line is (nearly) the same."""
