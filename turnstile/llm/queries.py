@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +18,11 @@ from turnstile.llm.linededup import LineDedup
 from turnstile.llm.mixing import mix
 from turnstile.llm.neardup import NearDuplicates
 from turnstile.llm.pages import main_texts
+from turnstile.llm.tokens import count_tokens
 from turnstile.llm.toxicity import corpus_chain, score
 
+VOCABULARY = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -34,6 +39,23 @@ def op1_licenses(spark, sf_dir):
     return LicenseScan(table(spark, sf_dir, "documents")).report()
 
 
+@query
+def op2_token_counts(spark, sf_dir):
+    """Tokens of each document, before and after three edits of it: a cut, a change and an addition."""
+    docs = table(spark, sf_dir, "documents")
+    size = F.length(F.coalesce("text", F.lit("")))
+
+    def change(start, length, new):
+        return F.struct(start.cast("int").alias("start"), (start + length).cast("int").alias("end"),
+                        new.alias("new"))
+
+    edits = F.array(
+        change(F.floor(size / 5), F.lit(40), F.lit("")),
+        change(F.floor(size / 2), F.lit(12), F.concat(F.lit(" "), F.coalesce("source", F.lit("")))),
+        change(size, F.lit(0), F.coalesce("lang", F.lit(""))))
+    return count_tokens(docs.withColumn("edits", edits), Path(VOCABULARY).read_bytes())
+
+
 @query
 def op3_main_text(spark, sf_dir):
     """Main text of every page."""
