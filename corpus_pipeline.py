@@ -26,8 +26,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that match an earlier one."""
-    return LineDedup(docs).apply()
+    """All documents, without lines that match an earlier one; ``n_chars`` follows the text."""
+    rest = LineDedup(docs).apply()
+    if "n_chars" in rest.columns:
+        length = F.length("text").cast(rest.schema["n_chars"].dataType)
+        rest = rest.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(length))
+    return rest
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
