@@ -26,6 +26,24 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+SLOTS = 1 << 20
+
+
+def rows_of_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Rows of ``df`` whose ``column`` is in ``ids``, without shuffling all others.
+
+    A hash of the id is looked up first, in a broadcast table of at most ``SLOTS``
+    numbers however many ids there are; the join is for what passes.
+    """
+    def slot() -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(SLOTS)).cast("int").alias("_slot")
+
+    ids = staged(ids.select(column).distinct(), "ids")
+    passing = df.withColumn("_slot", slot()).join(
+        F.broadcast(ids.select(slot()).distinct()), "_slot", "left_semi").drop("_slot")
+    return passing.join(ids, column, "left_semi")
+
+
 def word_count(text: Column) -> Column:
     """Words (runs of anything but ASCII white space); 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(NON_SPACE)), F.lit(0)).cast("long")

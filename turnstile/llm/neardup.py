@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnstile.llm.common import staged
+from turnstile.llm.common import rows_of_ids, staged
 from turnstile.llm.components import components
 from turnstile.llm.words import (
     ONE, TWO, Words, distinct, fold_table, mix64, shingles, signed, slices, words_of,
@@ -50,7 +50,7 @@ ROWS = FUNCTIONS  # a band has a register of each function
 BANDS = BUCKETS
 SIGMAS = 6
 FEW = 32  # documents of at most this many shingles are compared by them
-BUCKET_BLOCK = 512  # members of a bucket in one block
+BUCKET_BLOCK = 2048  # members of a bucket in one block
 FAMILY_BLOCK = 512  # members of a family in one block
 
 
@@ -425,9 +425,8 @@ class NearDuplicates:
         return confirmed(close.join(side["a"], "a").join(side["b"], "b"), self.size, self.percent)
 
     def _texts(self, nodes: DataFrame) -> DataFrame:
-        return staged(
-            self.docs.select(F.col("doc_id").cast("long").alias("node"), "text")
-            .join(nodes.select("node").distinct(), "node"), "texts")
+        docs = self.docs.select(F.col("doc_id").cast("long").alias("node"), "text")
+        return staged(rows_of_ids(docs, nodes, "node"), "texts")
 
     def report(self) -> DataFrame:
         """Per row: set size, smallest document that links reach, whether it is that one."""
