@@ -289,10 +289,15 @@ def families(rest: DataFrame, percent: int) -> DataFrame:
             a, b = block_pairs(run, labels)
             fits = Judge(run.column(7).to_pylist(), run.column(6).to_numpy(), percent)(a, b)
             tree = Joined(run.num_rows)
-            # Edges, not pairs: at most one less than there are members.
-            kept = [i for i in np.flatnonzero(fits) if tree.join(int(a[i]), int(b[i]))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes[a[kept]], pa.int64()), pa.array(nodes[b[kept]], pa.int64())], ["a", "b"])
+            for i in np.flatnonzero(fits):
+                tree.join(int(a[i]), int(b[i]))
+            # A star around the least member: as many edges as members, and the same in all buckets
+            # that hold the family.
+            roots = np.array([tree.root(i) for i in range(run.num_rows)])
+            least = np.full(run.num_rows, np.iinfo(np.int64).max)
+            np.minimum.at(least, roots, nodes)
+            rim = np.flatnonzero(least[roots] != nodes)
+            yield pa.RecordBatch.from_arrays([pa.array(least[roots[rim]]), pa.array(nodes[rim])], ["a", "b"])
 
     return in_blocks(rest, BUCKET_BLOCK, "key", "node", "label", "n", "sketch").mapInArrow(
         connect, "a bigint, b bigint")
