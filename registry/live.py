@@ -1,76 +1,152 @@
 """The streaming path end to end: JSON lines, landing, refresh, stored tables."""
 
-from math import ceil
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnstile import schemas
+from turnstile.functions.timeparts import hour_start
 from turnstile.session import shared_dir
 from turnstile.sources import payloads, samples
-from turnstile.sources.tables import scan
+from turnstile.sources.tables import append_rows, purge_acknowledged, replace_partitions, scan
 from turnstile.streaming.history import refresh_history
 from turnstile.streaming.landing import (
-    AVAILABLE_NOW, drop_repeats, lines_stream, rides_stream, start_ingest,
+    AVAILABLE_NOW, drop_repeats, landed_rows, landed_stream, lines_stream, rejected_lines, rides_stream,
+    start_ingest,
 )
-from turnstile.streaming.live import hourly_activity_stream
+from turnstile.streaming.live import VISITOR_ERROR, hourly_activity_stream
 from turnstile.streaming.refresh import EARLIEST, FIRST_WRITER, RefreshJob
 
-BATCHES = 3
+# Mondays at which the feed is cut into batches, so that a batch refreshes whole weeks.
+CUTS = ["2024-01-08", "2024-01-22"]
 
 
-def land(spark: SparkSession, sf_dir: str, root: str) -> tuple[str, int]:
-    """Write the rides as JSON lines in time order, ingest them as a stream.
+def batches(rides: DataFrame) -> list[DataFrame]:
+    bounds = ["0001-01-01", *CUTS, "9999-12-31"]
+    time = F.col("ride_time").cast("date")
+    return [rides.filter((time >= F.lit(low)) & (time < F.lit(high))) for low, high in zip(bounds, bounds[1:])]
 
-    Returns the folder of the landed table and the files one batch may take.
-    """
-    parts = max(BATCHES, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rides = samples.rides(spark, sf_dir).repartitionByRange(parts, "ride_time", "txid")
-    payloads.ride_payload(rides).write.text(f"{root}/inbox")
-    per_batch = ceil(parts / BATCHES)
-    queries = start_ingest(
-        lines_stream(spark, f"{root}/inbox", max_files=per_batch),
-        schemas.LIFT_RIDE, f"{root}/landed", f"{root}/rejects", f"{root}/ingest", AVAILABLE_NOW,
+
+def ingest(spark: SparkSession, root: str, max_files: int | None = None, archive: str | None = None):
+    lines = lines_stream(spark, f"{root}/inbox", max_files, archive)
+    query = start_ingest(lines, schemas.LIFT_RIDE, f"{root}/landed", f"{root}/ingest", AVAILABLE_NOW)
+    query.awaitTermination()
+
+
+def refresh_job(spark: SparkSession, sf_dir: str, root: str, policy: str = EARLIEST) -> RefreshJob:
+    return RefreshJob(
+        spark,
+        landed_stream(spark, f"{root}/landed", schemas.LIFT_RIDE),
+        lambda: samples.season_passes(spark, sf_dir),
+        lambda: samples.resort_tickets(spark, sf_dir),
+        samples.capacity(spark),
+        f"{root}/tables",
+        f"{root}/checkpoint",
+        policy,
     )
-    for query in queries:
-        query.awaitTermination()
-    return f"{root}/landed", per_batch
 
 
 _RUNS: dict[tuple, str] = {}
 
 
 def run_refresh(spark: SparkSession, sf_dir: str, policy: str = EARLIEST) -> str:
-    """Root folder of the tables the refresh job keeps; one run serves all queries on them."""
+    """Root folder of a run: rides arrive as JSON lines in time order, batch by batch, and are
+    ingested and refreshed as streams.  One run serves all queries on its tables."""
     run = (spark.sparkContext.applicationId, sf_dir, policy)
     if run not in _RUNS:
         root = shared_dir(spark, "live")
-        landed, per_batch = land(spark, sf_dir, root)
-        job = RefreshJob(
-            spark,
-            rides_stream(spark, landed, schemas.LIFT_RIDE, max_files=per_batch),
-            lambda: samples.season_passes(spark, sf_dir),
-            lambda: samples.resort_tickets(spark, sf_dir),
-            samples.capacity(spark),
-            f"{root}/tables",
-            f"{root}/checkpoint",
-            policy,
-        )
-        job.start(AVAILABLE_NOW).awaitTermination()
-        _RUNS[run] = job.root
+        for rides in batches(samples.rides(spark, sf_dir)):
+            payloads.ride_payload(rides).write.mode("append").text(f"{root}/inbox")
+            ingest(spark, root)
+            refresh_job(spark, sf_dir, root, policy).start(AVAILABLE_NOW).awaitTermination()
+        _RUNS[run] = f"{root}/tables"
     return _RUNS[run]
 
 
+def archived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rides and unreadable lines after ingesting file by file, with files archived once read.
+
+    Two passes over the feed: the files of a first one are read and moved away while
+    those of a second arrive.
+    """
+    root = shared_dir(spark, "archived")
+    parts = batches(samples.rides(spark, sf_dir))
+    broken = samples.rides(spark, sf_dir).select(F.concat(F.lit("{"), "txid").alias("value"))
+    payloads.ride_payload(parts[0]).unionByName(broken).repartition(4).write.text(f"{root}/inbox")
+    ingest(spark, root, max_files=1, archive=f"{root}/read")
+    for part in parts[1:]:
+        payloads.ride_payload(part).repartition(2).write.mode("append").text(f"{root}/inbox")
+    ingest(spark, root, max_files=1, archive=f"{root}/read")
+    rows = landed_rows(spark, f"{root}/landed", schemas.LIFT_RIDE).select("txid", "rfid", "ride_time")
+    lost = rejected_lines(spark, f"{root}/landed", schemas.LIFT_RIDE)
+    return rows.withColumn("rejected", F.lit(None).cast("string")).unionByName(
+        lost.select(F.col("value").alias("rejected")), allowMissingColumns=True)
+
+
+def redelivered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily table after every third ride came again in a later batch, some days late."""
+    root = shared_dir(spark, "again")
+    rides = samples.rides(spark, sf_dir)
+    again = rides.filter(F.pmod(F.crc32("txid"), F.lit(3)) == 0)
+    job = refresh_job_over(spark, sf_dir, f"{root}/tables")
+    job.refresh(rides, 0)
+    job.refresh(again, 1)
+    return scan(spark, f"{job.root}/daily_resort_summary", schemas.DAILY_RESORT_SUMMARY)
+
+
+def refresh_job_over(spark: SparkSession, sf_dir: str, root: str) -> RefreshJob:
+    return RefreshJob(
+        spark, None, lambda: samples.season_passes(spark, sf_dir),
+        lambda: samples.resort_tickets(spark, sf_dir), samples.capacity(spark), root, "")
+
+
+def paused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State and tables of a job that was paused and resumed, batches one after the other."""
+    root = shared_dir(spark, "paused")
+    states = []
+    for rides in batches(samples.rides(spark, sf_dir)):
+        payloads.ride_payload(rides).write.mode("append").text(f"{root}/inbox")
+        ingest(spark, root)
+        job = refresh_job(spark, sf_dir, root)
+        states.append(job.describe()["state"])
+        job.start({"processingTime": "1 second"}).processAllAvailable()
+        states.append(job.describe()["state"])
+        job.pause()
+        states.append(job.describe()["state"])
+    days = scan(spark, f"{root}/tables/daily_resort_summary", schemas.DAILY_RESORT_SUMMARY)
+    return days.agg(F.count(F.lit(1)).alias("days"), F.sum("total_rides").alias("rides")).withColumn(
+        "states", F.lit(",".join(states)))
+
+
+def appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visits appended in two parts, the second with its columns turned round."""
+    root = shared_dir(spark, "appended")
+    job = run_refresh(spark, sf_dir)
+    rows = scan(spark, f"{job}/daily_visits", schemas.DAILY_VISITS)
+    first = F.col("has_season_pass")
+    append_rows(rows.filter(first), root, schemas.DAILY_VISITS, "visit_date")
+    turned = rows.select(*reversed(rows.columns)).withColumn("unknown", F.lit(1))
+    append_rows(turned.filter(~first), root, schemas.DAILY_VISITS, "visit_date")
+    return scan(spark, root, schemas.DAILY_VISITS)
+
+
+def purged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a purge leaves of a buffer whose partitions the mark passes, cuts and spares."""
+    path = shared_dir(spark, "buffer")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        "event_id", "user_id", F.concat_ws(":", "event_type", F.pmod("user_id", F.lit(3))).alias("part"))
+    replace_partitions(rows, path, rows.schema, "part")
+    purge_acknowledged(spark, path, rows.schema, "event_id", 400, "part")
+    return scan(spark, path, rows.schema)
+
+
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = run_refresh(spark, sf_dir)
     return scan(spark, f"{root}/daily_visits", schemas.DAILY_VISITS)
 
 
 def first_written_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Visits without the columns that depend on the order rides arrive in."""
-    root = run_refresh(spark, sf_dir, FIRST_WRITER)
-    visits = scan(spark, f"{root}/daily_visits", schemas.DAILY_VISITS)
-    return visits.drop("first_ride_time", "first_lift")
+    """Batches arrive in time order, so the first writer is the earliest ride."""
+    return scan(spark, f"{run_refresh(spark, sf_dir, FIRST_WRITER)}/daily_visits", schemas.DAILY_VISITS)
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,16 +187,24 @@ def deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def approximate_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hours the streaming aggregation has closed."""
+    """All hours of a finite feed, and whether the visitor estimates keep to their error."""
     root = shared_dir(spark, "hours")
-    landed, per_batch = land(spark, sf_dir, root)
-    feed = rides_stream(spark, landed, schemas.LIFT_RIDE, max_files=per_batch)
+    samples.bare_rides(spark, sf_dir).write.parquet(f"{root}/inbox")
+    hours = hourly_activity_stream(rides_stream(spark, f"{root}/inbox", schemas.LIFT_RIDE))
     query = (
-        hourly_activity_stream(feed)
-        .writeStream.format("parquet")
+        hours.writeStream.outputMode("complete")
+        .foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{root}/hours"))
         .option("checkpointLocation", f"{root}/checkpoint")
         .trigger(**AVAILABLE_NOW)
-        .start(f"{root}/hours")
+        .start()
     )
     query.awaitTermination()
-    return spark.read.parquet(f"{root}/hours")
+    exact = samples.bare_rides(spark, sf_dir).groupBy(
+        hour_start(F.col("ride_time")).alias("ride_hour_timestamp"), "resort"
+    ).agg(F.count_distinct("rfid").alias("visitors"))
+    # Five standard errors, and one visitor more for small hours.
+    off = F.abs(F.col("visitor_count") - F.col("visitors"))
+    return spark.read.schema(hours.schema).parquet(f"{root}/hours").join(
+        exact, ["ride_hour_timestamp", "resort"]).select(
+        "ride_hour_timestamp", "resort", "total_rides",
+        (off <= 1 + 5 * VISITOR_ERROR * F.col("visitors")).alias("visitors_near"))

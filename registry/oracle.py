@@ -4,16 +4,6 @@ Written directly from the definitions (plain distinct counts, window
 functions, row-wise joins), so that it shares no shortcut with the Spark side.
 """
 
-_DAY_SUMS = {
-    "total_visitor_hours": "visitor_count", "total_rides": "total_rides",
-    "total_ticket_revenue": "recognized_ticket_revenue",
-    "total_pass_revenue": "recognized_pass_revenue",
-    "total_revenue": "total_recognized_revenue",
-    "total_ticket_activations": "ticket_activations", "total_pass_activations": "pass_activations",
-    "total_pass_rides": "pass_rides", "total_ticket_rides": "ticket_rides",
-}
-_WEEK_SUMS = [name for name in _DAY_SUMS if name != "total_visitor_hours"] + ["total_visitors"]
-
 # Base tables as seen through the test tables, then one definition per level.
 VIEWS = {
     "ride": """
@@ -92,11 +82,11 @@ VIEWS = {
                date_trunc('hour', first_ride_time) AS ride_hour_timestamp, resort,
                coalesce(sum(per_day) FILTER (NOT has_season_pass), 0) AS recognized_ticket_revenue,
                count(DISTINCT rfid) FILTER (NOT has_season_pass) AS ticket_activations,
-               coalesce(sum(per_use) FILTER (has_season_pass AND activation_usage_count < 21), 0)
+               coalesce(sum(per_use) FILTER (has_season_pass AND activation_usage_count <= 20), 0)
                    AS recognized_pass_revenue,
                count(DISTINCT rfid) FILTER (has_season_pass) AS pass_activations
         FROM (SELECT *,
-                CAST(CAST(purchase_price_usd AS DOUBLE) / ticket_original_duration
+                CAST(CAST(purchase_price_usd AS DOUBLE) / greatest(ticket_original_duration, 1)
                      AS DECIMAL(18, 8)) AS per_day,
                 CAST(CAST(purchase_price_usd AS DOUBLE) / 20 AS DECIMAL(18, 8)) AS per_use
               FROM visit) GROUP BY ALL""",
@@ -113,17 +103,33 @@ VIEWS = {
               FROM activity
               LEFT JOIN revenue USING (ride_date, ride_hour, ride_hour_timestamp, resort)
               JOIN capacity USING (resort))""",
-    "daily": f"""
-        SELECT ride_date, resort, {', '.join(
-            f'sum({source}) AS {name}' for name, source in _DAY_SUMS.items())},
+    "daily": """
+        SELECT ride_date, resort,
+               sum(visitor_count) AS total_visitor_hours,
+               sum(total_rides) AS total_rides,
+               sum(pass_rides) AS total_pass_rides,
+               sum(ticket_rides) AS total_ticket_rides,
+               sum(recognized_ticket_revenue) AS total_ticket_revenue,
+               sum(recognized_pass_revenue) AS total_pass_revenue,
+               sum(total_recognized_revenue) AS total_revenue,
+               sum(ticket_activations) AS total_ticket_activations,
+               sum(pass_activations) AS total_pass_activations,
+               sum(ticket_activations) + sum(pass_activations) AS total_visitors,
                count(*) AS operation_hours, max(visitor_count) AS peak_hourly_visitors,
                max(capacity_tenths) AS peak_tenths,
-               CAST((2 * sum(capacity_tenths) + count(*)) // (2 * count(*)) AS BIGINT) AS avg_tenths,
-               sum(ticket_activations) + sum(pass_activations) AS total_visitors
+               CAST((2 * sum(capacity_tenths) + count(*)) // (2 * count(*)) AS BIGINT) AS avg_tenths
         FROM hourly GROUP BY ALL""",
-    "weekly": f"""
+    "weekly": """
         SELECT CAST(date_trunc('week', ride_date) AS DATE) AS week_start_date, resort,
-               {', '.join(f'sum({name}) AS week_{name}' for name in _WEEK_SUMS)},
+               sum(total_visitors) AS week_total_visitors,
+               sum(total_rides) AS week_total_rides,
+               sum(total_pass_rides) AS week_total_pass_rides,
+               sum(total_ticket_rides) AS week_total_ticket_rides,
+               sum(total_ticket_revenue) AS week_total_ticket_revenue,
+               sum(total_pass_revenue) AS week_total_pass_revenue,
+               sum(total_revenue) AS week_total_revenue,
+               sum(total_ticket_activations) AS week_total_ticket_activations,
+               sum(total_pass_activations) AS week_total_pass_activations,
                max(total_visitors) AS max_daily_unique_visitors,
                (2 * sum(total_visitors) + count(total_visitors)) // (2 * count(total_visitors))
                    AS avg_daily_unique_visitors,
@@ -236,6 +242,15 @@ _HOURLY = f"""
            {_tenths('capacity_tenths', 'capacity_pct')}, capacity_status
     FROM hourly"""
 
+_DAILY = f"""
+    SELECT ride_date, resort, operation_hours,
+           {_long('peak_hourly_visitors', 'total_visitor_hours', 'total_rides',
+                  'total_ticket_activations', 'total_pass_activations', 'total_pass_rides',
+                  'total_ticket_rides', 'total_visitors')},
+           {_double('total_ticket_revenue', 'total_pass_revenue', 'total_revenue')},
+           {_tenths('avg_tenths', 'avg_capacity_pct')},
+           {_tenths('peak_tenths', 'peak_capacity_pct')} FROM daily"""
+
 _WEEKLY = f"""
     SELECT week_start_date, resort,
            {_long('max_daily_unique_visitors', 'avg_daily_unique_visitors', 'week_total_visitors',
@@ -435,15 +450,7 @@ ORACLE = {
            FROM ride QUALIFY row_number() OVER (
                PARTITION BY resort, rfid, date_trunc('hour', ride_time)
                ORDER BY ride_time, txid) = 1"""),
-    "daily_summary": _with(
-        "daily",
-        f"""SELECT ride_date, resort, operation_hours,
-               {_long('peak_hourly_visitors', 'total_visitor_hours', 'total_rides',
-                      'total_ticket_activations', 'total_pass_activations', 'total_pass_rides',
-                      'total_ticket_rides', 'total_visitors')},
-               {_double('total_ticket_revenue', 'total_pass_revenue', 'total_revenue')},
-               {_tenths('avg_tenths', 'avg_capacity_pct')},
-               {_tenths('peak_tenths', 'peak_capacity_pct')} FROM daily"""),
+    "daily_summary": _with("daily", _DAILY),
     "weekly_summary": _with("weekly", _WEEKLY),
     "weekly_summary_sql": _with("weekly", _WEEKLY),
     "revenue_performance": _with(
@@ -463,6 +470,7 @@ ORACLE = {
     "lift_performance": _with("recent", _lifts("recent")),
     "lift_performance_as_of": _with("recent_as_of", _lifts("recent_as_of")),
     "lift_function": _with("recent", _lifts("recent")),
+    "lift_function_as_of": _with("recent_as_of", _lifts("recent_as_of")),
     "lift_top10": _with(
         "recent", f"SELECT * FROM ({_lifts('recent')}) WHERE usage_rank_in_resort <= 10"),
     "lift_board": _with(
@@ -535,21 +543,23 @@ ORACLE = {
             FROM kpi"""),
     "site_comparison": _with(
         "daily period",
-        """SELECT resort, CAST(sum(total_visitors) AS BIGINT) AS total_visitors,
+        """SELECT period, resort, CAST(sum(total_visitors) AS BIGINT) AS total_visitors,
                CAST(sum(total_revenue) AS DOUBLE) AS total_revenue,
                CAST(sum(CAST(avg_tenths / 10.0 AS DECIMAL(9, 1))) AS DOUBLE) / count(*)
                    AS avg_capacity,
                CAST(sum(total_rides) AS BIGINT) AS total_rides
-           FROM daily WHERE ride_date >= (SELECT lo FROM period WHERE period = 'Last 7 Days')
-           GROUP BY resort"""),
+           FROM daily JOIN period ON ride_date >= lo AND (period <> 'Today' OR ride_date = lo)
+           GROUP BY period, resort"""),
     "site_time_series": _with(
         "daily period",
-        f"""SELECT ride_date, resort, CAST(total_visitors AS BIGINT) AS visitors,
+        f"""SELECT period, ride_date, resort, CAST(total_visitors AS BIGINT) AS visitors,
                CAST(total_revenue AS DOUBLE) AS revenue, {_tenths('avg_tenths', 'capacity_pct')}
-            FROM daily WHERE ride_date >= (SELECT lo FROM period WHERE period = 'Month to Date')"""),
+            FROM daily JOIN period ON ride_date >= lo AND (period <> 'Today' OR ride_date = lo)"""),
     "site_status_report": _with(
         "daily period",
-        f"SELECT *, {_STATUS_LABEL} AS status FROM ({_STATUS.format('Today')})"),
+        " UNION ALL ".join(
+            f"SELECT *, {_STATUS_LABEL} AS status, '{name}' AS period FROM ({_STATUS.format(name)})"
+            for name in ("Today", "Last 7 Days", "Month to Date"))),
     "display_status": _with(
         "daily period",
         f"""SELECT resort AS "Resort", {_NUMBER.format('current_visitors')} AS "Visitors",
@@ -629,8 +639,10 @@ ORACLE = {
                    AS share_pct
            FROM season_pass GROUP BY 1"""),
     "active_media": _with(
-        "ticket",
-        """SELECT txid, rfid, expiration_time FROM ticket
+        "season_pass ticket",
+        """SELECT txid, rfid, expiration_time FROM (
+               SELECT txid, rfid, expiration_time FROM ticket
+               UNION ALL SELECT txid, rfid, expiration_time FROM season_pass)
            WHERE expiration_time >= DATE '2024-01-15'"""),
     "ingest_throughput": _with(
         "ride season_pass ticket",
@@ -654,8 +666,37 @@ ORACLE = {
                  FROM ticket)
            GROUP BY 1"""),
     "stream_visits": _with("visit", _VISIT),
-    "stream_visits_first_writer": _with(
-        "visit", f"SELECT * EXCLUDE (first_ride_time, first_lift) FROM ({_VISIT})"),
+    "stream_visits_first_writer": _with("visit", _VISIT),
+    "stream_redelivered": _with("daily", _DAILY),
+    "stream_paused": _with(
+        "daily",
+        """SELECT count(*) AS days, CAST(sum(total_rides) AS BIGINT) AS rides,
+               'new,running,stopped,new,running,stopped,new,running,stopped' AS states FROM daily"""),
+    "ingest_archived": _with(
+        "ride",
+        """SELECT txid, rfid, ride_time, CAST(NULL AS VARCHAR) AS rejected FROM ride
+           UNION ALL SELECT NULL, NULL, NULL, '{' || txid FROM ride"""),
+    "purged_buffer": """
+        SELECT event_id, user_id, event_type || ':' || CAST(user_id % 3 AS VARCHAR) AS part
+        FROM events WHERE event_id > 400""",
+    "appended_visits": _with("visit", _VISIT),
+    "refresh_log": _with(
+        "ride visit hourly daily weekly",
+        """SELECT target, 3 AS refreshes, row_count, partitions FROM (
+               SELECT 'lift_ride' AS target, count(*) AS row_count,
+                   count(DISTINCT (CAST(ride_time AS DATE), hour(ride_time) // 6)) AS partitions FROM ride
+               UNION ALL SELECT 'visitor_hours', count(*), count(DISTINCT (day, block))
+               FROM (SELECT DISTINCT rfid, resort, CAST(ride_time AS DATE) AS day,
+                         hour(ride_time) AS hour, hour(ride_time) // 6 AS block FROM ride)
+               UNION ALL SELECT 'daily_visits', count(*), count(DISTINCT visit_date) FROM visit
+               UNION ALL SELECT 'hourly_resort_summary', count(*), count(DISTINCT ride_date) FROM hourly
+               UNION ALL SELECT 'daily_resort_summary', count(*), count(DISTINCT ride_date) FROM daily
+               UNION ALL SELECT 'weekly_resort_summary', count(*), count(DISTINCT week_start_date)
+               FROM weekly)"""),
+    "stream_hours_approx": _with(
+        "ride",
+        """SELECT date_trunc('hour', ride_time) AS ride_hour_timestamp, resort,
+               count(*) AS total_rides, true AS visitors_near FROM ride GROUP BY 1, 2"""),
     "stream_hours": _with("hourly", _HOURLY),
     "stream_refresh": _with("weekly", _WEEKLY),
     "stream_dedup": _with(

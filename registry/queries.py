@@ -7,6 +7,7 @@ leave as doubles so that both engines hand out the same type.
 
 from collections.abc import Callable
 from datetime import date, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -372,7 +373,8 @@ def network_daily(spark, sf_dir):
 def repaired_visits(spark, sf_dir):
     """Visits recorded before any sale was known, repaired afterwards."""
     tables = chain(spark, sf_dir)
-    early = visits.daily_visits(tables.rides, tables.passes.limit(0), tables.tickets.limit(0))
+    nothing = [spark.createDataFrame([], table.schema) for table in (tables.passes, tables.tickets)]
+    early = visits.daily_visits(tables.rides, *nothing)
     return visits.reenrich(early, tables.passes, tables.tickets)
 
 
@@ -380,31 +382,44 @@ def repaired_visits(spark, sf_dir):
 
 @query
 def lift_performance(spark, sf_dir):
-    return lifts.lift_performance(samples.bare_rides(spark, sf_dir), SITE, MINUTES)
+    tables = stored(spark, sf_dir)
+    return lifts.lift_performance(tables.rides, SITE, MINUTES, hourly=tables.hourly)
 
 
 @query
 def lift_performance_as_of(spark, sf_dir):
-    rides = samples.bare_rides(spark, sf_dir)
+    rides = stored(spark, sf_dir).rides
     return lifts.lift_performance(rides, SITE, MINUTES, as_of=datetime(2024, 1, 15, 12))
 
 
 @query
 def lift_function(spark, sf_dir):
     """Lift performance called from SQL."""
-    samples.bare_rides(spark, sf_dir).createOrReplaceTempView("lift_ride")
-    procedures.register_lift_function(spark)
+    stored(spark, sf_dir).rides.createOrReplaceTempView("lift_ride")
+    procedures.register_lift_function(spark, dated=True)
     return spark.sql(f"SELECT * FROM {procedures.FUNCTION}('{SITE}', {MINUTES})")
 
 
+@query
+def lift_function_as_of(spark, sf_dir):
+    """The same as of a time, reading the days of the window only."""
+    stored(spark, sf_dir).rides.createOrReplaceTempView("lift_ride")
+    procedures.register_lift_function(spark, dated=True)
+    return spark.sql(
+        f"SELECT * FROM {procedures.FUNCTION}('{SITE}', {MINUTES}, "
+        "TIMESTAMP_NTZ '2024-01-15 12:00:00', DATE '2024-01-14')")
+
+
 @query
 def lift_top10(spark, sf_dir):
-    return lifts.top_lifts(lifts.lift_performance(samples.bare_rides(spark, sf_dir), SITE, MINUTES))
+    tables = stored(spark, sf_dir)
+    return lifts.top_lifts(lifts.lift_performance(tables.rides, SITE, MINUTES, hourly=tables.hourly))
 
 
 @query
 def lift_board(spark, sf_dir):
-    return reports.resort_top_lifts(samples.bare_rides(spark, sf_dir), SITE, minutes=MINUTES)
+    tables = stored(spark, sf_dir)
+    return reports.resort_top_lifts(tables.rides, SITE, minutes=MINUTES, hourly=tables.hourly)
 
 
 @query
@@ -477,19 +492,28 @@ def _by_period(spark, sf_dir, report, period) -> DataFrame:
     return report(tables.daily, reports.period_clock(tables.hourly), period)
 
 
+def _all_periods(spark, sf_dir, report) -> DataFrame:
+    """The report for every period, one after the other."""
+    parts = [
+        _by_period(spark, sf_dir, report, period).withColumn("period", F.lit(period))
+        for period in timeparts.PERIODS
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query
 def site_comparison(spark, sf_dir):
-    return _by_period(spark, sf_dir, reports.resort_comparison, timeparts.LAST_7_DAYS)
+    return _all_periods(spark, sf_dir, reports.resort_comparison)
 
 
 @query
 def site_time_series(spark, sf_dir):
-    return _by_period(spark, sf_dir, reports.time_series, timeparts.MONTH_TO_DATE)
+    return _all_periods(spark, sf_dir, reports.time_series)
 
 
 @query
 def site_status_report(spark, sf_dir):
-    return _by_period(spark, sf_dir, reports.status_by_resort, timeparts.TODAY)
+    return _all_periods(spark, sf_dir, reports.status_by_resort)
 
 
 @query
@@ -577,8 +601,11 @@ def price_tier_share(spark, sf_dir):
 
 @query
 def active_media(spark, sf_dir):
-    tickets = samples.resort_tickets(spark, sf_dir).select("txid", "rfid", "expiration_time")
-    return audits.active_media(tickets, datetime(2024, 1, 15))
+    media = [
+        samples.resort_tickets(spark, sf_dir).select("txid", "rfid", "expiration_time"),
+        samples.season_passes(spark, sf_dir).select("txid", "rfid", "expiration_time"),
+    ]
+    return audits.active_media(media[0].unionByName(media[1]), datetime(2024, 1, 15))
 
 
 @query
@@ -613,6 +640,34 @@ def stream_visits_first_writer(spark, sf_dir):
     return live.first_written_visits(spark, sf_dir)
 
 
+@query
+def stream_redelivered(spark, sf_dir):
+    """Days of a feed that delivers rides again, counted once."""
+    return live.redelivered(spark, sf_dir)
+
+
+@query
+def stream_paused(spark, sf_dir):
+    """A job that is paused after every batch and resumed before the next."""
+    return live.paused(spark, sf_dir)
+
+
+@query
+def ingest_archived(spark, sf_dir):
+    """Every line of a feed whose files are moved away once read."""
+    return live.archived(spark, sf_dir)
+
+
+@query
+def purged_buffer(spark, sf_dir):
+    return live.purged(spark, sf_dir)
+
+
+@query
+def appended_visits(spark, sf_dir):
+    return live.appended(spark, sf_dir)
+
+
 @query
 def stream_hours(spark, sf_dir):
     return live.hourly(spark, sf_dir)

@@ -64,7 +64,7 @@ def test_bucketed_sales_are_not_shuffled(spark, no_broadcast):
 
 @pytest.mark.parametrize("name", sorted(q.QUERIES))
 def test_no_cartesian_products(spark, no_broadcast, name):
-    if name.startswith(("stream_", "refresh_")):
+    if name.startswith(("stream_", "refresh_", "op", "pipeline")):
         pytest.skip("reads stored tables")
     assert "CartesianProduct" not in plan_of(q.QUERIES[name](spark, SF_SMALL))
 
@@ -76,6 +76,17 @@ def test_trailing_window_filters_in_the_scan(spark):
     assert re.search(r"DataFilters: \[[^\]]*Subquery", plan)
 
 
+def test_stored_rides_are_pruned_by_date(spark, no_broadcast):
+    for name in ("lift_performance", "lift_board", "reporting_clock"):
+        plan = plan_of(q.QUERIES[name](spark, SF_SMALL))
+        assert re.search(r"PartitionFilters: \[[^\]]*ride_date#\d+ >= ", plan), name
+
+
+def test_lift_function_shuffles_no_ride_by_resort(spark, no_broadcast):
+    plan = plan_of(q.QUERIES["lift_function"](spark, SF_SMALL))
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_lift_performance_reads_needed_columns(spark):
     plan = plan_of(lifts.lift_performance(samples.bare_rides(spark, SF_SMALL), "view"))
     assert not re.search(r"ReadSchema: struct<[^>]*event_id", plan)

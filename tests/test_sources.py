@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from turnstile import schemas
 from turnstile.session import shared_dir
+from turnstile.functions.display import clock_text
 from turnstile.sources import payloads
+from turnstile.sources.payloads import ride_payload
 from turnstile.sources.tables import (
-    append_rows, purge_acknowledged, replace_partitions, scan, scan_dates,
+    append_rows, purge_acknowledged, replace_partitions, scan, scan_dates, staged,
 )
 
 
@@ -101,6 +103,43 @@ def test_purge(spark):
     assert set(os.listdir(f"{path}/part=2")) == untouched
 
 
+def test_purge_by_escaped_names(spark):
+    path = shared_dir(spark, "buffer")
+    rows = spark.createDataFrame(
+        [(1, "a:b"), (2, "a:b"), (None, "a:b"), (3, "c d/e"), (9, "c d/e"), (4, "gone:1"), (5, None), (None, "n")],
+        "id long, part string")
+    replace_partitions(rows, path, rows.schema, "part")
+    purge_acknowledged(spark, path, rows.schema, "id", 5, "part")
+    left = spark.read.schema(rows.schema).parquet(path).collect()
+    assert sorted((r.id or 0, r.part) for r in left) == [(0, "a:b"), (0, "n"), (9, "c d/e")]
+    assert not [name for name in os.listdir(path) if "gone" in name]
+
+
+def test_replaced_partitions_without_rows_go(spark):
+    path = shared_dir(spark, "replaced")
+    rows = spark.createDataFrame(
+        [(1, "x", 1), (2, "x", 2), (3, "y", 1), (4, "z", 1)], "id long, a string, b int")
+    replace_partitions(rows, path, rows.schema, "a", "b")
+    replace_partitions(rows.filter("id = 2"), path, rows.schema, "a", "b", replaced=[("x",), ("y", 1)])
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [2, 4]
+
+
+def test_staged_copies_are_removed(spark):
+    rows = spark.range(3)
+    with staged(spark, rows, rows.schema, "copy") as copy:
+        folder = os.path.dirname(copy.inputFiles()[0].removeprefix("file:").removeprefix("//"))
+        assert copy.count() == 3 and os.path.exists(folder)
+    assert not os.path.exists(folder)
+
+
+def test_times_in_hours_the_session_zone_skips(spark, make):
+    rides = make.rides(("1", "r", "north", "a", "2024-03-10 02:30:00", 1))
+    line = ride_payload(rides).first().value
+    assert json.loads(line)["RIDE_TIME"] == "2024-03-10T02:30:00.000000+00:00"
+    shown = rides.select(clock_text(F.col("ride_time"))).first()[0]
+    assert shown == "Sunday, 03/10/24 02:30:00 AM"
+
+
 def test_append_matches_columns_by_name(spark, make):
     path = shared_dir(spark, "appended")
     rows = make.visits(("north", "a", "2024-01-01 09:00:00", True, "1", 1, None))
@@ -119,7 +158,8 @@ def test_cluster_needs_a_shared_folder():
             conf=SimpleNamespace(get=lambda name, default: folder),
             sparkContext=SimpleNamespace(master=master))
 
-    with pytest.raises(ValueError):
-        shared_dir(session("yarn", None), "x")
+    for cluster in ("yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_dir(session(cluster, None), "x")
     assert shared_dir(session("yarn", "hdfs:///shared"), "x").startswith("hdfs:///shared/x-")
     assert shared_dir(session("local[2]", None), "x") != shared_dir(session("local[2]", None), "x")

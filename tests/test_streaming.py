@@ -1,4 +1,5 @@
 import json
+import os
 import re
 
 import pytest
@@ -14,7 +15,7 @@ from turnstile.sources import samples
 from turnstile.sources.tables import scan
 from turnstile.streaming.history import refresh_history
 from turnstile.streaming.landing import (
-    AVAILABLE_NOW, drop_repeats, lines_stream, rides_stream, start_ingest,
+    AVAILABLE_NOW, drop_repeats, landed_rows, lines_stream, rejected_lines, rides_stream, start_ingest,
 )
 from turnstile.streaming.live import hourly_activity_stream
 from turnstile.streaming.refresh import FIRST_WRITER, RefreshJob
@@ -173,28 +174,89 @@ def test_pause_and_resume(spark, base):
         base, "weekly_resort_summary")
 
 
-def test_ingest(spark, tmp_path):
-    inbox = tmp_path / "inbox"
-    inbox.mkdir()
-    ride = {"TXID": "1", "RFID": "r", "RESORT": "north", "LIFT": "a",
-            "RIDE_TIME": "2024-01-01T10:00:00+00:00"}
-    (inbox / "1.json").write_text(json.dumps(ride) + "\n" + json.dumps(ride) + "\n{broken\n")
-
-    def run():
-        queries = start_ingest(
-            lines_stream(spark, str(inbox), max_files=1), schemas.LIFT_RIDE,
-            str(tmp_path / "rides"), str(tmp_path / "rejects"), str(tmp_path / "state"),
-            AVAILABLE_NOW, repeats_within="1 hour")
-        for query in queries:
-            query.awaitTermination()
-
-    run()
-    (inbox / "2.json").write_text(json.dumps({**ride, "TXID": "2"}) + "\n")
-    run()
-    rows = scan(spark, str(tmp_path / "rides"), schemas.LIFT_RIDE).collect()
-    assert sorted(r.txid for r in rows) == ["1", "2"]
-    assert rows[0].ride_time == at("2024-01-01 10:00:00")
-    assert [r.value for r in spark.read.parquet(str(tmp_path / "rejects")).collect()] == ["{broken"]
+RIDE = {"TXID": "1", "RFID": "r", "RESORT": "north", "LIFT": "a",
+        "RIDE_TIME": "2024-01-01T10:00:00+00:00"}
+
+
+def run_ingest(spark, folder, **options):
+    query = start_ingest(
+        lines_stream(spark, f"{folder}/inbox", **options), schemas.LIFT_RIDE,
+        f"{folder}/rides", f"{folder}/state", AVAILABLE_NOW)
+    query.awaitTermination()
+    return landed_rows(spark, f"{folder}/rides", schemas.LIFT_RIDE)
+
+
+def write_lines(folder, name, *lines):
+    os.makedirs(f"{folder}/inbox", exist_ok=True)
+    text = "".join((line if isinstance(line, str) else json.dumps(line)) + "\n" for line in lines)
+    with open(f"{folder}/inbox/{name}", "w") as out:
+        out.write(text)
+
+
+def test_ingest_keeps_every_line(spark, tmp_path):
+    write_lines(tmp_path, "1.json", RIDE, RIDE, "{broken")
+    run_ingest(spark, tmp_path, max_files=1)
+    write_lines(
+        tmp_path, "2.json",
+        {**RIDE, "TXID": "2", "RIDE_TIME": "2023-12-01T10:00:00+0000"},  # a month late
+        {**RIDE, "TXID": "3", "RIDE_TIME": "2024-01-01T10:00:00.5+02"},
+        {**RIDE, "TXID": "4", "RIDE_TIME": "not a time"},
+        {**RIDE, "TXID": "5", "RIDE_TIME": None})
+    rows = {r.txid: r.ride_time for r in run_ingest(spark, tmp_path, max_files=1).collect()}
+    assert rows == {"1": at("2024-01-01 10:00:00"), "2": at("2023-12-01 10:00:00"),
+                    "3": at("2024-01-01 08:00:00.5"), "5": None}
+    assert landed_rows(spark, f"{tmp_path}/rides", schemas.LIFT_RIDE).count() == 5
+    lost = rejected_lines(spark, f"{tmp_path}/rides", schemas.LIFT_RIDE).collect()
+    assert sorted(r.value[-30:] for r in lost) == sorted(
+        ["{broken", json.dumps({**RIDE, "RIDE_TIME": "not a time"})[-30:]])
+
+
+def test_archived_files_are_landed_first(spark, tmp_path):
+    for run in range(2):
+        for i in range(15):
+            rides = [{**RIDE, "TXID": f"{run}-{i}-{n}"} for n in range(3)]
+            write_lines(tmp_path, f"{run}-{i}.json", *rides)
+        rows = run_ingest(spark, tmp_path, max_files=1, archive=f"{tmp_path}/read")
+        assert rows.select("txid").distinct().count() == 45 * (run + 1)
+
+
+def test_redelivered_rides_count_once(spark, base):
+    job = job_for(spark, base)
+    for i, rides in enumerate([base.rides, base.rides.sample(0.3, 1), base.rides.sample(0.3, 2)]):
+        job.refresh(rides, i)
+    for name in TABLES:
+        assert stored(spark, job, name) == batch_result(base, name), name
+    assert job.chain().rides.count() == base.rides.count()
+
+
+@pytest.mark.parametrize("policy", ["earliest", FIRST_WRITER])
+def test_compaction_changes_no_table(spark, base, policy):
+    job = job_for(spark, base, policy=policy)
+    parts = split(base, 3, shuffled=policy == "earliest")
+    for i, rides in enumerate(parts[:2]):
+        job.refresh(rides, i)
+    days = [day(f"2024-01-0{n}") for n in range(1, 6)]
+    before = sorted(map(str, job.chain().rides.collect()))
+    job.compact(days)
+    job.compact(days)
+    assert sorted(map(str, job.chain().rides.collect())) == before
+    folders = os.listdir(f"{job.root}/lift_ride/ride_date=2024-01-01/ride_block=1")
+    assert len([name for name in folders if name.startswith("batch_id=")]) == 1
+    job.refresh(parts[1], 1)  # replayed
+    job.refresh(parts[2], 2)
+    for name in TABLES:
+        assert stored(spark, job, name) == batch_result(base, name), name
+
+
+def test_emptied_hours_leave_the_tables(spark, make):
+    base = Chain(None, make.passes(), make.tickets(), make.capacity(("north", 5, "America/Denver")))
+    job = job_for(spark, base)
+    rides = make.rides(("1", "m", "north", "a", "2024-01-01 09:00:00", 1))
+    job.refresh(rides, 0)
+    assert job.chain().hourly.count() == 1
+    job.capacity = base.capacity.limit(0)
+    job.refresh(make.rides(("2", "m", "north", "a", "2024-01-01 09:10:00", 1)), 1)
+    assert job.chain().hourly.count() == 0 and job.chain().daily.count() == 0
 
 
 def test_repeats_are_dropped(spark, make):

@@ -3,8 +3,10 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from turnstile.functions.timeparts import two_digits
+
 DATE_FORMAT = "yyyy-MM-dd"
-CLOCK_FORMAT = "EEEE, MM/dd/yy hh:mm:ss a"
+DAY_FORMAT = "EEEE, MM/dd/yy"
 MISSING_TIME = "--"
 
 
@@ -33,4 +35,9 @@ def _pattern(value: Column, pattern: str) -> Column:
 
 def clock_text(time: Column) -> Column:
     """Weekday, date and 12-hour time; a dash when there is no time."""
-    return F.coalesce(F.date_format(time, CLOCK_FORMAT), F.lit(MISSING_TIME))
+    hour = F.hour(time)
+    parts = F.concat_ws(":", two_digits((hour + 11) % 12 + 1), two_digits(F.minute(time)),
+                        two_digits(F.second(time)))
+    text = F.concat(F.date_format(F.to_date(time), DAY_FORMAT), F.lit(" "), parts,
+                    F.when(hour < 12, F.lit(" AM")).otherwise(F.lit(" PM")))
+    return F.coalesce(text, F.lit(MISSING_TIME))

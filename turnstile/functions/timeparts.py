@@ -71,11 +71,29 @@ def utc_instant(time: Column) -> Column:
 
 
 def iso_to_utc(text: Column) -> Column:
-    """ISO 8601 text to the UTC wall clock; text without an offset already is UTC."""
+    """ISO 8601 text to the UTC wall clock; text without an offset already is UTC.
+
+    Offsets may be ``Z``, ``+hh:mm``, ``+hhmm`` or ``+hh`` after a time.
+    """
+    time = r"(\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?)"
+    text = F.regexp_replace(text, time + r"([+-]\d{2})(\d{2})$", "$1$2:$3")
+    text = F.regexp_replace(text, time + r"([+-]\d{2})$", "$1$2:00")
     zoned = F.when(text.rlike(r"(Z|[+-]\d{2}:\d{2})$"), text).otherwise(F.concat(text, F.lit("Z")))
     return utc_clock(zoned.try_cast("timestamp"))
 
 
+def two_digits(number: Column) -> Column:
+    return F.lpad(number.cast("string"), 2, "0")
+
+
+def iso_text(time: Column) -> Column:
+    """``yyyy-MM-ddTHH:mm:ss.SSSSSS``.  Formatting functions would read the time in the session
+    time zone, where some hours do not exist."""
+    seconds = F.lpad(F.extract(F.lit("SECOND"), time).cast("decimal(8,6)").cast("string"), 9, "0")
+    clock = F.concat_ws(":", two_digits(F.hour(time)), two_digits(F.minute(time)), seconds)
+    return F.when(time.isNotNull(), F.concat(F.to_date(time).cast("string"), F.lit("T"), clock))
+
+
 def clock_dates(reporting_time: Column) -> dict[str, Column]:
     """The dates every period report hangs on, from the latest reporting hour."""
     today = F.to_date(reporting_time)

@@ -13,8 +13,11 @@ def read_after(df: DataFrame, id_col: str, after_id: int, batch_size: int = BATC
 
 
 def retain_after(df: DataFrame, id_col: str, before_id: int) -> DataFrame:
-    """What is left once rows up to and including ``before_id`` are acknowledged."""
-    return df.filter(F.col(id_col) > before_id)
+    """What is left once rows up to and including ``before_id`` are acknowledged.
+
+    Rows without an id were never delivered by one and stay.
+    """
+    return df.filter((F.col(id_col) > before_id) | F.col(id_col).isNull())
 
 
 def latest(df: DataFrame, *order: str, rows: int = 100, tie: str) -> DataFrame:

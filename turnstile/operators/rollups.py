@@ -15,7 +15,7 @@ TARGET_SHARE = "0.7"
 TARGET_SPEND = 100
 
 
-# Daily columns and the hourly columns they add up.
+# Daily columns and the hourly columns they add up; names and order are fixed by the tables' contract.
 DAILY_SUMS = {
     "total_visitor_hours": "visitor_count",
     "total_rides": "total_rides",

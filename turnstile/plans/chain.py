@@ -4,13 +4,18 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turnstile import schemas
+from turnstile.functions.timeparts import day_of
 from turnstile.operators import hourly as hours
 from turnstile.operators import rollups
 from turnstile.operators.visits import daily_visits
 from turnstile.sources.tables import replace_partitions, scan
 
+DATED_RIDE = T.StructType([*schemas.LIFT_RIDE.fields, T.StructField("ride_date", T.DateType())])
+
 
 @dataclass
 class Chain:
@@ -89,13 +94,19 @@ class StoredChain(Chain):
 def materialize(spark: SparkSession, base: Chain, root: str) -> StoredChain:
     """Write every level once and read it back for the next one.
 
-    Raw rides are read once, for the visitor hours; visits and activity start
-    from those.  A lost executor costs the level being written, not the chain.
+    Raw rides are read once, to be stored by date, where reports and the trailing
+    window find the days they need.  Visitor hours come from those rides, visits and
+    activity from visitor hours.  A lost executor costs the level being written, not
+    the chain.
     """
+    dated = base.rides.withColumn("ride_date", day_of(F.col("ride_time")))
+    replace_partitions(dated, f"{root}/lift_ride", DATED_RIDE, "ride_date")
+    rides = scan(spark, f"{root}/lift_ride", DATED_RIDE)
+    base = Chain(rides, base.passes, base.tickets, base.capacity)
     stored = StoredChain(spark, root, base)
     levels = [
         ("visitor_hours", schemas.VISITOR_HOURS, ["ride_date", "ride_block"],
-         lambda: hours.visitor_hours(base.rides)),
+         lambda: hours.visitor_hours(rides)),
         ("daily_visits", schemas.DAILY_VISITS, ["visit_date"],
          lambda: daily_visits(stored.visitor_hours, base.passes, base.tickets)),
         ("hourly_resort_summary", schemas.HOURLY_RESORT_SUMMARY, ["ride_date"],

@@ -18,6 +18,7 @@ from turnstile.operators.lifts import last_reported_day, lift_performance, top_l
 # Fixed value: weeks shown per resort.
 WEEKS_SHOWN = 4
 
+# Column titles as shown.
 WEEKLY_LABELS = {
     "week_start_date": "Week Starting",
     "max_daily_unique_visitors": "Max Daily Visitors",

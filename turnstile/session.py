@@ -1,6 +1,7 @@
 """Session settings and the shared folder for written intermediate data."""
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -18,6 +19,9 @@ CLUSTER_SETTINGS = {
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     "spark.sql.files.maxPartitionBytes": "128m",
     "spark.sql.session.timeZone": "UTC",
+    # State of streams stands on disk instead of the executors' heaps.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -35,7 +39,7 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         base = tempfile.mkdtemp(prefix="turnstile-")
     return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")

@@ -1,11 +1,13 @@
 """JSON payloads: one upper-case object per line, matched to columns by name."""
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnstile import schemas
-from turnstile.functions.timeparts import iso_to_utc
+from turnstile.functions.timeparts import iso_text, iso_to_utc
 
 BAD_LINE = "_bad_line"
 _TIMES = {"purchase_time", "ride_time"}
@@ -35,7 +37,11 @@ def parse_lines(lines: DataFrame, schema: T.StructType) -> DataFrame:
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_LINE}
     record = F.from_json(F.col("value"), wire, options)
     rows = lines.select(F.col("value"), record.alias("r"))
-    bad = F.coalesce(f"r.{BAD_LINE}", F.when(F.col("r").isNull(), F.col("value")))
+    # A time that cannot be read makes the whole line unreadable.
+    lost = [F.col(f"r.{f.name.upper()}").isNotNull() & _column(f).isNull()
+            for f in schema if f.name in _TIMES | _DATES]
+    unreadable = reduce(Column.__or__, lost, F.col("r").isNull())
+    bad = F.coalesce(f"r.{BAD_LINE}", F.when(unreadable, F.col("value")))
     return rows.select(*[_column(f) for f in schema], bad.alias(BAD_LINE))
 
 
@@ -65,9 +71,9 @@ def to_payload(df: DataFrame, schema: T.StructType, keep_nulls: bool) -> DataFra
     for field in schema:
         value = F.col(field.name)
         if field.name in _TIMES:
-            value = F.concat(F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
+            value = F.concat(iso_text(value), F.lit("+00:00"))
         elif field.name in _DATES:
-            value = F.concat(F.date_format(value, "yyyy-MM-dd"), F.lit("T00:00:00+00:00"))
+            value = F.concat(value.cast("string"), F.lit("T00:00:00+00:00"))
         elif isinstance(field.dataType, T.StructType):
             parts = [value[p.name].alias(p.name.upper()) for p in field.dataType]
             value = F.when(value.isNotNull(), F.struct(*parts))

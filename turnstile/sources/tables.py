@@ -1,7 +1,9 @@
 """Stored tables: scans with a declared schema, appends and partition overwrites."""
 
-from collections.abc import Collection
+from collections.abc import Collection, Iterator
+from contextlib import contextmanager
 from datetime import date
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -39,8 +41,15 @@ def _children(spark: SparkSession, path: str) -> list[str]:
     return [status.getPath().getName() for status in files.listStatus(folder)]
 
 
-def replace_partitions(df: DataFrame, path: str, schema: T.StructType, *partition_by: str) -> int:
-    """Overwrite the partitions ``df`` has rows for, leave the others; returns the row count.
+def replace_partitions(
+    df: DataFrame, path: str, schema: T.StructType, *partition_by: str,
+    replaced: Collection[tuple] | None = None,
+) -> int:
+    """Overwrite the partitions ``df`` has rows for; returns the row count.
+
+    ``replaced`` lists partitions, as values of the first columns of
+    ``partition_by``, that ``df`` stands for as a whole: what is stored below them
+    and has no rows any more goes.  All other partitions stay.
 
     The rebalance step gathers each partition's rows into files of the advisory
     size: small partitions get one file, large ones are split over many tasks.
@@ -48,18 +57,48 @@ def replace_partitions(df: DataFrame, path: str, schema: T.StructType, *partitio
     every other partition of the table.
     """
     counted = Observation()
+    key = F.struct(*[F.col(name).cast("string") for name in partition_by])
     (
         schemas.conform(df, schema)
         .hint("rebalance", *[F.col(name) for name in partition_by])
-        .observe(counted, F.count(F.lit(1)).alias("row_count"))
+        .observe(counted, F.count(F.lit(1)).alias("row_count"),
+                 F.collect_set(key).alias("written"))  # one entry per partition
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partition_by)
         .parquet(path)
     )
+    if replaced:
+        written = {tuple(row) for row in counted.get["written"]}
+        for values in replaced:
+            wanted = tuple(None if v is None else str(v) for v in values)
+            for parts, folder in _folders(df.sparkSession, path, len(partition_by), wanted):
+                if parts not in written:
+                    _delete(df.sparkSession, folder)
     return counted.get["row_count"]
 
 
+def _folders(
+    spark: SparkSession, path: str, depth: int, wanted: tuple[str | None, ...] = ()
+) -> Iterator[tuple[tuple[str | None, ...], str]]:
+    """Values and paths of the stored partitions that begin with ``wanted``."""
+    found = [((), path)]
+    for level in range(depth):
+        found = [
+            ((*values, _partition_value(name)), f"{folder}/{name}")
+            for values, folder in found for name in _children(spark, folder) if "=" in name
+        ]
+        if level < len(wanted):
+            found = [(values, folder) for values, folder in found if values[level] == wanted[level]]
+    yield from found
+
+
+def _partition_value(folder: str) -> str | None:
+    """The value Spark wrote a partition folder's name for."""
+    value = unquote(folder.split("=", 1)[1])
+    return None if value == "__HIVE_DEFAULT_PARTITION__" else value
+
+
 def append_rows(df: DataFrame, path: str, schema: T.StructType, *partition_by: str) -> None:
     """Append by column name.  Not for retried work: see ``replace_partitions`` for that."""
     schemas.conform(df, schema).write.mode("append").partitionBy(*partition_by).parquet(path)
@@ -81,32 +120,33 @@ def purge_acknowledged(
 ) -> None:
     """Drop rows up to ``before_id`` from a buffer partitioned by ``partition``.
 
-    Partitions above the mark stay untouched, those below it are deleted, and
-    only those the mark cuts through are rewritten, from a staged copy so that
-    no partition is ever read and replaced by the same job.
+    Partitions above the mark stay untouched.  What is left of the others is
+    staged, so that no partition is read and replaced by the same job, and put in
+    their place; those of which nothing is left go.  Rows without an id stay.
     """
-    reach = (
-        scan(spark, path, schema)
-        .groupBy(partition)
-        .agg(F.min(id_col).alias("low"), F.max(id_col).alias("high"))
-        .filter(F.col("low") <= before_id)
-        .collect()
-    )
-    cut = [row[partition] for row in reach if row["high"] > before_id]
-    if cut:
-        rows = scan(spark, path, schema).filter(F.col(partition).isin(cut))
-        left = staged(spark, retain_after(rows, id_col, before_id), schema, "purge")
-        replace_partitions(left, path, schema, partition)
-    for row in reach:
-        if row["high"] <= before_id:
-            _delete(spark, f"{path}/{partition}={row[partition]}")
-
-
-def staged(spark: SparkSession, df: DataFrame, schema: T.StructType, purpose: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: its lineage ends there."""
+    low = F.min(id_col) <= before_id
+    reach = scan(spark, path, schema).groupBy(partition).agg(low.alias("reached")).filter("reached")
+    values = [row[0] for row in reach.select(F.col(partition).cast("string")).collect()]
+    if not values:
+        return
+    key = F.col(partition).cast("string")
+    known = [value for value in values if value is not None]
+    cut = key.isin(known) | key.isNull() if None in values else key.isin(known)
+    left = retain_after(scan(spark, path, schema).filter(cut), id_col, before_id)
+    with staged(spark, left, schema, "purge") as rows:
+        replace_partitions(rows, path, schema, partition, replaced=[(value,) for value in values])
+
+
+@contextmanager
+def staged(spark: SparkSession, df: DataFrame, schema: T.StructType, purpose: str):
+    """``df`` written to the shared folder and read back while the block runs: its lineage
+    ends there."""
     path = shared_dir(spark, purpose)
     schemas.conform(df, schema).write.parquet(path)
-    return scan(spark, path, schema)
+    try:
+        yield scan(spark, path, schema)
+    finally:
+        _delete(spark, path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

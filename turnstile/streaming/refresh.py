@@ -29,6 +29,7 @@ from turnstile.sources.tables import replace_partitions, scan_dates, staged
 from turnstile.streaming.history import RefreshLog
 
 EARLIEST, FIRST_WRITER = "earliest", "first_writer"
+COMPACTED = -1
 EVERY_MINUTE = {"processingTime": "1 minute"}
 
 _BATCH = T.StructField("batch_id", T.LongType())
@@ -109,18 +110,31 @@ class RefreshJob:
             parts = rows.select("ride_date", "ride_block").distinct().collect()
             if not parts:
                 return
+            # Rides without a time are kept, but belong to no hour.
+            touched = [(part.ride_date, part.ride_block) for part in parts
+                       if part.ride_date is not None]
             log = RefreshLog(self.spark, self._path("refresh_history"), batch_id)
             log.step("lift_ride", len(parts), lambda: replace_partitions(
-                rows, self._path("lift_ride"), _STORED_RIDE,
+                self._unknown(rows, touched, batch_id), self._path("lift_ride"), _STORED_RIDE,
                 "ride_date", "ride_block", "batch_id"))
         finally:
             rows.unpersist()
-        # Rides without a time are kept, but belong to no hour.
-        touched = [(part.ride_date, part.ride_block) for part in parts if part.ride_date is not None]
         if touched:
             self._refresh_days(touched, batch_id, log)
         log.save()
 
+    def _unknown(
+        self, rows: DataFrame, touched: list[tuple[date, int]], batch_id: int
+    ) -> DataFrame:
+        """Rides a feed has not delivered before, in this batch or an earlier one, however
+        long ago: a ride delivered again has its time again and so meets the first one
+        in the same part of a day.  Rides without a ``txid`` cannot be told apart and stay."""
+        rows = _once(rows, "txid")
+        if not touched:
+            return rows
+        stored = self._rides_of(touched).filter(F.col("batch_id") != batch_id)
+        return rows.join(stored.select("txid"), "txid", "left_anti").select(rows.columns)
+
     def _refresh_days(
         self, touched: list[tuple[date, int]], batch_id: int, log: RefreshLog
     ) -> None:
@@ -132,7 +146,7 @@ class RefreshJob:
     def _refresh_blocks(self, touched: list[tuple[date, int]], log: RefreshLog) -> None:
         log.step("visitor_hours", len(touched), lambda: replace_partitions(
             hours.visitor_hours(self._rides_of(touched)), self._path("visitor_hours"),
-            schemas.VISITOR_HOURS, "ride_date", "ride_block"))
+            schemas.VISITOR_HOURS, "ride_date", "ride_block", replaced=touched))
 
     def _refresh_visits(
         self, touched: list[tuple[date, int]], dates: list[date], batch_id: int, log: RefreshLog
@@ -141,7 +155,7 @@ class RefreshJob:
         if self.policy == EARLIEST:
             visits = daily_visits(self._visitor_hours(dates), self.passes(), self.tickets())
             log.step("daily_visits", len(dates), lambda: replace_partitions(
-                visits, path, schemas.DAILY_VISITS, "visit_date"))
+                visits, path, schemas.DAILY_VISITS, "visit_date", replaced=_each(dates)))
             return
         known = scan_dates(self.spark, path, _STORED_VISIT, "visit_date", dates)
         fresh = self._rides_of(touched).filter(F.col("batch_id") == batch_id)
@@ -149,7 +163,8 @@ class RefreshJob:
             fresh, self.passes(), self.tickets(), known.filter(F.col("batch_id") < batch_id)
         ).withColumn("batch_id", F.lit(batch_id))
         log.step("daily_visits", len(dates), lambda: replace_partitions(
-            visits, path, _STORED_VISIT, "visit_date", "batch_id"))
+            visits, path, _STORED_VISIT, "visit_date", "batch_id",
+            replaced=[(day, batch_id) for day in dates]))
 
     def _refresh_summaries(self, dates: list[date], log: RefreshLog) -> None:
         hourly = hours.hourly_summary_of(
@@ -157,17 +172,17 @@ class RefreshJob:
         )
         log.step("hourly_resort_summary", len(dates), lambda: replace_partitions(
             hourly, self._path("hourly_resort_summary"), schemas.HOURLY_RESORT_SUMMARY,
-            "ride_date"))
+            "ride_date", replaced=_each(dates)))
         stored = self._dated("hourly_resort_summary", schemas.HOURLY_RESORT_SUMMARY, dates)
         log.step("daily_resort_summary", len(dates), lambda: replace_partitions(
             rollups.daily_summary(stored), self._path("daily_resort_summary"),
-            schemas.DAILY_RESORT_SUMMARY, "ride_date"))
+            schemas.DAILY_RESORT_SUMMARY, "ride_date", replaced=_each(dates)))
         mondays = {day - timedelta(days=day.weekday()) for day in dates}
         days = {monday + timedelta(days=n) for monday in mondays for n in range(7)}
         daily = self._dated("daily_resort_summary", schemas.DAILY_RESORT_SUMMARY, days)
         log.step("weekly_resort_summary", len(mondays), lambda: replace_partitions(
             rollups.weekly_summary(daily), self._path("weekly_resort_summary"),
-            schemas.WEEKLY_RESORT_SUMMARY, "week_start_date"))
+            schemas.WEEKLY_RESORT_SUMMARY, "week_start_date", replaced=_each(sorted(mondays))))
 
     # Late sales
 
@@ -180,14 +195,32 @@ class RefreshJob:
         else:
             schema, partition_by = _STORED_VISIT, ["visit_date", "batch_id"]
         recorded = scan_dates(self.spark, path, schema, "visit_date", dates)
-        repaired = staged(
-            self.spark, reenrich(recorded, self.passes(), self.tickets()), schema, "repair"
-        )
-        log.step("daily_visits", len(dates), lambda: replace_partitions(
-            repaired, path, schema, *partition_by))
+        found = reenrich(recorded, self.passes(), self.tickets())
+        with staged(self.spark, found, schema, "repair") as repaired:
+            log.step("daily_visits", len(dates), lambda: replace_partitions(
+                repaired, path, schema, *partition_by))
         self._refresh_summaries(dates, log)
         log.save()
 
+    # Closed days
+
+    def compact(self, dates: list[date]) -> None:
+        """Put the batches of days that get few rides any more into one folder per part.
+
+        The folder is no batch's, so that a batch that runs again finds its rides
+        stored and adds nothing.  Run it between batches.
+        """
+        tables = [("lift_ride", _STORED_RIDE, ["ride_date", "ride_block"], ["txid"])]
+        if self.policy == FIRST_WRITER:
+            tables.append(("daily_visits", _STORED_VISIT, ["visit_date"], ["rfid", "resort", "visit_date"]))
+        for name, schema, part, key in tables:
+            path = self._path(name)
+            rows = scan_dates(self.spark, path, schema, part[0], dates)
+            # Once: a compaction that broke off has written rows it has not yet removed.
+            joined = _once(rows, *key).withColumn("batch_id", F.lit(COMPACTED))
+            with staged(self.spark, joined, schema, "compact") as once:
+                replace_partitions(once, path, schema, *part, "batch_id", replaced=_each(dates))
+
     # Stored tables
 
     def chain(self) -> StoredChain:
@@ -216,3 +249,13 @@ class RefreshJob:
         return scan_dates(
             self.spark, self._path("daily_visits"), schemas.DAILY_VISITS, "visit_date", dates
         )
+
+
+def _once(rows: DataFrame, *key: str) -> DataFrame:
+    """One row for each key; rows without one cannot be told apart and stay."""
+    known = F.col(key[0]).isNotNull()
+    return rows.filter(known).dropDuplicates(list(key)).unionByName(rows.filter(~known))
+
+
+def _each(values: list[date]) -> list[tuple[date]]:
+    return [(value,) for value in values]
