@@ -1,7 +1,8 @@
+import random
 import re
 
 import pytest
-from samples import corpus, documents, empty_documents, odd_documents
+from samples import corpus, documents, empty_documents, odd_documents, prose
 
 from turnstile.llm import linededup
 from turnstile.llm.linededup import LineDedup
@@ -27,14 +28,24 @@ def result(frame):
     return {r.doc_id: [int(n) for n in r.removed_lines.split(",") if n] for r in frame.collect()}
 
 
-@pytest.mark.parametrize("limit", [0, 1])
-def test_against_all_lines(spark, monkeypatch, limit):
-    # 0: one line of a list at a time to the end.
-    monkeypatch.setattr(linededup, "PAIRS_PER_ROW", limit)
-    rows = corpus(seed=5, count=60)
+@pytest.mark.parametrize("block", [3, 512])
+def test_against_all_lines(spark, monkeypatch, block):
+    monkeypatch.setattr(linededup, "BLOCK", block)
+    rows = corpus(seed=5, count=60) + [(1000 + i, t) for i, t in family()]
     assert result(LineDedup(documents(spark, rows)).report()) == brute(rows)
 
 
+def family():
+    """Copies of a line with an edit or two: some match the first, some only each other."""
+    dice = random.Random(3)
+    base = prose(dice, 60).split(" ")
+    for i in range(40):
+        words = list(base)
+        for _ in range(dice.randrange(0, 4)):
+            words[dice.choice([4, 5, 6, 30, 55, 56])] = f"w{dice.randrange(4)}"
+        yield i, " ".join(words)
+
+
 def test_large_ids(spark):
     rows = [(i * 10**16 - 5 * 10**17, t) for i, t in corpus(seed=6, count=30)]
     assert result(LineDedup(documents(spark, rows)).report()) == brute(rows)

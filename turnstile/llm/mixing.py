@@ -105,8 +105,8 @@ class Mix:
             .withColumn("whole", F.coalesce(whole, F.lit(0)))
             .withColumn("due", F.col("whole") * F.col("blocks") + F.ceil(rest / self.block_words))
             .withColumn("all_due", F.sum("due").over(all_rows))
-            .withColumn("upto", F.sum("due").over(shares) / F.col("all_due"))
-            .withColumn("since", (F.sum("due").over(shares) - F.col("due")) / F.col("all_due"))
+            .withColumn("upto", F.try_divide(F.sum("due").over(shares), F.col("all_due")))
+            .withColumn("since", F.try_divide(F.sum("due").over(shares) - F.col("due"), F.col("all_due")))
             .select("source", "number", "source_size", "target", "due_words", "blocks", "due",
                     "since", "upto"),
             "mix-sources",
