@@ -14,15 +14,24 @@ BITS = 22
 
 
 def bit_filter(df: DataFrame, column: str) -> np.ndarray:
-    """Bits of the low ends of all numbers in ``column``; at most ``2**BITS`` rows reach the driver."""
-    slot = F.col(column).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
-    slots = df.select(slot.alias("slot")).distinct().toPandas()["slot"].to_numpy(dtype=np.int64)
-    bits = np.zeros(1 << BITS, dtype=bool)
-    bits[slots] = True
-    return np.packbits(bits)
+    """Bits of the low ends of all numbers in ``column``, gathered by Spark in words of 64;
+    at most ``2**BITS / 64`` rows reach the driver."""
+    slot = F.col(column).bitwiseAND(F.lit((1 << BITS) - 1))
+    words = df.select(
+        F.shiftright(slot, 6).cast("int").alias("word"),
+        F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+        .alias("bit"),
+    ).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    packed = np.zeros(1 << (BITS - 6), dtype=np.int64)
+    packed[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return packed.view(np.uint64)
 
 
 def tester(packed: np.ndarray):
-    bits = np.unpackbits(packed).astype(bool)
-    mask = np.uint64((1 << BITS) - 1)
-    return lambda hashes: bits[(hashes & mask).astype(np.int64)]
+    mask, low = np.uint64((1 << BITS) - 1), np.uint64(63)
+
+    def test(hashes: np.ndarray) -> np.ndarray:
+        slot = hashes & mask
+        return (packed[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & low)) & np.uint64(1) != 0
+
+    return test

@@ -10,9 +10,11 @@ the threshold (length filter) and enough tokens left behind the shared one
 one, by ``doc_id`` and line number, is removed.
 
 Lines with equal sets are one class, represented by its first line.  Lines with
-a shared prefix token are compared to the first line that has it; a line that
-still matches nothing is compared to the next one, and so on.  Once few pairs
-are left, all of them are tested at once.
+a shared prefix token are compared to the first line that has it, which settles
+most of a large group.  In lists with lines that still match nothing, these are
+compared to all earlier ones, inside tasks and in blocks, so that no task holds a
+whole list and no pair becomes a row: first by their prefixes and sizes, then
+what is left by whole sets.
 
 Defined cases: lines without words stay; a null text stays null; rows without a
 ``doc_id`` stay as they are and remove nothing; rows that repeat a ``doc_id``
@@ -31,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from turnstile.llm.blocks import block_pairs, in_blocks, runs, shared_counts
 from turnstile.llm.common import staged
 from turnstile.llm.filters import bit_filter, tester
 from turnstile.llm.words import (
@@ -39,7 +42,7 @@ from turnstile.llm.words import (
 
 COUNTERS = 16
 RANK_BITS, HASH_BITS = 6, 38
-PAIRS_PER_ROW = 1
+BLOCK = 512  # lines of a list in one block
 
 
 def line_edges(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,9 +80,9 @@ def rarity_ranks(docs: DataFrame, size: int) -> np.ndarray:
             [pa.array(used.astype(np.int32)), pa.array(total[used])], ["slot", "n"])
 
     counts = docs.select("text").mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(
-        F.sum("n").alias("n")).toPandas()
+        F.sum("n").alias("n")).toArrow()
     total = np.zeros(1 << COUNTERS)
-    total[counts["slot"].to_numpy(dtype=np.int64)] = counts["n"]
+    total[counts["slot"].to_numpy()] = counts["n"].to_numpy()
     # Slots hold a share of all rare tokens each; ranks tell what stands out above that.
     even = max(1.0, float(np.median(total)))
     return np.clip(np.round(8 * np.log2(np.maximum(total, 1) / even)), 0, 63).astype(np.uint8)
@@ -113,7 +116,10 @@ def line_keys(tokens: np.ndarray, lines: np.ndarray, count: int) -> tuple[np.nda
 
 
 def sketched(docs: DataFrame, ranks: np.ndarray, size: int, percent: int) -> DataFrame:
-    """Per document: lines, and of each line with words its set size, key and prefix."""
+    """Per document: lines, and of each line with words its number, set size, key and prefix.
+
+    Prefixes follow each other in one array; ``prefix_length`` tells them apart.
+    """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = fold_table("non_space")
@@ -124,50 +130,53 @@ def sketched(docs: DataFrame, ranks: np.ndarray, size: int, percent: int) -> Dat
                 sizes = np.bincount(lines, minlength=len(edges) - 1)
                 key_a, key_b = line_keys(tokens, lines, len(sizes))
                 ends = np.concatenate([[0], np.cumsum(sizes)])
-                prefix = np.where(sizes > 0, sizes - -(-sizes * percent // 100) + 1, 0)
+                prefix = np.where(sizes > 0, prefix_length(sizes, percent), 0)
                 place = np.arange(len(tokens)) - np.repeat(ends[:-1], sizes)
                 kept = place < np.repeat(prefix, sizes)
                 used = np.flatnonzero(sizes)
                 text = np.repeat(np.arange(len(heads) - 1), np.diff(heads))
-                rows = pa.StructArray.from_arrays(
-                    [pa.array((used - heads[text[used]]).astype(np.int32)),
-                     pa.array(sizes[used].astype(np.int32)),
-                     pa.array(signed(key_a[used])), pa.array(signed(key_b[used])),
-                     lists(signed(tokens[kept]), np.concatenate([[0], np.cumsum(prefix[used])]))],
-                    ["line", "k", "key_a", "key_b", "prefix"])
+                edges_of = np.searchsorted(used, heads)
+                ends_of = np.concatenate([[0], np.cumsum(prefix)])[heads]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, len(offsets) - 1),
                      pa.array(np.diff(heads), pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(np.searchsorted(used, heads), pa.int32()), rows)],
-                    ["doc_id", "n_lines", "lines"])
+                     lists((used - heads[text[used]]).astype(np.int32), edges_of),
+                     lists(sizes[used].astype(np.int32), edges_of),
+                     lists(signed(key_a[used]), edges_of), lists(signed(key_b[used]), edges_of),
+                     lists(signed(tokens[kept]), ends_of)],
+                    ["doc_id", "n_lines", "line", "k", "key_a", "key_b", "prefix"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        sketch, "doc_id bigint, n_lines bigint, lines array<struct<line:int,k:int,key_a:bigint,"
-                "key_b:bigint,prefix:array<bigint>>>")
+        sketch, "doc_id bigint, n_lines bigint, line array<int>, k array<int>, key_a array<bigint>, "
+                "key_b array<bigint>, prefix array<bigint>")
+
 
+def prefix_length(sizes: np.ndarray, percent: int) -> np.ndarray:
+    return sizes - -(-sizes * percent // 100) + 1
 
-def postings(firsts: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
-    """(``token``, ``node``, size, position) of the prefixes, if wanted only some tokens."""
-    node = firsts.schema["node"].dataType.simpleString()
+
+def postings(lines: DataFrame, percent: int, wanted: np.ndarray | None = None) -> DataFrame:
+    """(``token``, ``doc_id``, ``line``, size, position) of all prefixes, if wanted only some tokens."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = None if wanted is None else tester(wanted)
         for batch in batches:
-            prefix = batch.column(2)
-            tokens = prefix.flatten()
-            counts = np.diff(prefix.offsets.to_numpy())
-            row = np.repeat(np.arange(len(counts)), counts)
+            per_doc = np.diff(batch.column(1).offsets.to_numpy())
+            line, k = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
+            tokens = batch.column(3).flatten().to_numpy()
+            counts = prefix_length(k.astype(np.int64), percent)
+            row = np.repeat(np.arange(len(k)), counts)
             place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
             if test:
-                kept = np.flatnonzero(test(tokens.to_numpy().view(np.uint64)))
-                tokens, row, place = tokens.take(pa.array(kept)), row[kept], place[kept]
-            rows = pa.array(row)
+                kept = np.flatnonzero(test(tokens.view(np.uint64)))
+                tokens, row, place = tokens[kept], row[kept], place[kept]
+            doc = np.repeat(np.arange(len(per_doc)), per_doc)[row]
             yield pa.RecordBatch.from_arrays(
-                [tokens, batch.column(0).take(rows), batch.column(1).take(rows),
-                 pa.array(place.astype(np.int32))], ["token", "node", "k", "at"])
+                [pa.array(tokens), batch.column(0).take(pa.array(doc)), pa.array(line[row]),
+                 pa.array(k[row]), pa.array(place.astype(np.int32))], ["token", "doc_id", "line", "k", "at"])
 
-    return firsts.select("node", "k", "prefix").mapInArrow(
-        post, f"token bigint, node {node}, k int, at int")
+    return lines.filter("doc_id IS NOT NULL").select("doc_id", "line", "k", "prefix").mapInArrow(
+        post, "token bigint, doc_id bigint, line int, k int, at int")
 
 
 def full_sets(docs: DataFrame, wanted: np.ndarray, ranks: np.ndarray, size: int) -> DataFrame:
@@ -199,6 +208,91 @@ def full_sets(docs: DataFrame, wanted: np.ndarray, ranks: np.ndarray, size: int)
         emit, "doc_id bigint, line int, tokens array<bigint>")
 
 
+def prefixes(lines: DataFrame, percent: int, wanted: np.ndarray) -> DataFrame:
+    """Whole prefixes of (at least) the lines that have a wanted token in theirs."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = tester(wanted)
+        for batch in batches:
+            per_doc = np.diff(batch.column(1).offsets.to_numpy())
+            line, k = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
+            tokens = batch.column(3).flatten().to_numpy()
+            counts = prefix_length(k.astype(np.int64), percent)
+            ends = np.concatenate([[0], np.cumsum(counts)])
+            hits = np.concatenate([[0], np.cumsum(test(tokens.view(np.uint64)))])
+            kept = np.flatnonzero(hits[ends[1:]] > hits[ends[:-1]])
+            borders = np.concatenate([[0], np.cumsum(counts[kept])])
+            take = np.arange(borders[-1]) + np.repeat(ends[kept] - borders[:-1], counts[kept])
+            doc = np.repeat(np.arange(len(per_doc)), per_doc)[kept]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(doc)), pa.array(line[kept]), lists(tokens[take], borders)],
+                ["doc_id", "line", "prefix"])
+
+    return lines.filter("doc_id IS NOT NULL").select("doc_id", "line", "k", "prefix").mapInArrow(
+        cut, "doc_id bigint, line int, prefix array<bigint>")
+
+
+def open_pairs(run: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of an earlier line and a later one that matches nothing so far."""
+    nodes, done = run.column(4).to_pylist(), run.column(5).to_numpy(zero_copy_only=False)
+    rank = np.empty(len(nodes), dtype=np.int64)
+    rank[sorted(range(len(nodes)), key=nodes.__getitem__)] = np.arange(len(nodes))
+    a, b = block_pairs(run)
+    swap = rank[a] > rank[b]
+    a, b = np.where(swap, b, a), np.where(swap, a, b)
+    kept = ~done[b]
+    return a[kept], b[kept]
+
+
+def close_lines(members: DataFrame, percent: int) -> DataFrame:
+    """(``token``, ``node``) of lines of a list that the filters leave a partner in it.
+
+    Of two lines, the prefix that ends first in the order of tokens holds all that the
+    other can share with it up to there, so the tokens shared by the prefixes and
+    what is left of that line bound their intersection.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in runs(batches, 3):
+            a, b = open_pairs(run)
+            k = run.column(6).to_numpy().astype(np.int64)
+            prefix = run.column(7)
+            counts = np.diff(prefix.offsets.to_numpy())
+            tokens = prefix.flatten().to_numpy()
+            ends = np.cumsum(counts)
+            last, behind = tokens[ends - 1], k - counts
+            fits = 100 * np.minimum(k[a], k[b]) >= percent * np.maximum(k[a], k[b])
+            a, b = a[fits], b[fits]
+            shared = shared_counts(tokens, np.repeat(np.arange(len(k)), counts), len(k))[a, b]
+            most = shared + np.where(last[a] == last[b], np.minimum(behind[a], behind[b]),
+                                     np.where(last[a] < last[b], behind[a], behind[b]))
+            kept = 100 * most >= percent * (k[a] + k[b] - most)
+            rows = pa.array(np.unique(np.concatenate([a[kept], b[kept]])))
+            yield pa.RecordBatch.from_arrays(
+                [run.column(0).take(rows), run.column(4).take(rows)], ["token", "node"])
+
+    node = members.schema["node"].dataType.simpleString()
+    return in_blocks(members, BLOCK, "token", "node", "done", "k", "prefix").mapInArrow(
+        cut, f"token bigint, node {node}")
+
+
+def matching_lines(members: DataFrame, percent: int) -> DataFrame:
+    """``node`` of open lines whose whole set matches an earlier line's of their list."""
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in runs(batches, 3):
+            a, b = open_pairs(run)
+            tokens = run.column(6)
+            k = np.diff(tokens.offsets.to_numpy())
+            shared = shared_counts(tokens.flatten().to_numpy(), np.repeat(np.arange(len(k)), k), len(k))[a, b]
+            hit = 100 * shared >= percent * (k[a] + k[b] - shared)
+            yield pa.RecordBatch.from_arrays(
+                [run.column(4).take(pa.array(np.unique(b[hit])))], ["node"])
+
+    node = members.schema["node"].dataType.simpleString()
+    return in_blocks(members, BLOCK, "token", "node", "done", "tokens").mapInArrow(match, f"node {node}")
+
+
 class LineDedup:
     """Lines of ``docs`` (``doc_id``, ``text``) that match an earlier line."""
 
@@ -206,17 +300,18 @@ class LineDedup:
         self.docs, self.size, self.percent = docs, size, percent
         self.ranks = rarity_ranks(docs, size)
         self.lines = staged(sketched(docs, self.ranks, size, percent), "lines")
-        each = self.lines.filter("doc_id IS NOT NULL").select("doc_id", F.inline("lines"))
+        each = self.lines.filter("doc_id IS NOT NULL").select(
+            "doc_id", F.inline(F.arrays_zip("line", "k", "key_a", "key_b")))
         # Order of lines as one number; ids that leave no room for it need a decimal.
         low, high, last = each.agg(F.min("doc_id"), F.max("doc_id"), F.max("line")).first()
         fits = low is not None and low >= 0 and high < 1 << 39 and last < 1 << 24
         kind, room = ("long", 24) if fits else ("decimal(38,0)", 31)
-        self.place = lambda: F.col("doc_id").cast(kind) * F.lit(1 << room).cast(kind) + F.col("line")
-        self.each = each.withColumn("node", self.place().cast(kind))
+        place = F.col("doc_id").cast(kind) * F.lit(1 << room).cast(kind) + F.col("line")
+        self.place = lambda: place.cast(kind).alias("node")
+        self.each = each.select("*", self.place())
         self.classes = staged(
             self.each.groupBy("k", "key_a", "key_b")
-            .agg(F.min(F.struct("node", "prefix")).alias("first"), F.count(F.lit(1)).alias("copies"))
-            .select("k", "key_a", "key_b", "copies", "first.node", "first.prefix"),
+            .agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("copies")),
             "classes",
         )
         self.later = staged(self._later(), "later")
@@ -224,61 +319,33 @@ class LineDedup:
     def _later(self) -> DataFrame:
         """``node`` of first lines that match the first line of an earlier class."""
         tokens = (
-            postings(self.classes).groupBy("token")
+            postings(self.lines, self.percent).select("token", self.place()).groupBy("token")
             .agg(F.min("node").alias("hub"), F.max("node").alias("last"))
             .filter("hub < last").select("token", "hub")
         )
         tokens = staged(tokens, "tokens")
-        wanted = bit_filter(tokens, "token")
-        shared = staged(postings(self.classes, wanted).join(tokens, "token"), "postings")
-        later = None
-        while True:
-            # ``hub`` is the last line of its list that every later one was compared to.
-            fresh = shared.filter("node > hub")
-            matched = staged(self._matches(fresh), "matched")
-            later = matched if later is None else staged(
-                later.unionByName(matched).distinct(), "matched")
-            open_ = fresh.join(later.withColumn("done", F.lit(True)), "node", "left")
-            # All pairs of a list whose later line is open: its place in the list, less the hub.
-            lists_ = open_.groupBy("token").agg(
-                F.count(F.lit(1)).alias("n"),
-                F.count(F.when(F.col("done").isNull(), 1)).alias("n_open"))
-            lists_ = staged(lists_.filter("n > 1 AND n_open > 0"), "open")
-            pairs, rows = lists_.agg(F.sum(F.col("n") * F.col("n_open")), F.sum("n")).first()
-            if not pairs:
-                return later.select("node")
-            left = staged(open_.join(lists_.select("token"), "token").drop("hub"), "left")
-            if pairs <= PAIRS_PER_ROW * max(rows, self.classes.count()):
-                other = left.select("token", F.col("node").alias("hub"), F.col("k").alias("hub_k"),
-                                    F.col("at").alias("hub_at"))
-                need = F.ceil((F.col("k") + F.col("hub_k")) * self.percent / (100 + self.percent))
-                behind = F.least(F.col("k") - F.col("at"), F.col("hub_k") - F.col("hub_at"))
-                close = (
-                    left.filter("done IS NULL").join(other, "token")
-                    .filter((F.col("hub") < F.col("node")) & self._sizes("k", "hub_k") & (behind >= need))
-                )
-                return later.unionByName(self._matches(close)).distinct().select("node")
-            hubs = left.groupBy("token").agg(F.min("node").alias("hub"))
-            shared = staged(
-                left.join(hubs, "token").filter("done IS NULL OR node = hub").drop("done"), "postings")
-
-    def _sizes(self, a: str, b: str):
-        return 100 * F.least(a, b) >= self.percent * F.greatest(a, b)
+        some = postings(self.lines, self.percent, bit_filter(tokens, "token"))
+        shared = staged(
+            some.select("token", self.place(), "k", "at").join(tokens, "token")
+            .join(self.classes.select("node"), "node", "left_semi"), "postings")
+        later = staged(self._matches(shared.filter("node > hub")), "matched")
+
+        # Lists in which a line still matches nothing: all others in it are compared, too.
+        open_ = shared.filter("node > hub").join(later.withColumn("done", F.lit(True)), "node", "left").select(
+            "token", "node", "k", F.coalesce("done", F.lit(False)).alias("done"))
+        lists_ = open_.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("done").alias("all_done"))
+        lists_ = staged(lists_.filter("n > 1 AND NOT all_done").select("token"), "open")
+        left = staged(open_.join(lists_, "token"), "left")
+        prefix = prefixes(self.lines, self.percent, bit_filter(lists_, "token")).select(self.place(), "prefix")
+        near = staged(close_lines(left.join(prefix, "node"), self.percent).distinct(), "near")
+        members = near.join(left.drop("k"), ["token", "node"]).join(self._sets(near.select("node").distinct()), "node")
+        found = matching_lines(members, self.percent)
+        return later.unionByName(found).distinct()
 
     def _matches(self, pairs: DataFrame) -> DataFrame:
         """Distinct later lines of the pairs (``hub``, ``node``) whose whole sets match."""
         pairs = staged(pairs.select("hub", "node").distinct(), "pairs")
-        nodes = pairs.select(F.explode(F.array("hub", "node")).alias("node")).distinct()
-        keys = self.classes.join(nodes, "node", "left_semi").select("key_a")
-        sets = staged(
-            full_sets(self.docs, bit_filter(keys, "key_a"), self.ranks, self.size)
-            .filter("doc_id IS NOT NULL")
-            .withColumn("node", self.place())
-            .select(F.col("node").cast(self.classes.schema["node"].dataType).alias("node"),
-                    F.array_distinct("tokens").alias("tokens"))
-            .join(nodes, "node", "left_semi"),
-            "sets",
-        )
+        sets = self._sets(pairs.select(F.explode(F.array("hub", "node")).alias("node")).distinct())
         shared = F.size(F.array_intersect("tokens", "hub_tokens"))
         union = F.size("tokens") + F.size("hub_tokens") - shared
         return (
@@ -288,6 +355,17 @@ class LineDedup:
             .select("node").distinct()
         )
 
+    def _sets(self, nodes: DataFrame) -> DataFrame:
+        """Whole token sets of some first lines."""
+        keys = self.classes.join(nodes, "node", "left_semi").select("key_a")
+        return staged(
+            full_sets(self.docs, bit_filter(keys, "key_a"), self.ranks, self.size)
+            .filter("doc_id IS NOT NULL")
+            .select(self.place(), F.array_distinct("tokens").alias("tokens"))
+            .join(nodes, "node", "left_semi"),
+            "sets",
+        )
+
     def removed(self) -> DataFrame:
         """``doc_id`` and ``line`` (from 0) of every line that goes."""
         affected = (
