@@ -1,23 +1,24 @@
 """License scans by MinHash over text windows, in DataFrame functions only.
 
-A text's word pairs are hashed once; windows of ``2 * BLOCK`` pairs start every
-``BLOCK`` pairs.  A window's MinHash values are the least of its hashes under
-``FUNCTIONS`` exclusive ors, computed per block and combined.  Every value is a
-band of one row, which favours recall: a notice of five words fills a third of
-a window and shares a band with it with a probability of 0.998, a longer one or
-a window inside a longer text more surely.  Templates are cut at every pair, so
+A text's word triples are hashed once; windows of ``2 * BLOCK`` triples start
+every ``BLOCK`` triples.  A window's MinHash values are the least of its hashes
+under ``FUNCTIONS`` exclusive ors, computed per block and combined.  Every value is
+a band of one row, which favours recall: a notice of five words fills a quarter of
+a window and shares a band with it with a probability of 0.997, a longer one or a
+window inside a longer text more surely.  Templates are cut at every triple, so
 that a window inside one equals one of theirs.  What a window retrieves is
-verified by exact containment: of a template's distinct word pairs, at least
+verified by exact containment: of a template's distinct triples, at least
 ``percent`` must be found in the words around the window, no farther away than
 the template is long.  Of several verified templates in a window the one best
 contained is reported.
 
 Templates are a parameter: they are part of the plan, as literals for the first
-test and as a small broadcast table for retrieval.
+test and as a small broadcast table for retrieval.  Only texts that share a band
+with a template keep their triples and values beyond the scan.
 
-Defined cases: a null or empty text, or one of a single word, holds no license;
-rows that repeat a ``doc_id`` are scanned each by its own text; no templates
-find nothing.  Other columns are not read.
+Defined cases: a null or empty text, or one of two words, holds no license; rows
+that repeat a ``doc_id`` are scanned each by its own text; no templates find
+nothing.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from turnstile.llm.common import staged
 
 BLOCK = 6
-FUNCTIONS = 16
-PERCENT = 80
+FUNCTIONS = 20
+PERCENT = 60
 # A run of odd multiples of the golden ratio as exclusive-or masks.
 MASKS = [((2 * i + 1) * 0x9E3779B97F4A7C15) % 2**64 for i in range(FUNCTIONS)]
 MASKS = [m - 2**64 if m >= 2**63 else m for m in MASKS]
@@ -72,25 +73,31 @@ NOTICES = [
 ]
 
 
-def word_pairs(text: Column) -> Column:
-    """Hashes of every two words in a row; words are runs of letters, digits and non-ASCII."""
+def neighbours(values: Column) -> Column:
+    """A hash of every two elements in a row."""
+    less = F.greatest(F.size(values) - 1, F.lit(0))
+    return F.zip_with(
+        F.slice(values, F.lit(1), less), F.slice(values, F.lit(2), less), lambda a, b: F.xxhash64(a, b))
+
+
+def word_triples(text: Column) -> Column:
+    """Hashes of every three words in a row, by their two pairs; words are runs of letters,
+    digits and non-ASCII."""
     words = F.filter(F.split(F.lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
-    return F.get(F.transform(F.array(words), lambda w: F.zip_with(
-        F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))),
-        F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))),
-        lambda a, b: F.xxhash64(a, b))), F.lit(0))
+    pairs = F.get(F.transform(F.array(words), lambda w: neighbours(w)), F.lit(0))
+    return F.get(F.transform(F.array(pairs), lambda p: neighbours(p)), F.lit(0))
 
 
-def least_values(pairs: Column) -> Column:
+def least_values(triples: Column) -> Column:
     """MinHash values, one for each mask."""
     masks = F.array(*[F.lit(m) for m in MASKS])
-    return F.transform(masks, lambda m: F.array_min(F.transform(pairs, lambda h: h.bitwiseXOR(m))))
+    return F.transform(masks, lambda m: F.array_min(F.transform(triples, lambda h: h.bitwiseXOR(m))))
 
 
-def blocks(pairs: Column) -> Column:
-    count = F.ceil(F.size(pairs) / BLOCK).cast("int")
+def blocks(triples: Column) -> Column:
+    count = F.ceil(F.size(triples) / BLOCK).cast("int")
     at = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: least_values(F.slice(pairs, i * BLOCK + 1, F.lit(BLOCK))))
+    return F.transform(at, lambda i: least_values(F.slice(triples, i * BLOCK + 1, F.lit(BLOCK))))
 
 
 def windows(cut: Column) -> Column:
@@ -102,16 +109,16 @@ def windows(cut: Column) -> Column:
 
 
 def templates(spark: SparkSession, notices: list[tuple[str, str]] = NOTICES) -> DataFrame:
-    """``template``, ``license``, its distinct pairs and length, and all MinHash values of its windows."""
+    """``template``, ``license``, its distinct triples and length, and all MinHash values of its windows."""
     width = 2 * BLOCK
-    starts = F.sequence(F.lit(1), F.greatest(F.size("pairs") - width + 1, F.lit(1)))
-    values = F.flatten(F.transform(starts, lambda i: least_values(F.slice("pairs", i, F.lit(width)))))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("triples") - width + 1, F.lit(1)))
+    values = F.flatten(F.transform(starts, lambda i: least_values(F.slice("triples", i, F.lit(width)))))
     rows = [(i, name, text) for i, (name, text) in enumerate(notices)]
     return (
         spark.createDataFrame(rows, "template int, license string, text string")
-        .withColumn("pairs", word_pairs(F.col("text"))).filter(F.size("pairs") > 0)
-        .select("template", "license", F.array_distinct("pairs").alias("template_pairs"),
-                F.size("pairs").alias("length"), F.array_distinct(values).alias("values"))
+        .withColumn("triples", word_triples(F.col("text"))).filter(F.size("triples") > 0)
+        .select("template", "license", F.array_distinct("triples").alias("template_triples"),
+                F.size("triples").alias("length"), F.array_distinct(values).alias("values"))
     )
 
 
@@ -123,17 +130,17 @@ class LicenseScan:
         self.templates = templates(docs.sparkSession, notices)
         known = sorted({v for row in self.templates.select("values").collect() for v in row[0]})
         hit = F.exists("blocks", lambda b: F.exists(b, lambda v: v.isin(known)))
-        # Only texts with a hit keep their pairs and windows.
+        # Only texts with a hit keep their triples and windows.
         self.scanned = staged(
-            docs.select("doc_id", word_pairs(F.coalesce("text", F.lit(""))).alias("pairs"))
-            .withColumn("blocks", blocks(F.col("pairs")))
+            docs.select("doc_id", word_triples(F.coalesce("text", F.lit(""))).alias("triples"))
+            .withColumn("blocks", blocks(F.col("triples")))
             .withColumn("hit", hit)
             .select(
                 F.monotonically_increasing_id().alias("row"), "doc_id",
-                F.size("pairs").cast("long").alias("n_pairs"),
+                F.size("triples").cast("long").alias("n_triples"),
                 F.greatest(F.size("blocks") - 1, F.least(F.size("blocks"), F.lit(1))).cast("long")
                 .alias("n_windows"),
-                F.when(F.col("hit"), F.col("pairs")).alias("pairs"),
+                F.when(F.col("hit"), F.col("triples")).alias("triples"),
                 F.when(F.col("hit"), windows(F.col("blocks"))).alias("windows")),
             "windows")
 
@@ -144,14 +151,14 @@ class LicenseScan:
             .select("row", F.posexplode("windows").alias("window", "values"))
             .select("row", "window", F.explode("values").alias("value"))
             .join(F.broadcast(self.templates.select(
-                "template", "license", "template_pairs", "length", F.explode("values").alias("value"))), "value")
-            .groupBy("row", "window", "template", "license", "template_pairs", "length").agg(F.lit(1).alias("one"))
+                "template", "license", "template_triples", "length", F.explode("values").alias("value"))), "value")
+            .groupBy("row", "window", "template", "license", "template_triples", "length").agg(F.lit(1).alias("one"))
         )
         start = F.greatest(F.col("window") * BLOCK - F.col("length"), F.lit(0))
-        around = F.slice("pairs", start + 1, 2 * F.col("length") + 2 * BLOCK)
-        found = F.size(F.array_intersect("template_pairs", around)) / F.size("template_pairs")
+        around = F.slice("triples", start + 1, 2 * F.col("length") + 2 * BLOCK)
+        found = F.size(F.array_intersect("template_triples", around)) / F.size("template_triples")
         return (
-            retrieved.join(self.scanned.filter("windows IS NOT NULL").select("row", "doc_id", "pairs"), "row")
+            retrieved.join(self.scanned.filter("windows IS NOT NULL").select("row", "doc_id", "triples"), "row")
             .withColumn("containment", found)
             .filter(F.col("containment") * 100 >= self.percent)
             # Notices differ in a word or a number: the best in a place is the one that stands there.
