@@ -54,26 +54,45 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(parts, digest))
 
 
-def cells_of(digest: Column, slots: int) -> Column:
-    """The three cells that hold a digest."""
-    return F.array(*[
-        (F.lit(part * slots) + F.pmod(F.xxhash64(digest, F.lit(part)), F.lit(slots))).cast("int")
-        for part in range(PARTS)
-    ])
+def slots_of(digest: Column, slots: int) -> Column:
+    """The digest's slot in each part of a sketch."""
+    return F.array(*[F.pmod(F.xxhash64(digest, F.lit(part)), F.lit(slots)).cast("int") for part in range(PARTS)])
+
+
+def by_slot(placed: Column, slots: int, cell: Callable[[int, Column, Column], Column]) -> Column:
+    """``cell(part, slot, digests in it)`` for all slots of all parts, in order.
+
+    Digests are first dealt out to ``SLOTS`` runs of slots, so that a slot looks
+    through its run's digests only.
+    """
+    width = slots // SLOTS
+    shift = width.bit_length() - 1
+
+    def run(part: int, g: Column) -> Column:
+        here = F.filter(placed, lambda p: F.shiftright(p["at"][part], shift) == g)
+        if width == 1:
+            return F.array(let(here, lambda held: cell(part, g, held)))
+        slots_ = F.sequence(g * width, g * width + (width - 1))
+        return let(here, lambda all_: F.transform(slots_, lambda i: let(
+            F.filter(all_, lambda p: p["at"][part] == i), lambda held: cell(part, i, held))))
+
+    runs = F.sequence(F.lit(0), F.lit(SLOTS - 1))
+    def part_of(part: int) -> Column:
+        return F.transform(runs, lambda g: run(part, g))
+
+    return F.flatten(F.concat(*[part_of(part) for part in range(PARTS)]))
 
 
 def sketch(values: Column, slots: int) -> Column:
     """The cells of a set of digests: counts and exclusive ors."""
-    placed = F.transform(values, lambda d: F.struct(d.alias("d"), cells_of(d, slots).alias("at")))
+    placed = F.transform(values, lambda d: F.struct(d.alias("d"), slots_of(d, slots).alias("at")))
 
-    def cell(all_: Column, i: Column) -> Column:
-        held = F.filter(all_, lambda p: F.array_contains(p["at"], i))
+    def cell(part: int, slot: Column, held: Column) -> Column:
         return F.struct(
             F.size(held).alias("n"),
             F.aggregate(held, F.lit(0).cast("long"), lambda x, p: x.bitwiseXOR(p["d"])).alias("x"))
 
-    cells = F.sequence(F.lit(0), F.lit(PARTS * slots - 1))
-    return let(placed, lambda all_: F.transform(cells, lambda i: cell(all_, i)))
+    return let(placed, lambda all_: by_slot(all_, slots, cell))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -88,16 +107,15 @@ def peel(difference: Column, slots: int) -> Column:
         alone = F.filter(cells, lambda c: (F.abs(c["n"]) == 1)
                          & (check(c["x"]) == c["x"].bitwiseAND(F.lit(0xFFFF))))
         return F.array_distinct(F.transform(alone, lambda c: F.struct(
-            c["x"].alias("d"), c["n"].alias("n"), cells_of(c["x"], slots).alias("at"))))
+            c["x"].alias("d"), c["n"].alias("n"), slots_of(c["x"], slots).alias("at"))))
 
     def without(cells: Column, taken: Column) -> Column:
-        def less(c: Column, i: Column) -> Column:
-            here = F.filter(taken, lambda p: F.array_contains(p["at"], i))
-            return F.struct(
+        def less(part: int, slot: Column, here: Column) -> Column:
+            return let(F.get(cells, slot + part * slots), lambda c: F.when(F.size(here) == 0, c).otherwise(F.struct(
                 F.aggregate(here, c["n"], lambda x, p: x - p["n"]).alias("n"),
-                F.aggregate(here, c["x"], lambda x, p: x.bitwiseXOR(p["d"])).alias("x"))
+                F.aggregate(here, c["x"], lambda x, p: x.bitwiseXOR(p["d"])).alias("x"))))
 
-        return F.transform(cells, less)
+        return by_slot(taken, slots, less)
 
     def one_side(taken: Column, sign: int) -> Column:
         return F.transform(F.filter(taken, lambda p: p["n"] == sign), lambda p: p["d"])
