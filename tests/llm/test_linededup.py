@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from samples import corpus, documents, empty_documents, odd_documents, prose
 
@@ -77,3 +78,18 @@ def test_odd_documents(spark):
 def test_empty_table(spark):
     assert LineDedup(empty_documents(spark)).report().count() == 0
     assert LineDedup(empty_documents(spark)).apply().count() == 0
+
+
+def test_tokens_that_agree_when_shortened(spark):
+    """Hashes of these words agree in their first 38 bits, but they are different lines."""
+    rows = [(1, "w1104588"), (2, "w1203347"), (3, "w189978\nw2210528"), (4, "w1104588\nx")]
+    assert result(LineDedup(documents(spark, rows)).report()) == {1: [], 2: [], 3: [], 4: [0]}
+
+
+def test_distinct_tokens_are_whole():
+    base = 5 << 40
+    tokens = np.array([base, base + (1 << 20), base, 7, base], dtype=np.uint64)
+    ranks = np.zeros(1 << linededup.COUNTERS, dtype=np.uint8)
+    short, lines, whole = linededup.ordered_sets(tokens, np.array([0, 0, 0, 0, 1]), ranks)
+    assert lines.tolist() == [0, 0, 0, 1] and whole.tolist() == [7, base, base + (1 << 20), base]
+    assert short[1] == short[2]

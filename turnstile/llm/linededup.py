@@ -9,7 +9,8 @@ the threshold (length filter) and enough tokens left behind the shared one
 (positional filter); full token sets verify it.  Of two matching lines the later
 one, by ``doc_id`` and line number, is removed.
 
-Lines with equal sets are one class, represented by its first line.  Lines with
+Lines with equal sets of whole tokens (64 bits; the order of prefixes uses shortened
+ones) are one class, represented by its first line.  Lines with
 a shared prefix token are compared to the first line that has it, which settles
 most of a large group.  In lists with lines that still match nothing, these are
 compared to all earlier ones, inside tasks and in blocks, so that no task holds a
@@ -89,23 +90,30 @@ def rarity_ranks(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def ordered_sets(tokens: np.ndarray, lines: np.ndarray, ranks: np.ndarray):
-    """Distinct tokens of each line by (rank, hash); returns shortened tokens and lines."""
+    """Distinct tokens of each line by (rank, hash); returns shortened tokens, lines and whole tokens.
+
+    Tokens are distinct as a whole: two that only shorten to the same number both stay.
+    """
     rank = ranks[(tokens & np.uint64((1 << COUNTERS) - 1)).astype(np.int64)].astype(np.uint64)
     short = (rank << np.uint64(HASH_BITS)) | (tokens >> np.uint64(64 - HASH_BITS))
     if len(lines) and lines[-1] >> (64 - RANK_BITS - HASH_BITS):  # one text of a million lines
-        order = np.lexsort((short, lines))
-        short, lines = short[order], lines[order]
+        order = np.lexsort((tokens, short, lines))
     else:
         width = np.uint64(RANK_BITS + HASH_BITS)
-        packed = np.sort((lines.astype(np.uint64) << width) | short)
-        short, lines = packed & np.uint64((1 << int(width)) - 1), (packed >> width).astype(np.int64)
+        order = np.argsort((lines.astype(np.uint64) << width) | short)
+    short, lines, tokens = short[order], lines[order], tokens[order]
+    same = (short[1:] == short[:-1]) & (lines[1:] == lines[:-1])
+    if np.any(same & (tokens[1:] != tokens[:-1])):  # may stand between copies of each other
+        order = np.lexsort((tokens, short, lines))
+        short, lines, tokens = short[order], lines[order], tokens[order]
+        same = (short[1:] == short[:-1]) & (lines[1:] == lines[:-1])
     new = np.ones(len(short), dtype=bool)
-    new[1:] = (short[1:] != short[:-1]) | (lines[1:] != lines[:-1])
-    return short[new], lines[new]
+    new[1:] = ~same | (tokens[1:] != tokens[:-1])
+    return short[new], lines[new], tokens[new]
 
 
 def line_keys(tokens: np.ndarray, lines: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two numbers that tell sets of (shortened) tokens apart."""
+    """Two numbers that tell sets of whole tokens apart."""
     edges = np.searchsorted(lines, np.arange(count + 1))
     out = []
     with np.errstate(over="ignore"):
@@ -126,9 +134,9 @@ def sketched(docs: DataFrame, ranks: np.ndarray, size: int, percent: int) -> Dat
         for batch in batches:
             for first, raw, offsets in slices(batch.column(1)):
                 edges, heads = line_edges(raw, offsets)
-                tokens, lines = ordered_sets(*line_tokens(raw, edges, table, size), ranks)
+                tokens, lines, whole = ordered_sets(*line_tokens(raw, edges, table, size), ranks)
                 sizes = np.bincount(lines, minlength=len(edges) - 1)
-                key_a, key_b = line_keys(tokens, lines, len(sizes))
+                key_a, key_b = line_keys(whole, lines, len(sizes))
                 ends = np.concatenate([[0], np.cumsum(sizes)])
                 prefix = np.where(sizes > 0, prefix_length(sizes, percent), 0)
                 place = np.arange(len(tokens)) - np.repeat(ends[:-1], sizes)
@@ -188,8 +196,8 @@ def full_sets(docs: DataFrame, wanted: np.ndarray, ranks: np.ndarray, size: int)
             for first, raw, offsets in slices(batch.column(1)):
                 edges, heads = line_edges(raw, offsets)
                 full, of = line_tokens(raw, edges, table, size)
-                short, lines = ordered_sets(full, of, ranks)
-                keys, _ = line_keys(short, lines, len(edges) - 1)
+                _, lines, whole = ordered_sets(full, of, ranks)
+                keys, _ = line_keys(whole, lines, len(edges) - 1)
                 has = np.bincount(of, minlength=len(edges) - 1) > 0
                 used = np.flatnonzero(has & test(keys))
                 ends = np.searchsorted(of, np.concatenate([used, used + 1]))
@@ -249,7 +257,8 @@ def close_lines(members: DataFrame, percent: int) -> DataFrame:
 
     Of two lines, the prefix that ends first in the order of tokens holds all that the
     other can share with it up to there, so the tokens shared by the prefixes and
-    what is left of that line bound their intersection.
+    what is left of that line bound their intersection.  Tokens that shorten to the
+    same number leave open which prefix ends first, and count as shared.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,8 +272,10 @@ def close_lines(members: DataFrame, percent: int) -> DataFrame:
             last, behind = tokens[ends - 1], k - counts
             fits = 100 * np.minimum(k[a], k[b]) >= percent * np.maximum(k[a], k[b])
             a, b = a[fits], b[fits]
-            shared = shared_counts(tokens, np.repeat(np.arange(len(k)), counts), len(k))[a, b]
-            most = shared + np.where(last[a] == last[b], np.minimum(behind[a], behind[b]),
+            of = np.repeat(np.arange(len(k)), counts)
+            again = np.bincount(of[1:][(tokens[1:] == tokens[:-1]) & (of[1:] == of[:-1])], minlength=len(k))
+            shared = shared_counts(tokens, of, len(k))[a, b] + np.minimum(again[a], again[b])
+            most = shared + np.where(last[a] == last[b], np.maximum(behind[a], behind[b]),
                                      np.where(last[a] < last[b], behind[a], behind[b]))
             kept = 100 * most >= percent * (k[a] + k[b] - most)
             rows = pa.array(np.unique(np.concatenate([a[kept], b[kept]])))
