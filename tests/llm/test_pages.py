@@ -58,6 +58,14 @@ def test_site_templates_go(spark):
     assert got[12:] == [f"Our site\nFollow us\nother {i}" for i in range(3)]
 
 
+def test_copies_do_not_make_their_text_a_template(spark):
+    rows = [("http://a.com/copy", "<div>bar</div><div><p>one page</p><p>stored often</p></div>")] * 8
+    rows += [("http://a.com/copy", "<article><div><p>an article</p></div></article>")] * 8
+    rows += [(f"http://a.com/{i}", f"<div>bar</div><p>text {i}</p>") for i in range(6)]
+    got = texts(spark, rows)
+    assert got == ["one page\nstored often"] * 8 + ["an article"] * 8 + [f"text {i}" for i in range(6)]
+
+
 def test_passages_of_articles_stay(spark):
     rows = [("http://a.com/", f"<article><p>quoted everywhere</p><p>own {i}</p></article>") for i in range(9)]
     assert texts(spark, rows) == [f"quoted everywhere\nown {i}" for i in range(9)]

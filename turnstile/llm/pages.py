@@ -9,7 +9,8 @@ of the body.
 Independently of names, every element that may be part of a site's template is
 hashed with all it contains.  Spark counts on how many pages of its host a
 subtree occurs; those on at least ``LEAST_PAGES`` pages and ``SHARE`` of the
-host's pages are template and their blocks go.  Inside an article, paragraphs,
+host's pages are template and their blocks go.  Pages of a host with the same
+main blocks count as one, so that copies of a page do not vote for its text.  Inside an article, paragraphs,
 headings, lists' items and quotes are never template, as sites repeat passages,
 too.  As a template covers a share of a host's pages, a host has at most
 1 / ``SHARE`` times as many as its pages have elements.
@@ -17,7 +18,8 @@ too.  As a template covers a share of a host's pages, a host has at most
 Defined cases: a null or empty page has an empty text; markup without a body is
 read as one; unclosed elements end with their parents, and what is after an
 unclosed comment or script is part of it; a page without a url belongs to the
-host without a name; repeated rows are pages of their own.  Other columns are not
+host without a name; repeated rows keep a text each, but count
+once for templates; pages that differ in a block are different pages.  Other columns are not
 read.
 """
 
@@ -95,6 +97,11 @@ def skipped(name: str, attrs: dict[str, str], in_article: bool) -> bool:
     return any(PARTS.fullmatch(w) for w in words if w) or (not in_article and "header" in words)
 
 
+def digest(text: str) -> int:
+    return int.from_bytes(
+        blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
 class Page:
     """Blocks of a page and hashes of its subtrees, gathered in one pass over its tags."""
 
@@ -190,9 +197,7 @@ class Page:
         if not skip and name in BLOCKS:
             self.flush()
         self.stack.pop()
-        code = int.from_bytes(blake2b(
-            " ".join("".join(parts).split()).encode("utf-8", "replace"), digest_size=8).digest(),
-            "big", signed=True)
+        code = digest(" ".join("".join(parts).split()))
         if self.stack:
             self.stack[-1][1].append(f"<{code}>")
         if name in BLOCKS and name not in ("html", "body", "article", "main") and not (
@@ -211,10 +216,10 @@ class MainText:
 
     def __init__(self, pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE):
         self.pages = staged(parsed(pages), "pages")
-        on_host = self.pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+        on_host = self.pages.groupBy("host").agg(F.count_distinct("content").alias("pages"))
         self.templates = staged(
-            self.pages.select("host", F.explode("hashes").alias("hash"))
-            .groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
+            self.pages.select("host", "content", F.explode("hashes").alias("hash"))
+            .groupBy("host", "hash").agg(F.count_distinct("content").alias("n"))
             .filter(F.col("n") >= least_pages)
             .join(on_host, "host").filter(F.col("n") >= share * F.col("pages"))
             .select("host", "hash", "n"),
@@ -231,13 +236,17 @@ class MainText:
         )
 
 
+def content_of(page: Page) -> int:
+    return digest("\n".join(text for text, _ in page.main()))
+
+
 def parsed(pages: DataFrame) -> DataFrame:
     """Per page its host, the blocks of its main text and the hashes of its subtrees."""
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([
-            ("host", pa.string()),
+            ("host", pa.string()), ("content", pa.int64()),
             ("blocks", pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))]))),
             ("hashes", pa.list_(pa.int64()))])
         for batch in batches:
@@ -247,15 +256,15 @@ def parsed(pages: DataFrame) -> DataFrame:
                 for url, page in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
                     read_ = Page(page or "")
                     rows.append({
-                        "host": host_of(url), "hashes": list(read_.hashes),
+                        "host": host_of(url), "content": content_of(read_), "hashes": list(read_.hashes),
                         "blocks": [{"text": t, "around": a} for t, a in read_.main()]})
                 made = pa.RecordBatch.from_pylist(rows, schema=schema)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), *made.columns],
-                    ["page_id", "url", "host", "blocks", "hashes"])
+                    ["page_id", "url", "host", "content", "blocks", "hashes"])
 
     return pages.select("page_id", "url", "html").mapInArrow(
-        read, f"page_id {kind}, url string, host string, "
+        read, f"page_id {kind}, url string, host string, content bigint, "
               "blocks array<struct<text:string,around:array<bigint>>>, hashes array<bigint>")
 
 
