@@ -66,6 +66,15 @@ def test_copies_do_not_make_their_text_a_template(spark):
     assert got == ["one page\nstored often"] * 8 + ["an article"] * 8 + [f"text {i}" for i in range(6)]
 
 
+def test_templates_of_a_small_share_go(spark):
+    """The menu of a language on a tenth of the pages, and one on few of very many pages."""
+    rows = [("http://a.com/", f"<div>menu</div><p>{i}</p>" if i % 10 else f"<div>Karte</div><p>{i}</p>")
+            for i in range(100)]
+    rows += [("http://b.com/", f"<div>rare</div><p>{i}</p>" if i < 50 else f"<p>{i}</p>") for i in range(1200)]
+    got = texts(spark, rows)
+    assert got == [str(i) for i in range(100)] + [str(i) for i in range(1200)]
+
+
 def test_passages_of_articles_stay(spark):
     rows = [("http://a.com/", f"<article><p>quoted everywhere</p><p>own {i}</p></article>") for i in range(9)]
     assert texts(spark, rows) == [f"quoted everywhere\nown {i}" for i in range(9)]

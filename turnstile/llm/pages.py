@@ -8,17 +8,18 @@ of the body.
 
 Independently of names, every element that may be part of a site's template is
 hashed with all it contains.  Spark counts on how many pages of its host a
-subtree occurs; those on at least ``LEAST_PAGES`` pages and ``SHARE`` of the
-host's pages are template and their blocks go.  Pages of a host with the same
+subtree occurs; those on at least ``LEAST_PAGES`` pages and either ``SHARE`` of
+the host's pages or ``MANY_PAGES`` of them are template and their blocks go.  So
+the template of a language or a section counts, however large the host is.  Pages of a host with the same
 main blocks count as one, so that copies of a page do not vote for its text.  Inside an article, paragraphs,
 headings, lists' items and quotes are never template, as sites repeat passages,
-too.  As a template covers a share of a host's pages, a host has at most
-1 / ``SHARE`` times as many as its pages have elements.
+too.  Pages meet templates by (host, hash) rows; no list grows with a host.
 
 Defined cases: a null or empty page has an empty text; markup without a body is
 read as one; unclosed elements end with their parents, and what is after an
 unclosed comment or script is part of it; a page without a url belongs to the
-host without a name; repeated rows keep a text each, but count
+host without a name; a host of fewer than ``LEAST_PAGES`` different pages has no
+templates, as recurrence tells nothing there; repeated rows keep a text each, but count
 once for templates; pages that differ in a block are different pages.  Other columns are not
 read.
 """
@@ -37,7 +38,8 @@ from pyspark.sql import functions as F
 from turnstile.llm.common import staged
 
 LEAST_PAGES = 5
-SHARE = 0.25
+SHARE = 0.05
+MANY_PAGES = 50
 
 # Element names by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -214,24 +216,31 @@ class Page:
 class MainText:
     """Main texts of ``pages`` (``page_id``, ``url``, ``html``)."""
 
-    def __init__(self, pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE):
-        self.pages = staged(parsed(pages), "pages")
+    def __init__(self, pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE,
+                 many_pages: int = MANY_PAGES):
+        self.pages = staged(parsed(pages).withColumn("row", F.monotonically_increasing_id()), "pages")
         on_host = self.pages.groupBy("host").agg(F.count_distinct("content").alias("pages"))
         self.templates = staged(
             self.pages.select("host", "content", F.explode("hashes").alias("hash"))
             .groupBy("host", "hash").agg(F.count_distinct("content").alias("n"))
             .filter(F.col("n") >= least_pages)
-            .join(on_host, "host").filter(F.col("n") >= share * F.col("pages"))
+            .join(on_host, "host").filter(
+                (F.col("n") >= share * F.col("pages")) | (F.col("n") >= many_pages))
             .select("host", "hash", "n"),
             "templates")
 
     def texts(self) -> DataFrame:
-        per_host = self.templates.groupBy("host").agg(F.collect_list("hash").alias("template"))
+        around = F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["around"])))
+        per_page = (
+            self.pages.select("row", "host", F.explode(around).alias("hash"))
+            .join(self.templates.select("host", "hash"), ["host", "hash"], "left_semi")
+            .groupBy("row").agg(F.collect_list("hash").alias("template"))
+        )
         kept = F.filter("blocks", lambda b: ~F.arrays_overlap(
             b["around"], F.coalesce("template", F.array().cast("array<bigint>"))))
         text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
         return (
-            self.pages.join(per_host, "host", "left").withColumn("text", text)
+            self.pages.join(per_page, "row", "left").withColumn("text", text)
             .select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
         )
 
