@@ -37,6 +37,26 @@ def test_containment_is_exact(spark):
     assert got[3].licenses == "MPL-2.0" and 0.6 <= got[3].containment < 1
 
 
+GPL_2 = """This program is free software; you can redistribute it and/or modify it under the terms of the
+GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version."""
+
+
+def test_short_notices_and_versions(spark):
+    dice = random.Random(4)
+    lines = [("All rights reserved.", "proprietary")] * 60 + [
+        (GPL_2, "GPL-2.0"), (GPL_2.replace("; either version 2", ", either version 3"), "GPL-3.0"),
+        (GPL_2.replace("program", "library").replace("GNU", "GNU Lesser").replace("version 2", "version 2.1"), "LGPL-2.1"),
+        ("Licensed under CC BY-ND 4.0", "CC-BY-ND-4.0"), ("Licensed under CC BY-NC 3.0", "CC-BY-NC-3.0"),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+         "hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+         "ISC")]
+    rows = [(i, f"{prose(dice, dice.randrange(60))}\n{text}\n{prose(dice, dice.randrange(60))}")
+            for i, (text, _) in enumerate(lines)]
+    got = found(spark, rows)
+    assert [got[i].licenses for i in range(len(lines))] == [name for _, name in lines]
+
+
 def test_odd_and_empty_tables(spark):
     got = LicenseScan(odd_documents(spark)).report().collect()
     assert len(got) == odd_documents(spark).count() and not any(r.n_licenses for r in got)

@@ -5,7 +5,9 @@ every ``BLOCK`` triples.  A window's MinHash values are the least of its hashes
 under ``FUNCTIONS`` exclusive ors, computed per block and combined.  Every value is
 a band of one row, which favours recall: a notice of five words fills a quarter of
 a window and shares a band with it with a probability of 0.997, a longer one or a
-window inside a longer text more surely.  Templates are cut at every triple, so
+window inside a longer text more surely.  Templates of up to ``SHORT`` triples are
+retrieved by any of their triples, as a notice of three words fills too little of a
+window.  Longer templates are cut at every triple, so
 that a window inside one equals one of theirs.  What a window retrieves is
 verified by exact containment: of a template's distinct triples, at least
 ``percent`` must be found in the words around the window, no farther away than
@@ -27,51 +29,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnstile.llm.common import staged
+from turnstile.llm.notices import NOTICES
 
 BLOCK = 6
 FUNCTIONS = 20
 PERCENT = 60
+SHORT = 5  # triples of a template that is retrieved by any of them
 # A run of odd multiples of the golden ratio as exclusive-or masks.
 MASKS = [((2 * i + 1) * 0x9E3779B97F4A7C15) % 2**64 for i in range(FUNCTIONS)]
 MASKS = [m - 2**64 if m >= 2**63 else m for m in MASKS]
 
-# Notices by which texts state their license.
-NOTICES = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("Apache-2.0", "you may not use this file except in compliance with the License. You may obtain a "
-                   "copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under "
-                   "the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF "
-                   "ANY KIND, either express or implied."),
-    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are "
-            "permitted provided that the following conditions are met"),
-    ("BSD", "Released under the BSD License"),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0"),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 "
-                     "International License"),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 "
-                     "International License"),
-    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or "
-                "neighboring rights to this work"),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms "
-                "of the GNU General Public License as published by the Free Software Foundation, either "
-                "version 3 of the License, or (at your option) any later version."),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3"),
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3"),
-    ("MIT", "Released under the MIT License"),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software "
-            "and associated documentation files (the \"Software\"), to deal in the Software without "
-            "restriction, including without limitation the rights to use, copy, modify, merge, publish, "
-            "distribute, sublicense, and/or sell copies of the Software"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("proprietary", "All rights reserved. No part of this publication may be reproduced"),
-]
-
 
 def neighbours(values: Column) -> Column:
     """A hash of every two elements in a row."""
@@ -122,14 +89,23 @@ def templates(spark: SparkSession, notices: list[tuple[str, str]] = NOTICES) ->
     )
 
 
+def numbers(rows: DataFrame, column: str) -> list[int]:
+    return sorted({v for row in rows.select(column).collect() for v in row[0]})
+
+
 class LicenseScan:
     """License notices in ``docs`` (``doc_id``, ``text``)."""
 
     def __init__(self, docs: DataFrame, notices: list[tuple[str, str]] = NOTICES, percent: int = PERCENT):
         self.percent = percent
         self.templates = templates(docs.sparkSession, notices)
-        known = sorted({v for row in self.templates.select("values").collect() for v in row[0]})
-        hit = F.exists("blocks", lambda b: F.exists(b, lambda v: v.isin(known)))
+        self.short = self.templates.filter(F.size("template_triples") <= SHORT)
+        self.short_triples = numbers(self.short, "template_triples")
+        # As a text, for one call to the parser instead of one for every number.
+        known = ", ".join(map(str, numbers(self.templates, "values")))
+        hit = F.expr(f"exists(blocks, b -> exists(b, v -> v IN ({known})))") if known else F.lit(False)
+        if self.short_triples:
+            hit = hit | F.exists("triples", lambda t: t.isin(self.short_triples))
         # Only texts with a hit keep their triples and windows.
         self.scanned = staged(
             docs.select("doc_id", word_triples(F.coalesce("text", F.lit(""))).alias("triples"))
@@ -146,14 +122,24 @@ class LicenseScan:
 
     def matches(self) -> DataFrame:
         """``row``, ``doc_id``, ``template``, ``license``, ``window`` and the verified ``containment``."""
-        retrieved = (
-            self.scanned.filter("windows IS NOT NULL")
-            .select("row", F.posexplode("windows").alias("window", "values"))
+        hits = self.scanned.filter("windows IS NOT NULL")
+        known = self.templates.select("template", "license", "template_triples", "length", "values")
+        by_value = (
+            hits.select("row", F.posexplode("windows").alias("window", "values"))
             .select("row", "window", F.explode("values").alias("value"))
-            .join(F.broadcast(self.templates.select(
-                "template", "license", "template_triples", "length", F.explode("values").alias("value"))), "value")
-            .groupBy("row", "window", "template", "license", "template_triples", "length").agg(F.lit(1).alias("one"))
+            .join(F.broadcast(known.withColumn("value", F.explode("values")).drop("values")), "value")
+        )
+        last = F.greatest(F.col("n_windows") - 1, F.lit(0))
+        by_triple = (
+            hits.select("row", "n_windows", F.posexplode("triples").alias("at", "value"))
+            .filter(F.col("value").isin(self.short_triples))
+            .select("row", F.least(F.floor(F.col("at") / BLOCK), last).cast("int").alias("window"), "value")
+            .join(F.broadcast(self.short.select(
+                "template", "license", "template_triples", "length",
+                F.explode("template_triples").alias("value"))), "value")
         )
+        retrieved = by_value.unionByName(by_triple).groupBy(
+            "row", "window", "template", "license", "template_triples", "length").agg(F.lit(1).alias("one"))
         start = F.greatest(F.col("window") * BLOCK - F.col("length"), F.lit(0))
         around = F.slice("triples", start + 1, 2 * F.col("length") + 2 * BLOCK)
         found = F.size(F.array_intersect("template_triples", around)) / F.size("template_triples")
