@@ -57,6 +57,19 @@ def test_short_notices_and_versions(spark):
     assert [got[i].licenses for i in range(len(lines))] == [name for _, name in lines]
 
 
+def test_licenses_side_by_side(spark):
+    mit, apache = "Licensed under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    edited = dict(NOTICES)["MPL-2.0"].replace("Mozilla", "Mozzarella")
+    two = "This work is licensed under the GNU General Public License, version 2."
+    got = found(spark, [
+        (1, f"{mit} {apache}"), (2, f"{apache} {mit}"), (3, f"{edited}. {apache}"),
+        (4, f"{two} {two.replace('version 2', 'version 3')}"), (5, two.replace("General", "Lesser General") + " " + mit)])
+    assert got[1].licenses == got[2].licenses == "Apache-2.0,MIT"
+    assert got[3].licenses == "Apache-2.0,MPL-2.0"
+    assert got[4].licenses == "GPL-2.0,GPL-3.0"
+    assert "GPL-2.0" not in got[5].licenses.split(",") and "MIT" in got[5].licenses
+
+
 def test_odd_and_empty_tables(spark):
     got = LicenseScan(odd_documents(spark)).report().collect()
     assert len(got) == odd_documents(spark).count() and not any(r.n_licenses for r in got)

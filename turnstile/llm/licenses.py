@@ -11,8 +11,10 @@ window.  Longer templates are cut at every triple, so
 that a window inside one equals one of theirs.  What a window retrieves is
 verified by exact containment: of a template's distinct triples, at least
 ``percent`` must be found in the words around the window, no farther away than
-the template is long.  Of several verified templates in a window the one best
-contained is reported.
+the longest template of its family is long.  Templates are of one family if one has
+``percent`` of another's triples, also by way of third ones.  A window retrieves whole
+families.  A verified template is reported unless a better contained one of its family
+covers all places where its triples stand, as variants differ in a word or a version.
 
 Templates are a parameter: they are part of the plan, as literals for the first
 test and as a small broadcast table for retrieval.  Only texts that share a band
@@ -25,7 +27,7 @@ nothing.  Other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnstile.llm.common import staged
@@ -93,12 +95,44 @@ def numbers(rows: DataFrame, column: str) -> list[int]:
     return sorted({v for row in rows.select(column).collect() for v in row[0]})
 
 
+def beats(other: Column, template: Column) -> Column:
+    """Whether another template accounts for all that is found of this one."""
+    return (
+        (other["containment"] > template["containment"])
+        | (other["containment"] == template["containment"])
+        & (F.size(other["places"]) > F.size(template["places"]))
+    ) & (F.size(F.array_except(template["places"], other["places"])) == 0)
+
+
+def families(templates: DataFrame, percent: int) -> DataFrame:
+    """``templates`` with their ``family`` and its ``reach``, the length of its longest."""
+    rows = templates.collect()
+    root = {r.template: r.template for r in rows}
+
+    def top(template: int) -> int:
+        while root[template] != template:
+            template = root[template]
+        return template
+
+    sets = {r.template: set(r.template_triples) for r in rows}
+    for a in rows:
+        for b in rows:
+            if 100 * len(sets[a.template] & sets[b.template]) >= percent * len(sets[a.template]):
+                root[top(a.template)] = top(b.template)
+    reach: dict[int, int] = {}
+    for r in rows:
+        reach[top(r.template)] = max(r.length, reach.get(top(r.template), 0))
+    return templates.sparkSession.createDataFrame(
+        [(*r, top(r.template), reach[top(r.template)]) for r in rows],
+        f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in templates.schema)}, family int, reach int")
+
+
 class LicenseScan:
     """License notices in ``docs`` (``doc_id``, ``text``)."""
 
     def __init__(self, docs: DataFrame, notices: list[tuple[str, str]] = NOTICES, percent: int = PERCENT):
         self.percent = percent
-        self.templates = templates(docs.sparkSession, notices)
+        self.templates = families(templates(docs.sparkSession, notices), percent)
         self.short = self.templates.filter(F.size("template_triples") <= SHORT)
         self.short_triples = numbers(self.short, "template_triples")
         # As a text, for one call to the parser instead of one for every number.
@@ -123,11 +157,11 @@ class LicenseScan:
     def matches(self) -> DataFrame:
         """``row``, ``doc_id``, ``template``, ``license``, ``window`` and the verified ``containment``."""
         hits = self.scanned.filter("windows IS NOT NULL")
-        known = self.templates.select("template", "license", "template_triples", "length", "values")
         by_value = (
             hits.select("row", F.posexplode("windows").alias("window", "values"))
             .select("row", "window", F.explode("values").alias("value"))
-            .join(F.broadcast(known.withColumn("value", F.explode("values")).drop("values")), "value")
+            .join(F.broadcast(self.templates.select("family", "reach", F.explode("values").alias("value")).distinct()),
+                  "value")
         )
         last = F.greatest(F.col("n_windows") - 1, F.lit(0))
         by_triple = (
@@ -135,21 +169,29 @@ class LicenseScan:
             .filter(F.col("value").isin(self.short_triples))
             .select("row", F.least(F.floor(F.col("at") / BLOCK), last).cast("int").alias("window"), "value")
             .join(F.broadcast(self.short.select(
-                "template", "license", "template_triples", "length",
-                F.explode("template_triples").alias("value"))), "value")
+                "family", "reach", F.explode("template_triples").alias("value")).distinct()), "value")
         )
-        retrieved = by_value.unionByName(by_triple).groupBy(
-            "row", "window", "template", "license", "template_triples", "length").agg(F.lit(1).alias("one"))
-        start = F.greatest(F.col("window") * BLOCK - F.col("length"), F.lit(0))
-        around = F.slice("triples", start + 1, 2 * F.col("length") + 2 * BLOCK)
-        found = F.size(F.array_intersect("template_triples", around)) / F.size("template_triples")
-        return (
-            retrieved.join(self.scanned.filter("windows IS NOT NULL").select("row", "doc_id", "triples"), "row")
+        retrieved = by_value.unionByName(by_triple).select("row", "window", "family", "reach").distinct()
+        start = F.greatest(F.col("window") * BLOCK - F.col("reach"), F.lit(0))
+        around = F.slice("triples", start + 1, 2 * F.col("reach") + 2 * BLOCK)
+        found = F.size(F.array_intersect("template_triples", "around")) / F.size("template_triples")
+        places = F.filter(
+            F.transform("around", lambda t, i: F.when(F.array_contains("template_triples", t), i)),
+            lambda i: i.isNotNull())
+        verified = (
+            retrieved.join(hits.select("row", "doc_id", "triples"), "row")
+            .select("row", "doc_id", "window", "family", around.alias("around"))
+            .join(F.broadcast(self.templates.select("family", "template", "license", "template_triples")), "family")
             .withColumn("containment", found)
             .filter(F.col("containment") * 100 >= self.percent)
-            # Notices differ in a word or a number: the best in a place is the one that stands there.
-            .withColumn("best", F.max("containment").over(Window.partitionBy("row", "window")))
-            .filter("containment = best")
+            .withColumn("places", places)
+        )
+        # At most one row for each template of a family.
+        return (
+            verified.groupBy("row", "doc_id", "window", "family")
+            .agg(F.collect_list(F.struct("template", "license", "containment", "places")).alias("all"))
+            .select("row", "doc_id", "window", F.inline(
+                F.filter("all", lambda t: ~F.exists("all", lambda u: beats(u, t)))))
             .select("row", "doc_id", "template", "license", "window", "containment")
         )
 
