@@ -2,7 +2,7 @@ from datetime import date, datetime
 from decimal import Decimal
 
 import pytest
-from conftest import at
+from builders import at
 from pyspark.sql import functions as F
 
 from turnstile.functions import bands, display, money, timeparts

@@ -2,7 +2,7 @@ from datetime import datetime
 from decimal import Decimal
 
 import pytest
-from conftest import at, day, rows_of
+from builders import at, day, rows_of
 from pyspark.sql import functions as F
 
 from turnstile import schemas

@@ -2,7 +2,7 @@
 
 import pytest
 from comparing import differences, duck
-from conftest import SF_SMALL
+from builders import SF_SMALL
 
 import __spark_entry__ as registered
 

@@ -3,7 +3,7 @@
 import re
 
 import pytest
-from conftest import SF_SMALL
+from builders import SF_SMALL
 
 from registry import queries as q
 from turnstile.operators import audits, hourly, lifts, visits

@@ -1,7 +1,7 @@
 from decimal import Decimal
 
 import pytest
-from conftest import day, rows_of
+from builders import day, rows_of
 
 from turnstile import schemas
 from turnstile.plans import catalog, procedures, reports

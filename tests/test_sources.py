@@ -4,7 +4,7 @@ from decimal import Decimal
 from types import SimpleNamespace
 
 import pytest
-from conftest import at, day
+from builders import at, day
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 

@@ -3,7 +3,7 @@ import os
 import re
 
 import pytest
-from conftest import at, day
+from builders import at, day
 from pyspark.sql import functions as F
 
 from turnstile import schemas
