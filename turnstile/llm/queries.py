@@ -18,6 +18,7 @@ from turnstile.llm.linededup import LineDedup
 from turnstile.llm.mixing import mix
 from turnstile.llm.neardup import NearDuplicates
 from turnstile.llm.pages import main_texts
+from turnstile.llm.search import MaxSketchIndex
 from turnstile.llm.tokens import count_tokens
 from turnstile.llm.toxicity import corpus_chain, score
 
@@ -207,3 +208,42 @@ SELECT d.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(other) AS
 FROM documents d JOIN reach r ON r.doc_id = d.doc_id LEFT JOIN sizes z ON z.doc_id = d.doc_id
 GROUP BY d.doc_id
 """
+
+
+@query
+def op11_search(spark, sf_dir):
+    """The 50 best documents of each benchmark item, by exact scores."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return MaxSketchIndex(docs).search(items, k=50)
+
+
+ORACLE["op11_search"] = r"""
+WITH words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), docs AS (
+    SELECT row_number() OVER () AS d, doc_id, w, len(w) AS n FROM words WHERE len(w) > 0
+), corpus AS (
+    SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM docs
+), tf AS (
+    SELECT d, t, count(*) AS tf FROM (SELECT d, unnest(w) AS t FROM docs) GROUP BY d, t
+), df AS (
+    SELECT t, count(*) AS df FROM tf GROUP BY t
+), query AS (
+    SELECT q, item_id, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS t
+    FROM (SELECT row_number() OVER () AS q, item_id, text FROM benchmark)
+), weighed AS (
+    SELECT q, item_id, t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+    FROM query JOIN df USING (t), corpus
+), scores AS (
+    SELECT q, item_id, doc_id, sum(weighed.w * ((1000000000 * tf)
+        // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+    FROM weighed JOIN tf USING (t) JOIN docs USING (d), corpus GROUP BY q, item_id, d, doc_id
+)
+SELECT item_id, rank, doc_id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id)::INT AS rank
+    FROM scores WHERE score > 0)
+WHERE rank <= 50
+"""
