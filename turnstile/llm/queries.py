@@ -21,6 +21,7 @@ from turnstile.llm.pages import main_texts
 from turnstile.llm.search import MaxSketchIndex
 from turnstile.llm.tokens import count_tokens
 from turnstile.llm.toxicity import corpus_chain, score
+from turnstile.llm.trie import PrefixTrie, numbered, rebuilt
 
 VOCABULARY = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
@@ -247,3 +248,61 @@ SELECT item_id, rank, doc_id, score FROM (
     FROM scores WHERE score > 0)
 WHERE rank <= 50
 """
+
+
+@query
+def op12_trie(spark, sf_dir):
+    """Nodes of the trie of rebuilt conversations, with totals of their subtrees."""
+    return PrefixTrie(*rebuilt(numbered(table(spark, sf_dir, "conversations")))).report()
+
+
+# CRC-32 bit by bit: a byte is put in, then shifted out in eight steps (-1).
+ORACLE["op12_trie"] = r"""
+WITH given AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           md5(len(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k
+    FROM conversations WHERE conv_id IS NOT NULL
+), turns AS (
+    SELECT conv_id, k, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) AS pos
+    FROM given
+), steps AS (
+    SELECT conv_id, count(*) AS n, flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+        lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])) AS s
+    FROM turns GROUP BY conv_id
+), own AS (
+    SELECT conv_id, n, conv_id - conv_id % 20 AS base, xor(4294967295, list_reduce(
+        list_prepend(4294967295::BIGINT, s), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x)
+            WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) % 4 AS h
+    FROM steps
+), convs AS (
+    SELECT o.conv_id, o.base, o.h, least(o.h, coalesce(b.n, 0)) AS head FROM own o LEFT JOIN own b ON b.conv_id = o.base
+), rebuilt AS (
+    SELECT c.conv_id, t.pos AS d, t.k, t.text FROM convs c JOIN turns t ON t.conv_id = c.base AND t.pos <= c.h
+    UNION ALL
+    SELECT c.conv_id, t.pos - c.h + c.head, t.k, t.text
+    FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.pos > c.h
+), paths AS (
+    SELECT conv_id, d, string_agg(k, '') OVER (PARTITION BY conv_id ORDER BY d) AS path,
+           len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM rebuilt
+    UNION ALL SELECT conv_id, 0, '', 0 FROM convs
+), nodes AS (
+    SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words FROM paths GROUP BY path, d
+), children AS (
+    SELECT p.path, p.conv_id AS parent, c.path AS child FROM nodes c JOIN nodes p
+    ON p.d = c.d - 1 AND p.path = c.path[:32 * (c.d - 1)]
+), below AS (
+    SELECT DISTINCT a.path AS top, b.path FROM paths a JOIN paths b ON a.conv_id = b.conv_id AND a.d <= b.d
+), totals AS (
+    SELECT top, count(*) FILTER (path NOT IN (SELECT path FROM children)) AS n_leaves,
+           sum((n_convs - 1) * words) AS saved FROM below JOIN nodes USING (path) GROUP BY top
+), ends AS (
+    SELECT path, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids
+    FROM (SELECT conv_id, max_by(path, d) AS path FROM paths GROUP BY conv_id) GROUP BY path
+)
+SELECT n.conv_id, n.d::BIGINT AS depth, up.parent AS parent_conv_id, n.n_convs::BIGINT AS n_convs,
+       coalesce(k.n, 0)::BIGINT AS n_children, t.n_leaves::BIGINT AS n_leaves, t.saved::BIGINT AS saved_tokens,
+       sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM nodes n JOIN totals t ON t.top = n.path LEFT JOIN children up ON up.child = n.path
+LEFT JOIN (SELECT path, count(*) AS n FROM children GROUP BY path) k ON k.path = n.path
+LEFT JOIN ends e ON e.path = n.path
+"""
