@@ -17,6 +17,7 @@ from turnstile.llm.licenses import LicenseScan
 from turnstile.llm.linededup import LineDedup
 from turnstile.llm.mixing import mix
 from turnstile.llm.neardup import NearDuplicates
+from turnstile.llm.neighbours import LearnedPartitions
 from turnstile.llm.pages import main_texts
 from turnstile.llm.search import MaxSketchIndex
 from turnstile.llm.tokens import count_tokens
@@ -306,3 +307,9 @@ FROM nodes n JOIN totals t ON t.top = n.path LEFT JOIN children up ON up.child =
 LEFT JOIN (SELECT path, count(*) AS n FROM children GROUP BY path) k ON k.path = n.path
 LEFT JOIN ends e ON e.path = n.path
 """
+
+
+@query
+def op13_neighbours(spark, sf_dir):
+    """The five nearest vectors found for every vector whose id is divisible by 50."""
+    return LearnedPartitions(table(spark, sf_dir, "embeddings")).search(F.col("vec_id") % 50 == 0)
