@@ -8,6 +8,7 @@ from turnstile.functions.timeparts import hour_start
 from turnstile.session import shared_dir
 from turnstile.sources import payloads, samples
 from turnstile.sources.tables import append_rows, purge_acknowledged, replace_partitions, scan
+from turnstile.sources.versions import snapshot
 from turnstile.streaming.history import refresh_history
 from turnstile.streaming.landing import (
     AVAILABLE_NOW, drop_repeats, landed_rows, landed_stream, lines_stream, rejected_lines, rides_stream,
@@ -90,7 +91,7 @@ def redelivered(spark: SparkSession, sf_dir: str) -> DataFrame:
     job = refresh_job_over(spark, sf_dir, f"{root}/tables")
     job.refresh(rides, 0)
     job.refresh(again, 1)
-    return scan(spark, f"{job.root}/daily_resort_summary", schemas.DAILY_RESORT_SUMMARY)
+    return job.chain().daily
 
 
 def refresh_job_over(spark: SparkSession, sf_dir: str, root: str) -> RefreshJob:
@@ -112,7 +113,7 @@ def paused(spark: SparkSession, sf_dir: str) -> DataFrame:
         states.append(job.describe()["state"])
         job.pause()
         states.append(job.describe()["state"])
-    days = scan(spark, f"{root}/tables/daily_resort_summary", schemas.DAILY_RESORT_SUMMARY)
+    days = snapshot(spark, f"{root}/tables").scan("daily_resort_summary", schemas.DAILY_RESORT_SUMMARY)
     return days.agg(F.count(F.lit(1)).alias("days"), F.sum("total_rides").alias("rides")).withColumn(
         "states", F.lit(",".join(states)))
 
@@ -121,7 +122,7 @@ def appended(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visits appended in two parts, the second with its columns turned round."""
     root = shared_dir(spark, "appended")
     job = run_refresh(spark, sf_dir)
-    rows = scan(spark, f"{job}/daily_visits", schemas.DAILY_VISITS)
+    rows = snapshot(spark, job).scan("daily_visits", schemas.DAILY_VISITS)
     first = F.col("has_season_pass")
     append_rows(rows.filter(first), root, schemas.DAILY_VISITS, "visit_date")
     turned = rows.select(*reversed(rows.columns)).withColumn("unknown", F.lit(1))
@@ -140,23 +141,23 @@ def purged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = run_refresh(spark, sf_dir)
-    return scan(spark, f"{root}/daily_visits", schemas.DAILY_VISITS)
+    return snapshot(spark, run_refresh(spark, sf_dir)).scan("daily_visits", schemas.DAILY_VISITS)
 
 
 def first_written_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches arrive in time order, so the first writer is the earliest ride."""
-    return scan(spark, f"{run_refresh(spark, sf_dir, FIRST_WRITER)}/daily_visits", schemas.DAILY_VISITS)
+    tables = snapshot(spark, run_refresh(spark, sf_dir, FIRST_WRITER))
+    return tables.scan("daily_visits", schemas.DAILY_VISITS)
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = run_refresh(spark, sf_dir)
-    return scan(spark, f"{root}/hourly_resort_summary", schemas.HOURLY_RESORT_SUMMARY)
+    tables = snapshot(spark, run_refresh(spark, sf_dir))
+    return tables.scan("hourly_resort_summary", schemas.HOURLY_RESORT_SUMMARY)
 
 
 def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = run_refresh(spark, sf_dir)
-    return scan(spark, f"{root}/weekly_resort_summary", schemas.WEEKLY_RESORT_SUMMARY)
+    tables = snapshot(spark, run_refresh(spark, sf_dir))
+    return tables.scan("weekly_resort_summary", schemas.WEEKLY_RESORT_SUMMARY)
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:

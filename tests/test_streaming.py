@@ -13,6 +13,7 @@ from turnstile.plans.reports import reporting_clock
 from turnstile.session import shared_dir
 from turnstile.sources import samples
 from turnstile.sources.tables import scan
+from turnstile.sources.versions import snapshot
 from turnstile.streaming.history import refresh_history
 from turnstile.streaming.landing import (
     AVAILABLE_NOW, drop_repeats, landed_rows, lines_stream, rejected_lines, rides_stream, start_ingest,
@@ -37,7 +38,7 @@ def job_for(spark, base, feed=None, policy="earliest", root=None):
 
 
 def stored(spark, job, name):
-    return sorted(map(str, scan(spark, f"{job.root}/{name}", TABLES[name]).collect()))
+    return sorted(map(str, snapshot(spark, job.root).scan(name, TABLES[name]).collect()))
 
 
 def batch_result(base, name):
@@ -88,7 +89,7 @@ def test_first_writer_keeps_what_it_recorded(spark, make):
         job.refresh(first, 0)
         job.refresh(late, 1)
         job.refresh(late, 1)
-        visits = scan(spark, f"{job.root}/daily_visits", schemas.DAILY_VISITS).collect()
+        visits = job.chain().visits.collect()
         assert [v.first_lift for v in visits] == [lift]
 
 
@@ -109,11 +110,11 @@ def test_late_sale_is_repaired(spark, make, policy):
         spark, None, lambda: sold[0] if sold else nobody, lambda: make.tickets().limit(0),
         make.capacity(("north", 5, "America/Denver")), f"{root}/tables", f"{root}/c", policy)
     job.refresh(make.rides(("1", "m", "north", "a", "2024-01-01 09:00:00", 1)), 0)
-    before = scan(spark, f"{job.root}/hourly_resort_summary", schemas.HOURLY_RESORT_SUMMARY).first()
+    before = job.chain().hourly.first()
     assert before.total_recognized_revenue == 0 and before.active_passes == 0
     sold.append(make.passes(("m", "800", "2024-01-01", "2024-12-31")))
     job.repair([day("2024-01-01")], 0)
-    after = scan(spark, f"{job.root}/hourly_resort_summary", schemas.HOURLY_RESORT_SUMMARY).first()
+    after = job.chain().hourly.first()
     assert after.total_recognized_revenue == 40 and after.active_passes == 1
 
 
@@ -232,18 +233,18 @@ def test_redelivered_rides_count_once(spark, base):
 @pytest.mark.parametrize("policy", ["earliest", FIRST_WRITER])
 def test_compaction_changes_no_table(spark, base, policy):
     job = job_for(spark, base, policy=policy)
-    parts = split(base, 3, shuffled=policy == "earliest")
-    for i, rides in enumerate(parts[:2]):
+    batches = split(base, 3, shuffled=policy == "earliest")
+    for i, rides in enumerate(batches[:2]):
         job.refresh(rides, i)
     days = [day(f"2024-01-0{n}") for n in range(1, 6)]
     before = sorted(map(str, job.chain().rides.collect()))
     job.compact(days)
     job.compact(days)
     assert sorted(map(str, job.chain().rides.collect())) == before
-    folders = os.listdir(f"{job.root}/lift_ride/ride_date=2024-01-01/ride_block=1")
-    assert len([name for name in folders if name.startswith("batch_id=")]) == 1
-    job.refresh(parts[1], 1)  # replayed
-    job.refresh(parts[2], 2)
+    parts = snapshot(spark, job.root).tables["lift_ride"]
+    assert len(parts["ride_date=2024-01-01/ride_block=1"]) == 1
+    job.refresh(batches[1], 1)  # replayed
+    job.refresh(batches[2], 2)
     for name in TABLES:
         assert stored(spark, job, name) == batch_result(base, name), name
 

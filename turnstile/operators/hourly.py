@@ -48,6 +48,17 @@ def visitor_hours(rides: DataFrame) -> DataFrame:
     )
 
 
+def merge_visitor_hours(known: DataFrame, added: DataFrame) -> DataFrame:
+    """Visitor hours of all rides from those of two parts of them.
+
+    Counts add up and the earlier of two first rides is the first, in whatever order
+    parts are merged, as long as no ride is in two of them.
+    """
+    first = F.min(F.struct(*_FIRST)).alias("first")
+    rows = known.unionByName(added).groupBy(*VISITOR_KEY, "ride_block").agg(F.sum("rides").alias("rides"), first)
+    return rows.select(*VISITOR_KEY, "rides", *[F.col(f"first.{name}") for name in _FIRST], "ride_block")
+
+
 def block_of(hour: Column) -> Column:
     """Part of the day an hour lies in; stored rows are partitioned by it."""
     return F.floor(hour / BLOCK_HOURS).cast("int")

@@ -92,11 +92,17 @@ def daily_visits(
     return enrich(firsts, passes, tickets)
 
 
+_FROM_SALE = ["name", "has_season_pass", "purchase_price_usd", "ticket_original_duration"]
+
+
+def enrich_again(visits: DataFrame, passes: DataFrame, tickets: DataFrame) -> DataFrame:
+    """Visits with their sale looked up anew, whatever was recorded of it."""
+    return enrich(visits.drop(*_FROM_SALE), passes, tickets, visits.schema)
+
+
 def reenrich(visits: DataFrame, passes: DataFrame, tickets: DataFrame) -> DataFrame:
     """Repair visits recorded before their sale arrived: rows without a price
     are looked up again, all others stay as they are."""
-    unsold = visits.filter(F.col("purchase_price_usd").isNull()).drop(
-        "name", "has_season_pass", "purchase_price_usd", "ticket_original_duration"
-    )
+    unsold = visits.filter(F.col("purchase_price_usd").isNull())
     sold = visits.filter(F.col("purchase_price_usd").isNotNull())
-    return sold.unionByName(enrich(unsold, passes, tickets, visits.schema))
+    return sold.unionByName(enrich_again(unsold, passes, tickets))

@@ -13,6 +13,7 @@ from turnstile.operators import hourly as hours
 from turnstile.operators import rollups
 from turnstile.operators.visits import daily_visits
 from turnstile.sources.tables import replace_partitions, scan
+from turnstile.sources.versions import Snapshot
 
 DATED_RIDE = T.StructType([*schemas.LIFT_RIDE.fields, T.StructField("ride_date", T.DateType())])
 
@@ -61,7 +62,7 @@ class Chain:
 
 
 class StoredChain(Chain):
-    """A chain whose levels were written by ``materialize`` or by the live refresh."""
+    """A chain whose levels were written by ``materialize``."""
 
     def __init__(self, spark: SparkSession, root: str, base: Chain):
         super().__init__(base.rides, base.passes, base.tickets, base.capacity)
@@ -91,6 +92,19 @@ class StoredChain(Chain):
         return self._table("weekly_resort_summary", schemas.WEEKLY_RESORT_SUMMARY)
 
 
+class SnapshotChain(StoredChain):
+    """A chain whose levels are one version of what the live refresh keeps."""
+
+    def __init__(self, snapshot: Snapshot, base: Chain):
+        rides = snapshot.scan("lift_ride", DATED_RIDE)
+        super().__init__(
+            snapshot.spark, snapshot.root, Chain(rides, base.passes, base.tickets, base.capacity))
+        self.snapshot = snapshot
+
+    def _table(self, name: str, schema) -> DataFrame:
+        return self.snapshot.scan(name, schema)
+
+
 def materialize(spark: SparkSession, base: Chain, root: str) -> StoredChain:
     """Write every level once and read it back for the next one.
 

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from turnstile import schemas
 from turnstile.operators.batches import retain_after
 from turnstile.session import shared_dir
+from turnstile.sources import files
 
 
 def scan(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -26,21 +27,13 @@ def scan_dates(
     Dates without a partition contribute no rows.
     """
     wanted = {f"{column}={day.isoformat()}" for day in dates}
-    present = sorted(wanted & set(_children(spark, path)))
+    present = sorted(wanted & set(files.children(spark, path)))
     if not present:
         return spark.createDataFrame([], schema)
     reader = spark.read.schema(schema).option("basePath", path)
     return reader.parquet(*[f"{path}/{name}" for name in present]).select(schema.names)
 
 
-def _children(spark: SparkSession, path: str) -> list[str]:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(folder):
-        return []
-    return [status.getPath().getName() for status in files.listStatus(folder)]
-
-
 def replace_partitions(
     df: DataFrame, path: str, schema: T.StructType, *partition_by: str,
     replaced: Collection[tuple] | None = None,
@@ -74,7 +67,7 @@ def replace_partitions(
             wanted = tuple(None if v is None else str(v) for v in values)
             for parts, folder in _folders(df.sparkSession, path, len(partition_by), wanted):
                 if parts not in written:
-                    _delete(df.sparkSession, folder)
+                    files.delete(df.sparkSession, folder)
     return counted.get["row_count"]
 
 
@@ -85,15 +78,15 @@ def _folders(
     found = [((), path)]
     for level in range(depth):
         found = [
-            ((*values, _partition_value(name)), f"{folder}/{name}")
-            for values, folder in found for name in _children(spark, folder) if "=" in name
+            ((*values, partition_value(name)), f"{folder}/{name}")
+            for values, folder in found for name in files.children(spark, folder) if "=" in name
         ]
         if level < len(wanted):
             found = [(values, folder) for values, folder in found if values[level] == wanted[level]]
     yield from found
 
 
-def _partition_value(folder: str) -> str | None:
+def partition_value(folder: str) -> str | None:
     """The value Spark wrote a partition folder's name for."""
     value = unquote(folder.split("=", 1)[1])
     return None if value == "__HIVE_DEFAULT_PARTITION__" else value
@@ -146,9 +139,4 @@ def staged(spark: SparkSession, df: DataFrame, schema: T.StructType, purpose: st
     try:
         yield scan(spark, path, schema)
     finally:
-        _delete(spark, path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        files.delete(spark, path)
