@@ -5,10 +5,13 @@ from pyspark.sql import functions as F
 
 from turnstile import schemas
 from turnstile.functions.timeparts import hour_start
+from turnstile.operators.hourly import block_of
+from turnstile.operators.keyfilter import LEAST_WORDS, filter_rows, suspected
 from turnstile.session import shared_dir
 from turnstile.sources import payloads, samples
-from turnstile.sources.tables import append_rows, purge_acknowledged, replace_partitions, scan
-from turnstile.sources.versions import snapshot
+from turnstile.sources.buffers import Buffer
+from turnstile.sources.tables import append_rows, scan
+from turnstile.sources.versions import published, snapshot
 from turnstile.streaming.history import refresh_history
 from turnstile.streaming.landing import (
     AVAILABLE_NOW, drop_repeats, landed_rows, landed_stream, lines_stream, rejected_lines, rides_stream,
@@ -130,14 +133,83 @@ def appended(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark, root, schemas.DAILY_VISITS)
 
 
-def purged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a purge leaves of a buffer whose partitions the mark passes, cuts and spares."""
-    path = shared_dir(spark, "buffer")
+def events_buffer(spark: SparkSession, sf_dir: str) -> Buffer:
+    """Events arriving in three parts, neither in order nor without overlap."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(
         "event_id", "user_id", F.concat_ws(":", "event_type", F.pmod("user_id", F.lit(3))).alias("part"))
-    replace_partitions(rows, path, rows.schema, "part")
-    purge_acknowledged(spark, path, rows.schema, "event_id", 400, "part")
-    return scan(spark, path, rows.schema)
+    buffer = Buffer(spark, shared_dir(spark, "buffer"), rows.schema, "event_id")
+    half, part = F.col("event_id") < 700, F.pmod(F.hash("event_id"), F.lit(2)) == 0
+    for chosen in (~half & part, half, ~half & ~part):
+        buffer.append(rows.filter(chosen))
+    return buffer
+
+
+def purged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a purge leaves of a buffer whose files the mark passes, cuts and spares."""
+    buffer = events_buffer(spark, sf_dir)
+    buffer.purge(400)
+    return buffer.rows()
+
+
+def buffered_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next batch above a mark, read from a buffer that was purged up to an earlier one."""
+    buffer = events_buffer(spark, sf_dir)
+    buffer.purge(400)
+    return buffer.read_after(650, 1000).select("event_id", "user_id", "part")
+
+
+def versions_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days and rides in every version that the refresh of the feed's batches published."""
+    root = run_refresh(spark, sf_dir)
+    found = None
+    for version in published(spark, root):
+        days = snapshot(spark, root, version).scan("daily_resort_summary", schemas.DAILY_RESORT_SUMMARY)
+        row = days.agg(F.count(F.lit(1)).alias("days"), F.sum("total_rides").alias("rides")).withColumn(
+            "version", F.lit(version))
+        found = row if found is None else found.unionByName(row)
+    return found
+
+
+def out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours after the rides of every part of a day came in three batches, in any order."""
+    job = refresh_job_over(spark, sf_dir, shared_dir(spark, "shuffled"))
+    rides = samples.rides(spark, sf_dir)
+    for i in range(3):
+        job.refresh(rides.filter(F.pmod(F.hash("txid"), F.lit(3)) == i), i)
+    return job.chain().hourly
+
+
+def sold_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visits when all sales but every third medium's came after the rides, by a feed of sales."""
+    root = shared_dir(spark, "sales")
+    late = F.pmod(F.hash("rfid"), F.lit(3)) != 0
+    sales = [samples.season_passes(spark, sf_dir), samples.resort_tickets(spark, sf_dir)]
+    known = [s.filter(~late) for s in sales]
+    job = RefreshJob(spark, None, lambda: known[0], lambda: known[1], samples.capacity(spark), f"{root}/tables", "")
+    job.refresh(samples.rides(spark, sf_dir), 0)
+    known[:] = sales
+    for sale in sales:
+        sale.filter(late).select("rfid").write.mode("append").parquet(f"{root}/inbox")
+    feed = spark.readStream.schema("rfid string").option("maxFilesPerTrigger", 2).parquet(f"{root}/inbox")
+    job.start_sales(feed, f"{root}/checkpoint", AVAILABLE_NOW).awaitTermination()
+    return job.chain().visits
+
+
+def suspects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per part of the day: rides of a filter's own that it finds again, and whether it suspects
+    few others."""
+    rides = samples.bare_rides(spark, sf_dir).select(
+        "txid", F.to_date("ride_time").alias("ride_date"), block_of(F.hour("ride_time")).alias("ride_block"))
+    part = ["ride_date", "ride_block"]
+    mine = F.pmod(F.hash("txid"), F.lit(2)) == 0
+    sizes = rides.select(*part).distinct().withColumn("words", F.lit(LEAST_WORDS).cast("long"))
+    held = filter_rows(rides.filter(mine), "txid", part, sizes)
+    # Hashes of two engines differ, so the report counts what must hold for any half.
+    asked = suspected(rides, "txid", part, held, sizes).withColumn("mine", mine)
+    return asked.groupBy(*part).agg(
+        F.count(F.lit(1)).alias("rides"),
+        F.count_if(F.col("mine") & ~F.col("suspected")).alias("missed"),
+        (F.count_if(~F.col("mine") & F.col("suspected")) <= 1 + F.count(F.lit(1)) / 100).alias("few_others"))
 
 
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:

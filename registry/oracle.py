@@ -679,6 +679,21 @@ ORACLE = {
     "purged_buffer": """
         SELECT event_id, user_id, event_type || ':' || CAST(user_id % 3 AS VARCHAR) AS part
         FROM events WHERE event_id > 400""",
+    "buffered_batch": """
+        SELECT event_id, user_id, event_type || ':' || CAST(user_id % 3 AS VARCHAR) AS part
+        FROM events WHERE event_id > 650 ORDER BY event_id LIMIT 1000""",
+    "stream_versions": _with(
+        "daily",
+        """SELECT version, count(*) AS days, CAST(sum(total_rides) AS BIGINT) AS rides
+           FROM daily, (VALUES (1, DATE '2024-01-08'), (2, DATE '2024-01-22'), (3, DATE '9999-12-31'))
+                v(version, before) WHERE ride_date < before GROUP BY version"""),
+    "stream_out_of_order": _with("hourly", _HOURLY),
+    "stream_late_sales": _with("visit", _VISIT),
+    "key_filter": _with(
+        "ride",
+        """SELECT CAST(ride_time AS DATE) AS ride_date, CAST(hour(ride_time) // 6 AS INTEGER) AS ride_block,
+               count(*) AS rides, CAST(0 AS BIGINT) AS missed, true AS few_others
+           FROM ride GROUP BY 1, 2"""),
     "appended_visits": _with("visit", _VISIT),
     "refresh_log": _with(
         "ride visit hourly daily weekly",

@@ -663,6 +663,36 @@ def purged_buffer(spark, sf_dir):
     return live.purged(spark, sf_dir)
 
 
+@query
+def buffered_batch(spark, sf_dir):
+    """A bounded read that opens only the files of a buffer that hold its ids."""
+    return live.buffered_batch(spark, sf_dir)
+
+
+@query
+def stream_versions(spark, sf_dir):
+    """What a reader of each published version sees."""
+    return live.versions_read(spark, sf_dir)
+
+
+@query
+def stream_out_of_order(spark, sf_dir):
+    """Hours merged from batches that each hold rides of every part of a day."""
+    return live.out_of_order(spark, sf_dir)
+
+
+@query
+def stream_late_sales(spark, sf_dir):
+    """Visits corrected by the sales that came after them."""
+    return live.sold_late(spark, sf_dir)
+
+
+@query
+def key_filter(spark, sf_dir):
+    """Repeated rides that the filters of the parts of a day find."""
+    return live.suspects(spark, sf_dir)
+
+
 @query
 def appended_visits(spark, sf_dir):
     return live.appended(spark, sf_dir)

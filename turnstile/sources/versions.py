@@ -18,7 +18,7 @@ change is made at a time; a second writer finds its version taken and fails.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Collection
+from collections.abc import Callable, Collection, Iterable
 from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -31,6 +31,11 @@ from turnstile.sources.tables import partition_value
 
 MANIFESTS = "_versions"
 
+
+class TakenVersion(RuntimeError):
+    """Another writer published the version first."""
+
+
 # Table to partition folder ("ride_date=2024-01-01/ride_block=2") to versions.
 Tables = dict[str, dict[str, list[int]]]
 
@@ -110,6 +115,10 @@ class Change(Snapshot):
                  if self.version in versions}
         return Snapshot(self.spark, self.root, self.version, {name: parts}).scan(name, schema)
 
+    def drop(self, paths: Iterable[str]) -> None:
+        """Name files or folders, relative to the root, that this version does without."""
+        self._dropped += paths
+
     def _write(
         self, name: str, df: DataFrame, schema: T.StructType, partition_by: tuple[str, ...],
         options: dict[str, str] | None,
@@ -139,7 +148,7 @@ class Change(Snapshot):
             "dropped": self._dropped, "tables": self.tables,
         })
         if not files.write_new(self.spark, manifest(self.root, self.version), text):
-            raise RuntimeError(f"version {self.version} of {self.root} was published by another writer")
+            raise TakenVersion(f"version {self.version} of {self.root} was published by another writer")
         return Snapshot(self.spark, self.root, self.version, self.tables, self.marks)
 
 
