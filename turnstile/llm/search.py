@@ -35,17 +35,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from turnstile.llm.common import staged
+from turnstile.llm.common import arrow_rows, staged
 from turnstile.llm.words import fold_table, lists, signed, slices, words_of
 
 WIDTH = 1 << 13
-# Documents whose sketches are one dense matrix: 32 MB at the default width.
-BLOCK_ROWS = 512
+# Documents whose sketches are one dense matrix: 16 MB at the default width.
+BLOCK_ROWS = 256
 # Terms of a block of queries (a single longer query is a block of its own).
 BLOCK_TERMS = 1 << 16
 # Bounds scored at a time, per query.
 CHUNK = 64
 GROUPS = 64
+# Documents that a task is sent at a time.
+SENT_ROWS = 2048
 
 INDEX = ("doc_id bigint, n bigint, terms array<bigint>, counts array<int>, "
          "cells array<int>, tops array<int>")
@@ -167,7 +169,8 @@ class MaxSketchIndex:
         if width & (width - 1):
             raise ValueError("the width must be a power of two")
         self.width = width
-        self.rows = staged(indexed(docs, width), "sketches")
+        with arrow_rows(docs.sparkSession, SENT_ROWS):
+            self.rows = staged(indexed(docs, width), "sketches")
         total = self.rows.agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
         self.documents, self.length = total
 
@@ -175,8 +178,10 @@ class MaxSketchIndex:
         """The ``k`` best documents of each item: ``item_id``, ``rank``, ``doc_id``, ``score``."""
         kind = items.schema["item_id"].dataType
         schema = f"number bigint, item_id {kind.simpleString()}, doc_id bigint, score bigint, part int"
-        found = [staged(self._candidates(block, k, schema, to_arrow_type(kind)), "found")
-                 for block in query_blocks(items, block_terms)]
+        found = []
+        for block in query_blocks(items, block_terms):
+            with arrow_rows(items.sparkSession, SENT_ROWS):
+                found.append(staged(self._candidates(block, k, schema, to_arrow_type(kind)), "found"))
         if not found:
             found = [items.sparkSession.createDataFrame([], schema)]
         for more in found[1:]:
@@ -200,8 +205,9 @@ class MaxSketchIndex:
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[some])], ["place", "n"])
 
         # One row per term of the block at most.
-        counts = self.rows.select("terms").mapInArrow(count, "place bigint, n bigint").groupBy("place").agg(
-            F.sum("n").alias("n")).toArrow()
+        counted = self.rows.select("terms").mapInArrow(count, "place bigint, n bigint")
+        with arrow_rows(self.rows.sparkSession, SENT_ROWS):
+            counts = counted.groupBy("place").agg(F.sum("n").alias("n")).toArrow()
         df = np.zeros(len(vocabulary), dtype=np.int64)
         df[counts["place"].to_numpy()] = counts["n"].to_numpy()
         top = 2 * self.documents + 2
