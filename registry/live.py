@@ -17,7 +17,9 @@ from turnstile.streaming.landing import (
     AVAILABLE_NOW, drop_repeats, landed_rows, landed_stream, lines_stream, rejected_lines, rides_stream,
     start_ingest,
 )
-from turnstile.streaming.live import VISITOR_ERROR, hourly_activity_stream
+from turnstile.streaming.live import (
+    VISITOR_ERROR, exact_hours, hourly_activity_stream, start_changes, stored_changes,
+)
 from turnstile.streaming.refresh import EARLIEST, FIRST_WRITER, RefreshJob
 
 # Mondays at which the feed is cut into batches, so that a batch refreshes whole weeks.
@@ -281,3 +283,13 @@ def approximate_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
         exact, ["ride_hour_timestamp", "resort"]).select(
         "ride_hour_timestamp", "resort", "total_rides",
         (off <= 1 + 5 * VISITOR_ERROR * F.col("visitors")).alias("visitors_near"))
+
+
+def exact_visitors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact hours of a feed whose files come in any order of time."""
+    root = shared_dir(spark, "exact")
+    rides = samples.bare_rides(spark, sf_dir)
+    rides.repartition(3, "txid").write.parquet(f"{root}/inbox")
+    feed = rides_stream(spark, f"{root}/inbox", schemas.LIFT_RIDE, max_files=2)
+    start_changes(feed, f"{root}/changes", f"{root}/checkpoint", AVAILABLE_NOW).awaitTermination()
+    return exact_hours(stored_changes(spark, f"{root}/changes"))

@@ -712,6 +712,10 @@ ORACLE = {
         "ride",
         """SELECT date_trunc('hour', ride_time) AS ride_hour_timestamp, resort,
                count(*) AS total_rides, true AS visitors_near FROM ride GROUP BY 1, 2"""),
+    "stream_hours_exact": _with(
+        "ride",
+        """SELECT date_trunc('hour', ride_time) AS ride_hour_timestamp, resort,
+               count(*) AS total_rides, count(DISTINCT rfid) AS visitor_count FROM ride GROUP BY 1, 2"""),
     "stream_hours": _with("hourly", _HOURLY),
     "stream_refresh": _with("weekly", _WEEKLY),
     "stream_dedup": _with(

@@ -721,3 +721,9 @@ def stream_dedup(spark, sf_dir):
 @query
 def stream_hours_approx(spark, sf_dir):
     return live.approximate_hours(spark, sf_dir)
+
+
+@query
+def stream_hours_exact(spark, sf_dir):
+    """Rides and visitors of every hour from keyed state, no ride too late to count."""
+    return live.exact_visitors(spark, sf_dir)

@@ -1,6 +1,8 @@
 import json
 import os
 import re
+import time
+from datetime import timedelta
 
 import pytest
 from builders import at, day
@@ -18,7 +20,9 @@ from turnstile.streaming.history import refresh_history
 from turnstile.streaming.landing import (
     AVAILABLE_NOW, drop_repeats, landed_rows, lines_stream, rejected_lines, rides_stream, start_ingest,
 )
-from turnstile.streaming.live import hourly_activity_stream
+from turnstile.streaming.live import (
+    exact_hours, hourly_activity_stream, live_hours, start_changes, stored_changes,
+)
 from turnstile.streaming.refresh import FIRST_WRITER, RefreshJob
 
 SF = "/root/testdata/sf0.001"
@@ -290,3 +294,38 @@ def test_streaming_hours(spark, make):
     got = {str(r.ride_hour_timestamp): (r.total_rides, r.visitor_count)
            for r in spark.table("hours").collect()}
     assert got == {"2024-03-10 02:00:00": (3, 2), "2024-03-10 09:00:00": (1, 1)}
+
+
+def hours_after(spark, root, rides, **options):
+    """(live, exact) hours once more rides came, as {hour: (rides, visitors)}."""
+    rides.coalesce(1).write.mode("append").parquet(f"{root}/inbox")
+    feed = rides_stream(spark, f"{root}/inbox", schemas.LIFT_RIDE)
+    start_changes(feed, f"{root}/changes", f"{root}/c", AVAILABLE_NOW, **options).awaitTermination()
+    changes = stored_changes(spark, f"{root}/changes")
+    return [{str(r.ride_hour_timestamp)[11:13]: (r.total_rides, r.visitor_count) for r in hours(changes).collect()}
+            for hours in (live_hours, exact_hours)]
+
+
+def test_exact_hours_are_corrected_by_late_rides(spark, make):
+    root = shared_dir(spark, "changes")
+    first = make.rides(("1", "a", "north", "x", "2024-03-10 02:10:00", 1), ("2", "a", "north", "x", "2024-03-10 02:50:00", 1),
+                       ("3", "b", "north", "x", "2024-03-10 09:00:00", 1), ("4", None, "north", "x", "2024-03-10 09:00:00", 1),
+                       ("5", "a", "north", "x", None, 1))
+    assert hours_after(spark, root, first) == [{"02": (2, 1), "09": (2, 1)}] * 2
+    late = make.rides(("6", "a", "north", "x", "2024-03-10 02:59:59", 1), ("7", "c", "north", "x", "2024-03-10 02:00:00", 1),
+                      ("8", "z", "north", "x", "2024-06-01 23:00:00", 1))
+    assert hours_after(spark, root, late) == [{"02": (4, 2), "09": (2, 1), "23": (1, 1)}] * 2
+    # Three months behind the feed, and still counted.
+    later = make.rides(("9", "b", "north", "x", "2024-03-10 02:30:00", 1))
+    assert hours_after(spark, root, later) == [{"02": (5, 3), "09": (2, 1), "23": (1, 1)}] * 2
+
+
+def test_exact_hours_after_state_has_expired(spark, make):
+    root, short = shared_dir(spark, "expired"), timedelta(milliseconds=1)
+    ride = [("1", "a", "north", "x", "2024-03-10 02:10:00", 1)]
+    hours_after(spark, root, make.rides(*ride), kept=short)
+    time.sleep(0.1)
+    hours_after(spark, root, make.rides(("2", "b", "north", "x", "2024-03-10 05:10:00", 1)), kept=short)
+    live, exact = hours_after(spark, root, make.rides(("3", "a", "north", "x", "2024-03-10 02:20:00", 1)), kept=short)
+    assert live == {"02": (2, 2), "05": (1, 1)}
+    assert exact == {"02": (2, 1), "05": (1, 1)}
