@@ -140,16 +140,19 @@ class LicenseScan:
         hit = F.expr(f"exists(blocks, b -> exists(b, v -> v IN ({known})))") if known else F.lit(False)
         if self.short_triples:
             hit = hit | F.exists("triples", lambda t: t.isin(self.short_triples))
+        # A least value that is a template's is one of its triples, so texts without any need no blocks.
+        own = ", ".join(map(str, numbers(self.templates, "template_triples")))
+        holds = F.expr(f"exists(triples, t -> t IN ({own}))") if own else F.lit(False)
+        count = F.ceil(F.size("triples") / BLOCK)
         # Only texts with a hit keep their triples and windows.
         self.scanned = staged(
             docs.select("doc_id", word_triples(F.coalesce("text", F.lit(""))).alias("triples"))
-            .withColumn("blocks", blocks(F.col("triples")))
-            .withColumn("hit", hit)
+            .withColumn("blocks", F.when(holds, blocks(F.col("triples"))))
+            .withColumn("hit", F.col("blocks").isNotNull() & hit)
             .select(
                 F.monotonically_increasing_id().alias("row"), "doc_id",
                 F.size("triples").cast("long").alias("n_triples"),
-                F.greatest(F.size("blocks") - 1, F.least(F.size("blocks"), F.lit(1))).cast("long")
-                .alias("n_windows"),
+                F.greatest(count - 1, F.least(count, F.lit(1))).cast("long").alias("n_windows"),
                 F.when(F.col("hit"), F.col("triples")).alias("triples"),
                 F.when(F.col("hit"), windows(F.col("blocks"))).alias("windows")),
             "windows")
