@@ -3,8 +3,8 @@
 Each stage takes what the one before kept.  A filtering stage drops whole
 documents, line dedup rewrites texts, and the last stage says how many words the
 mix takes of each document.  All but the last return the columns of the
-documents.  Rows without a ``doc_id`` pass the filters that work by id; of rows
-that repeat one, near-dedup keeps one.
+documents.  Rows without a ``doc_id`` pass the filters that work by id; rows that
+repeat one are documents of their own unless their texts are equal, too.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstile.llm.common import staged, table
+from turnstile.llm.common import given_ids, own_ids, staged, table
 from turnstile.llm.decontam import contaminated
 from turnstile.llm.linededup import LineDedup
 from turnstile.llm.mixing import mix
@@ -36,13 +36,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose five-word shingles agree to four fifths."""
-    found = NearDuplicates(docs).report()
-    return one_each(without(docs, found.filter("NOT kept")))
+    rows = own_ids(docs)
+    found = NearDuplicates(rows).report()
+    return given_ids(one_each(without(rows, found.filter("NOT kept"))))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    return without(docs, contaminated(docs, table(spark, sf_dir, "benchmark")))
+    rows = own_ids(docs)
+    return given_ids(without(rows, contaminated(rows, table(spark, sf_dir, "benchmark"))))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,13 +59,15 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def one_each(docs: DataFrame) -> DataFrame:
-    """One row of each ``doc_id``; only ids that repeat are compared."""
+    """One row of each ``doc_id``, the same in every run; only ids that repeat are compared."""
     counts = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count()
     repeated = staged(counts.filter("count > 1").select("doc_id"), "repeated")
     if not repeated.limit(1).count():
         return docs
-    again = docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return without(docs, repeated).unionByName(again)
+    row = F.struct(*[f"`{name}`" for name in docs.columns])
+    again = docs.join(repeated, "doc_id", "left_semi").select("doc_id", row.alias("row"))
+    first = again.groupBy("doc_id").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return without(docs, repeated).unionByName(first.select("row.*"))
 
 
 STAGES = [

@@ -93,3 +93,39 @@ def test_distinct_tokens_are_whole():
     short, lines, whole = linededup.ordered_sets(tokens, np.array([0, 0, 0, 0, 1]), ranks)
     assert lines.tolist() == [0, 0, 0, 1] and whole.tolist() == [7, base, base + (1 << 20), base]
     assert short[1] == short[2]
+
+
+def test_unlike_rows_of_one_id_lose_only_their_own_lines(spark):
+    copied = "a copy of a line that stands in two documents"
+    rows = [(0, f"{copied}\nfirst document only"), (1, f"{copied}\nkept one here now"),
+            (1, "text found in this row only\nsecond line here is unique"), (1, f"more text\n{copied}"),
+            (2, "kept one here now"), (1, f"{copied}\nkept one here now")]
+    kept = sorted(r.text for r in LineDedup(documents(spark, rows)).apply().collect())
+    texts = [t for _, t in rows]
+    lines = [line for text in kept for line in text.split("\n") if line]
+    # Equal rows of an id are one document; it comes first or after, but is decided as a whole.
+    once = sorted({line for text in texts for line in text.split("\n")})
+    assert sorted(set(lines)) == once
+    assert "text found in this row only\nsecond line here is unique" in kept and "more text" in "\n".join(kept)
+    got = LineDedup(documents(spark, rows)).report().collect()
+    assert sorted(r.doc_id for r in got) == [0, 1, 1, 1, 1, 2]
+    assert {r.doc_id for r in got if r.removed_lines == ""} >= {0, 1}
+
+
+def test_ids_beyond_others_are_found_at_both_ends(spark):
+    for low, high in ((5, 2**63 - 1), (-2**63, 7)):
+        rows = [(low, "one line here"), (low, "another line there"), (high, "one line here")]
+        got = LineDedup(documents(spark, rows)).apply().collect()
+        assert {r.doc_id for r in got} == {low, high}
+        assert sorted(line for r in got for line in r.text.split("\n") if line) == ["another line there", "one line here"]
+    rows = [(-2**63, "a"), (2**63 - 1, "b"), (2**63 - 1, "c")]
+    with pytest.raises(ValueError):
+        LineDedup(documents(spark, rows))
+
+
+def test_many_lines_with_one_common_passage(spark):
+    dice = random.Random(9)
+    passage = prose(dice, 8)
+    rows = [(i, f"{passage} {prose(dice, dice.randrange(1, 30))}") for i in range(150)]
+    rows += [(1000 + i, f"{prose(dice, 3)} {passage}") for i in range(50)]
+    assert result(LineDedup(documents(spark, rows)).report()) == brute(rows)

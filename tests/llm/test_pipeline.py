@@ -64,3 +64,37 @@ def test_repeated_ids_leave_one_row(spark):
     docs = documents(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (2, "x y"), (None, "n"), (None, "n")])
     kept = pipeline.near_dedup(spark, docs, "")
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "None", "None"]
+
+
+def test_unlike_rows_of_one_id_are_all_kept(spark):
+    dice = random.Random(8)
+    items = spark.createDataFrame([(0, prose(dice, 12))], "item_id long, text string")
+    leak = items.first().text
+    rows = [(0, "a copy of a line\nseen here first"), (1, "a copy of a line\nkept one here now"),
+            (1, "text found in this row only\nsecond line here is unique"), (1, f"clean words {leak} and more"),
+            (2, "something else altogether")]
+    docs = documents(spark, rows)
+    lines = pipeline.line_dedup(spark, docs, "")
+    assert lines.columns == docs.columns
+    assert sorted(pairs(lines)) == sorted(
+        (i, t if i != 1 or "kept" not in t else "kept one here now") for i, t in rows)
+    near = pipeline.near_dedup(spark, docs, "")
+    assert pairs(near) == sorted(rows) and near.columns == docs.columns
+    again = pipeline.near_dedup(spark, documents(spark, rows * 2).repartition(5), "")
+    assert pairs(again) == sorted(rows)
+
+
+def test_decontamination_decides_row_by_row(spark, tmp_path):
+    dice = random.Random(9)
+    leak = prose(dice, 12)
+    spark.createDataFrame([(0, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, "one clean row"), (1, f"a row that leaks {leak}"), (2, "other"), (None, leak)]
+    clean = pipeline.decontamination(spark, documents(spark, rows), str(tmp_path))
+    assert sorted(pairs(clean.filter("doc_id IS NOT NULL"))) == [(1, "one clean row"), (2, "other")]
+
+
+def test_empty_tables(spark, tmp_path):
+    documents(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert pipeline.run(spark, str(tmp_path)).count() == 0

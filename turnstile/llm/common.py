@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnstile.session import shared_dir
+from turnstile.sources import files
 
 # ASCII white space as the contracts write it, as a Java character class.
 SPACE = r"[\x20\x09-\x0D]"
@@ -29,6 +30,51 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove staged tables that nothing will read any more."""
+    for df in tables:
+        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            files.delete(df.sparkSession, folder)
+
+
+GIVEN = "__given_id"
+
+
+def own_ids(docs: DataFrame) -> DataFrame:
+    """``docs`` with a ``doc_id`` of its own for each unlike row, and the given one as ``GIVEN``.
+
+    Rows that repeat an id keep it where their text has the least hash (so rows that are
+    equal are one document); all others get ids beyond those that are given, so that
+    nothing decided for one row falls on another.  Only rows of repeated ids are
+    shuffled; usually there are none.
+    """
+    given = docs.withColumn(GIVEN, F.col("doc_id")).withColumn("doc_id", F.col("doc_id").cast("long"))
+    counts = given.filter("doc_id IS NOT NULL").groupBy("doc_id").count()
+    repeated = staged(counts.filter("count > 1").select("doc_id"), "repeated")
+    if not repeated.limit(1).count():
+        discard(repeated)
+        return given
+    spark = docs.sparkSession
+    texts = rows_of_ids(given.select("doc_id", F.xxhash64("text").alias("hash")), repeated, "doc_id").distinct()
+    first = texts.groupBy("doc_id").agg(F.min("hash").alias("hash"))
+    low, high = given.agg(F.min("doc_id"), F.max("doc_id")).first()
+    if high >= 1 << 62 and low <= -(1 << 62):
+        raise ValueError("ids of repeated rows leave no room for others beyond them")
+    number = F.monotonically_increasing_id()
+    beyond = F.lit(high + 1) + number if high < 1 << 62 else F.lit(low - 1) - number
+    more = staged(texts.join(first, ["doc_id", "hash"], "left_anti").select(
+        "doc_id", "hash", beyond.alias("__own_id")), "ids")
+    moved = given.withColumn("__hash", F.xxhash64("text")).join(
+        more.withColumnRenamed("hash", "__hash"), ["doc_id", "__hash"], "left")
+    return moved.withColumn("doc_id", F.coalesce("__own_id", "doc_id")).select(
+        *[f"`{name}`" for name in docs.columns], GIVEN)
+
+
+def given_ids(docs: DataFrame) -> DataFrame:
+    """``docs`` with ids as they came, without ``GIVEN``."""
+    return docs.withColumn("doc_id", F.col(GIVEN)).drop(GIVEN)
+
+
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 

@@ -18,9 +18,10 @@ whole list and no pair becomes a row: first by their prefixes and sizes, then
 what is left by whole sets.
 
 Defined cases: lines without words stay; a null text stays null; rows without a
-``doc_id`` stay as they are and remove nothing; rows that repeat a ``doc_id``
-are one document and don't remove each other's lines; a document may lose all
-lines and then has an empty text.  Other columns are passed through.
+``doc_id`` stay as they are and remove nothing; rows that repeat a ``doc_id`` and
+its text are one document and don't remove each other's lines, while rows that repeat
+it with other texts count as later documents; a document may lose all lines and then
+has an empty text.  Other columns are passed through.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnstile.llm.blocks import block_pairs, in_blocks, runs, shared_counts
-from turnstile.llm.common import staged
-from turnstile.llm.filters import bit_filter, tester
+from turnstile.llm.common import GIVEN, discard, given_ids, own_ids, staged
+from turnstile.llm.filters import bit_filter, bits_for, tester
 from turnstile.llm.words import (
     ONE, TWO, fold_table, lists, mix64, shingles, signed, slices, words_of,
 )
@@ -147,15 +148,16 @@ def sketched(docs: DataFrame, ranks: np.ndarray, size: int, percent: int) -> Dat
                 ends_of = np.concatenate([[0], np.cumsum(prefix)])[heads]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, len(offsets) - 1),
-                     pa.array(np.diff(heads), pa.int64()),
+                     batch.column(2).slice(first, len(offsets) - 1), pa.array(np.diff(heads), pa.int64()),
                      lists((used - heads[text[used]]).astype(np.int32), edges_of),
                      lists(sizes[used].astype(np.int32), edges_of),
                      lists(signed(key_a[used]), edges_of), lists(signed(key_b[used]), edges_of),
                      lists(signed(tokens[kept]), ends_of)],
-                    ["doc_id", "n_lines", "line", "k", "key_a", "key_b", "prefix"])
+                    ["doc_id", GIVEN, "n_lines", "line", "k", "key_a", "key_b", "prefix"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        sketch, "doc_id bigint, n_lines bigint, line array<int>, k array<int>, key_a array<bigint>, "
+    given = docs.schema[GIVEN].dataType.simpleString()
+    return docs.select("doc_id", "text", GIVEN).mapInArrow(
+        sketch, f"doc_id bigint, {GIVEN} {given}, n_lines bigint, line array<int>, k array<int>, key_a array<bigint>, "
                 "key_b array<bigint>, prefix array<bigint>")
 
 
@@ -175,9 +177,11 @@ def postings(lines: DataFrame, percent: int, wanted: np.ndarray | None = None) -
             counts = prefix_length(k.astype(np.int64), percent)
             row = np.repeat(np.arange(len(k)), counts)
             place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+            # Tokens of a line that shorten to the same number stand side by side: the first stands for them.
+            kept = np.append(True, (tokens[1:] != tokens[:-1]) | (row[1:] != row[:-1]))[:len(tokens)]
             if test:
-                kept = np.flatnonzero(test(tokens.view(np.uint64)))
-                tokens, row, place = tokens[kept], row[kept], place[kept]
+                kept &= test(tokens.view(np.uint64))
+            tokens, row, place = tokens[kept], row[kept], place[kept]
             doc = np.repeat(np.arange(len(per_doc)), per_doc)[row]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(tokens), batch.column(0).take(pa.array(doc)), pa.array(line[row]),
@@ -212,7 +216,7 @@ def full_sets(docs: DataFrame, wanted: np.ndarray, ranks: np.ndarray, size: int)
                      lists(signed(full[take]), borders)],
                     ["doc_id", "line", "tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+    return docs.select("doc_id", "text").mapInArrow(
         emit, "doc_id bigint, line int, tokens array<bigint>")
 
 
@@ -308,9 +312,10 @@ class LineDedup:
     """Lines of ``docs`` (``doc_id``, ``text``) that match an earlier line."""
 
     def __init__(self, docs: DataFrame, size: int = 5, percent: int = 80):
-        self.docs, self.size, self.percent = docs, size, percent
-        self.ranks = rarity_ranks(docs, size)
-        self.lines = staged(sketched(docs, self.ranks, size, percent), "lines")
+        self.columns, self.size, self.percent = docs.columns, size, percent
+        self.docs = own_ids(docs)
+        self.ranks = rarity_ranks(self.docs, size)
+        self.lines = staged(sketched(self.docs, self.ranks, size, percent), "lines")
         each = self.lines.filter("doc_id IS NOT NULL").select(
             "doc_id", F.inline(F.arrays_zip("line", "k", "key_a", "key_b")))
         # Order of lines as one number; ids that leave no room for it need a decimal.
@@ -335,11 +340,12 @@ class LineDedup:
             .filter("hub < last").select("token", "hub")
         )
         tokens = staged(tokens, "tokens")
-        some = postings(self.lines, self.percent, bit_filter(tokens, "token"))
+        some = postings(self.lines, self.percent, bit_filter(tokens, "token", bits_for(tokens.count())))
         shared = staged(
             some.select("token", self.place(), "k", "at").join(tokens, "token")
             .join(self.classes.select("node"), "node", "left_semi"), "postings")
-        later = staged(self._matches(shared.filter("node > hub")), "matched")
+        discard(tokens)
+        later = self._matches(shared)
 
         # Lists in which a line still matches nothing: all others in it are compared, too.
         open_ = shared.filter("node > hub").join(later.withColumn("done", F.lit(True)), "node", "left").select(
@@ -347,30 +353,47 @@ class LineDedup:
         lists_ = open_.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("done").alias("all_done"))
         lists_ = staged(lists_.filter("n > 1 AND NOT all_done").select("token"), "open")
         left = staged(open_.join(lists_, "token"), "left")
-        prefix = prefixes(self.lines, self.percent, bit_filter(lists_, "token")).select(self.place(), "prefix")
+        discard(shared)
+        wanted = bit_filter(lists_, "token", bits_for(lists_.count()))
+        discard(lists_)
+        prefix = prefixes(self.lines, self.percent, wanted).select(self.place(), "prefix")
         near = staged(close_lines(left.join(prefix, "node"), self.percent).distinct(), "near")
-        members = near.join(left.drop("k"), ["token", "node"]).join(self._sets(near.select("node").distinct()), "node")
-        found = matching_lines(members, self.percent)
+        sets = self._sets(near.select("node").distinct())
+        members = near.join(left.drop("k"), ["token", "node"]).join(sets, "node")
+        found = staged(matching_lines(members, self.percent).distinct(), "found")
+        discard(left, near, sets)
         return later.unionByName(found).distinct()
 
-    def _matches(self, pairs: DataFrame) -> DataFrame:
-        """Distinct later lines of the pairs (``hub``, ``node``) whose whole sets match."""
+    def _matches(self, shared: DataFrame) -> DataFrame:
+        """Distinct later lines that match the first line of a list they are in.
+
+        With a token at the places ``at``, the sets share as many as both have before it, the token
+        itself, and as many as both have behind it, at most (positional filter).
+        """
+        hubs = shared.filter("node = hub").select("token", F.col("k").alias("hub_k"), F.col("at").alias("hub_at"))
+        most = F.least("at", "hub_at") + 1 + F.least(
+            F.col("k") - F.col("at") - 1, F.col("hub_k") - F.col("hub_at") - 1)
+        pairs = shared.filter("node > hub").join(hubs, "token").filter(
+            100 * most >= self.percent * (F.col("k") + F.col("hub_k") - most))
         pairs = staged(pairs.select("hub", "node").distinct(), "pairs")
         sets = self._sets(pairs.select(F.explode(F.array("hub", "node")).alias("node")).distinct())
-        shared = F.size(F.array_intersect("tokens", "hub_tokens"))
-        union = F.size("tokens") + F.size("hub_tokens") - shared
-        return (
+        both = F.size(F.array_intersect("tokens", "hub_tokens"))
+        union = F.size("tokens") + F.size("hub_tokens") - both
+        found = staged(
             pairs.join(sets.select(F.col("node").alias("hub"), F.col("tokens").alias("hub_tokens")), "hub")
             .join(sets, "node")
-            .filter(100 * shared >= self.percent * union)
-            .select("node").distinct()
-        )
+            .filter(100 * both >= self.percent * union)
+            .select("node").distinct(), "matched")
+        discard(pairs, sets)
+        return found
 
     def _sets(self, nodes: DataFrame) -> DataFrame:
         """Whole token sets of some first lines."""
-        keys = self.classes.join(nodes, "node", "left_semi").select("key_a")
+        keys = staged(self.classes.join(nodes, "node", "left_semi").select("key_a"), "keys")
+        wanted = bit_filter(keys, "key_a", bits_for(keys.count()))
+        discard(keys)
         return staged(
-            full_sets(self.docs, bit_filter(keys, "key_a"), self.ranks, self.size)
+            full_sets(self.docs, wanted, self.ranks, self.size)
             .filter("doc_id IS NOT NULL")
             .select(self.place(), F.array_distinct("tokens").alias("tokens"))
             .join(nodes, "node", "left_semi"),
@@ -398,7 +421,7 @@ class LineDedup:
     def report(self) -> DataFrame:
         """Per document: lines, lines removed, and which (numbers from 0, comma-joined)."""
         return self.lines.join(self.removed_lists(), "doc_id", "left").select(
-            "doc_id", "n_lines",
+            F.col(GIVEN).cast("long").alias("doc_id"), "n_lines",
             F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
             F.coalesce(F.array_join(F.col("removed").cast("array<string>"), ","), F.lit(""))
             .alias("removed_lines"),
@@ -411,8 +434,8 @@ class LineDedup:
         lines = F.filter(
             F.split("text", "\n", -1), lambda _, i: ~F.coalesce(F.get(F.col("__goes"), i), F.lit(False)))
         text = F.when(F.col("__goes").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
-        joined = self.docs.join(goes, F.col("doc_id").cast("long") == F.col("__id"), "left")
-        return joined.withColumn("text", text).select(*[f"`{name}`" for name in self.docs.columns])
+        joined = self.docs.join(goes, F.col("doc_id") == F.col("__id"), "left")
+        return given_ids(joined.withColumn("text", text)).select(*[f"`{name}`" for name in self.columns])
 
 
 @F.pandas_udf(T.ArrayType(T.BooleanType()))
