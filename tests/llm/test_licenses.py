@@ -1,9 +1,10 @@
 import random
+import re
 
 import pytest
 from samples import documents, empty_documents, odd_documents, prose
 
-from turnstile.llm.licenses import NOTICES, LicenseScan
+from turnstile.llm.licenses import BLOCK, NOTICES, LicenseScan
 
 
 def found(spark, rows):
@@ -75,3 +76,68 @@ def test_odd_and_empty_tables(spark):
     assert len(got) == odd_documents(spark).count() and not any(r.n_licenses for r in got)
     assert LicenseScan(empty_documents(spark)).report().count() == 0
     assert LicenseScan(odd_documents(spark), notices=[("x", "one")]).report().count() == len(got)
+
+
+def words_of(text):
+    return [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower()) if w]
+
+
+def triples_of(text):
+    words = words_of(text)
+    return [tuple(words[i:i + 3]) for i in range(len(words) - 2)]
+
+
+def brute(text, templates):
+    """(license, best containment) over every window and template, nothing retrieved first."""
+    triples, found = triples_of(text), {}
+    count = -(-len(triples) // BLOCK)
+    for window in range(max(count - 1, min(count, 1))):
+        inside = []
+        for t in templates:
+            start = max(window * BLOCK - t["reach"], 0)
+            around = triples[start:start + 2 * t["reach"] + 2 * BLOCK]
+            held = t["triples"] & set(around)
+            if 100 * len(held) >= 60 * len(t["triples"]):
+                places = {i for i, w in enumerate(around) if w in t["triples"]}
+                inside.append((t, len(held) / len(t["triples"]), places))
+        for t, share, places in inside:
+            beaten = any(
+                t["family"] == u["family"] and not places - more and (
+                    other > share or other == share and len(more) > len(places))
+                for u, other, more in inside)
+            if not beaten:
+                found[t["license"]] = max(share, found.get(t["license"], 0))
+    return found
+
+
+@pytest.mark.parametrize("seed", [6, 7])
+def test_matches_equal_brute_force_over_all_windows(spark, seed):
+    dice = random.Random(seed)
+    rows = []
+    for i in range(250):
+        parts = [prose(dice, dice.randrange(0, 40))]
+        for _ in range(dice.randrange(3)):
+            words = dice.choice(NOTICES)[1].split(" ")
+            for _ in range(dice.randrange(0, 1 + len(words) // 8)):
+                words[dice.randrange(len(words))] = dice.choice(["other", "of", "software"])
+            parts += [" ".join(words), prose(dice, dice.randrange(0, 30))]
+        rows.append((i, "\n".join(parts)))
+    scan = LicenseScan(documents(spark, rows))
+    texts = dict(enumerate(text for _, text in NOTICES))
+    templates = [{"license": t.license, "family": t.family, "reach": t.reach, "triples": set(triples_of(texts[t.template]))}
+                 for t in scan.templates.collect()]
+    got = {r.doc_id: r for r in scan.report().collect()}
+    expected = {i: brute(text, templates) for i, text in rows}
+    pairs = {(i, name) for i, r in got.items() for name in r.licenses.split(",") if name}
+    wanted = {(i, name) for i, found in expected.items() for name in found}
+    assert pairs <= wanted and len(pairs) >= 0.99 * len(wanted) > 100
+    for i, r in got.items():
+        if r.licenses == ",".join(sorted(expected[i])):
+            assert abs(r.containment - max(expected[i].values(), default=0)) < 1e-12
+
+
+def test_very_long_texts(spark):
+    dice = random.Random(5)
+    name, text = NOTICES[0]
+    got = found(spark, [(1, f"{prose(dice, 150_000)} {text} {prose(dice, 10)}"), (2, prose(dice, 150_000))])
+    assert name in got[1].licenses.split(",") and got[2].n_licenses == 0

@@ -1,10 +1,12 @@
+import time
+
 import pytest
 
 from turnstile.llm.pages import Page, host_of, main_texts
 
 
 def blocks(text):
-    return [block for block, _ in Page(text).main()]
+    return Page(text).main()[0]
 
 
 @pytest.mark.parametrize(("page", "expected"), [
@@ -24,6 +26,21 @@ def blocks(text):
     ("<div>a<div>b</div>c</div></div></p>d", ["a", "b", "c", "d"]),
     ("<article><header><h1>T</h1></header><p>x</p></article>", ["T", "x"]),
     ("<body class='has-sidebar'><p>kept</p><div role=navigation>n</div></body>", ["kept"]),
+    ("<main><h1>Title</h1><p>Lead</p><article><p>Body</p></article><p>After</p></main>",
+     ["Title", "Lead", "Body", "After"]),
+    ("<main><p>long main text</p><article><p>teaser card</p></article></main>", ["long main text", "teaser card"]),
+    ("<article><p>a</p></article><main><header><h1>T</h1></header>m</main>", ["T", "m"]),
+    ("<form><div><h1>T</h1><p>x<label>Your name</label><button>Go</button></div></form><form>Mail<input></form>",
+     ["T", "x"]),
+    ("<form><form><main><p>x</p></main></form><p>y</p></form>", ["x"]),
+    ("<div>a<form><p>f</p></form>b</div>", ["a", "b"]),
+    ("<article><p class='share price'>a</p><p id=related-work>b</p><p class=advert>x</p><ul class=share><li>s</ul>"
+     "</article>", ["a", "b"]),
+    ("<p>keep <button>Subscribe</button> this <label>Your name</label> <object>o</object> end</p>", ["keep this end"]),
+    ("<label>a<label>b<p>c", ["c"]),
+    ("<div class=menu title=\"a<b\">Menu</div><p>t</p>", ["t"]),
+    ("<div class='menu' title='a<b>c' id=x>Menu</div><p>t</p>", ["t"]),
+    ("<div class=menu title=\"it\"s\">Menu</div><p>t</p>", ["t"]),
 ])
 def test_blocks(page, expected):
     assert blocks(page) == expected
@@ -93,3 +110,23 @@ def test_odd_and_empty_tables(spark):
     assert main_texts(pages(spark, rows).limit(0)).count() == 0
     row = main_texts(pages(spark, [("u", "<p>\U0001F600é</p>")])).first()
     assert (row.page_id, row.url, row.n_chars) == (0, "u", 2)
+
+
+@pytest.mark.parametrize(("page", "count"), [
+    ("<div>t" * 40_000, 40_000), ("<blockquote>t" * 20_000, 20_000), ("<form>t" * 20_000, 0),
+    ("<p>t</q></section>" * 20_000, 20_000), ("<label>t" * 20_000 + "<p>x" * 20_000, 20_000),
+    ("x " + "<a title=\"<y\" " * 4_000, 1), ("<p>x</p>" + "<a \"" * 20_000, 2)])
+def test_time_and_memory_follow_the_length(page, count):
+    begun = time.perf_counter()
+    read = Page(page)
+    assert time.perf_counter() - begun < 10
+    assert len(read.main()[0]) == count and len(read.spans) <= page.count("<")
+
+
+def test_deep_pages_of_one_host(spark):
+    deep = "".join(f"<div>level {i}" for i in range(5_000))
+    pages = [(i, "http://h/", f"<body>{deep}<section>page {i}</section></body>") for i in range(6)]
+    pages += [(9, "http://other/", f"<body>{deep}</body>")]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text.split("\n") for r in main_texts(frame).collect()}
+    assert all(got[i][-1] == f"page {i}" for i in range(6)) and len(got[9]) == 5_000

@@ -2,9 +2,10 @@
 
 A page is read once, tag by tag.  Elements that by their name, role, class or
 visibility are menus, headers, sidebars, notices, adverts, forms, comments and
-the like are skipped.  What is left is cut into blocks at block elements; the
-blocks of articles are the main text, else those of the main element, else those
-of the body.
+the like are skipped.  A form is one of them unless it holds a main element, an article
+or a first heading and so is wrapped around the page.  What is left is cut into blocks
+at block elements; the blocks of the main element are the main text, else those of
+articles, else those of the body.
 
 Independently of names, every element that may be part of a site's template is
 hashed with all it contains.  Spark counts on how many pages of its host a
@@ -13,7 +14,9 @@ the host's pages or ``MANY_PAGES`` of them are template and their blocks go.  So
 the template of a language or a section counts, however large the host is.  Pages of a host with the same
 main blocks count as one, so that copies of a page do not vote for its text.  Inside an article, paragraphs,
 headings, lists' items and quotes are never template, as sites repeat passages,
-too.  Pages meet templates by (host, hash) rows; no list grows with a host.
+too.  Pages meet templates by (host, hash) rows; no list grows with a host.  An element
+covers a run of blocks, so a page keeps one (hash, first block, end) for each element,
+however deep it stands.
 
 Defined cases: a null or empty page has an empty text; markup without a body is
 read as one; unclosed elements end with their parents, and what is after an
@@ -28,9 +31,12 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,7 +54,7 @@ BLOCKS = frozenset(
     "figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p "
     "pre search section summary table tbody td tfoot th thead tr ul".split())
 SKIPPED = frozenset(
-    "head title nav footer aside form button select input textarea iframe object svg canvas math menu dialog "
+    "head title nav footer aside button select input textarea iframe object svg canvas math menu dialog "
     "audio video label fieldset datalist template noscript search".split())
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th tr figcaption".split())
 CLOSED_BY = {
@@ -64,12 +70,20 @@ PARTS = re.compile(
     r"navigation|breadcrumbs?|footer|masthead|topbar|cookies?|consent|gdpr|notices?|notifications?|alerts?|popups?|"
     r"modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|"
     r"recommend\w*|comments?|commentlist|disqus|replies|pagination|pager|toolbar|searchbox|searchform)")
-
+# Words that a paragraph of the main text may well be named by.
+AMBIGUOUS = re.compile(r"(?:shar(?:e|ing)|social|related|recommend\w*|aside|menus?|login|overlay)")
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption dt dd caption".split())
+
+# A quoted value may hold "<" or ">", if it is not long; one that holds both is taken only where it
+# ends like one.  All that may fail to end is bounded, so that broken markup costs no more than whole.
+VALUE = "(?>" + "|".join(
+    rf"{q}[^{q}<]*{q}|{q}[^{q}>]{{0,300}}{q}|{q}[^{q}]{{0,300}}{q}(?=[\s/>])" for q in "\"'") + ")"
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|textarea|title|template|iframe|svg)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*)>"
-    r"|</?[a-zA-Z!?][^>]*>",
+    r"|<(?P<raw>script|style|noscript|textarea|title|template|iframe|svg)\b[^>]{0,4000}>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]{{0,100}})(?P<attrs>(?:[^<>\"']++|{VALUE}){{0,400}}+)>"
+    r"|<(?P<loose_close>/?)(?P<loose_name>[a-zA-Z][^\s/>]{0,100})(?P<loose_attrs>[^>]{0,4000})>"
+    r"|</?[!?][^>]{0,4000}>",
     re.S | re.I)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 HOST = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)")
@@ -85,9 +99,10 @@ def attributes(text: str) -> dict[str, str]:
             for m in ATTRIBUTE.finditer(text)} if text.strip() else {}
 
 
-def skipped(name: str, attrs: dict[str, str], in_article: bool) -> bool:
-    """Whether an element is no part of the main text, whatever it holds."""
-    if name in SKIPPED or (name == "header" and not in_article):
+def skipped(name: str, attrs: dict[str, str], inside: bool) -> bool:
+    """Whether an element is no part of the main text, whatever it holds; ``inside`` an article
+    or the main element, headers and oddly named paragraphs are."""
+    if name in SKIPPED or (name == "header" and not inside):
         return True
     if not attrs or name in ("html", "body", "main"):
         return False
@@ -96,7 +111,10 @@ def skipped(name: str, attrs: dict[str, str], in_article: bool) -> bool:
     if "display:none" in attrs.get("style", "").replace(" ", "").lower():
         return True
     words = re.split(r"[^a-z0-9]+", f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())
-    return any(PARTS.fullmatch(w) for w in words if w) or (not in_article and "header" in words)
+    named = [w for w in words if PARTS.fullmatch(w)]
+    if inside and name in PROSE:
+        named = [w for w in named if not AMBIGUOUS.fullmatch(w)]
+    return bool(named) or (not inside and "header" in words)
 
 
 def digest(text: str) -> int:
@@ -104,24 +122,40 @@ def digest(text: str) -> int:
         blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
+@dataclass
+class Element:
+    """An open element."""
+
+    name: str
+    parts: list[str]  # what its hash is of
+    skip: bool = False
+    articles: int = 0  # open articles around it, itself included
+    main: bool = False  # in a main element
+    first: int = 0  # its first block
+    wraps: bool = False  # a form around the page's text
+
+
 class Page:
     """Blocks of a page and hashes of its subtrees, gathered in one pass over its tags."""
 
     def __init__(self, text: str):
-        self.blocks: list[tuple[str, list[int], int]] = []  # text, hashes around it, level
-        self.hashes: set[int] = set()
-        self.stack: list[list] = []  # name, parts to hash, skips?, article level, first block, main?
+        self.blocks: list[tuple[str, int]] = []  # text, level
+        self.spans: list[tuple[int, int, int]] = []  # hash, first block and end of a subtree
+        self.stack: list[Element] = []
+        self.open: Counter[str] = Counter()  # names on the stack
+        self.forms: list[Element] = []
         self.words: list[str] = []
         at = 0
         for found in TAG.finditer(text):
             if found.start() > at:
                 self.text(text[at:found.start()])
             at = found.end()
-            name = found["name"]
+            loose = "loose_" if found["name"] is None else ""
+            name, attrs = found[f"{loose}name"], found[f"{loose}attrs"]
             if name is None:
                 continue
             name = name.lower()
-            if found["close"]:
+            if found[f"{loose}close"]:
                 self.end(name)
             elif name == "br":
                 self.text(" ")
@@ -129,7 +163,7 @@ class Page:
                 if name in BLOCKS:
                     self.flush()
             else:
-                self.start(name, attributes(found["attrs"]), found["attrs"].rstrip().endswith("/"))
+                self.start(name, attributes(attrs), attrs.rstrip().endswith("/"))
         self.text(text[at:])
         while self.stack:
             self.pop()
@@ -137,8 +171,8 @@ class Page:
 
     def text(self, text: str) -> None:
         if self.stack:
-            self.stack[-1][1].append(text)
-            if self.stack[-1][2]:
+            self.stack[-1].parts.append(text)
+            if self.stack[-1].skip:
                 return
         self.words.append(text)
 
@@ -148,42 +182,51 @@ class Page:
             text = " ".join(html.unescape("".join(self.words)).split())
             self.words.clear()
             if text:
-                top = self.stack[-1] if self.stack else None
-                level = 0 if top is None else 2 if top[3] else 1 if top[5] else 0
-                self.blocks.append((text, [], level))
+                top = self.stack[-1] if self.stack else Element("", [])
+                self.blocks.append((text, 2 if top.main else 1 if top.articles else 0))
 
     def start(self, name: str, attrs: dict[str, str], alone: bool) -> None:
         if name in BLOCKS:
-            # A block ends an open paragraph, a list item the one before.
+            # A block ends an open paragraph or label, a list item the one before.
+            while self.stack and self.stack[-1].name == "label":
+                self.pop()
             self.close_up_to(frozenset(["p"]), LIMITS)
             if name in CLOSED_BY:
                 self.close_up_to(CLOSED_BY[name], LIMITS - CLOSED_BY[name] - ({"td", "th"} if name == "tr" else set()))
-            if not self.stack or not self.stack[-1][2]:
+            if not self.stack or not self.stack[-1].skip:
                 self.flush()
-        elif not attrs:
+        elif not attrs and name not in SKIPPED:
             return  # plain inline markup is no element to us
         if alone and name not in BLOCKS:
             return
-        top = self.stack[-1] if self.stack else ["", [], False, 0, 0, False]
-        skip = top[2] or skipped(name, attrs, top[3] > 0)
+        top = self.stack[-1] if self.stack else Element("", [])
+        skip = top.skip or skipped(name, attrs, top.main or top.articles > 0)
         mark = f"{attrs.get('class', '')} {attrs.get('id', '')}" if attrs else ""
-        self.stack.append([
-            name, [name, " ", mark, ">"], skip, top[3] + (name == "article" and not skip), len(self.blocks),
-            top[5] or name == "main" or attrs.get("role") == "main"])
+        main = not skip and (name == "main" or attrs.get("role") == "main")
+        opened = Element(name, [name, " ", mark, ">"], skip, top.articles + (name == "article" and not skip),
+                         top.main or main, len(self.blocks))
+        self.stack.append(opened)
+        self.open[name] += 1
+        if self.forms and not skip and (main or name in ("article", "h1")):
+            self.forms[-1].wraps = True
+        if name == "form" and not skip:
+            self.forms.append(opened)
 
     def close_up_to(self, names: frozenset, limits: frozenset) -> None:
+        if not any(self.open[name] for name in names):
+            return
         for back in range(len(self.stack) - 1, -1, -1):
-            if self.stack[back][0] in names:
+            if self.stack[back].name in names:
                 while len(self.stack) > back:
                     self.pop()
                 return
-            if self.stack[back][0] in limits:
+            if self.stack[back].name in limits:
                 return
 
     def end(self, name: str) -> None:
         inline = name not in BLOCKS
-        for back in range(len(self.stack) - 1, -1, -1):
-            here = self.stack[back][0]
+        for back in range(len(self.stack) - 1, -1, -1) if self.open[name] else ():
+            here = self.stack[back].name
             if here == name:
                 while len(self.stack) > back:
                     self.pop()
@@ -191,26 +234,38 @@ class Page:
             if inline and here in BLOCKS or here in ("article", "main", "body") and name not in (
                     "article", "main", "body", "html"):
                 break
-        if not inline and (not self.stack or not self.stack[-1][2]):
+        if not inline and (not self.stack or not self.stack[-1].skip):
             self.flush()
 
     def pop(self) -> None:
-        name, parts, skip, article, first, _ = self.stack[-1]
-        if not skip and name in BLOCKS:
+        top = self.stack[-1]
+        name = top.name
+        if not top.skip and name in BLOCKS:
             self.flush()
         self.stack.pop()
-        code = digest(" ".join("".join(parts).split()))
+        self.open[name] -= 1
+        code = digest(" ".join("".join(top.parts).split()))
         if self.stack:
-            self.stack[-1][1].append(f"<{code}>")
-        if name in BLOCKS and name not in ("html", "body", "article", "main") and not (
-                article and name in TEXT_BLOCKS):
-            self.hashes.add(code)
-            for _, around, _ in self.blocks[first:]:
-                around.append(code)
-
-    def main(self) -> list[tuple[str, list[int]]]:
-        level = max((b[2] for b in self.blocks), default=0)
-        return [(text, around) for text, around, at in self.blocks if at == level]
+            self.stack[-1].parts.append(f"<{code}>")
+        if self.forms and top is self.forms[-1]:
+            self.forms.pop()
+            if top.wraps and self.forms:
+                self.forms[-1].wraps = True
+            if not top.wraps:
+                del self.blocks[top.first:]
+                while self.spans and self.spans[-1][1] >= top.first:
+                    self.spans.pop()
+        elif len(self.blocks) > top.first and name in BLOCKS and name not in ("html", "body", "article", "main") and not (
+                top.articles and name in TEXT_BLOCKS):
+            self.spans.append((code, top.first, len(self.blocks)))
+
+    def main(self) -> tuple[list[str], list[tuple[int, int, int]]]:
+        """Blocks of the main text, and the subtrees that cover some of them."""
+        level = max((at for _, at in self.blocks), default=0)
+        kept = np.array([at == level for _, at in self.blocks], dtype=np.int64)
+        place = np.concatenate([[0], np.cumsum(kept)]).tolist()
+        spans = [(code, place[first], place[end]) for code, first, end in self.spans if place[first] < place[end]]
+        return [text for text, at in self.blocks if at == level], spans
 
 
 class MainText:
@@ -221,7 +276,7 @@ class MainText:
         self.pages = staged(parsed(pages).withColumn("row", F.monotonically_increasing_id()), "pages")
         on_host = self.pages.groupBy("host").agg(F.count_distinct("content").alias("pages"))
         self.templates = staged(
-            self.pages.select("host", "content", F.explode("hashes").alias("hash"))
+            self.pages.select("host", "content", F.explode("spans.hash").alias("hash"))
             .groupBy("host", "hash").agg(F.count_distinct("content").alias("n"))
             .filter(F.col("n") >= least_pages)
             .join(on_host, "host").filter(
@@ -230,23 +285,30 @@ class MainText:
             "templates")
 
     def texts(self) -> DataFrame:
-        around = F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["around"])))
         per_page = (
-            self.pages.select("row", "host", F.explode(around).alias("hash"))
+            self.pages.select("row", "host", F.inline("spans"))
             .join(self.templates.select("host", "hash"), ["host", "hash"], "left_semi")
-            .groupBy("row").agg(F.collect_list("hash").alias("template"))
-        )
-        kept = F.filter("blocks", lambda b: ~F.arrays_overlap(
-            b["around"], F.coalesce("template", F.array().cast("array<bigint>"))))
-        text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
-        return (
-            self.pages.join(per_page, "row", "left").withColumn("text", text)
-            .select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+            .groupBy("row").agg(F.collect_list("first").alias("first"), F.collect_list("end").alias("end"))
         )
-
-
-def content_of(page: Page) -> int:
-    return digest("\n".join(text for text, _ in page.main()))
+        kind = self.pages.schema["page_id"].dataType.simpleString()
+        return self.pages.join(per_page, "row", "left").select("page_id", "url", "blocks", "first", "end").mapInArrow(
+            uncovered, f"page_id {kind}, url string, text string, n_chars bigint")
+
+
+def uncovered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of the blocks that no template covers."""
+    for batch in batches:
+        texts = []
+        for blocks, first, end in zip(*[batch.column(i).to_pylist() for i in (2, 3, 4)]):
+            if first:
+                edges = np.zeros(len(blocks) + 1, dtype=np.int64)
+                np.add.at(edges, first, 1)
+                np.add.at(edges, end, -1)
+                blocks = [blocks[i] for i in np.flatnonzero(np.cumsum(edges[:-1]) == 0)]
+            texts.append("\n".join(blocks))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(texts, pa.string()),
+             pa.array([len(text) for text in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
 def parsed(pages: DataFrame) -> DataFrame:
@@ -255,26 +317,25 @@ def parsed(pages: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([
-            ("host", pa.string()), ("content", pa.int64()),
-            ("blocks", pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))]))),
-            ("hashes", pa.list_(pa.int64()))])
+            ("host", pa.string()), ("content", pa.int64()), ("blocks", pa.list_(pa.string())),
+            ("spans", pa.list_(pa.struct([("hash", pa.int64()), ("first", pa.int32()), ("end", pa.int32())])))])
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
                 rows = []
                 for url, page in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    read_ = Page(page or "")
+                    blocks, spans = Page(page or "").main()
                     rows.append({
-                        "host": host_of(url), "content": content_of(read_), "hashes": list(read_.hashes),
-                        "blocks": [{"text": t, "around": a} for t, a in read_.main()]})
+                        "host": host_of(url), "content": digest("\n".join(blocks)), "blocks": blocks,
+                        "spans": [dict(zip(("hash", "first", "end"), span)) for span in spans]})
                 made = pa.RecordBatch.from_pylist(rows, schema=schema)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), *made.columns],
-                    ["page_id", "url", "host", "content", "blocks", "hashes"])
+                    ["page_id", "url", "host", "content", "blocks", "spans"])
 
     return pages.select("page_id", "url", "html").mapInArrow(
         read, f"page_id {kind}, url string, host string, content bigint, "
-              "blocks array<struct<text:string,around:array<bigint>>>, hashes array<bigint>")
+              "blocks array<string>, spans array<struct<hash:bigint,first:int,end:int>>")
 
 
 def main_texts(pages: DataFrame, **settings) -> DataFrame:
