@@ -1,10 +1,14 @@
 """The streaming path end to end: JSON lines, landing, refresh, stored tables."""
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnstile import schemas
-from turnstile.functions.timeparts import hour_start
+from turnstile.functions.timeparts import hour_start, week_start
+from turnstile.operators import sketches
 from turnstile.operators.hourly import block_of
 from turnstile.operators.keyfilter import LEAST_WORDS, filter_rows, suspected
 from turnstile.session import shared_dir
@@ -12,7 +16,7 @@ from turnstile.sources import payloads, samples
 from turnstile.sources.buffers import Buffer
 from turnstile.sources.tables import append_rows, scan
 from turnstile.sources.versions import published, snapshot
-from turnstile.streaming.history import refresh_history
+from turnstile.streaming.history import InputLog, input_history, refresh_history
 from turnstile.streaming.landing import (
     AVAILABLE_NOW, drop_repeats, landed_rows, landed_stream, lines_stream, rejected_lines, rides_stream,
     start_ingest,
@@ -241,6 +245,7 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("refreshes"),
         F.sum("row_count").alias("row_count"),
         F.sum("partitions").alias("partitions"),
+        F.sum("input_rows").alias("input_rows"),
     )
 
 
@@ -293,3 +298,54 @@ def exact_visitors(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed = rides_stream(spark, f"{root}/inbox", schemas.LIFT_RIDE, max_files=2)
     start_changes(feed, f"{root}/changes", f"{root}/checkpoint", AVAILABLE_NOW).awaitTermination()
     return exact_hours(stored_changes(spark, f"{root}/changes"))
+
+
+def unique_visitors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days, weeks and weeks of the network from the refreshed sketches: exact visitors, and
+    whether the estimates keep to their error."""
+    held = snapshot(spark, run_refresh(spark, sf_dir)).scan("visitor_sketches", schemas.VISITOR_SKETCHES)
+    rides = samples.bare_rides(spark, sf_dir).withColumn("ride_date", F.to_date("ride_time"))
+    found = None
+    for level, estimate in (("day", sketches.daily_unique_visitors(held)), ("week", sketches.weekly_unique_visitors(held)),
+                            ("network", sketches.network_unique_visitors(held))):
+        start = "ride_date" if level == "day" else "week_start_date"
+        key = [name for name in estimate.columns if name != "unique_visitors"]
+        exact = rides.withColumn("week_start_date", week_start(F.col("ride_date"))).groupBy(*key).agg(
+            F.count_distinct("rfid").alias("visitors"))
+        off = F.abs(F.col("unique_visitors") - F.col("visitors"))
+        # Five standard errors, and one visitor more for small sets.
+        row = estimate.join(exact, key).select(
+            F.lit(level).alias("level"), F.col(start).alias("start_date"),
+            (F.col("resort") if "resort" in key else F.lit(None).cast("string")).alias("resort"), "visitors",
+            (off <= 1 + 5 * sketches.ERROR * F.col("visitors")).alias("near"))
+        found = row if found is None else found.unionByName(row)
+    return found
+
+
+def reported_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that Spark reported for the batches of a feed, as the listener keeps them."""
+    root = shared_dir(spark, "reported")
+    samples.bare_rides(spark, sf_dir).repartition(4, "txid").write.parquet(f"{root}/inbox")
+    log = InputLog(spark, f"{root}/input_history")
+    spark.streams.addListener(log)
+    try:
+        query = (
+            rides_stream(spark, f"{root}/inbox", schemas.LIFT_RIDE, max_files=1)
+            .writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint")
+            .trigger(**AVAILABLE_NOW).start(f"{root}/out")
+        )
+        query.awaitTermination()
+        # Listeners are told asynchronously.
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        wait_for(lambda: input_history(spark, f"{root}/input_history").count() >= 4)
+    finally:
+        spark.streams.removeListener(log)
+    return input_history(spark, f"{root}/input_history").agg(
+        F.count(F.lit(1)).alias("batches"), F.sum("input_rows").alias("input_rows"),
+        F.count_if(F.col("end_offset").isNull()).alias("without_offset"))
+
+
+def wait_for(there: Callable[[], bool], seconds: float = 20) -> None:
+    end = time.monotonic() + seconds
+    while not there() and time.monotonic() < end:
+        time.sleep(0.2)

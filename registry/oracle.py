@@ -697,7 +697,8 @@ ORACLE = {
     "appended_visits": _with("visit", _VISIT),
     "refresh_log": _with(
         "ride visit hourly daily weekly",
-        """SELECT target, 3 AS refreshes, row_count, partitions FROM (
+        """SELECT target, 3 AS refreshes, row_count, partitions,
+               CAST((SELECT count(*) FROM ride) AS BIGINT) AS input_rows FROM (
                SELECT 'lift_ride' AS target, count(*) AS row_count,
                    count(DISTINCT (CAST(ride_time AS DATE), hour(ride_time) // 6)) AS partitions FROM ride
                UNION ALL SELECT 'visitor_hours', count(*), count(DISTINCT (day, block))
@@ -712,6 +713,17 @@ ORACLE = {
         "ride",
         """SELECT date_trunc('hour', ride_time) AS ride_hour_timestamp, resort,
                count(*) AS total_rides, true AS visitors_near FROM ride GROUP BY 1, 2"""),
+    "input_log": """
+        SELECT CAST(4 AS BIGINT) AS batches, CAST(count(*) AS BIGINT) AS input_rows,
+               CAST(0 AS BIGINT) AS without_offset FROM events""",
+    "unique_visitors": _with(
+        "ride",
+        """SELECT 'day' AS level, CAST(ride_time AS DATE) AS start_date, resort,
+               count(DISTINCT rfid) AS visitors, true AS near FROM ride GROUP BY 2, 3
+           UNION ALL SELECT 'week', CAST(date_trunc('week', ride_time) AS DATE), resort,
+               count(DISTINCT rfid), true FROM ride GROUP BY 2, 3
+           UNION ALL SELECT 'network', CAST(date_trunc('week', ride_time) AS DATE), NULL,
+               count(DISTINCT rfid), true FROM ride GROUP BY 2"""),
     "stream_hours_exact": _with(
         "ride",
         """SELECT date_trunc('hour', ride_time) AS ride_hour_timestamp, resort,

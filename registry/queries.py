@@ -727,3 +727,15 @@ def stream_hours_approx(spark, sf_dir):
 def stream_hours_exact(spark, sf_dir):
     """Rides and visitors of every hour from keyed state, no ride too late to count."""
     return live.exact_visitors(spark, sf_dir)
+
+
+@query
+def unique_visitors(spark, sf_dir):
+    """Distinct visitors of days, weeks and the network as unions of stored sketches."""
+    return live.unique_visitors(spark, sf_dir)
+
+
+@query
+def input_log(spark, sf_dir):
+    """Input rows and offsets of a stream's batches from the listener."""
+    return live.reported_input(spark, sf_dir)

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from turnstile import schemas
 from turnstile.functions.timeparts import day_of
 from turnstile.operators import hourly as hours
-from turnstile.operators import rollups
+from turnstile.operators import rollups, sketches
 from turnstile.operators.visits import daily_visits
 from turnstile.sources.tables import replace_partitions, scan
 from turnstile.sources.versions import Snapshot
@@ -44,6 +44,10 @@ class Chain:
         visitors = hours.rides_per_visitor(self.rides)
         return hours.hourly_summary_of(visitors, self.visits, self.capacity)
 
+    @cached_property
+    def visitor_sketches(self) -> DataFrame:
+        return sketches.hourly_sketches(hours.visitor_hours(self.rides))
+
     @cached_property
     def daily(self) -> DataFrame:
         return rollups.daily_summary(self.hourly)
@@ -75,6 +79,10 @@ class StoredChain(Chain):
     def visitor_hours(self) -> DataFrame:
         return self._table("visitor_hours", schemas.VISITOR_HOURS)
 
+    @cached_property
+    def visitor_sketches(self) -> DataFrame:
+        return self._table("visitor_sketches", schemas.VISITOR_SKETCHES)
+
     @cached_property
     def visits(self) -> DataFrame:
         return self._table("daily_visits", schemas.DAILY_VISITS)
@@ -121,6 +129,8 @@ def materialize(spark: SparkSession, base: Chain, root: str) -> StoredChain:
     levels = [
         ("visitor_hours", schemas.VISITOR_HOURS, ["ride_date", "ride_block"],
          lambda: hours.visitor_hours(rides)),
+        ("visitor_sketches", schemas.VISITOR_SKETCHES, ["ride_date", "ride_block"],
+         lambda: sketches.hourly_sketches(stored.visitor_hours)),
         ("daily_visits", schemas.DAILY_VISITS, ["visit_date"],
          lambda: daily_visits(stored.visitor_hours, base.passes, base.tickets)),
         ("hourly_resort_summary", schemas.HOURLY_RESORT_SUMMARY, ["ride_date"],

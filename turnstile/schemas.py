@@ -48,6 +48,9 @@ VISITOR_HOURS = _table(
     ride_date=_DATE, ride_block=_INT, ride_hour=_INT, resort=_STR, rfid=_STR, rides=_LONG,
     ride_time=_TIME, txid=_STR, lift=_STR, activation_day_count=_INT,
 )
+VISITOR_SKETCHES = _table(
+    ride_date=_DATE, ride_block=_INT, ride_hour=_INT, resort=_STR, visitors=T.BinaryType(),
+)
 HOURLY_LIFT_ACTIVITY = _table(
     ride_date=_DATE, ride_hour=_INT, ride_hour_timestamp=_TIME, resort=_STR,
     total_rides=_LONG, visitor_count=_LONG, active_passes=_LONG, pass_rides=_LONG,
@@ -94,7 +97,7 @@ LIFT_PERFORMANCE = _table(
     rides_per_hour=T.DoubleType(),
 )
 REFRESH_HISTORY = _table(
-    target=_STR, partitions=_INT, row_count=_LONG,
+    target=_STR, partitions=_INT, row_count=_LONG, input_rows=_LONG,
     refresh_start_time=_TIME, refresh_end_time=_TIME,
 )
 

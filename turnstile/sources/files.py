@@ -32,18 +32,31 @@ def read(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
-def write_new(spark: SparkSession, path: str, text: str) -> bool:
-    """Write a file that appears whole, by one rename; False if it is there already."""
-    place, system = _at(spark, path)
+def _draft(spark: SparkSession, path: str, text: str):
     folder, name = path.rsplit("/", 1)
-    draft, _ = _at(spark, f"{folder}/.{name}.{uuid.uuid4().hex}")
+    draft, system = _at(spark, f"{folder}/.{name}.{uuid.uuid4().hex}")
     stream = system.create(draft, False)
     try:
         stream.write(bytearray(text.encode()))
     finally:
         stream.close()
+    return draft, system
+
+
+def write_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a file that appears whole, by one rename; False if it is there already."""
+    draft, system = _draft(spark, path, text)
+    place, _ = _at(spark, path)
     # A local file system would rename over a file that exists.
     if system.exists(place) or not system.rename(draft, place):
         system.delete(draft, False)
         return False
     return True
+
+
+def write_over(spark: SparkSession, path: str, text: str) -> None:
+    """Write a file in place of one that may be there."""
+    draft, system = _draft(spark, path, text)
+    place, _ = _at(spark, path)
+    system.delete(place, False)
+    system.rename(draft, place)

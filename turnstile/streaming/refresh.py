@@ -25,7 +25,7 @@ from pyspark.sql.streaming import StreamingQuery
 from turnstile import schemas
 from turnstile.functions.timeparts import day_of
 from turnstile.operators import hourly as hours
-from turnstile.operators import keyfilter, rollups
+from turnstile.operators import keyfilter, rollups, sketches
 from turnstile.operators.visits import daily_visits, enrich_again, reenrich
 from turnstile.plans.chain import DATED_RIDE, Chain, SnapshotChain
 from turnstile.sources import versions
@@ -141,7 +141,8 @@ class RefreshJob:
                 # Rides without a time are kept, but belong to no hour.
                 touched = {(part.ride_date, part.ride_block): part["count"] for part in parts
                            if part.ride_date is not None}
-                log = RefreshLog(self.spark, self._path("refresh_history"), batch_id)
+                log = RefreshLog(self.spark, self._path("refresh_history"), batch_id,
+                                 input_rows=sum(part["count"] for part in parts))
                 log.step("lift_ride", len(parts), lambda: change.append(
                     "lift_ride", self._unknown(rows, touched, change), _STORED_RIDE, *_PART, options=_BLOOM))
             finally:
@@ -229,6 +230,9 @@ class RefreshJob:
         rows = hours.merge_visitor_hours(known, hours.visitor_hours(added))
         log.step("visitor_hours", len(touched), lambda: change.replace(
             "visitor_hours", rows, schemas.VISITOR_HOURS, *_PART, replaced=touched))
+        merged = self._scan_parts(change, "visitor_hours", schemas.VISITOR_HOURS, touched)
+        change.replace("visitor_sketches", sketches.hourly_sketches(merged), schemas.VISITOR_SKETCHES, *_PART,
+                       replaced=touched)
 
     def _refresh_visits(self, added: DataFrame, dates: list[date], change: Change, log: RefreshLog) -> None:
         passes, tickets = self.passes(), self.tickets()
