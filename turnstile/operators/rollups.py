@@ -62,22 +62,33 @@ def weekly_summary(daily: DataFrame) -> DataFrame:
     return schemas.conform(out, schemas.WEEKLY_RESORT_SUMMARY)
 
 
+WEEKLY_SQL = """
+SELECT
+    trunc(ride_date, 'week') AS week_start_date,
+    resort,
+    max(total_visitors) AS max_daily_unique_visitors,
+    CAST(round(avg(total_visitors)) AS bigint) AS avg_daily_unique_visitors,
+    sum(total_visitors) AS week_total_visitors,
+    sum(total_rides) AS week_total_rides,
+    sum(total_pass_rides) AS week_total_pass_rides,
+    sum(total_ticket_rides) AS week_total_ticket_rides,
+    CAST(sum(total_ticket_revenue) AS decimal(28, 8)) AS week_total_ticket_revenue,
+    CAST(sum(total_pass_revenue) AS decimal(28, 8)) AS week_total_pass_revenue,
+    CAST(sum(total_revenue) AS decimal(28, 8)) AS week_total_revenue,
+    CAST(round(avg(total_revenue)) AS decimal(28, 0)) AS avg_daily_revenue,
+    sum(total_ticket_activations) AS week_total_ticket_activations,
+    sum(total_pass_activations) AS week_total_pass_activations,
+    CAST(round(avg(avg_capacity_pct), 1) AS decimal(9, 1)) AS avg_week_capacity_pct,
+    max(peak_capacity_pct) AS week_peak_capacity_pct,
+    count(DISTINCT ride_date) AS operation_days
+FROM {view}
+GROUP BY trunc(ride_date, 'week'), resort
+"""
+
+
 def weekly_summary_sql(view: str = "daily_resort_summary") -> str:
     """The weekly table as SQL text over a published view, for SQL-only users."""
-    columns = {f"week_{name}": f"sum({name})" for name in WEEKLY_SUMS} | {
-        "operation_days": "count(DISTINCT ride_date)",
-        "max_daily_unique_visitors": "max(total_visitors)",
-        "avg_daily_unique_visitors": "round(avg(total_visitors))",
-        "avg_daily_revenue": "round(avg(total_revenue))",
-        "week_peak_capacity_pct": "max(peak_capacity_pct)",
-        "avg_week_capacity_pct": "round(avg(avg_capacity_pct), 1)",
-    }
-    typed = ", ".join(
-        f"CAST({columns[f.name]} AS {f.dataType.simpleString()}) AS {f.name}"
-        for f in schemas.WEEKLY_RESORT_SUMMARY if f.name in columns
-    )
-    week = "trunc(ride_date, 'week')"
-    return f"SELECT {week} AS week_start_date, resort, {typed} FROM {view} GROUP BY {week}, resort"
+    return WEEKLY_SQL.format(view=view)
 
 
 def revenue_performance(
