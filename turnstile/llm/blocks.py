@@ -48,6 +48,50 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatc
         yield pa.concat_batches(held)
 
 
+def bundles(batches: Iterator[pa.RecordBatch], keys: int, most: int = 64, rows: int = 8192) -> Iterator[
+        tuple[pa.RecordBatch, np.ndarray]]:
+    """Runs of up to ``most`` rows, many at a time, and longer ones alone: (rows, first row of
+    each run and the end)."""
+    held: list[pa.RecordBatch] = []
+    for run in runs(batches, keys):
+        if run.num_rows > most:
+            yield run, np.array([0, run.num_rows])
+            continue
+        held.append(run)
+        if len(held) * most >= rows:
+            yield bundle(held)
+            held = []
+    if held:
+        yield bundle(held)
+
+
+def bundle(held: list[pa.RecordBatch]) -> tuple[pa.RecordBatch, np.ndarray]:
+    return pa.concat_batches(held), np.concatenate([[0], np.cumsum([run.num_rows for run in held])])
+
+
+def pairs_within(edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows of each run, in order."""
+    rows = np.arange(edges[-1])
+    counts = np.repeat(edges[1:], np.diff(edges)) - rows - 1
+    a = np.repeat(rows, counts)
+    return a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def shared_in_pairs(marks: np.ndarray, units: np.ndarray, edges: np.ndarray,
+                    a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of some rows' sets of marks; the pairs are those of
+    ``pairs_within``, in its order."""
+    if not len(a):
+        return np.zeros(0, dtype=np.int64)
+    run = np.searchsorted(edges, units, side="right")
+    order = np.lexsort((units, marks, run))
+    marks, units, run = marks[order], units[order], run[order]
+    new = np.append(True, (marks[1:] != marks[:-1]) | (run[1:] != run[:-1]))
+    i, j = pairs_within(np.append(np.flatnonzero(new), len(marks)))
+    rows = edges[-1]
+    return np.bincount(np.searchsorted(a * rows + b, units[i] * rows + units[j]), minlength=len(a))
+
+
 def block_pairs(run: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of rows of two blocks, or within one."""
     block = run.column(3).to_numpy()

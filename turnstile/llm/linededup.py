@@ -35,7 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnstile.llm.blocks import block_pairs, in_blocks, runs, shared_counts
+from turnstile.llm.blocks import (
+    block_pairs, bundles, in_blocks, pairs_within, shared_counts, shared_in_pairs,
+)
 from turnstile.llm.common import GIVEN, discard, given_ids, own_ids, staged
 from turnstile.llm.filters import bit_filter, bits_for, tester
 from turnstile.llm.words import (
@@ -45,6 +47,7 @@ from turnstile.llm.words import (
 COUNTERS = 16
 RANK_BITS, HASH_BITS = 6, 38
 BLOCK = 512  # lines of a list in one block
+FEW = 64  # lines of a list that is compared with others at a time
 
 
 def line_edges(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,33 +194,36 @@ def postings(lines: DataFrame, percent: int, wanted: np.ndarray | None = None) -
         post, "token bigint, doc_id bigint, line int, k int, at int")
 
 
-def full_sets(docs: DataFrame, wanted: np.ndarray, ranks: np.ndarray, size: int) -> DataFrame:
-    """Whole token sets of (at least) the lines whose key passes the filter."""
+LINE_FACTOR = 2654435761  # spreads line numbers over the low bits that filters use
+
+
+def full_sets(docs: DataFrame, wanted: np.ndarray, size: int) -> DataFrame:
+    """Whole token sets of (at least) the lines whose number passes the filter.
+
+    Only the bytes of such lines are looked at for words.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, test = fold_table("non_space"), tester(wanted)
         for batch in batches:
+            ids = batch.column(0).fill_null(0).to_numpy()
             for first, raw, offsets in slices(batch.column(1)):
                 edges, heads = line_edges(raw, offsets)
-                full, of = line_tokens(raw, edges, table, size)
-                _, lines, whole = ordered_sets(full, of, ranks)
-                keys, _ = line_keys(whole, lines, len(edges) - 1)
-                has = np.bincount(of, minlength=len(edges) - 1) > 0
-                used = np.flatnonzero(has & test(keys))
-                ends = np.searchsorted(of, np.concatenate([used, used + 1]))
-                low, high = ends[:len(used)], ends[len(used):]
-                sizes = high - low
-                borders = np.concatenate([[0], np.cumsum(sizes)])
-                take = np.arange(borders[-1]) + np.repeat(low - borders[:-1], sizes)
-                text = np.repeat(np.arange(len(heads) - 1), np.diff(heads))[used]
+                text = np.repeat(np.arange(len(heads) - 1), np.diff(heads))
+                line = np.arange(len(edges) - 1) - heads[text]
+                used = np.flatnonzero(test((ids[first + text] ^ (line * LINE_FACTOR)).view(np.uint64)))
+                lengths = edges[used + 1] - edges[used]
+                borders = np.concatenate([[0], np.cumsum(lengths)])
+                take = np.arange(borders[-1]) + np.repeat(edges[used] - borders[:-1], lengths)
+                full, of = line_tokens(raw[take], borders, table, size)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(offsets) - 1).take(pa.array(text)),
-                     pa.array((used - heads[text]).astype(np.int32)),
-                     lists(signed(full[take]), borders)],
+                    [batch.column(0).slice(first, len(offsets) - 1).take(pa.array(text[used])),
+                     pa.array(line[used].astype(np.int32)),
+                     lists(signed(full), np.searchsorted(of, np.arange(len(used) + 1)))],
                     ["doc_id", "line", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(
-        emit, "doc_id bigint, line int, tokens array<bigint>")
+    return docs.select("doc_id", "text").filter("doc_id IS NOT NULL").mapInArrow(
+        emit, "doc_id bigint, line int, tokens array<bigint>").filter(F.size("tokens") > 0)
 
 
 def prefixes(lines: DataFrame, percent: int, wanted: np.ndarray) -> DataFrame:
@@ -244,16 +250,29 @@ def prefixes(lines: DataFrame, percent: int, wanted: np.ndarray) -> DataFrame:
         cut, "doc_id bigint, line int, prefix array<bigint>")
 
 
-def open_pairs(run: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of an earlier line and a later one that matches nothing so far."""
-    nodes, done = run.column(4).to_pylist(), run.column(5).to_numpy(zero_copy_only=False)
-    rank = np.empty(len(nodes), dtype=np.int64)
-    rank[sorted(range(len(nodes)), key=nodes.__getitem__)] = np.arange(len(nodes))
-    a, b = block_pairs(run)
+def open_pairs(
+    run: pa.RecordBatch, edges: np.ndarray, marks: np.ndarray, units: np.ndarray,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of an earlier line and a later one that matches nothing so far, in one list, and
+    how many ``marks`` the two share."""
+    nodes = run.column(4)
+    if pa.types.is_integer(nodes.type):
+        rank = nodes.to_numpy()
+    else:
+        nodes = nodes.to_pylist()
+        rank = np.empty(len(nodes), dtype=np.int64)
+        rank[sorted(range(len(nodes)), key=nodes.__getitem__)] = np.arange(len(nodes))
+    done = run.column(5).to_numpy(zero_copy_only=False)
+    if len(edges) > 2 or run.num_rows <= FEW:
+        a, b = pairs_within(edges)
+        shared = shared_in_pairs(marks, units, edges, a, b)
+    else:
+        a, b = block_pairs(run)
+        shared = shared_counts(marks, units, run.num_rows)[a, b]
     swap = rank[a] > rank[b]
     a, b = np.where(swap, b, a), np.where(swap, a, b)
     kept = ~done[b]
-    return a[kept], b[kept]
+    return a[kept], b[kept], shared[kept]
 
 
 def close_lines(members: DataFrame, percent: int) -> DataFrame:
@@ -266,19 +285,20 @@ def close_lines(members: DataFrame, percent: int) -> DataFrame:
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in runs(batches, 3):
-            a, b = open_pairs(run)
+        for run, edges in bundles(batches, 3, FEW):
             k = run.column(6).to_numpy().astype(np.int64)
             prefix = run.column(7)
             counts = np.diff(prefix.offsets.to_numpy())
             tokens = prefix.flatten().to_numpy()
             ends = np.cumsum(counts)
             last, behind = tokens[ends - 1], k - counts
+            of = np.repeat(np.arange(len(k)), counts)
+            repeated = np.append(False, (tokens[1:] == tokens[:-1]) & (of[1:] == of[:-1]))
+            again = np.bincount(of[repeated], minlength=len(k))
+            a, b, shared = open_pairs(run, edges, tokens[~repeated], of[~repeated])
             fits = 100 * np.minimum(k[a], k[b]) >= percent * np.maximum(k[a], k[b])
             a, b = a[fits], b[fits]
-            of = np.repeat(np.arange(len(k)), counts)
-            again = np.bincount(of[1:][(tokens[1:] == tokens[:-1]) & (of[1:] == of[:-1])], minlength=len(k))
-            shared = shared_counts(tokens, of, len(k))[a, b] + np.minimum(again[a], again[b])
+            shared = shared[fits] + np.minimum(again[a], again[b])
             most = shared + np.where(last[a] == last[b], np.maximum(behind[a], behind[b]),
                                      np.where(last[a] < last[b], behind[a], behind[b]))
             kept = 100 * most >= percent * (k[a] + k[b] - most)
@@ -295,11 +315,10 @@ def matching_lines(members: DataFrame, percent: int) -> DataFrame:
     """``node`` of open lines whose whole set matches an earlier line's of their list."""
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in runs(batches, 3):
-            a, b = open_pairs(run)
+        for run, edges in bundles(batches, 3, FEW):
             tokens = run.column(6)
             k = np.diff(tokens.offsets.to_numpy())
-            shared = shared_counts(tokens.flatten().to_numpy(), np.repeat(np.arange(len(k)), k), len(k))[a, b]
+            a, b, shared = open_pairs(run, edges, tokens.flatten().to_numpy(), np.repeat(np.arange(len(k)), k))
             hit = 100 * shared >= percent * (k[a] + k[b] - shared)
             yield pa.RecordBatch.from_arrays(
                 [run.column(4).take(pa.array(np.unique(b[hit])))], ["node"])
@@ -325,6 +344,9 @@ class LineDedup:
         place = F.col("doc_id").cast(kind) * F.lit(1 << room).cast(kind) + F.col("line")
         self.place = lambda: place.cast(kind).alias("node")
         self.each = each.select("*", self.place())
+        doc = F.shiftright("node", room) if fits else F.floor(F.col("node") / F.lit(1 << room).cast(kind)).cast("long")
+        line = F.col("node") - doc.cast(kind) * F.lit(1 << room).cast(kind)
+        self.number = doc.bitwiseXOR(line.cast("long") * F.lit(LINE_FACTOR)).alias("number")
         self.classes = staged(
             self.each.groupBy("k", "key_a", "key_b")
             .agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("copies")),
@@ -389,12 +411,10 @@ class LineDedup:
 
     def _sets(self, nodes: DataFrame) -> DataFrame:
         """Whole token sets of some first lines."""
-        keys = staged(self.classes.join(nodes, "node", "left_semi").select("key_a"), "keys")
-        wanted = bit_filter(keys, "key_a", bits_for(keys.count()))
-        discard(keys)
+        nodes = staged(nodes, "nodes")
+        wanted = bit_filter(nodes.select(self.number), "number", bits_for(nodes.count()))
         return staged(
-            full_sets(self.docs, wanted, self.ranks, self.size)
-            .filter("doc_id IS NOT NULL")
+            full_sets(self.docs, wanted, self.size)
             .select(self.place(), F.array_distinct("tokens").alias("tokens"))
             .join(nodes, "node", "left_semi"),
             "sets",
