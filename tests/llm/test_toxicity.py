@@ -1,9 +1,13 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from samples import documents, empty_documents, odd_documents, prose
 
-from turnstile.llm.toxicity import best_cut, corpus_chain, fit_linear, score, sigmoid, train, without_toxic
+from turnstile.llm.toxicity import (
+    best_cut, corpus_chain, features, fit_linear, score, sigmoid, train, without_toxic,
+)
+from turnstile.llm.words import fold_table, slices
 
 BAD = ["scoundrel", "rotten", "vermin"]
 
@@ -67,3 +71,35 @@ def test_sample_is_bounded(spark):
     docs, labels = labelled(spark, seed=4, count=120)
     chain = train(docs, labels.select("doc_id", "toxic"), ("toxic",), max_examples=30)
     assert len(chain.weights) == 1
+
+
+def test_training_is_the_same_in_every_run(spark):
+    docs, labels = labelled(spark, seed=7, count=200)
+    # Copies of labelled texts under later ids, with other labels.
+    copies = docs.filter("doc_id < 60").withColumn("doc_id", docs.doc_id + 1000)
+    more = labels.filter("doc_id < 60").selectExpr("doc_id + 1000 AS doc_id", "1 AS quality", "0 AS toxic")
+    docs, labels = docs.unionByName(copies), labels.unionByName(more)
+    one = corpus_chain(docs.repartition(3, "text"), labels.repartition(2))
+    two = corpus_chain(docs.repartition(7, "doc_id"), labels.repartition(5, "doc_id"))
+    assert one.cuts == two.cuts and one.biases == two.biases and (one.markers == two.markers).all()
+    assert all((a == b).all() for a, b in zip(one.weights, two.weights))
+    right = [r.p_toxic > one.cuts[1] for r in score(docs.filter("doc_id < 60"), one).orderBy("doc_id").collect()]
+    assert right == [i % 6 == 0 for i in range(60)]
+
+
+def test_scores_equal_sums_text_by_text(spark):
+    docs, labels = labelled(spark, seed=8)
+    chain = corpus_chain(docs, labels)
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(5000, None), (5001, ""), (5002, "rotten " * 90_000)]
+    got = {r.doc_id: r for r in score(documents(spark, rows).repartition(3), chain).collect()}
+    markers = {int(m): i for i, m in enumerate(chain.markers)}
+    for doc_id, text in rows:
+        present = set()
+        for _, raw, offsets in slices(pa.array([text or ""])):
+            present = {markers[int(h)] for h in features(raw, offsets, fold_table("alpha"))[0] if int(h) in markers}
+        earlier = []
+        for category, weights, bias in zip(chain.categories, chain.weights, chain.biases):
+            total = bias + sum(float(weights[i]) for i in present)
+            total += sum(float(w) * p for w, p in zip(weights[len(markers):], earlier))
+            earlier.append(1 / (1 + np.exp(-total)))
+            assert abs(got[doc_id][f"p_{category}"] - earlier[-1]) < 1e-5

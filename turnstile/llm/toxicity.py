@@ -147,8 +147,9 @@ def labelled_words(docs: DataFrame, labels: DataFrame, categories: Sequence[str]
     sample = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = (
         docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most ``most`` rows
-        .withColumn("_text", F.xxhash64("text"))
-        .dropDuplicates(["_text"])
+        # Of equal texts one, with the least id and any label that one of them has, in every run.
+        .groupBy(F.xxhash64("text").alias("_text")).agg(
+            F.min("doc_id").alias("doc_id"), F.min("text").alias("text"), *[F.max(c).alias(c) for c in categories])
     )
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +193,8 @@ def train(
         found.update(r[0] for r in best)
     markers = np.sort(np.array(sorted(found), dtype=np.int64).view(np.uint64))
     listed = F.array_intersect("words", F.array(*[F.lit(int(m)) for m in signed(markers)]).cast("array<bigint>"))
-    local = sample.select("doc_id", *categories, listed.alias("words")).orderBy("doc_id").toPandas()
+    local = sample.select("doc_id", *categories, listed.alias("words")).orderBy(
+        "doc_id", F.array_sort("words")).toPandas()
     present = np.zeros((len(local), len(markers)))
     for row, words in enumerate(local["words"]):
         present[row, np.searchsorted(markers, np.array(list(words), dtype=np.int64).view(np.uint64))] = 1
