@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -56,3 +57,43 @@ def test_odd_and_empty_tables(spark):
     alone = fp.fingerprints(documents(spark, [(5, "a b c\nd")])).first()
     assert alone.near_next == 1.0
     assert fp.fingerprints(documents(spark, [(None, "abcd")])).first().edited_sha256 == hashlib.sha256(b"abc").hexdigest()
+
+
+def test_weak_checks_of_cells_leave_differences_exact(spark, monkeypatch):
+    # Every cell of one digest's count passes for a pure one.
+    monkeypatch.setattr(fp, "check", lambda d: d.bitwiseAND(F.lit(0xFFFF)).bitwiseOR(F.lit(0)))
+    dice = random.Random(4)
+    rows = [(i, dice.sample(range(200), dice.randrange(3, 12)), dice.sample(range(200), dice.randrange(3, 12)))
+            for i in range(150)]
+    made = spark.createDataFrame(
+        [(i, [f"p{x}" for x in a], [f"p{x}" for x in b]) for i, a, b in rows], "key int, a array<string>, b array<string>")
+    made = made.select("key", *[fp.digests(F.array_join(c, "\n")).alias(c) for c in "ab"])
+    wrong = fp.differences(made).filter(
+        (F.array_sort("left") != F.array_sort(F.array_except("a", "b")))
+        | (F.array_sort("right") != F.array_sort(F.array_except("b", "a"))))
+    assert wrong.count() == 0 and fp.differences(made).count() == 150
+
+
+@pytest.mark.parametrize(("cuts", "ids"), [
+    (4096, [*range(1000), 10**15]), (4096, [-2**63, 2**63 - 1, *range(0, 5000, 5)]), (4, [*range(1000), 10**15]),
+    (4096, [7] * 900 + [8, 9])])
+def test_ranges_hold_a_bounded_number_of_documents_in_order(spark, monkeypatch, cuts, ids):
+    monkeypatch.setattr(fp, "BUCKET_ROWS", 50)
+    monkeypatch.setattr(fp, "MAX_CUTS", cuts)
+    rows = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    got = rows.select("doc_id", fp.ranges(rows, len(ids)).alias("bucket")).orderBy("doc_id").collect()
+    buckets = [r.bucket for r in got]
+    assert buckets == sorted(buckets)
+    if cuts == 4096 and len(set(ids)) > 500:
+        assert max(buckets.count(b) for b in set(buckets)) <= 110
+
+
+def test_outlying_ids_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(fp, "BUCKET_ROWS", 5)
+    rows = sorted([(i, f"a {i}\nb {i % 3}") for i in range(60)] + [(10**15, "far\naway"), (-2**63, "z " * 200_000)])
+    got = {r.doc_id: r for r in fp.fingerprints(documents(spark, rows)).collect()}
+    for i, (doc_id, text) in enumerate(rows):
+        after = rows[(i + 1) % len(rows)][1]
+        changed = text[:len(text) - len(text) // 4] + after[:len(text) // 4]
+        assert got[doc_id].edited_sha256 == hashlib.sha256(changed.encode()).hexdigest()
+        assert got[doc_id].near_next == pytest.approx(alike(units(text), units(after)))

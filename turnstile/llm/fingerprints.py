@@ -32,6 +32,7 @@ SLOTS = 16  # in each of three parts of the smallest sketch
 PARTS = 3
 GROWTH = 4
 BUCKET_ROWS = 4000
+MAX_CUTS = 4096
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -160,8 +161,15 @@ def differences(pairs: DataFrame) -> DataFrame:
         tried = staged(
             todo.withColumn("out", peel(subtract(sketch(F.col("a"), slots), sketch(F.col("b"), slots)), slots)),
             "peeled")
-        solved.append(tried.filter("out.done").select("key", "a", "b", "out.left", "out.right"))
-        todo = tried.filter("NOT out.done").select("key", "a", "b")
+        # A cell that sums several digests may pass for one; then what was peeled is not of the sets.
+        true = (
+            (F.size(F.array_except("out.left", "a")) == 0) & (F.size(F.array_except("out.right", "b")) == 0)
+            & ~F.arrays_overlap("out.left", "out.right")
+            & (F.size(F.array_distinct("out.left")) == F.size("out.left"))
+            & (F.size(F.array_distinct("out.right")) == F.size("out.right")))
+        tried = tried.withColumn("whole", F.col("out.done") & true)
+        solved.append(tried.filter("whole").select("key", "a", "b", "out.left", "out.right"))
+        todo = tried.filter("NOT whole").select("key", "a", "b")
         if not todo.limit(1).count():
             break
         slots *= GROWTH
@@ -176,21 +184,48 @@ def likeness(a: Column, b: Column, left: Column, right: Column) -> Column:
     return F.when(both == 0, 1.0).otherwise(1.0 - (F.size(left) + F.size(right)) / both)
 
 
+def ranges(rows: DataFrame, count: int) -> Column:
+    """The range of a ``doc_id``: of about ``BUCKET_ROWS`` documents, however ids are spread.
+
+    At most ``MAX_CUTS`` quantiles cut the ids, and where these leave more documents between
+    them, each stretch is cut into equal widths.
+    """
+    parts = max(1, min(MAX_CUTS, -(-count // BUCKET_ROWS)))
+    wanted = [i / parts for i in range(parts)] + [1.0]
+    # At most ``MAX_CUTS + 1`` numbers.
+    cuts = sorted(set(rows.agg(F.percentile_approx("doc_id", wanted, 40 * MAX_CUTS)).first()[0]))
+    starts = F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>")
+    # The last cut that is not above the id, by halving steps.
+    at, step = F.lit(0), 1 << (len(cuts) - 1).bit_length()
+    while step := step // 2:
+        beyond = at + step
+        at = F.when(F.coalesce(F.get(starts, beyond) <= F.col("doc_id"), F.lit(False)), beyond).otherwise(at)
+    within = -(-count // (parts * BUCKET_ROWS))
+    if within == 1:
+        return at.cast("long")
+
+    def stretch(place: Column) -> Column:
+        low, high = (F.get(starts, place + i).cast("double") for i in (0, 1))
+        share = (F.col("doc_id").cast("double") - low) / (high - low)
+        return F.coalesce(F.least(F.floor(share * within), F.lit(within - 1)), F.lit(0))
+
+    return let(at, lambda place: place.cast("long") * within + stretch(place))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``text``, ``digests`` and those of the next document by ascending ``doc_id``.
 
-    Ids are cut into ranges of about ``BUCKET_ROWS`` documents, each ordered by
+    Ids are cut into ranges of about ``BUCKET_ROWS`` documents at their quantiles, each ordered by
     itself; the first document of a range stands at the end of the one before, too.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    low, high, count = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
+    count = rows.agg(F.count("doc_id")).first()[0]
     rows = rows.withColumn("digests", digests(F.col("text")))
     nothing = rows.filter("doc_id IS NULL").withColumn("next_text", F.lit("")).withColumn(
         "next_digests", F.array().cast("array<bigint>"))
     if not count:
         return nothing
-    width = (high - low + 1) / -(-count // BUCKET_ROWS)
-    place = F.floor((F.col("doc_id").cast("double") - F.lit(float(low))) / F.lit(float(width)))
+    place = ranges(rows, count)
     known = rows.filter("doc_id IS NOT NULL").withColumn("bucket", place)
     by_bucket = Window.orderBy("bucket")
     firsts = docs.select(F.col("doc_id").cast("long")).filter("doc_id IS NOT NULL").withColumn(
