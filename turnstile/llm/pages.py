@@ -285,11 +285,12 @@ class MainText:
             "templates")
 
     def texts(self) -> DataFrame:
-        per_page = (
+        # Written first: where few pages hold templates, their texts need not be shuffled to meet them.
+        per_page = staged(
             self.pages.select("row", "host", F.inline("spans"))
             .join(self.templates.select("host", "hash"), ["host", "hash"], "left_semi")
-            .groupBy("row").agg(F.collect_list("first").alias("first"), F.collect_list("end").alias("end"))
-        )
+            .groupBy("row").agg(F.collect_list("first").alias("first"), F.collect_list("end").alias("end")),
+            "covers")
         kind = self.pages.schema["page_id"].dataType.simpleString()
         return self.pages.join(per_page, "row", "left").select("page_id", "url", "blocks", "first", "end").mapInArrow(
             uncovered, f"page_id {kind}, url string, text string, n_chars bigint")
