@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 from samples import documents, empty_documents, odd_documents, prose
@@ -105,3 +106,51 @@ def test_odd_and_empty_tables(spark):
     assert pii.train(docs) is None
     assert pii.find(docs, None).count() == docs.count()
     assert pii.find(empty_documents(spark), pii.train(empty_documents(spark))).count() == 0
+
+
+def planted(seed, count):
+    """Texts with one value of a kind that the rules do not find, and texts with none but numbers."""
+    dice, numbers = random.Random(seed), np.random.default_rng(seed)
+    out = []
+    while len(out) < count:
+        kind = int(numbers.integers(0, 4))
+        value = pii.disguised(kind, numbers)
+        before, after = prose(dice, dice.randrange(3, 12)), prose(dice, dice.randrange(3, 12))
+        if brute(f"{before} {value} {after}"):
+            continue
+        out.append((f"{before} {value} {after}", kind, len(before) + 1, len(before) + 1 + len(value)))
+    clean = [f"{prose(dice, 6)} {n} {prose(dice, 4)} {n % 97}, {n / 100:.2f} and {1900 + n % 130}" for n in range(count)]
+    return out, clean
+
+
+def test_precision_and_recall_on_what_rules_miss(spark):
+    model = pii.train(documents(spark, corpus(1, 900) + [(2000 + i, t) for i, t in enumerate(planted(5, 300)[1])]))
+    hard, clean = planted(11, 200)
+    rows = [(i, text) for i, (text, *_) in enumerate(hard)] + [(1000 + i, text) for i, text in enumerate(clean)]
+    got = {r.doc_id: r for r in pii.find(documents(spark, rows), model).collect()}
+    told = {(i, span) for i, r in got.items() for span in r.spans.split(",") if span}
+    known = {(i, f"{pii.KINDS[kind]}:{low}:{high}") for i, (_, kind, low, high) in enumerate(hard)}
+    assert len(told & known) >= 0.9 * len(known), len(told & known) / len(known)
+    assert len(told & known) >= 0.95 * len(told), len(told & known) / len(told)
+    assert sum(r.n_added > 0 for i, r in got.items() if i >= 1000) <= 0.02 * len(clean)
+
+
+def test_long_stretches_are_cut_and_keep_their_spans(spark):
+    model = pii.train(documents(spark, corpus(1, 600)))
+    value = "555-123-4567"
+    text = " ".join(f"{value} 77" for _ in range(1000))
+    spans = [s for s in pii.find(documents(spark, [(1, text)]), model).first().spans.split(",") if s]
+    wanted = {f"phone:{m.start()}:{m.end()}" for m in re.finditer(value, text)}
+    # The same at every border as elsewhere.
+    assert len(wanted & set(spans)) in (0, 1000) or len(wanted & set(spans)) > 950
+    low = [a for a, *_ in pii.stretches([(0, 10_000)])]
+    counted = [(first, last) for _, _, first, last in pii.stretches([(0, 10_000)])]
+    assert low[0] == 0 and all(a[1] == b[0] for a, b in zip(counted, counted[1:]))
+    assert counted[0][0] == 0 and counted[-1][1] == 10_000
+
+
+def test_long_numeric_text_takes_bounded_time(spark):
+    model = pii.train(documents(spark, corpus(1, 100)), steps=20)
+    begun = time.perf_counter()
+    assert pii.find(documents(spark, [(1, "0123456789 " * 30_000)]), model).count() == 1
+    assert time.perf_counter() - begun < 40

@@ -1,19 +1,22 @@
 """Personal data: spans by rules, and more spans by a character tagger.
 
 Rules find emails, IP addresses, cards and phones in whole texts.  A
-bidirectional LSTM with CRF transitions, trained in numpy, then reads the parts
-of a text that hold a digit or an at sign (no kind does without) and tags
-characters of the same kinds.  It works on overlapping windows; the scores of a
-character are averaged over its windows, most where it is central, and the best
-tag line of a whole part is decoded at once, so that window borders leave no
-trace.  A tagged span is added if it meets the kind's own conditions (digits,
-check sum) and touches no span of the rules; these stay as they are.
+bidirectional LSTM with CRF transitions, trained in numpy, then reads every part
+of a text that holds a digit, an at sign or a spelled "at" or "dot", which no spelling of
+a kind that it knows does without, and tags characters of the same kinds.  It works on
+overlapping windows; the scores of a character are averaged over its windows, most where it is
+central, and the best tag line of a whole stretch is decoded at once, so that window borders
+leave no trace.  Long stretches overlap by more than any span, and a span is the one's in whose
+middle it begins.  A tagged span is added where it holds as many digits as its kind asks for (a card
+with its check sum, an address with numbers up to 255) and touches no span of the rules; these stay
+as they are.
+How it is separated or spelled is the tagger's to know.
 
 Training takes windows of at most ``MAX_WINDOWS`` documents (those with the
 smallest hashes of their ids; a documented bound) labelled by the rules, and the
 same windows with their spans replaced by other spellings, such as phones without
-a plus sign.  Where no document holds a span, there is no model and the rules
-stand alone.
+a plus sign, cards with dots or over lines, and spelled-out addresses.  Where no document holds a span, there is no model and the rules
+stand alone.  Stretches go to the tagger ``SLICE`` characters at a time.
 
 Defined cases: a null text is empty; very long runs of digits, letters or signs
 take time in proportion to their length; rows that repeat a ``doc_id`` are read
@@ -35,11 +38,14 @@ from turnstile.llm.tagger import Tagger, char_ids
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_WINDOWS = 3000
-STEPS = 240
+RESPELLINGS = 6  # copies of a window that holds spans, each with other spellings
+STEPS = 400
 WIDTH = 48
 STRIDE = 24
 MARGIN = 20
 BATCH = 1024  # windows run at once
+STRETCH, OVERLAP = 2000, 200  # characters decoded at once, and what two of them share
+SLICE = 200_000  # characters tagged at once
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -49,6 +55,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 TRIGGER = re.compile(r"[0-9@]")
+SPELLED = r"[(\[] ?(?:at|dot) ?[)\]]|\bdot\b"
+ANY_TRIGGER = re.compile(rf"[0-9@]+|{SPELLED}", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -93,9 +101,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def parts(text: str) -> list[tuple[int, int]]:
-    """Stretches around digits and at signs, merged where they meet."""
+    """Stretches around digits, at signs and spelled ones, merged where they meet."""
     out: list[list[int]] = []
-    for found in re.finditer(r"[0-9@]+", text):
+    for found in ANY_TRIGGER.finditer(text):
         low, high = max(0, found.start() - MARGIN), min(len(text), found.end() + MARGIN)
         if out and low <= out[-1][1]:
             out[-1][1] = high
@@ -147,6 +155,24 @@ def respelled(kind: int, dice: np.random.Generator) -> str:
     return str(dice.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+1 ({a}) {b}-{c}", f"{a}.{b}.{c}", f"+44 {a} {b} {c}"]))
 
 
+def disguised(kind: int, dice: np.random.Generator) -> str:
+    """A made-up value in a spelling that no rule finds."""
+    plain = respelled(kind, dice)
+    if kind == 0:
+        at, dot = [("(at)", "."), (" (at) ", " (dot) "), (" [at] ", " [dot] "), (" at ", " dot "), ("[at]", "[dot]"),
+                   (" @ ", " . ")][int(dice.integers(0, 6))]
+        name, host = plain.split("@")
+        return f"{name}{at}{host.replace('.', dot)}"
+    if kind == 1:
+        return plain.replace(".", str(dice.choice(["[.]", " . ", "(.)"])))
+    digits = NOT_DIGIT.sub("", plain)
+    if kind == 2:
+        return str(dice.choice([".", "\n", "/", " - "])).join(digits[i:i + 4] for i in range(0, 16, 4))
+    a, b, c = digits[:3], digits[3:6], digits[6:10]
+    return str(dice.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"0{a}/{b} {c}", f"00{a[:2]} {b} {c}{a}",
+                            f"{a} {b} {c}"]))
+
+
 def labelled_windows(docs: DataFrame, most: int) -> list[tuple[str, list]]:
     """Windows of text with their spans, two of a document at most."""
 
@@ -162,7 +188,7 @@ def labelled_windows(docs: DataFrame, most: int) -> list[tuple[str, list]]:
                 [pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     found = (
-        docs.select(F.col("doc_id").cast("long"), "text").filter(F.col("text").rlike("[0-9@]"))
+        docs.select(F.col("doc_id").cast("long"), "text").filter(F.col("text").rlike(rf"(?i)[0-9@]|{SPELLED}"))
         .mapInArrow(cut, "doc_id bigint, text string")
         .orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most).collect()
     )
@@ -189,12 +215,12 @@ def examples(windows: list[tuple[str, list]], seed: int = 3) -> tuple[np.ndarray
                 apart.append(span)
                 end = span[2]
         add(text, apart)
-        for _ in range(2 if apart else 0):
+        for _ in range(RESPELLINGS if apart else 0):
             built, new, at = "", [], 0
             for start, _, stop in apart:
                 kind = int(dice.integers(0, 4))
                 built += text[at:start]
-                value = respelled(kind, dice)
+                value = (respelled if dice.random() < 0.4 else disguised)(kind, dice)
                 new.append((len(built), kind, len(built) + len(value)))
                 built, at = built + value, stop
             add(built + text[at:], new)
@@ -211,6 +237,20 @@ def train(docs: DataFrame, max_windows: int = MAX_WINDOWS, steps: int = STEPS) -
     return model
 
 
+def stretches(where: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+    """(low, high) of what is decoded at once, and where spans that count begin."""
+    out = []
+    for low, high in where:
+        at = low
+        while True:
+            end = min(high, at + STRETCH)
+            out.append((at, end, at if at == low else at + OVERLAP // 2, end if end == high else end - OVERLAP // 2))
+            if end == high:
+                break
+            at = end - OVERLAP
+    return out
+
+
 def tagged(model: Tagger, pieces: list[str]) -> list[np.ndarray]:
     """Tag lines of pieces of text, from overlapping windows reconciled by their scores."""
     owners, starts, lines = [], [], []
@@ -234,25 +274,56 @@ def tagged(model: Tagger, pieces: list[str]) -> list[np.ndarray]:
         for piece, total, w in zip(pieces, totals, weights)])
 
 
-def added_spans(text: str, where: list, lines: list[np.ndarray], base: list) -> list[tuple[int, int, int]]:
+def sliced(model: Tagger, pieces: list[str]) -> Iterator[np.ndarray]:
+    """``tagged`` for any number of pieces, some at a time; only the short lines of tags stay."""
+    held, length = [], 0
+    for piece in pieces:
+        held.append(piece)
+        length += len(piece)
+        if length > SLICE:
+            yield from tagged(model, held)
+            held, length = [], 0
+    if held:
+        yield from tagged(model, held)
+
+
+def meets(kind: int, span: str) -> bool:
+    """What a kind asks for, however it is separated or spelled."""
+    digits = NOT_DIGIT.sub("", span)
+    if kind == 0:
+        return len(re.findall(r"[A-Za-z0-9]+", span)) >= 3 and bool(
+            re.search(r"[^\W_](?:@| @ |.{0,2}\bat\b.{0,2})[^\W_]", span, re.I))
+    if kind == 1:
+        numbers = NOT_DIGIT.split(span)
+        return len(numbers) == 4 and all(numbers) and all(len(n) < 4 and int(n) <= 255 for n in numbers)
+    if re.search(r"[^\W\d]", span):
+        return False
+    if kind == 2:
+        return 14 <= len(digits) <= 19 and luhn(digits)
+    return 10 <= len(digits) <= 15
+
+
+def added_spans(
+    text: str, where: list[tuple[int, int, int, int]], lines: list[np.ndarray], base: list,
+) -> list[tuple[int, int, int]]:
     """Tagged spans that hold what their kind asks for and touch no span of the rules."""
     taken = np.zeros(len(text) + 1, dtype=bool)
     for start, _, end in base:
         taken[start:end] = True
     out = []
-    for (low, _), line in zip(where, lines):
+    for (low, _, first, last), line in zip(where, lines):
         for start, kind, end in spans_of(line):
+            if not first <= start + low < last:
+                continue
             start, end = start + low, end + low
             span = text[start:end]
             while span and not (span[0].isalnum() or span[0] in "+("):
                 start, span = start + 1, span[1:]
             while span and not span[-1].isalnum():
                 end, span = end - 1, span[:-1]
-            fits = (
-                ("@" in span and "." in span and " " not in span) if kind == 0
-                else re.fullmatch(r"[0-9]+(?:\.[0-9]+){3}", span) and valid(1, span) if kind == 1
-                else re.fullmatch(r"[0-9+() ./-]+", span) and valid(kind, span))
-            if fits and not taken[start:end].any():
+            whole = not (text[start - 1:start].isalnum() and span[:1].isalnum()) and not text[end:end + 1].isalnum()
+            if span and whole and meets(kind, span) and not taken[start:end].any():
+                taken[start:end] = True
                 out.append((start, kind, end))
     return out
 
@@ -274,22 +345,33 @@ def find(docs: DataFrame, model: Tagger | None) -> DataFrame:
                 counts = np.zeros((part.num_rows, len(KINDS)), dtype=np.int64)
                 digests, spans = [empty] * part.num_rows, [""] * part.num_rows
                 added = np.zeros(part.num_rows, dtype=np.int64)
-                open_ = []
+                open_, held = [], 0
+
+                def close():
+                    pieces = [t[a:b] for _, t, _, where in open_ for a, b, _, _ in where]
+                    lines = sliced(model, pieces)
+                    for row, text, base, where in open_:
+                        more = added_spans(text, where, [next(lines) for _ in where], base)
+                        spans[row] = listed(base + more)
+                        added[row] = len(more)
+                    open_.clear()
+
                 for row, text in enumerate(part.column(1).to_pylist()):
-                    if not text or not TRIGGER.search(text):
+                    if not text or not ANY_TRIGGER.search(text):
                         continue
                     base = base_spans(text)
                     for _, kind, _ in base:
                         counts[row, kind] += 1
                     spans[row] = listed(base)
                     digests[row] = hashlib.sha256(spans[row].encode()).hexdigest()
-                    open_.append((row, text, base, parts(text)))
-                if model is not None and open_:
-                    lines = iter(tagged(model, [t[a:b] for _, t, _, where in open_ for a, b in where]))
-                    for row, text, base, where in open_:
-                        more = added_spans(text, where, [next(lines) for _ in where], base)
-                        spans[row] = listed(base + more)
-                        added[row] = len(more)
+                    if model is not None:
+                        open_.append((row, text, base, stretches(parts(text))))
+                        held += sum(b - a for a, b, _, _ in open_[-1][3])
+                        if held > SLICE:
+                            close()
+                            held = 0
+                if open_:
+                    close()
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), *[pa.array(counts[:, i]) for i in range(len(KINDS))],
                      pa.array(digests), pa.array(spans), pa.array(added)], names)
