@@ -13,6 +13,7 @@ by its number.  What a batch costs follows its own rides and the days it touches
 """
 
 from collections.abc import Callable, Collection
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import date, timedelta
 from threading import RLock
@@ -191,11 +192,20 @@ class RefreshJob:
 
     def _refresh_days(self, touched: dict[Part, int], change: Change, log: RefreshLog) -> None:
         added = change.added("lift_ride", _STORED_RIDE).filter("ride_date IS NOT NULL")
-        self._refresh_keys(touched, added, change)
-        self._refresh_blocks(list(touched), added, change, log)
         dates = sorted({day for day, _ in touched})
-        self._refresh_visits(added, dates, change, log)
-        self._refresh_summaries(dates, change, log)
+        # Tables that no other level reads are written beside those that follow each other.
+        with ThreadPoolExecutor(max_workers=3) as aside:
+            keys = aside.submit(self._refresh_keys, touched, added, change)
+            days = aside.submit(change.append, "visit_days", _visit_days(added), _VISIT_DAY, "bucket")
+            self._refresh_blocks(list(touched), added, change, log)
+            merged = self._scan_parts(change, "visitor_hours", schemas.VISITOR_HOURS, touched)
+            unions = aside.submit(
+                change.replace, "visitor_sketches", sketches.hourly_sketches(merged), schemas.VISITOR_SKETCHES,
+                *_PART, replaced=list(touched))
+            self._refresh_visits(added, dates, change, log)
+            self._refresh_summaries(dates, change, log)
+            for task in (keys, days, unions):
+                task.result()
 
     def _refresh_keys(self, touched: dict[Part, int], added: DataFrame, change: Change) -> None:
         """Put the new rides into the filters of their parts; a filter that gets full is built
@@ -230,9 +240,6 @@ class RefreshJob:
         rows = hours.merge_visitor_hours(known, hours.visitor_hours(added))
         log.step("visitor_hours", len(touched), lambda: change.replace(
             "visitor_hours", rows, schemas.VISITOR_HOURS, *_PART, replaced=touched))
-        merged = self._scan_parts(change, "visitor_hours", schemas.VISITOR_HOURS, touched)
-        change.replace("visitor_sketches", sketches.hourly_sketches(merged), schemas.VISITOR_SKETCHES, *_PART,
-                       replaced=touched)
 
     def _refresh_visits(self, added: DataFrame, dates: list[date], change: Change, log: RefreshLog) -> None:
         passes, tickets = self.passes(), self.tickets()
@@ -244,7 +251,6 @@ class RefreshJob:
             rows = daily_visits(added, passes, tickets, self.visits(dates, change))
             log.step("daily_visits", len(dates), lambda: change.append(
                 "daily_visits", rows, schemas.DAILY_VISITS, "visit_date"))
-        change.append("visit_days", _visit_days(added), _VISIT_DAY, "bucket")
 
     def _refresh_summaries(self, dates: list[date], change: Change, log: RefreshLog) -> None:
         hourly = hours.hourly_summary_of(
