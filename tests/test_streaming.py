@@ -329,3 +329,15 @@ def test_exact_hours_after_state_has_expired(spark, make):
     live, exact = hours_after(spark, root, make.rides(("3", "a", "north", "x", "2024-03-10 02:20:00", 1)), kept=short)
     assert live == {"02": (2, 2), "05": (1, 1)}
     assert exact == {"02": (2, 1), "05": (1, 1)}
+
+
+def test_exact_hours_keep_state_without_python(spark, make):
+    root = shared_dir(spark, "native")
+    rides = make.rides(("1", "a", "north", "x", "2024-03-10 02:10:00", 1))
+    rides.coalesce(1).write.parquet(f"{root}/inbox")
+    query = start_changes(
+        rides_stream(spark, f"{root}/inbox", schemas.LIFT_RIDE), f"{root}/changes", f"{root}/c", AVAILABLE_NOW)
+    query.awaitTermination()
+    state = [operator["operatorName"] for progress in query.recentProgress for operator in progress["stateOperators"]]
+    assert set(state) == {"dedupeWithinWatermark"}
+    assert stored_changes(spark, f"{root}/changes").count() == 2

@@ -1,13 +1,10 @@
-"""Hourly activity on streams: estimated by a native aggregation, or exact by keyed state."""
+"""Hourly activity on streams: estimated by an aggregation, or exact by keyed state."""
 
-from collections.abc import Iterator
 from datetime import timedelta
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from turnstile.functions.timeparts import hour_start, utc_clock, utc_instant
 
@@ -44,59 +41,43 @@ def hourly_activity_stream(rides: DataFrame, lateness: str = "1 hour") -> DataFr
 
 HOUR_OF = ["ride_hour_timestamp", "resort", "rfid"]
 CHANGES = "ride_hour_timestamp timestamp_ntz, resort string, rfid string, rides long, visitors long"
-# How long a medium's state is kept after its last ride of the hour arrived.
+# How long a medium's state is kept after its first ride of the hour arrived.
 KEPT = timedelta(hours=25)
-IDLE_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 
 
 def visitor_changes(rides: DataFrame, kept: timedelta = KEPT) -> DataFrame:
-    """What each batch changes in the hours: rides that came, and whether a visitor is new.
+    """What each batch changes in the hours: a row for each ride that came, and one for each new visitor.
 
     Rows are corrections to be added up, so a ride may come any time later and none is
-    dropped.  State is one count per medium, hour and resort, on disk, and expires
-    ``kept`` after the last ride of these arrived, so it follows the arrivals of that
+    dropped.  State is one key per medium, hour and resort, on disk, and expires
+    ``kept`` after the first ride of these arrived, so it follows the arrivals of that
     time and not the history.  A medium that comes back to an hour after that is
     reported as new again, which ``exact_hours`` puts right.
     """
-    keep_ms = int(kept.total_seconds() * 1000)
-
-    def count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        arrived = sum(len(rows) for rows in batches)
-        known = state.get[0] if state.exists else 0
-        state.update((known + arrived,))
-        state.setTimeoutDuration(keep_ms)
-        hour, resort, rfid = key
-        yield pd.DataFrame({
-            "ride_hour_timestamp": [hour], "resort": [resort], "rfid": [rfid], "rides": [arrived],
-            "visitors": [int(not known and rfid is not None)]})
-
     keyed = rides.filter("ride_time IS NOT NULL").select(
         hour_start(F.col("ride_time")).alias("ride_hour_timestamp"), "resort", "rfid")
-    return keyed.groupBy(*HOUR_OF).applyInPandasWithState(
-        count, CHANGES, "rides long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    # The clock is the arrival, so no ride is behind it.  A key leaves once the watermark, which is
+    # one delay behind the clock, has passed its arrival by another.
+    delay = f"{int(kept / timedelta(microseconds=2))} microseconds"
+    visitors = (
+        keyed.filter("rfid IS NOT NULL")
+        .withColumn("_arrived", F.current_timestamp())
+        .withWatermark("_arrived", delay)
+        .dropDuplicatesWithinWatermark(HOUR_OF)
+    )
+    return keyed.select(*HOUR_OF, one.alias("rides"), none.alias("visitors")).unionByName(
+        visitors.select(*HOUR_OF, none.alias("rides"), one.alias("visitors")))
 
 
 def start_changes(
     rides: DataFrame, table: str, checkpoint: str, trigger: dict, kept: timedelta = KEPT,
 ) -> StreamingQuery:
-    """Write the changes of a feed of rides to ``table``.
-
-    State that may expire by the clock would make Spark run batches without rides all
-    the time, and never end a run over what is there; this query runs none.
-    """
-    spark = rides.sparkSession
-    before = spark.conf.get(IDLE_BATCHES)
-    spark.conf.set(IDLE_BATCHES, "false")
-    try:
-        return (
-            visitor_changes(rides, kept).writeStream.format("parquet").outputMode("append")
-            .option("checkpointLocation", checkpoint).trigger(**trigger).start(table)
-        )
-    finally:
-        spark.conf.set(IDLE_BATCHES, before)
+    """Write the changes of a feed of rides to ``table``."""
+    return (
+        visitor_changes(rides, kept).writeStream.format("parquet").outputMode("append")
+        .option("checkpointLocation", checkpoint).trigger(**trigger).start(table)
+    )
 
 
 def stored_changes(spark: SparkSession, table: str) -> DataFrame:
@@ -112,8 +93,8 @@ def live_hours(changes: DataFrame) -> DataFrame:
 def exact_hours(changes: DataFrame) -> DataFrame:
     """Hours with every visitor counted once, however late a ride came.
 
-    A medium's changes are put together before it counts.  There is about one change
-    per visitor and hour, so this reads what is left of the rides, not the rides.
+    A medium's changes are put together before it counts.  They hold three columns of each
+    ride, and are summed per task before the shuffle.
     """
     media = changes.groupBy(*HOUR_OF).agg(F.sum("rides").alias("rides"))
     return media.groupBy("ride_hour_timestamp", "resort").agg(
