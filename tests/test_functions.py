@@ -72,6 +72,7 @@ def test_local_time_follows_the_zone(spark, utc, local):
         ("2024-11-03T01:30:00-06:00", "2024-11-03 07:30:00"),
         ("2024-11-03T01:30:00-07:00", "2024-11-03 08:30:00"),
         ("2024-03-10T02:30:00", "2024-03-10 02:30:00"),
+        ("1969-12-31T23:59:59.5+0530", "1969-12-31 18:29:59.5"),
         ("not a time", None),
     ],
 )

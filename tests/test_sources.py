@@ -163,3 +163,9 @@ def test_cluster_needs_a_shared_folder():
             shared_dir(session(cluster, None), "x")
     assert shared_dir(session("yarn", "hdfs:///shared"), "x").startswith("hdfs:///shared/x-")
     assert shared_dir(session("local[2]", None), "x") != shared_dir(session("local[2]", None), "x")
+
+
+def test_times_are_parsed_once(spark):
+    rows = payloads.parse_lines(spark.createDataFrame([("{}",)], "value string"), schemas.LIFT_RIDE)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("unix_micros") == 1

@@ -55,10 +55,7 @@ def to_local(time: Column, zone: Column) -> Column:
 
 def utc_clock(instant: Column) -> Column:
     """Zoned timestamp to the UTC wall clock, whatever the session time zone."""
-    seconds = F.unix_micros(instant).cast("decimal(20,0)") / F.lit(1000000).cast("decimal(7,0)")
-    step = F.make_dt_interval(
-        F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)")
-    )
+    step = F.unix_micros(instant) * F.expr("INTERVAL '0.000001' SECOND")
     return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + step
 
 
@@ -76,9 +73,11 @@ def iso_to_utc(text: Column) -> Column:
     Offsets may be ``Z``, ``+hh:mm``, ``+hhmm`` or ``+hh`` after a time.
     """
     time = r"(\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?)"
-    text = F.regexp_replace(text, time + r"([+-]\d{2})(\d{2})$", "$1$2:$3")
-    text = F.regexp_replace(text, time + r"([+-]\d{2})$", "$1$2:00")
-    zoned = F.when(text.rlike(r"(Z|[+-]\d{2}:\d{2})$"), text).otherwise(F.concat(text, F.lit("Z")))
+    zone = r"(Z|[+-]\d{2}:\d{2})$"
+    mended = F.regexp_replace(text, time + r"([+-]\d{2})(\d{2})$", "$1$2:$3")
+    mended = F.regexp_replace(mended, time + r"([+-]\d{2})$", "$1$2:00")
+    # The usual forms need no mending.
+    zoned = F.when(text.rlike(zone), text).when(mended.rlike(zone), mended).otherwise(F.concat(mended, F.lit("Z")))
     return utc_clock(zoned.try_cast("timestamp"))
 
 

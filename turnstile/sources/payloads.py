@@ -36,13 +36,13 @@ def parse_lines(lines: DataFrame, schema: T.StructType) -> DataFrame:
     wire = wire_schema(schema).add(BAD_LINE, T.StringType())
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_LINE}
     record = F.from_json(F.col("value"), wire, options)
-    rows = lines.select(F.col("value"), record.alias("r"))
+    rows = lines.select(F.col("value"), record.alias("r")).select("*", *[_column(f) for f in schema])
     # A time that cannot be read makes the whole line unreadable.
-    lost = [F.col(f"r.{f.name.upper()}").isNotNull() & _column(f).isNull()
+    lost = [F.col(f"r.{f.name.upper()}").isNotNull() & F.col(f.name).isNull()
             for f in schema if f.name in _TIMES | _DATES]
     unreadable = reduce(Column.__or__, lost, F.col("r").isNull())
     bad = F.coalesce(f"r.{BAD_LINE}", F.when(unreadable, F.col("value")))
-    return rows.select(*[_column(f) for f in schema], bad.alias(BAD_LINE))
+    return rows.select(*schema.names, bad.alias(BAD_LINE))
 
 
 def _column(field: T.StructField):
