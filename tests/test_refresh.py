@@ -8,12 +8,15 @@ from builders import day
 from pyspark.sql import functions as F
 from test_streaming import TABLES, batch_result, job_for, stored
 
+from registry import live
 from turnstile import schemas
 from turnstile.operators import keyfilter, rollups
+from turnstile.operators.hourly import block_of
 from turnstile.plans.chain import Chain
 from turnstile.session import shared_dir
 from turnstile.sources import samples
 from turnstile.sources.versions import published, snapshot
+from turnstile.streaming import refresh
 from turnstile.streaming.landing import AVAILABLE_NOW
 from turnstile.streaming.refresh import FIRST_WRITER, RefreshJob
 
@@ -164,3 +167,29 @@ def test_new_feed_may_count_its_batches_from_zero(spark, make):
                          f"{root}/tables", f"{root}/state{n}")
         job.start(AVAILABLE_NOW).awaitTermination()
     assert job.chain().daily.first().total_rides == 2
+
+
+def test_few_suspects_are_sent_to_the_stored_rides(spark, base, monkeypatch):
+    monkeypatch.setattr(refresh, "LOOKED_UP", 0)
+    root = shared_dir(spark, "suspects")
+    job = RefreshJob(spark, None, lambda: base.passes, lambda: base.tickets, base.capacity, f"{root}/tables", "")
+    job.refresh(base.rides, 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        time = F.col("ride_time")
+        again = base.rides.withColumns({"ride_date": F.to_date(time), "ride_block": block_of(F.hour(time))})
+        parts = {(r.ride_date, r.ride_block): r["count"] for r in again.groupBy("ride_date", "ride_block").count().collect()}
+        new = again.limit(1).withColumn("txid", F.lit("new"))
+        left = job._unknown(again.unionByName(new), parts, snapshot(spark, job.root))
+        assert [r.txid for r in left.collect()] == ["new"]
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_batches_do_not_derive_the_rides_again(spark):
+    for rides in live.batches(live.kept_rides(spark, SF, shared_dir(spark, "given"))):
+        plan = rides._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "Join" not in plan and "given/rides" in plan

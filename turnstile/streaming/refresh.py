@@ -37,6 +37,8 @@ EARLIEST, FIRST_WRITER = "earliest", "first_writer"
 EVERY_MINUTE = {"processingTime": "1 minute"}
 # Suspected rides up to which their ids are pushed down to the files.
 LOOKED_UP = 1000
+# Suspected rides up to which they are sent to the stored ones, and not these shuffled.
+SENT = 50_000
 # Folders by medium of the index of visit days.
 BUCKETS = 16
 
@@ -182,11 +184,15 @@ class RefreshJob:
             parts = [tuple(row) for row in suspects.select(*_PART).distinct().collect()]
             if not parts:
                 return rows
-            stored = self._scan_parts(base, "lift_ride", _STORED_RIDE, parts).select(*_PART, "txid")
-            ids = [row.txid for row in suspects.select("txid").limit(LOOKED_UP + 1).collect()]
-            if len(ids) <= LOOKED_UP:
-                stored = stored.filter(F.col("txid").isin(ids))
-            return rows.join(stored, [*_PART, "txid"], "left_anti").select(rows.columns)
+            key = [*_PART, "txid"]
+            stored = self._scan_parts(base, "lift_ride", _STORED_RIDE, parts).select(*key)
+            few = suspects.select(*key).limit(SENT + 1).collect()
+            if len(few) <= SENT:
+                if len(few) <= LOOKED_UP:
+                    stored = stored.filter(F.col("txid").isin([row.txid for row in few]))
+                sent = self.spark.createDataFrame(few, stored.schema)
+                stored = F.broadcast(stored.join(F.broadcast(sent), key, "left_semi").distinct())
+            return rows.join(stored, key, "left_anti").select(rows.columns)
         finally:
             asked.unpersist()
 
