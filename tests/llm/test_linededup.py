@@ -129,3 +129,49 @@ def test_many_lines_with_one_common_passage(spark):
     rows = [(i, f"{passage} {prose(dice, dice.randrange(1, 30))}") for i in range(150)]
     rows += [(1000 + i, f"{prose(dice, 3)} {passage}") for i in range(50)]
     assert result(LineDedup(documents(spark, rows)).report()) == brute(rows)
+
+
+def test_repeated_rows_do_not_match_themselves(spark):
+    """A line that shares a passage with another one, but matches none, in rows that repeat id and text."""
+    passage = "five words that are shared"
+    line = f"{passage} then eight more words of its own here"
+    rows = [(0, f"{passage} and what follows is another thing altogether"), (3, line), (3, line), (5, f"{passage} or this")]
+    got = LineDedup(documents(spark, rows)).report().collect()
+    assert [r.removed_lines for r in got] == [""] * 4
+
+
+def test_tokens_of_two_lines_are_found_by_bucket(spark):
+    """Few rows are shuffled for them, not one per token."""
+    dice = random.Random(4)
+    rows = [(i, "\n".join(prose(dice, 12) for _ in range(20))) for i in range(30)]
+    rows += [(100 + i, t) for i, t in rows[:5]]
+    dedup = LineDedup(documents(spark, rows))
+    lines = [t for r in dedup.lines.collect() for t in linededup_tokens(r)]
+    often = {t for t in lines if lines.count(t) > 1}
+    assert often
+    assert {r.token for r in linededup.shared_tokens(dedup.lines, 80).collect()} == often
+    plan = linededup.shared_tokens(dedup.lines, 80)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(bucket" in plan and "hashpartitioning(token" not in plan
+
+
+def linededup_tokens(row):
+    """Distinct prefix tokens of each line of a sketched document, one after another."""
+    tokens, at = np.frombuffer(row.prefix, dtype=np.int64).tolist(), 0
+    for k in row.k:
+        n = int(linededup.prefix_length(np.array([k]), 80)[0])
+        yield from set(tokens[at:at + n])
+        at += n
+
+
+def test_hubs_over_batches(spark):
+    rows = [(t, d, n, 9, t) for t in range(7) for d in range(5) for n in range(3)]
+    rows += [(1, 0, 0, 9, 1)]  # rows of one document
+    frame = spark.createDataFrame(rows, "token bigint, doc_id bigint, line int, k int, at int")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        got = linededup.with_hubs(frame).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == 7 * 14 and {(r.hub_doc_id, r.hub_line) for r in got} == {(0, 0)}
+    assert len(set(got)) == 7 * 14 and all(r.hub_at == r.token for r in got)

@@ -12,13 +12,17 @@ from pyspark.sql import functions as F
 
 def in_blocks(rows: DataFrame, size: int, group: str, *columns: str) -> DataFrame:
     """Every pair of blocks of every group: (``group``, ``i``, ``j``, ``block``, columns), dealt
-    out by the first three and sorted, so that a task sees two blocks at a time."""
-    counts = rows.groupBy(group).agg(F.count(F.lit(1)).alias("members"))
+    out by the first three and sorted, so that a task sees two blocks at a time.  Groups are
+    counted unless ``rows`` have their ``members``."""
+    if "members" in rows.columns:
+        counted = rows.filter("members > 1")
+    else:
+        counts = rows.groupBy(group).agg(F.count(F.lit(1)).alias("members"))
+        counted = rows.join(counts.filter("members > 1"), group)
     blocks = F.ceil(F.col("members") / size).cast("int")
     key = [group, "i", "j"]
     return (
-        rows.join(counts.filter("members > 1"), group)
-        .withColumn("blocks", blocks)
+        counted.withColumn("blocks", blocks)
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(group, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnstile.llm.blocks import (
-    block_pairs, bundles, in_blocks, pairs_within, shared_counts, shared_in_pairs,
+    block_pairs, bundles, in_blocks, pairs_within, runs, shared_counts, shared_in_pairs,
 )
 from turnstile.llm.common import GIVEN, discard, given_ids, own_ids, staged
 from turnstile.llm.filters import bit_filter, bits_for, tester
@@ -46,6 +46,7 @@ from turnstile.llm.words import (
 
 COUNTERS = 16
 RANK_BITS, HASH_BITS = 6, 38
+BUCKET_BITS = RANK_BITS + HASH_BITS - 32  # name a token's bucket, in which 32 bits tell it from others
 BLOCK = 512  # lines of a list in one block
 FEW = 64  # lines of a list that is compared with others at a time
 
@@ -94,26 +95,34 @@ def rarity_ranks(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def ordered_sets(tokens: np.ndarray, lines: np.ndarray, ranks: np.ndarray):
-    """Distinct tokens of each line by (rank, hash); returns shortened tokens, lines and whole tokens.
+    """Distinct tokens of each line: shortened ones by (rank, hash), their lines, and whole ones.
 
-    Tokens are distinct as a whole: two that only shorten to the same number both stay.
+    Tokens are distinct as a whole: two that only shorten to the same number both stay.  Whole
+    tokens follow each other by line; within one they have an order of their own.
     """
     rank = ranks[(tokens & np.uint64((1 << COUNTERS) - 1)).astype(np.int64)].astype(np.uint64)
     short = (rank << np.uint64(HASH_BITS)) | (tokens >> np.uint64(64 - HASH_BITS))
     if len(lines) and lines[-1] >> (64 - RANK_BITS - HASH_BITS):  # one text of a million lines
         order = np.lexsort((tokens, short, lines))
-    else:
-        width = np.uint64(RANK_BITS + HASH_BITS)
-        order = np.argsort((lines.astype(np.uint64) << width) | short)
-    short, lines, tokens = short[order], lines[order], tokens[order]
-    same = (short[1:] == short[:-1]) & (lines[1:] == lines[:-1])
-    if np.any(same & (tokens[1:] != tokens[:-1])):  # may stand between copies of each other
-        order = np.lexsort((tokens, short, lines))
         short, lines, tokens = short[order], lines[order], tokens[order]
-        same = (short[1:] == short[:-1]) & (lines[1:] == lines[:-1])
-    new = np.ones(len(short), dtype=bool)
-    new[1:] = ~same | (tokens[1:] != tokens[:-1])
-    return short[new], lines[new], tokens[new]
+        new = np.append(True, (lines[1:] != lines[:-1]) | (tokens[1:] != tokens[:-1]))
+        return short[new], lines[new], tokens[new]
+    width = np.uint64(RANK_BITS + HASH_BITS)
+    packed = (lines.astype(np.uint64) << width) | short
+    ordered = np.sort(packed)
+    again = np.flatnonzero(ordered[1:] == ordered[:-1])
+    if len(again):  # only lines with equal numbers need their whole tokens compared
+        repeats = np.zeros(lines[-1] + 1, dtype=bool)
+        repeats[(ordered[again] >> width).astype(np.int64)] = True
+        at = np.flatnonzero(repeats[lines])
+        order = at[np.lexsort((tokens[at], packed[at]))]
+        tokens, packed = tokens.copy(), packed.copy()
+        tokens[at], packed[at] = tokens[order], packed[order]
+        new = np.ones(len(tokens), dtype=bool)
+        new[at[1:]] = (packed[at[1:]] != packed[at[:-1]]) | (tokens[at[1:]] != tokens[at[:-1]])
+        tokens = tokens[new]
+        ordered = np.sort(packed[new])
+    return ordered & ((np.uint64(1) << width) - np.uint64(1)), (ordered >> width).astype(np.int64), tokens
 
 
 def line_keys(tokens: np.ndarray, lines: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +139,7 @@ def line_keys(tokens: np.ndarray, lines: np.ndarray, count: int) -> tuple[np.nda
 def sketched(docs: DataFrame, ranks: np.ndarray, size: int, percent: int) -> DataFrame:
     """Per document: lines, and of each line with words its number, set size, key and prefix.
 
-    Prefixes follow each other in one array; ``prefix_length`` tells them apart.
+    Prefixes follow each other as 64-bit numbers in one ``prefix``; ``prefix_length`` tells them apart.
     """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,45 +164,146 @@ def sketched(docs: DataFrame, ranks: np.ndarray, size: int, percent: int) -> Dat
                      lists((used - heads[text[used]]).astype(np.int32), edges_of),
                      lists(sizes[used].astype(np.int32), edges_of),
                      lists(signed(key_a[used]), edges_of), lists(signed(key_b[used]), edges_of),
-                     lists(signed(tokens[kept]), ends_of)],
+                     packed_lists(tokens[kept], ends_of)],
                     ["doc_id", GIVEN, "n_lines", "line", "k", "key_a", "key_b", "prefix"])
 
     given = docs.schema[GIVEN].dataType.simpleString()
     return docs.select("doc_id", "text", GIVEN).mapInArrow(
         sketch, f"doc_id bigint, {GIVEN} {given}, n_lines bigint, line array<int>, k array<int>, key_a array<bigint>, "
-                "key_b array<bigint>, prefix array<bigint>")
+                "key_b array<bigint>, prefix binary")
+
+
+def packed_lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """One run of bytes per row from flat 64-bit values."""
+    ends = (8 * offsets).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [
+        None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def unpacked(rows: pa.Array) -> np.ndarray:
+    """All values of ``packed_lists``."""
+    ends = np.frombuffer(rows.buffers()[1], dtype=np.int32)[rows.offset:rows.offset + len(rows) + 1]
+    if not len(rows) or ends[0] == ends[-1]:
+        return np.zeros(0, dtype=np.int64)
+    return np.frombuffer(rows.buffers()[2], dtype=np.int64)[ends[0] // 8:ends[-1] // 8]
 
 
 def prefix_length(sizes: np.ndarray, percent: int) -> np.ndarray:
     return sizes - -(-sizes * percent // 100) + 1
 
 
-def postings(lines: DataFrame, percent: int, wanted: np.ndarray | None = None) -> DataFrame:
-    """(``token``, ``doc_id``, ``line``, size, position) of all prefixes, if wanted only some tokens."""
+def line_prefixes(batch: pa.RecordBatch, percent: int):
+    """Row of each line in a batch of (``doc_id``, ``line``, ``k``, ``prefix``), number, size and
+    length of its prefix, and all tokens."""
+    row = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(1).offsets.to_numpy()))
+    line, k = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
+    return row, line, k, prefix_length(k.astype(np.int64), percent), unpacked(batch.column(3))
+
+
+def first_of_equals(tokens: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Tokens of a line that shorten to the same number stand side by side: the first stands for them."""
+    return np.append(True, (tokens[1:] != tokens[:-1]) | (of[1:] != of[:-1]))[:len(tokens)]
+
+
+def shared_tokens(lines: DataFrame, percent: int) -> DataFrame:
+    """``token`` of all that stand in the prefixes of two lines or more.
+
+    Tokens travel as lists of 32 bits by bucket, each at most twice from a batch.
+    """
+    low = (1 << BUCKET_BITS) - 1
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *_, counts, tokens = line_prefixes(batch, percent)
+            tokens = tokens[first_of_equals(tokens, np.repeat(np.arange(len(counts)), counts))]
+            tokens, times = np.unique(tokens, return_counts=True)
+            tokens = np.repeat(tokens, np.minimum(times, 2))
+            bucket = (tokens & low).astype(np.uint16)
+            order = np.argsort(bucket, kind="stable")
+            edges = np.searchsorted(bucket[order], np.arange(low + 2))
+            used = np.flatnonzero(np.diff(edges))
+            rest = (tokens[order] >> BUCKET_BITS).astype(np.uint32).view(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(used.astype(np.int32)), lists(rest, np.append(edges[used], len(rest)))],
+                ["bucket", "rest"])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in runs(batches, 1):
+            rest = np.sort(run.column(1).flatten().to_numpy().view(np.uint32))
+            rest = np.unique(rest[1:][rest[1:] == rest[:-1]]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((rest << BUCKET_BITS) | run.column(0)[0].as_py())], ["token"])
+
+    sent = lines.filter("doc_id IS NOT NULL").select("doc_id", "line", "k", "prefix").mapInArrow(
+        send, "bucket int, rest array<int>")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(find, "token bigint")
+
+
+def postings(lines: DataFrame, percent: int, wanted: np.ndarray) -> DataFrame:
+    """(``token``, ``doc_id``, ``line``, size, position) of (at least) the wanted tokens of all prefixes."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        test = None if wanted is None else tester(wanted)
+        test = tester(wanted)
         for batch in batches:
-            per_doc = np.diff(batch.column(1).offsets.to_numpy())
-            line, k = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
-            tokens = batch.column(3).flatten().to_numpy()
-            counts = prefix_length(k.astype(np.int64), percent)
+            doc, line, k, counts, tokens = line_prefixes(batch, percent)
             row = np.repeat(np.arange(len(k)), counts)
             place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-            # Tokens of a line that shorten to the same number stand side by side: the first stands for them.
-            kept = np.append(True, (tokens[1:] != tokens[:-1]) | (row[1:] != row[:-1]))[:len(tokens)]
-            if test:
-                kept &= test(tokens.view(np.uint64))
+            kept = np.flatnonzero(first_of_equals(tokens, row) & test(tokens.view(np.uint64)))
             tokens, row, place = tokens[kept], row[kept], place[kept]
-            doc = np.repeat(np.arange(len(per_doc)), per_doc)[row]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(tokens), batch.column(0).take(pa.array(doc)), pa.array(line[row]),
+                [pa.array(tokens), batch.column(0).take(pa.array(doc[row])), pa.array(line[row]),
                  pa.array(k[row]), pa.array(place.astype(np.int32))], ["token", "doc_id", "line", "k", "at"])
 
     return lines.filter("doc_id IS NOT NULL").select("doc_id", "line", "k", "prefix").mapInArrow(
         post, "token bigint, doc_id bigint, line int, k int, at int")
 
 
+def with_hubs(postings_: DataFrame) -> DataFrame:
+    """Every posting but the first of its list, by ``doc_id`` and line, with that one, the list's hub."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tokens, *values = (column.to_numpy() for column in batch.columns)
+            starts = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
+            of = np.repeat(starts, np.diff(np.append(starts, len(tokens))))
+            hubs = [value[of] for value in values]
+            if tokens[0] == token:  # a list goes on
+                for hub, value in zip(hubs, held):
+                    hub[of == 0] = value
+            token, held = tokens[-1], [hub[-1] for hub in hubs]
+            kept = np.flatnonzero((values[0] != hubs[0]) | (values[1] != hubs[1]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(column[kept]) for column in (tokens, *values, *hubs)],
+                [*names, *(f"hub_{name}" for name in names[1:])])
+
+    names = ["token", "doc_id", "line", "k", "at"]
+    rows = postings_.select(*names).repartition("token").sortWithinPartitions("token", "doc_id", "line")
+    return rows.mapInArrow(
+        add, "token bigint, doc_id bigint, line int, k int, at int, "
+             "hub_doc_id bigint, hub_line int, hub_k int, hub_at int")
+
+
+def keyed(lines: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """Size and keys of (at least) the lines whose first key passes the filter."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = tester(wanted)
+        for batch in batches:
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(1).offsets.to_numpy()))
+            line, k, key_a, key_b = (batch.column(i).flatten() for i in range(1, 5))
+            kept = np.flatnonzero(test(key_a.to_numpy().view(np.uint64)))
+            at = pa.array(kept)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(doc[kept])), line.take(at), k.take(at), key_a.take(at),
+                 key_b.take(at)], ["doc_id", "line", "k", "key_a", "key_b"])
+
+    return lines.filter("doc_id IS NOT NULL").select("doc_id", "line", "k", "key_a", "key_b").mapInArrow(
+        cut, "doc_id bigint, line int, k int, key_a bigint, key_b bigint")
+
+
 LINE_FACTOR = 2654435761  # spreads line numbers over the low bits that filters use
 
 
@@ -227,27 +337,23 @@ def full_sets(docs: DataFrame, wanted: np.ndarray, size: int) -> DataFrame:
 
 
 def prefixes(lines: DataFrame, percent: int, wanted: np.ndarray) -> DataFrame:
-    """Whole prefixes of (at least) the lines that have a wanted token in theirs."""
+    """Sizes and whole prefixes of (at least) the lines whose number passes the filter."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = tester(wanted)
         for batch in batches:
-            per_doc = np.diff(batch.column(1).offsets.to_numpy())
-            line, k = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
-            tokens = batch.column(3).flatten().to_numpy()
-            counts = prefix_length(k.astype(np.int64), percent)
-            ends = np.concatenate([[0], np.cumsum(counts)])
-            hits = np.concatenate([[0], np.cumsum(test(tokens.view(np.uint64)))])
-            kept = np.flatnonzero(hits[ends[1:]] > hits[ends[:-1]])
+            doc, line, k, counts, tokens = line_prefixes(batch, percent)
+            ids = batch.column(0).to_numpy()
+            kept = np.flatnonzero(test((ids[doc] ^ (line.astype(np.int64) * LINE_FACTOR)).view(np.uint64)))
+            ends = np.cumsum(counts)
             borders = np.concatenate([[0], np.cumsum(counts[kept])])
-            take = np.arange(borders[-1]) + np.repeat(ends[kept] - borders[:-1], counts[kept])
-            doc = np.repeat(np.arange(len(per_doc)), per_doc)[kept]
+            take = np.arange(borders[-1]) + np.repeat(ends[kept] - counts[kept] - borders[:-1], counts[kept])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(doc)), pa.array(line[kept]), lists(tokens[take], borders)],
-                ["doc_id", "line", "prefix"])
+                [batch.column(0).take(pa.array(doc[kept])), pa.array(line[kept]), pa.array(k[kept]),
+                 lists(tokens[take], borders)], ["doc_id", "line", "k", "prefix"])
 
     return lines.filter("doc_id IS NOT NULL").select("doc_id", "line", "k", "prefix").mapInArrow(
-        cut, "doc_id bigint, line int, prefix array<bigint>")
+        cut, "doc_id bigint, line int, k int, prefix array<bigint>")
 
 
 def open_pairs(
@@ -260,8 +366,8 @@ def open_pairs(
         rank = nodes.to_numpy()
     else:
         nodes = nodes.to_pylist()
-        rank = np.empty(len(nodes), dtype=np.int64)
-        rank[sorted(range(len(nodes)), key=nodes.__getitem__)] = np.arange(len(nodes))
+        places = {node: place for place, node in enumerate(sorted(set(nodes)))}
+        rank = np.array([places[node] for node in nodes], dtype=np.int64)
     done = run.column(5).to_numpy(zero_copy_only=False)
     if len(edges) > 2 or run.num_rows <= FEW:
         a, b = pairs_within(edges)
@@ -271,13 +377,15 @@ def open_pairs(
         shared = shared_counts(marks, units, run.num_rows)[a, b]
     swap = rank[a] > rank[b]
     a, b = np.where(swap, b, a), np.where(swap, a, b)
-    kept = ~done[b]
+    kept = ~done[b] & (rank[a] != rank[b])  # rows of one document are no pair
     return a[kept], b[kept], shared[kept]
 
 
 def close_lines(members: DataFrame, percent: int) -> DataFrame:
-    """(``token``, ``node``) of lines of a list that the filters leave a partner in it.
+    """(``token``, ``node``, ``done``) of lines of a list that the filters leave a partner in it.
 
+    Two lines are compared in the list of the first token that their prefixes share.  If one of them
+    is that list's first line they have been compared, and if the later still is open, they don't match.
     Of two lines, the prefix that ends first in the order of tokens holds all that the
     other can share with it up to there, so the tokens shared by the prefixes and
     what is left of that line bound their intersection.  Tokens that shorten to the
@@ -302,13 +410,17 @@ def close_lines(members: DataFrame, percent: int) -> DataFrame:
             most = shared + np.where(last[a] == last[b], np.maximum(behind[a], behind[b]),
                                      np.where(last[a] < last[b], behind[a], behind[b]))
             kept = 100 * most >= percent * (k[a] + k[b] - most)
+            if kept.any():
+                early = ~repeated & (tokens < run.column(0).to_numpy()[of])
+                _, _, before = open_pairs(run, edges, tokens[early], of[early])
+                kept &= before[fits] == 0
             rows = pa.array(np.unique(np.concatenate([a[kept], b[kept]])))
             yield pa.RecordBatch.from_arrays(
-                [run.column(0).take(rows), run.column(4).take(rows)], ["token", "node"])
+                [run.column(i).take(rows) for i in (0, 4, 5)], ["token", "node", "done"])
 
     node = members.schema["node"].dataType.simpleString()
     return in_blocks(members, BLOCK, "token", "node", "done", "k", "prefix").mapInArrow(
-        cut, f"token bigint, node {node}")
+        cut, f"token bigint, node {node}, done boolean")
 
 
 def matching_lines(members: DataFrame, percent: int) -> DataFrame:
@@ -338,101 +450,114 @@ class LineDedup:
         each = self.lines.filter("doc_id IS NOT NULL").select(
             "doc_id", F.inline(F.arrays_zip("line", "k", "key_a", "key_b")))
         # Order of lines as one number; ids that leave no room for it need a decimal.
-        low, high, last = each.agg(F.min("doc_id"), F.max("doc_id"), F.max("line")).first()
-        fits = low is not None and low >= 0 and high < 1 << 39 and last < 1 << 24
+        low, high, most = self.lines.filter("doc_id IS NOT NULL").agg(
+            F.min("doc_id"), F.max("doc_id"), F.max("n_lines")).first()
+        fits = low is not None and low >= 0 and high < 1 << 39 and most <= 1 << 24
         kind, room = ("long", 24) if fits else ("decimal(38,0)", 31)
-        place = F.col("doc_id").cast(kind) * F.lit(1 << room).cast(kind) + F.col("line")
-        self.place = lambda: place.cast(kind).alias("node")
-        self.each = each.select("*", self.place())
+        self.place = lambda doc="doc_id", line="line": (
+            F.col(doc).cast(kind) * F.lit(1 << room).cast(kind) + F.col(line)).cast(kind).alias("node")
         doc = F.shiftright("node", room) if fits else F.floor(F.col("node") / F.lit(1 << room).cast(kind)).cast("long")
         line = F.col("node") - doc.cast(kind) * F.lit(1 << room).cast(kind)
+        self.parts = doc.alias("doc_id"), line.cast("int").alias("line")
         self.number = doc.bitwiseXOR(line.cast("long") * F.lit(LINE_FACTOR)).alias("number")
-        self.classes = staged(
-            self.each.groupBy("k", "key_a", "key_b")
-            .agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("copies")),
-            "classes",
-        )
+        self.copies = staged(self._copies(each.select("k", "key_a", "key_b", self.place())), "copies")
         self.later = staged(self._later(), "later")
 
+    def _copies(self, each: DataFrame) -> DataFrame:
+        """``node`` of lines whose class has an earlier one."""
+        key = ["k", "key_a", "key_b"]
+        classes = staged(
+            each.groupBy(*key).agg(F.min("node").alias("first"), F.max("node").alias("last"))
+            .filter("first < last").drop("last"), "classes")
+        lines = keyed(self.lines, bit_filter(classes, "key_a", bits_for(classes.count())))
+        return lines.select(*key, self.place()).join(classes, key).filter("node > first").select("node")
+
     def _later(self) -> DataFrame:
         """``node`` of first lines that match the first line of an earlier class."""
-        tokens = (
-            postings(self.lines, self.percent).select("token", self.place()).groupBy("token")
-            .agg(F.min("node").alias("hub"), F.max("node").alias("last"))
-            .filter("hub < last").select("token", "hub")
-        )
-        tokens = staged(tokens, "tokens")
+        tokens = staged(shared_tokens(self.lines, self.percent), "tokens")
         some = postings(self.lines, self.percent, bit_filter(tokens, "token", bits_for(tokens.count())))
-        shared = staged(
-            some.select("token", self.place(), "k", "at").join(tokens, "token")
-            .join(self.classes.select("node"), "node", "left_semi"), "postings")
         discard(tokens)
+        hub = self.place("hub_doc_id", "hub_line").alias("hub")
+        shared = staged(
+            with_hubs(some).select("token", self.place(), "k", "at", hub, "hub_k", "hub_at"), "postings")
         later = self._matches(shared)
 
         # Lists in which a line still matches nothing: all others in it are compared, too.
-        open_ = shared.filter("node > hub").join(later.withColumn("done", F.lit(True)), "node", "left").select(
-            "token", "node", "k", F.coalesce("done", F.lit(False)).alias("done"))
-        lists_ = open_.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("done").alias("all_done"))
-        lists_ = staged(lists_.filter("n > 1 AND NOT all_done").select("token"), "open")
-        left = staged(open_.join(lists_, "token"), "left")
+        settled = later.withColumn("copy", F.lit(False)).unionByName(self.copies.withColumn("copy", F.lit(True)))
+        open_ = shared.select("token", "node").join(settled, "node", "left").filter(
+            ~F.coalesce("copy", F.lit(False))).select("token", "node", F.col("copy").isNotNull().alias("done"))
+        open_ = staged(open_, "open")
         discard(shared)
-        wanted = bit_filter(lists_, "token", bits_for(lists_.count()))
-        discard(lists_)
-        prefix = prefixes(self.lines, self.percent, wanted).select(self.place(), "prefix")
-        near = staged(close_lines(left.join(prefix, "node"), self.percent).distinct(), "near")
+        lists_ = open_.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min("done").alias("all_done"))
+        lists_ = lists_.filter("members > 1 AND NOT all_done").select("token", "members")
+        left = staged(open_.join(lists_, "token"), "left")
+        discard(open_)
+        near = staged(close_lines(left.join(self._prefixes(left.select("node").distinct()), "node"), self.percent)
+                      .distinct(), "near")
+        discard(left)
         sets = self._sets(near.select("node").distinct())
-        members = near.join(left.drop("k"), ["token", "node"]).join(sets, "node")
+        members = near.join(near.groupBy("token").agg(F.count(F.lit(1)).alias("members")), "token").join(sets, "node")
         found = staged(matching_lines(members, self.percent).distinct(), "found")
-        discard(left, near, sets)
+        discard(near, sets)
         return later.unionByName(found).distinct()
 
     def _matches(self, shared: DataFrame) -> DataFrame:
         """Distinct later lines that match the first line of a list they are in.
 
         With a token at the places ``at``, the sets share as many as both have before it, the token
-        itself, and as many as both have behind it, at most (positional filter).
+        itself, and as many as both have behind it, at most (positional filter).  What is left is
+        held against whole prefixes, as in ``close_lines``, before whole sets are read.
         """
-        hubs = shared.filter("node = hub").select("token", F.col("k").alias("hub_k"), F.col("at").alias("hub_at"))
         most = F.least("at", "hub_at") + 1 + F.least(
             F.col("k") - F.col("at") - 1, F.col("hub_k") - F.col("hub_at") - 1)
-        pairs = shared.filter("node > hub").join(hubs, "token").filter(
-            100 * most >= self.percent * (F.col("k") + F.col("hub_k") - most))
-        pairs = staged(pairs.select("hub", "node").distinct(), "pairs")
-        sets = self._sets(pairs.select(F.explode(F.array("hub", "node")).alias("node")).distinct())
+        pairs = shared.filter(100 * most >= self.percent * (F.col("k") + F.col("hub_k") - most))
+        pairs = pairs.select("hub", "node").distinct().join(self.copies, "node", "left_anti")
+        pairs = staged(pairs.select("hub", "node"), "pairs")
+        prefix = staged(self._prefixes(pairs.select(F.explode(F.array("hub", "node")).alias("node")).distinct())
+                        .withColumn("again", F.size("prefix") - F.size(F.array_distinct("prefix"))), "prefixes")
+        by_node = prefix.repartition("node")  # one exchange for both lines of a pair
+        hub = by_node.select(*[F.col(c).alias("hub" if c == "node" else f"hub_{c}") for c in prefix.columns])
+        last, hub_last = F.element_at("prefix", -1), F.element_at("hub_prefix", -1)
+        behind, hub_behind = F.col("k") - F.size("prefix"), F.col("hub_k") - F.size("hub_prefix")
+        most = F.size(F.array_intersect("prefix", "hub_prefix")) + F.least("again", "hub_again") + (
+            F.when(last == hub_last, F.greatest(behind, hub_behind))
+            .when(last < hub_last, behind).otherwise(hub_behind))
+        close = staged(
+            pairs.join(hub, "hub").join(by_node, "node")
+            .filter(100 * most >= self.percent * (F.col("k") + F.col("hub_k") - most)).select("hub", "node"), "close")
+        discard(pairs, prefix)
+        sets = self._sets(close.select(F.explode(F.array("hub", "node")).alias("node")).distinct())
+        by_node = sets.repartition("node")
         both = F.size(F.array_intersect("tokens", "hub_tokens"))
         union = F.size("tokens") + F.size("hub_tokens") - both
         found = staged(
-            pairs.join(sets.select(F.col("node").alias("hub"), F.col("tokens").alias("hub_tokens")), "hub")
-            .join(sets, "node")
+            close.join(by_node.select(F.col("node").alias("hub"), F.col("tokens").alias("hub_tokens")), "hub")
+            .join(by_node, "node")
             .filter(100 * both >= self.percent * union)
             .select("node").distinct(), "matched")
-        discard(pairs, sets)
+        discard(close, sets)
         return found
 
-    def _sets(self, nodes: DataFrame) -> DataFrame:
-        """Whole token sets of some first lines."""
+    def _wanted(self, nodes: DataFrame) -> np.ndarray:
+        """Filter of some lines, roomy since what passes it is written."""
         nodes = staged(nodes, "nodes")
-        wanted = bit_filter(nodes.select(self.number), "number", bits_for(nodes.count()))
+        wanted = bit_filter(nodes.select(self.number), "number", bits_for(8 * nodes.count()))
+        discard(nodes)
+        return wanted
+
+    def _prefixes(self, nodes: DataFrame) -> DataFrame:
+        """Sizes and prefixes of (at least) some lines; joins drop the others."""
+        return prefixes(self.lines, self.percent, self._wanted(nodes)).select(self.place(), "k", "prefix")
+
+    def _sets(self, nodes: DataFrame) -> DataFrame:
+        """Whole token sets of (at least) some first lines; joins drop the others."""
         return staged(
-            full_sets(self.docs, wanted, self.size)
-            .select(self.place(), F.array_distinct("tokens").alias("tokens"))
-            .join(nodes, "node", "left_semi"),
-            "sets",
-        )
+            full_sets(self.docs, self._wanted(nodes), self.size)
+            .select(self.place(), F.array_distinct("tokens").alias("tokens")), "sets")
 
     def removed(self) -> DataFrame:
         """``doc_id`` and ``line`` (from 0) of every line that goes."""
-        affected = (
-            self.classes.join(self.later.withColumn("goes", F.lit(True)), "node", "left")
-            .filter("copies > 1 OR goes")
-            .select("k", "key_a", "key_b", F.col("node").alias("first"),
-                    F.coalesce("goes", F.lit(False)).alias("goes"))
-        )
-        return (
-            self.each.select("doc_id", "line", "node", "k", "key_a", "key_b")
-            .join(affected, ["k", "key_a", "key_b"])
-            .filter("goes OR node != first").select("doc_id", "line").distinct()
-        )
+        return self.copies.unionByName(self.later).select(*self.parts).distinct()
 
     def removed_lists(self) -> DataFrame:
         return self.removed().groupBy("doc_id").agg(
