@@ -358,9 +358,9 @@ def prefixes(lines: DataFrame, percent: int, wanted: np.ndarray) -> DataFrame:
 
 def open_pairs(
     run: pa.RecordBatch, edges: np.ndarray, marks: np.ndarray, units: np.ndarray,
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of an earlier line and a later one that matches nothing so far, in one list, and
-    how many ``marks`` the two share."""
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of an earlier line and a later one that matches nothing so far, in one list,
+    how many ``marks`` the two share, and whether both are one line of rows that repeat a document."""
     nodes = run.column(4)
     if pa.types.is_integer(nodes.type):
         rank = nodes.to_numpy()
@@ -377,8 +377,8 @@ def open_pairs(
         shared = shared_counts(marks, units, run.num_rows)[a, b]
     swap = rank[a] > rank[b]
     a, b = np.where(swap, b, a), np.where(swap, a, b)
-    kept = ~done[b] & (rank[a] != rank[b])  # rows of one document are no pair
-    return a[kept], b[kept], shared[kept]
+    kept = ~done[b]
+    return a[kept], b[kept], shared[kept], rank[a[kept]] == rank[b[kept]]
 
 
 def close_lines(members: DataFrame, percent: int) -> DataFrame:
@@ -403,7 +403,7 @@ def close_lines(members: DataFrame, percent: int) -> DataFrame:
             of = np.repeat(np.arange(len(k)), counts)
             repeated = np.append(False, (tokens[1:] == tokens[:-1]) & (of[1:] == of[:-1]))
             again = np.bincount(of[repeated], minlength=len(k))
-            a, b, shared = open_pairs(run, edges, tokens[~repeated], of[~repeated])
+            a, b, shared, same = open_pairs(run, edges, tokens[~repeated], of[~repeated])
             fits = 100 * np.minimum(k[a], k[b]) >= percent * np.maximum(k[a], k[b])
             a, b = a[fits], b[fits]
             shared = shared[fits] + np.minimum(again[a], again[b])
@@ -412,8 +412,8 @@ def close_lines(members: DataFrame, percent: int) -> DataFrame:
             kept = 100 * most >= percent * (k[a] + k[b] - most)
             if kept.any():
                 early = ~repeated & (tokens < run.column(0).to_numpy()[of])
-                _, _, before = open_pairs(run, edges, tokens[early], of[early])
-                kept &= before[fits] == 0
+                before = open_pairs(run, edges, tokens[early], of[early])[2]
+                kept &= same[fits] | (before[fits] == 0)
             rows = pa.array(np.unique(np.concatenate([a[kept], b[kept]])))
             yield pa.RecordBatch.from_arrays(
                 [run.column(i).take(rows) for i in (0, 4, 5)], ["token", "node", "done"])
@@ -430,7 +430,7 @@ def matching_lines(members: DataFrame, percent: int) -> DataFrame:
         for run, edges in bundles(batches, 3, FEW):
             tokens = run.column(6)
             k = np.diff(tokens.offsets.to_numpy())
-            a, b, shared = open_pairs(run, edges, tokens.flatten().to_numpy(), np.repeat(np.arange(len(k)), k))
+            a, b, shared, _ = open_pairs(run, edges, tokens.flatten().to_numpy(), np.repeat(np.arange(len(k)), k))
             hit = 100 * shared >= percent * (k[a] + k[b] - shared)
             yield pa.RecordBatch.from_arrays(
                 [run.column(4).take(pa.array(np.unique(b[hit])))], ["node"])
@@ -493,10 +493,11 @@ class LineDedup:
         left = staged(open_.join(lists_, "token"), "left")
         discard(open_)
         near = staged(close_lines(left.join(self._prefixes(left.select("node").distinct()), "node"), self.percent)
-                      .distinct(), "near")
+                      .groupBy("token", "node", "done").agg(F.count(F.lit(1)).alias("rows")), "near")
         discard(left)
         sets = self._sets(near.select("node").distinct())
-        members = near.join(near.groupBy("token").agg(F.count(F.lit(1)).alias("members")), "token").join(sets, "node")
+        # Rows may be counted more than once: the count only tells how many blocks to make.
+        members = near.join(near.groupBy("token").agg(F.sum("rows").alias("members")), "token").join(sets, "node")
         found = staged(matching_lines(members, self.percent).distinct(), "found")
         discard(near, sets)
         return later.unionByName(found).distinct()
