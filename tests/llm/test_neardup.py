@@ -1,10 +1,12 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from samples import corpus, documents, empty_documents, odd_documents, prose
 
 from turnstile.llm import neardup
+from turnstile.llm.common import ARROW_BYTES, arrow_bytes, staged
 from turnstile.llm.components import components
 from turnstile.llm.neardup import NearDuplicates
 
@@ -87,3 +89,29 @@ def test_odd_documents(spark):
 
 def test_empty_table(spark):
     assert NearDuplicates(empty_documents(spark)).report().count() == 0
+
+
+def test_tasks_get_bounded_batches(spark, monkeypatch):
+    """While sets are made and compared, a task is sent some megabyte of texts at a time."""
+    seen = []
+
+    def recorded(frame, purpose):
+        seen.append(spark.conf.get(ARROW_BYTES))
+        return staged(frame, purpose)
+
+    before = spark.conf.get(ARROW_BYTES)
+    monkeypatch.setattr(neardup, "staged", recorded)
+    NearDuplicates(documents(spark, [(1, "a b c d e f"), (2, "a b c d e f g")]))
+    assert seen and set(seen) == {str(1 << 20)} and spark.conf.get(ARROW_BYTES) == before
+
+
+def test_batches_are_cut_by_bytes(spark):
+    docs = spark.range(0, 400, 1, 1).selectExpr("repeat('word ', 4000) AS text")  # 8 MB
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    with arrow_bytes(spark):
+        found = [r.n for r in docs.mapInArrow(sizes, "n bigint").collect()]
+    assert sum(found) >= 8_000_000 and max(found) < 2 << 20

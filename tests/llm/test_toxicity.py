@@ -5,7 +5,7 @@ import pyarrow as pa
 from samples import documents, empty_documents, odd_documents, prose
 
 from turnstile.llm.toxicity import (
-    best_cut, corpus_chain, features, fit_linear, score, sigmoid, train, without_toxic,
+    PART_ROWS, best_cut, corpus_chain, features, fit_linear, parts, score, sigmoid, train, without_toxic,
 )
 from turnstile.llm.words import fold_table, slices
 
@@ -103,3 +103,11 @@ def test_scores_equal_sums_text_by_text(spark):
             total += sum(float(w) * p for w, p in zip(weights[len(markers):], earlier))
             earlier.append(1 / (1 + np.exp(-total)))
             assert abs(got[doc_id][f"p_{category}"] - earlier[-1]) < 1e-5
+
+
+def test_filter_copies_few_rows_at_a_time():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(700)), pa.array(["a b"] * 700)], ["doc_id", "text"])
+    cut = list(parts(batch))
+    assert pa.Table.from_batches(cut).to_pydict() == batch.to_pydict()
+    assert max(part.num_rows for part in cut) <= PART_ROWS < 700
+    assert not list(parts(batch.slice(0, 0)))

@@ -89,6 +89,21 @@ def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
         spark.conf.set(ARROW_ROWS, before)
 
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def arrow_bytes(spark: SparkSession, most: int = 1 << 20) -> Iterator[None]:
+    """Within the block, actions send tasks some ``most`` bytes of rows at a time: an executor holds
+    a batch several times, in buffers outside its heap and in its Python workers."""
+    before = spark.conf.get(ARROW_BYTES)
+    spark.conf.set(ARROW_BYTES, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_BYTES, before)
+
+
 SLOTS = 1 << 20
 
 

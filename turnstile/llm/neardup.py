@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnstile.llm.blocks import block_pairs, in_blocks, runs, shared_counts
-from turnstile.llm.common import rows_of_ids, staged
+from turnstile.llm.common import arrow_bytes, rows_of_ids, staged
 from turnstile.llm.components import components
 from turnstile.llm.words import (
     ONE, TWO, Words, distinct, fold_table, mix64, shingles, signed, slices, words_of,
@@ -324,7 +324,11 @@ class NearDuplicates:
 
     def __init__(self, docs: DataFrame, size: int = 5, percent: int = 80):
         self.docs, self.size, self.percent = docs, size, percent
-        self.sketches = staged(sketches(docs, size, percent), "sketches")
+        with arrow_bytes(docs.sparkSession):
+            self._find()
+
+    def _find(self) -> None:
+        self.sketches = staged(sketches(self.docs, self.size, self.percent), "sketches")
         sets = ["n", "key_a", "key_b"]
         self.classes = staged(
             self.sketches.filter("n > 0").groupBy(*sets).agg(F.min("doc_id").alias("node")), "classes")

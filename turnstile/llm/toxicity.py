@@ -37,6 +37,7 @@ LEAST_DOCS = 5
 FOLDS = 3
 PENALTY = 0.1
 STEPS = 15
+PART_ROWS = 256  # documents that pass a filter at a time
 
 
 @dataclass(frozen=True)
@@ -243,11 +244,18 @@ def without_toxic(docs: DataFrame, chain: Chain, category: str = "toxic") -> Dat
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(probabilities(chain, batch.column(at))[:, of] <= chain.cuts[of]))
+            for part in parts(batch):
+                yield part.filter(pa.array(probabilities(chain, part.column(at))[:, of] <= chain.cuts[of]))
 
     return docs.mapInArrow(keep, docs.schema)
 
 
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows, few at a time, so that whole texts are not copied a batch at once."""
+    for first in range(0, batch.num_rows, PART_ROWS):
+        yield batch.slice(first, PART_ROWS)
+
+
 def corpus_chain(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Chain:
     """The chain for the ``labels`` table: low quality first, then toxicity."""
     marked = labels.select(
