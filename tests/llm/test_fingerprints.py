@@ -1,3 +1,4 @@
+import bisect
 import hashlib
 import random
 import re
@@ -88,6 +89,21 @@ def test_ranges_hold_a_bounded_number_of_documents_in_order(spark, monkeypatch,
         assert max(buckets.count(b) for b in set(buckets)) <= 110
 
 
+@pytest.mark.parametrize("count", [60, 5000])
+def test_ranges_of_many_cuts_are_a_short_expression(spark, monkeypatch, count):
+    monkeypatch.setattr(fp, "BUCKET_ROWS", 1)
+    rows = spark.range(count).select((F.col("id") * 3 - 50).alias("doc_id"))
+    parts = min(count, fp.MAX_CUTS)
+    wanted = [i / parts for i in range(parts)] + [1.0]
+    cuts = sorted(set(rows.agg(F.percentile_approx("doc_id", wanted, 40 * fp.MAX_CUTS)).first()[0]))
+    if count == 60:  # with more cuts, an expression that is not linear in them fills the memory
+        assert len(str(fp.ranges(rows, count))) < 30 * len(cuts) + 1000
+    # Ids between the cuts, too, and beyond them.
+    ids = spark.range(-70, 3 * count).select(F.col("id").alias("doc_id"))
+    got = ids.select("doc_id", fp.ranges(rows, parts).alias("bucket")).collect()
+    assert all(r.bucket == max(0, bisect.bisect_right(cuts, r.doc_id) - 1) for r in got)
+
+
 def test_outlying_ids_and_long_texts(spark, monkeypatch):
     monkeypatch.setattr(fp, "BUCKET_ROWS", 5)
     rows = sorted([(i, f"a {i}\nb {i % 3}") for i in range(60)] + [(10**15, "far\naway"), (-2**63, "z " * 200_000)])

@@ -195,21 +195,27 @@ def ranges(rows: DataFrame, count: int) -> Column:
     # At most ``MAX_CUTS + 1`` numbers.
     cuts = sorted(set(rows.agg(F.percentile_approx("doc_id", wanted, 40 * MAX_CUTS)).first()[0]))
     starts = F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>")
-    # The last cut that is not above the id, by halving steps.
-    at, step = F.lit(0), 1 << (len(cuts) - 1).bit_length()
-    while step := step // 2:
-        beyond = at + step
-        at = F.when(F.coalesce(F.get(starts, beyond) <= F.col("doc_id"), F.lit(False)), beyond).otherwise(at)
+    halves = [1 << i for i in reversed(range((len(cuts) - 1).bit_length()))]
     within = -(-count // (parts * BUCKET_ROWS))
-    if within == 1:
-        return at.cast("long")
 
-    def stretch(place: Column) -> Column:
-        low, high = (F.get(starts, place + i).cast("double") for i in (0, 1))
-        share = (F.col("doc_id").cast("double") - low) / (high - low)
-        return F.coalesce(F.least(F.floor(share * within), F.lit(within - 1)), F.lit(0))
+    def place(starts: Column) -> Column:
+        # The last cut that is not above the id, by halving steps.  A fold, as a step written into
+        # the next one would stand there three times, with all cuts.
+        at = F.aggregate(
+            F.array(*[F.lit(half) for half in halves]).cast("array<int>"), F.lit(0),
+            lambda at, half: F.when(
+                F.coalesce(F.get(starts, at + half) <= F.col("doc_id"), F.lit(False)), at + half).otherwise(at))
+        if within == 1:
+            return at.cast("long")
 
-    return let(at, lambda place: place.cast("long") * within + stretch(place))
+        def stretch(at: Column) -> Column:
+            low, high = (F.get(starts, at + i).cast("double") for i in (0, 1))
+            share = (F.col("doc_id").cast("double") - low) / (high - low)
+            return F.coalesce(F.least(F.floor(share * within), F.lit(within - 1)), F.lit(0))
+
+        return let(at, lambda at: at.cast("long") * within + stretch(at))
+
+    return let(starts, place)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
